@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ._tables import read
 from .exact_dedup import exact_groups
+from .fingerprints import edited_likeness
 from .near_dedup import near_groups
+from .sentencepiece_bpe import round_trip
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return round_trip(read(spark, sf_dir, "documents"), Path(model).read_bytes())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_near_dedup, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_near_dedup, op5_fingerprints, op7_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:
