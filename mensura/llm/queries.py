@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._tables import read
 from .exact_dedup import exact_groups
 from .fingerprints import edited_likeness
+from .lang_id import languages
 from .near_dedup import near_groups
 from .sentencepiece_bpe import round_trip
 
@@ -25,6 +26,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -34,7 +39,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_near_dedup, op5_fingerprints, op7_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_near_dedup, op5_fingerprints, op7_exact_dedup, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:
