@@ -10,14 +10,27 @@ from ._tables import read
 from .exact_dedup import exact_groups
 from .fingerprints import edited_likeness
 from .lang_id import languages
+from .licenses import MARKS, RULES, SENTENCES, scan
+from .mixing import mix
 from .near_dedup import near_groups
 from .sentencepiece_bpe import round_trip
+from .url_filter import DOMAINS, SITES, judge
+from .url_filter import RULES as URL_RULES
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -26,6 +39,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = [(f"{site}.{domain}", "/") for site in SITES for domain in DOMAINS]
+    return judge(read(spark, sf_dir, "pages"), URL_RULES, blocked)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
 
@@ -39,11 +57,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_near_dedup, op5_fingerprints, op7_exact_dedup, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op5_fingerprints, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": OP7}
+    return {"op1_licenses": _op1(), "op7_exact_dedup": OP7, "op8_url_filter": _op8()}
 
 
 OP7 = r"""
@@ -54,3 +72,50 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+def _op1() -> str:
+    """Sentences, identifiers and rules as in licenses.py; a step for each rule."""
+    known = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
+    steps = []
+    for k, (_, run) in enumerate(RULES):
+        joined = "".join(f",{i}," for i in run)
+        steps.append(f"s{k} AS (SELECT *, replace(r{k}, '{joined}', '|') AS r{k + 1} FROM {f's{k - 1}' if k else 'first'})")
+    hit = ", ".join(f"CASE WHEN r{k} <> r{k + 1} THEN '{name}' END" for k, (name, _) in enumerate(RULES))
+    return rf"""
+WITH known AS (SELECT * FROM (VALUES {known}) t(s, i)),
+parts AS (
+    SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\r\n]+')) AS s,
+           generate_subscripts(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\r\n]+'), 1) AS k
+    FROM documents
+),
+marked AS (SELECT doc_id, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts WHERE regexp_matches(lower(s), '{MARKS}')),
+found AS (
+    SELECT doc_id, string_agg(i, ',' ORDER BY k) FILTER (i IS NOT NULL) AS ids, string_agg(',' || i || ',', '' ORDER BY k) FILTER (i IS NOT NULL) AS rest,
+           count(*) FILTER (i IS NULL) AS unknown
+    FROM marked LEFT JOIN known USING (s) GROUP BY doc_id
+),
+first AS (SELECT d.doc_id, coalesce(ids, '') AS ids, coalesce(rest, '') AS r0, coalesce(unknown, 0) AS unknown FROM documents d LEFT JOIN found f USING (doc_id)),
+{", ".join(steps)}
+SELECT doc_id, ids AS sentence_ids,
+       array_to_string([x FOR x, k IN [{hit}] IF x IS NOT NULL AND list_position([{hit}], x) = k], ',') AS licences,
+       len(regexp_extract_all(r{len(RULES)}, ',[^,|]+,')) AS unmatched, unknown
+FROM s{len(RULES) - 1}
+"""
+
+
+def _op8() -> str:
+    rules = ", ".join(f"('{h}', '{d}', '{v}')" for h, d, v in URL_RULES)
+    sites = ", ".join(f"'{site}.{domain}'" for site in SITES for domain in DOMAINS)
+    return rf"""
+WITH rules AS (SELECT * FROM (VALUES {rules}) t(h, p, v)),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '/.*$') AS path FROM rest),
+best AS (
+    SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+    FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN starts_with(path, '/') AND len(list_filter([{sites}], lambda s: host = s OR ends_with(host, '.' || s))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id)
+"""
