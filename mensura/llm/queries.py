@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._tables import read
 from .exact_dedup import exact_groups
 from .fingerprints import edited_likeness
+from .html_extract import extract
 from .lang_id import languages
 from .licenses import MARKS, RULES, SENTENCES, scan
 from .mixing import mix
@@ -31,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op5_fingerprints, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op4_html_extract, op5_fingerprints, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:
