@@ -17,6 +17,7 @@ _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WORD_SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _CODE = np.arange(1, 257, dtype=np.uint64)
 _CODE[65:91] += np.uint64(32)
 #: One odd multiplier for each place of a shingle.
@@ -63,13 +64,14 @@ def pieces(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes, row after row, and where each row's words begin (one more entry than rows)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, row after row, and where each row's words begin (one more entry than rows). separators: by byte, whether it
+    separates words; WORD_SIGNS leaves words of letters, digits and characters beyond ASCII."""
     base = int(offsets[0])
     text, cuts = data[base : int(offsets[-1])], offsets - base
     if not len(text):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEP[text]
+    inside = ~separators[text]
     edge = np.zeros(len(text) + 1, bool)
     edge[cuts] = True
     begins = inside.copy()

@@ -15,6 +15,7 @@ from .licenses import MARKS, RULES, SENTENCES, scan
 from .mixing import mix
 from .near_dedup import near_groups
 from .sentencepiece_bpe import round_trip
+from .toxicity import score, train
 from .url_filter import DOMAINS, SITES, judge
 from .url_filter import RULES as URL_RULES
 
@@ -40,6 +41,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op4_html_extract, op5_fingerprints, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op4_html_extract, op5_fingerprints, op6_toxicity, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:
