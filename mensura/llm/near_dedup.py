@@ -3,14 +3,17 @@
 1. One pass over the texts gives each document's number of distinct word shingles, a digest of the whole set, and the
    `keep` smallest hashes of it (its bottom-k sketch). Documents with the same set are one class from here on, so a
    group of exact copies, of whatever size, is one row.
-2. The `listed` smallest values of each class are its entries in inverted lists. Two sets of similarity J share each of
-   the smallest values of their union with probability J, independently, so classes that should be linked meet in a list
-   but for (1-J)**listed: 8e-11 for J = 0.85 and 12 values.
-3. Lists give candidates in two steps. First each list's members meet its first member only. What that links is one
-   component, whose members need not meet again; so a group of near copies costs as many pairs as it has members. Then
-   members of different components meet, in lists of at most `direct` members. In longer lists (a line that very many
-   documents share) pairs must share two, then three of the long lists' values: lists by combinations of values, handled
-   alike. In lists that are still long, all who stand outside the largest component meet all others. No list is
+2. The `listed` smallest values of each class may be entries of inverted lists. Each of the smallest values of the union of
+   two sets of similarity J is in both with probability J, independently, so of `listed` retained values two linked
+   classes share a least number but for a chance of one in a million (small sets are retained whole, and share J of
+   their size for certain). So, with the values ordered by the number of classes that retain them, two linked classes share one of
+   their rarest `listed` - least number + 1 values, and only those are entered. A line or a passage that very many
+   documents share is common, so it is entered only by documents that consist mostly of shared text.
+3. Lists give candidates in three rounds. First each list's members meet its first member only. What that links is one
+   component, whose members need not meet again; so a group of near copies costs as many pairs as it has members. In
+   lists that still hold several components, the members meet one that is chosen by hash, another one in each list. In
+   what is still mixed, members of different components meet: all of them in lists of at most `direct` members; in longer
+   ones, those outside the largest component meet all others, which leaves out no pair of different components. No list is
    cut, so no link is lost but by the chance of step 2.
 4. A pair's similarity is estimated from the union of both sketches; pairs clearly below the threshold (five standard
    errors) go. The others are confirmed on the full sets, which are computed anew for the documents that need them.
@@ -24,8 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
-from math import sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +115,8 @@ class _Linker:
 
     def link(self, pairs: DataFrame, name: str) -> None:
         """Confirms pairs (a, b, na, nb) and joins what they link."""
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).select("a", "b").distinct()
+        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         side = lambda x: self.classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # sketches are sorted as unsigned; so are their unions, after the sign bit is flipped
@@ -133,51 +136,58 @@ class _Linker:
         self.roots = components(self.edges)
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def least_shared(percent: int, values: int, risk: float = 1e-6) -> int:
+    """The largest m such that of `values` values, each shared with the given probability, fewer than m are shared with a
+    probability of at most risk."""
+    j, total, m = percent / 100, 0.0, 0
+    while (total := total + comb(values, m) * j**m * (1 - j) ** (values - m)) <= risk:
+        m += 1
+    return m
+
+
+def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
+    """id, n and key: the inverted lists' entries, without values that only one class retains."""
+    values = classes.select("id", "n", F.explode(F.slice("sketch", 1, listed)).alias("key"))
+    many = values.groupBy("key").count().where("count > 1")
+    shared = values.join(many, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("shared"))  # at most `listed`
+    retained = F.least("n", F.lit(listed))
+    # a set whose partners are all retained whole shares percent of its size; of larger ones the retained values share enough
+    whole = F.col("n") * 100 <= F.lit(listed * percent)
+    least = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(least_shared(percent, listed))
+    alone = retained - F.size("shared")  # values of no other class are the rarest
+    entered = F.slice("shared", F.lit(1), F.greatest(F.lit(0), retained - least + 1 - alone).cast("int"))
+    return shared.select("id", "n", F.explode(entered).alias("entry")).select("id", "n", F.col("entry.key").alias("key"))
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of rows (key, id, n, label) of one key and different labels."""
-    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    return a.join(b, "key").where("a < b and la <> lb").drop("key", "la", "lb")
+    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x, rows in (("a", a), ("b", b)))
+    return a.join(b, "key").where("la <> lb").drop("key", "la", "lb")
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int = 64, listed: int = 12, direct: int = 32) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int = 64, listed: int = 32, direct: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): documents whose sets of `width`-word
     shingles have 100 * intersection >= percent * union are linked."""
     every = written(sketches(docs, width, keep), "sketches")
     classes = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     linker = _Linker(docs, classes, width, percent, keep)
-    rows = written(classes.select("id", "n", F.explode(F.slice("sketch", 1, listed)).alias("key")), "entries")
-    values = rows.select("id", "n", F.col("key").alias("value"))
-    for depth in (1, 2, 3):
-        if depth > 1:
-            # combinations of the values whose lists are long and hold several components
-            # (a class has at most `listed` values, so what is collected is bounded)
-            mine = values.join(long.select(F.col("key").alias("value")), "value") if depth == 2 else values.join(kept_values, ["id", "value"])
-            mine = mine.groupBy("id", "n").agg(F.array_sort(F.collect_set("value")).alias("v")).where(F.size("v") >= depth)
-            picks = F.array(*[F.array(*[F.lit(i) for i in c]) for c in combinations(range(listed), depth)])
-            keys = F.transform(F.filter(picks, lambda c: F.element_at(c, depth) < F.size("v")), lambda c: F.transform(c, lambda i: F.get("v", i)))
-            rows = written(mine.select("id", "n", F.explode(keys).alias("values")).select("id", "n", "values", F.xxhash64("values").alias("key")), "entries")
-        lists = rows.groupBy("key").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        lists = written(lists, "lists")
-        linker.link(rows.join(lists, "key").where("id <> a").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")), f"star{depth}")
-        rows = linker.labelled(rows.join(lists.select("key", "size"), "key"))
+    rows = written(entries(classes, percent, listed).withColumn("label", F.col("id")), "entries")
+    for chosen in (F.col("id"), F.xxhash64("id", "key")):
+        centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.struct(chosen, "id")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        centre = written(centre.select("key", "c.*"), "centres")
+        linker.link(_pairs(centre, rows), "star")
+        rows = linker.labelled(rows.drop("label"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         rows = written(rows.join(mixed, "key"), "mixed")
-        linker.link(_across(rows.where(F.col("size") <= direct)), f"list{depth}")
-        rows = rows.where(F.col("size") > direct)
-        long = written(rows.select("key").distinct(), "long")
-        if long.isEmpty():
+        if rows.isEmpty():
             break
-        if depth == 2:
-            kept_values = written(rows.select("id", F.explode("values").alias("value")).distinct(), "values")
-        if depth == 3:
-            rows = linker.labelled(rows.drop("label"))
-            counts = rows.groupBy("key", "label").count()
-            largest = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-            rows = written(rows.join(largest, "key"), "outside")
-            outside = rows.where("label <> largest").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            others = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            linker.link(outside.join(others, "key").where("la <> lb").drop("key", "la", "lb"), "outside")
+    else:
+        counts = rows.groupBy("key", "label").count()
+        lists = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("size"))
+        rows = written(rows.join(lists, "key"), "lists")
+        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest")))
+        linker.link(_pairs(outside, rows), "across")
     ids = every.join(classes.select("digest", "id"), "digest", "left")
     if linker.roots is not None:
         ids = ids.join(linker.roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
