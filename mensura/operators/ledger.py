@@ -30,7 +30,7 @@ def priced(usage: DataFrame, prices: DataFrame, model: str, at: str) -> DataFram
 
 def rate_limited(rows: DataFrame, key: str, ts: str, limits: dict[str, tuple[int, int]]) -> DataFrame:
     """rows with, for each limit (seconds, most), how many rows of the key came in that time up to this one, and whether any limit is passed."""
-    out, seconds = rows, F.unix_micros(ts)
+    out, seconds = rows, F.unix_micros(F.col(ts).cast("timestamp"))
     over = F.lit(False)
     for name, (span, most) in limits.items():
         w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-span * 1_000_000, 0)
@@ -70,18 +70,23 @@ def first_writer(rows: DataFrame, key: list[str], owner: str, order: list[str])
 
 def replay(rows: DataFrame, key: str, schema: str) -> DataFrame:
     """Optimistic writes (key, seq, owner, expected_rev, value) folded in order: the first creates revision 1; later ones count if the
-    owner is the same and expected_rev is the current revision; others are conflicts. One group is the history of one
-    key; its state is three values, carried over the group's sorted rows in batches."""
-
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rev, owner, value, conflicts, last = 0, None, None, 0, None
-        for part in it:
-            for r in part.sort_values("seq").itertuples(index=False):
-                last = getattr(r, key)
-                if rev == 0 or (r.owner == owner and r.expected_rev == rev):
-                    rev, owner, value = rev + 1, r.owner if rev == 0 else owner, r.value
+    owner is the same and expected_rev is the current revision; others are conflicts. Partitions are sorted by key and
+    sequence and read as a stream, so a key with a long history costs no memory; its state is five values."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rev, owner, value, conflicts = None, 0, None, None, 0
+        for part in parts:
+            done = []
+            for r in part.itertuples(index=False):
+                if getattr(r, key) != now:
+                    if rev:
+                        done.append((now, rev, owner, value, conflicts))
+                    now, rev, owner, value, conflicts = getattr(r, key), 1, r.owner, r.value, 0
+                elif r.owner == owner and r.expected_rev == rev:
+                    rev, value = rev + 1, r.value
                 else:
                     conflicts += 1
-        yield pd.DataFrame({key: [last], "rev": [rev], "owner": [owner], "value": [value], "conflicts": [conflicts]})
+            yield pd.DataFrame(done, columns=[key, "rev", "owner", "value", "conflicts"])
+        yield pd.DataFrame([(now, rev, owner, value, conflicts)] if rev else [], columns=[key, "rev", "owner", "value", "conflicts"])
 
-    return rows.groupBy(key).applyInPandas(lambda pdf: next(fold(iter([pdf]))), schema)
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
