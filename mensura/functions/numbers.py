@@ -3,6 +3,8 @@ invented number."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ _TWO = rf"(?iu)^\s*([0-9][0-9\s.,]*?)\s*(?:-|až)\s*([0-9][0-9\s.,]*?)\s*({_TAIL
 _ONE = rf"(?iu)^\s*([0-9][0-9\s.,]*?)\s*({_TAIL})$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(text: Column) -> Column:
     """A printed number: comma or point as the decimal sign, points group if both occur, blanks group, no minus sign."""
     plain = F.regexp_replace(text, rf"{_SPACE}+", "")
@@ -59,27 +66,27 @@ def _bound(text: Column) -> Column:
 def _interval(text: Column) -> Column:
     none = F.lit(None).cast("double")
     up, down = r"(?iu)^(?:<|≤|do\s)\s*", r"(?iu)^(?:>|≥|nad\s)\s*"
-    tail = F.regexp_extract(text, _TWO, 3)
-    low, high = (parse_number(F.regexp_extract(text, _TWO, k)) for k in (1, 2))
-    both = text.rlike(_TWO) & ((tail == "") | _is_unit(tail)) & low.isNotNull() & high.isNotNull()
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+    parts = F.struct(*[F.regexp_extract(text, _TWO, k).alias(f"p{k}") for k in (1, 2, 3)])
+    both = bound(parts, lambda p: F.when((p["p1"] != "") & ((p["p3"] == "") | _is_unit(p["p3"])), pair(parse_number(p["p1"]), parse_number(p["p2"]))))
     return (
         F.when(text.rlike(up), pair(none, _bound(F.regexp_replace(text, up, ""))))
         .when(text.rlike(down), pair(_bound(F.regexp_replace(text, down, "")), none))
-        .when(both, pair(low, high))
-        .otherwise(pair(none, none))
+        .otherwise(bound(both, lambda b: F.when(b["low"].isNotNull() & b["high"].isNotNull(), b).otherwise(pair(none, none))))
     )
 
 
 def parse_range(text: Column) -> Column:
     """STRUCT<low, high, text> of a printed interval; what is no interval stays as its text."""
     bare = trimmed(F.regexp_replace(trimmed(text), r"^[()]+|[()]+$", ""))
-    bare = F.translate(bare, DASHES, "-" * len(DASHES))
-    rest = F.regexp_replace(bare, POPULATION, "")
-    labelled = rest != bare
-    found = _interval(F.when(labelled & rest.rlike(ANY_POPULATION), "").otherwise(rest))
-    known = found["low"].isNotNull() | found["high"].isNotNull()
-    return F.struct(found["low"].alias("low"), found["high"].alias("high"), F.when(~known & (bare != ""), bare).alias("text"))
+
+    def of(bare: Column) -> Column:
+        rest = F.regexp_replace(bare, POPULATION, "")
+        # a second label means two intervals
+        single = bound(rest, lambda r: F.when((r != bare) & r.rlike(ANY_POPULATION), "").otherwise(r))
+        return bound(bound(single, _interval), lambda f: F.struct(f["low"].alias("low"), f["high"].alias("high"), F.when(f["low"].isNull() & f["high"].isNull() & (bare != ""), bare).alias("text")))
+
+    return bound(F.translate(bare, DASHES, "-" * len(DASHES)), of)
 
 
 def canonical_unit(unit: Column) -> Column:

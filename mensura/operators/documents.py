@@ -70,9 +70,9 @@ def identity_variants(name: Column) -> Column:
 
 
 def citation_numbers(rows: DataFrame, group: str, key: str, order: list[str]) -> DataFrame:
-    """Numbers of the distinct keys of each group, by first occurrence."""
+    """Numbers of the distinct keys of each group, by first occurrence, ties by key."""
     first = rows.groupBy(group, key).agg(F.min(F.struct(*order)).alias("at"), F.count(F.lit(1)).alias("uses"))
-    return first.select(group, key, "uses", F.row_number().over(Window.partitionBy(group).orderBy("at")).cast("long").alias("number"))
+    return first.select(group, key, "uses", F.row_number().over(Window.partitionBy(group).orderBy("at", key)).cast("long").alias("number"))
 
 
 def tail(rows: DataFrame, group: str, order: str, n: int = 12) -> DataFrame:

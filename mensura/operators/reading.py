@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
-from ..functions.numbers import VALUE_MARKS, implausible, parse_range, unit_key
+from ..functions.numbers import VALUE_MARKS, bound, implausible, parse_range, unit_key
 
 
 def compared(reads: DataFrame) -> DataFrame:
@@ -16,13 +16,14 @@ def compared(reads: DataFrame) -> DataFrame:
     own = Window.partitionBy("page_id", "name", "reader")
     rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("ord")) - 1, "copies": F.count(F.lit(1)).over(own)})
     twice = F.max("copies").over(Window.partitionBy("page_id", "name")) > 1
-    span = parse_range(F.col("ref_range_raw"))
+    number = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    span = lambda s: F.when(s["low"].isNotNull() | s["high"].isNotNull(), F.concat_ws("|", number(s["low"]), number(s["high"])))
     return rows.withColumns(
         {
             "key": F.when(twice, F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
             "value_key": F.lower(F.regexp_replace(F.translate(F.coalesce("value_raw", F.lit("")), VALUE_MARKS, ""), r"\s+", "")),
             "unit_k": unit_key(F.col("unit_raw")),
-            "range_key": F.when(span["low"].isNotNull() | span["high"].isNotNull(), F.concat_ws("|", F.coalesce(span["low"].cast("string"), F.lit("")), F.coalesce(span["high"].cast("string"), F.lit("")))),
+            "range_key": bound(parse_range(F.col("ref_range_raw")), span),
         }
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import compute_flag
@@ -83,8 +83,10 @@ def printed_names(spark: SparkSession, d: str) -> DataFrame:
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """Two readings of each order as a page: the second one misses, misreads or renames some rows by rule."""
-    rows = value_cells(lines(spark, d)).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    base = rows.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("int").alias("ord"), F.col("p_name").alias("raw_name"), "value_raw", F.lit("mmol/l").alias("unit_raw"), F.lit("1 - 5").alias("ref_range_raw"), F.col("l_linenumber").cast("int").alias("row_index"), "id")
+    rows = lines(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "cents"))
+    rows = value_cells(rows.withColumn("ord", nth).withColumn("id", F.col("l_orderkey") * 100 + F.col("ord")))
+    base = rows.select(F.col("l_orderkey").alias("page_id"), "ord", F.col("p_name").alias("raw_name"), "value_raw", F.lit("mmol/l").alias("unit_raw"), F.lit("1 - 5").alias("ref_range_raw"), F.col("ord").alias("row_index"), "id")
     k = F.pmod("id", F.lit(13))
     second = base.where(k != 0).withColumns(
         {

@@ -189,8 +189,8 @@ def canonical_units(spark, d):
 SELECT id, CASE WHEN value IS NULL THEN 'unknown' WHEN id % 10 IN (0, 1, 5, 7, 4) AND value < lo THEN 'low' WHEN id % 10 IN (0, 1, 2, 3, 5, 7) AND value > hi + 0.5 THEN 'high' WHEN id % 10 IN (6, 8, 9) THEN 'unknown' ELSE 'normal' END AS flag FROM v""")
 def flags(spark, d):
     rows = c.range_cells(c.value_cells(c.lines(spark, d)))
-    span = numbers.parse_range(F.col("range_raw"))
-    return rows.select("id", numbers.compute_flag(numbers.parse_value(F.col("value_raw")) / 1000, span["low"], span["high"]).alias("flag"))
+    flag = lambda span: numbers.compute_flag(numbers.parse_value(F.col("value_raw")) / 1000, span["low"], span["high"])
+    return rows.select("id", numbers.bound(numbers.parse_range(F.col("range_raw")), flag).alias("flag"))
 
 
 @query(f"{LNS} SELECT id, CASE WHEN id % 8 = 7 AND cents / 100.0 >= hi * 1000 THEN 'high' ELSE 'unknown' END AS flag FROM l")
@@ -266,7 +266,8 @@ def trigram_shortlist(spark, d):
     return found.withColumns({"rank": F.col("rank").cast("long"), "shared": F.col("shared").cast("long")})
 
 
-READS = f"""{LNS}, cells AS (SELECT l_orderkey AS page_id, l_linenumber AS ord, p_name, id, id % 13 AS k FROM l JOIN part ON p_partkey = l_partkey),
+READS = f"""{LNS}, c0 AS (SELECT l_orderkey AS page_id, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cents) AS ord FROM l JOIN part ON p_partkey = l_partkey),
+cells AS (SELECT *, (page_id * 100 + ord) % 13 AS k FROM c0),
 names AS (SELECT page_id, p_name, count(*) > 1 AS twice, count(*) FILTER (k NOT IN (0, 3)) > 1 AS twice_b FROM cells GROUP BY ALL)"""
 
 
@@ -307,7 +308,7 @@ def review_levels(spark, d):
     return reading.review(rows).select("event_id", "level", "reason")
 
 
-@query(f"""{LNS}, o AS (SELECT o_custkey AS patient_id, date_trunc('month', o_orderdate)::DATE AS day, o_orderkey AS report, l_linenumber AS key, max(l_quantity // 10) AS v FROM l JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+@query(f"""{LNS}, o AS (SELECT o_custkey AS patient_id, date_trunc('month', o_orderdate)::DATE AS day, o_orderkey AS report, l_linenumber AS key, max(floor(l_quantity / 10)) AS v FROM l JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
 z AS (SELECT report, count(*) AS n FROM o GROUP BY 1),
 b AS (SELECT x.patient_id, x.day, x.report AS a, y.report AS b, count(*) AS shared, count(*) FILTER (x.v IS NOT DISTINCT FROM y.v) AS equal FROM o x JOIN o y ON x.patient_id = y.patient_id AND x.day = y.day AND x.key = y.key AND x.report < y.report GROUP BY ALL)
 SELECT b.*, CASE WHEN equal >= shared * 0.9 THEN 'duplicate' ELSE 'repeat' END AS verdict FROM b JOIN z za ON za.report = a JOIN z zb ON zb.report = b.b WHERE shared >= greatest(1, least(za.n, zb.n) / 2.0)""")
@@ -346,7 +347,7 @@ def redact_text(spark, d):
 
 
 @query("""WITH k AS (SELECT l_orderkey AS report_id, l_partkey % 50 AS source, min(l_linenumber) AS seen, count(*) AS uses FROM lineitem GROUP BY ALL)
-SELECT report_id, source, uses, row_number() OVER (PARTITION BY report_id ORDER BY seen) AS number FROM k""")
+SELECT report_id, source, uses, row_number() OVER (PARTITION BY report_id ORDER BY seen, source) AS number FROM k""")
 def citation_numbers(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), (F.col("l_partkey") % 50).alias("source"), "l_linenumber")
     return documents.citation_numbers(rows, "report_id", "source", ["l_linenumber"])
@@ -386,11 +387,11 @@ def retention_prune(spark, d):
     return ledger.retained(table(spark, d, "events"), "ts", F.lit("2024-01-30").cast("timestamp"), 14, F.col("event_type") == "purchase").select("event_id", "ts")
 
 
-@query(f"""{LNS}, t AS (SELECT l_orderkey, l_partkey % 5 AS key, lo, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber) AS nth FROM l),
-a AS (SELECT l_orderkey, l_partkey % 5 AS key, CASE WHEN id % 9 = 0 THEN lo + 1 ELSE lo END AS lo, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber) AS nth FROM l WHERE id % 11 <> 0)
+@query(f"""{LNS}, t AS (SELECT l_orderkey, l_partkey % 5 AS key, lo, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber, l_partkey, l_suppkey, lo) AS nth FROM l),
+a AS (SELECT l_orderkey, l_partkey % 5 AS key, CASE WHEN id % 9 = 0 THEN lo + 1 ELSE lo END AS lo, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber, l_partkey, l_suppkey, lo) AS nth FROM l WHERE id % 11 <> 0)
 SELECT l_orderkey, key, nth, CASE WHEN a.lo IS NULL THEN 'missing' WHEN t.lo IS NULL THEN 'extra' WHEN a.lo = t.lo THEN 'matched' ELSE 'mismatch' END AS verdict FROM t FULL JOIN a USING (l_orderkey, key, nth)""")
 def score_truth(spark, d):
-    truth = c.lines(spark, d).select("l_orderkey", (F.col("l_partkey") % 5).alias("key"), F.col("l_linenumber").alias("ord"), F.col("lo").alias("value"), "id")
+    truth = c.lines(spark, d).select("l_orderkey", (F.col("l_partkey") % 5).alias("key"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "lo").alias("ord"), F.col("lo").alias("value"), "id")
     arm = truth.where(F.col("id") % 11 != 0).withColumn("value", F.when(F.col("id") % 9 == 0, F.col("value") + 1).otherwise(F.col("value")))
     return quality.scored(truth, arm, ["l_orderkey", "key"]).withColumn("nth", F.col("nth").cast("long"))
 
