@@ -50,6 +50,7 @@ NAMES = re.compile(
     re.I,
 )
 CONTENT = frozenset(["article", "main"])
+CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo|promoted|related|replies|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 TEXT = frozenset("a b blockquote code em figcaption figure h1 h2 h3 h4 h5 h6 i li p pre q span strong table tbody td th tr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
@@ -64,7 +65,11 @@ class Node:
 
     @property
     def dropped(self) -> bool:
-        return self.tag in DROPPED or self.hidden or (bool(self.names) and self.tag not in ("html", "body") and self.tag not in CONTENT and bool(NAMES.search(self.names)))
+        if self.tag in DROPPED or self.hidden:
+            return True
+        if not self.names or self.tag in ("html", "body"):
+            return False
+        return bool((CONTENT_NAMES if self.tag in CONTENT else NAMES).search(self.names))
 
 
 def parse(page: str) -> Node:

@@ -14,7 +14,10 @@
    lists that still hold several components, the members meet one that is chosen by hash, another one in each list. In
    what is still mixed, members of different components meet: all of them in lists of at most `direct` members; in longer
    ones, those outside the largest component meet all others, which leaves out no pair of different components. No list is
-   cut, so no link is lost but by the chance of step 2.
+   cut, so no link is lost but by the chance of step 2. Two bounds that hold for every linked pair are part of this join's
+   condition: enough common bits of the retained values' bitmaps, and few enough different bits of the sets' parity
+   bitmaps (each bit tells whether an odd number of hashes falls on it, so sets that differ in x hashes differ in x
+   bits at most). So chance meetings and copies just below the threshold give no rows.
 4. A pair's similarity is estimated from the union of both sketches; pairs clearly below the threshold (five standard
    errors) go. The others are confirmed on the full sets, which are computed anew for the documents that need them.
 5. Links become components by alternating large-star and small-star steps, each one aggregation and one join.
@@ -52,23 +55,34 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
 
-def sketches(docs: DataFrame, width: int, keep: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty or without doc_id), sketch (the smallest `keep` hashes)."""
+RETAINED_BITS, PARITY_BITS = 256, 512
+
+
+def _bitmap(hashes: np.ndarray, bits: int, parity: bool) -> np.ndarray:
+    """A bit for each value of the hashes' low bits: whether any has it, or an odd number has it."""
+    counts = np.bincount((hashes & np.int64(bits - 1)), minlength=bits)
+    return np.packbits(counts & 1 if parity else counts > 0).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, keep: int, listed: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty or without doc_id), sketch (the smallest `keep` hashes), bits (bitmap of
+    the smallest `listed` ones, then the parity bitmap of all)."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, digests, least = batch.column("doc_id"), [], [], []
+            ids, sizes, digests, least, bits = batch.column("doc_id"), [], [], [], []
             for _, s in _sets(batch, width):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 least.append(s[:keep])  # np.unique sorts
+                bits.append(np.concatenate([_bitmap(s[:listed], RETAINED_BITS, False), _bitmap(s, PARITY_BITS, True)]))
             valid = ids.is_valid().to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array([d if v else None for d, v in zip(digests, valid)], pa.binary()), _lists(least)],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [ids, pa.array(sizes, pa.int64()), pa.array([d if v else None for d, v in zip(digests, valid)], pa.binary()), _lists(least), _lists(bits)],
+                ["doc_id", "n_shingles", "digest", "sketch", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -159,17 +173,36 @@ def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     return shared.select("id", "n", F.explode(entered).alias("entry")).select("id", "n", F.col("entry.key").alias("key"))
 
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of rows (key, id, n, label) of one key and different labels."""
-    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x, rows in (("a", a), ("b", b)))
-    return a.join(b, "key").where("la <> lb").drop("key", "la", "lb")
+def _pairs(a: DataFrame, b: DataFrame, also=None) -> DataFrame:
+    """Pairs of rows (key, id, n, label) of one key and different labels; also: a further condition on columns that end in a and
+    b."""
+    a, b = (rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in rows.columns if c not in ("key", "id")]) for x, rows in (("a", a), ("b", b)))
+    met = (a["key"] == b["key"]) & (F.col("labela") != F.col("labelb")) & (F.col("a") != F.col("b"))
+    return a.join(b, met if also is None else met & also).select("a", "b", F.col("na"), F.col("nb"))
+
+
+def _linkable(percent: int, listed: int):
+    """What holds for every linked pair of classes a and b, by their bitmaps."""
+    first = RETAINED_BITS // 64
+    count = lambda op, ks: sum((F.bit_count(op(F.col("bitsa")[k], F.col("bitsb")[k])) for k in ks), F.lit(0))
+    held = lambda x: F.least(f"n{x}", F.lit(listed))
+    # values of one class on a bit that another has, too, are missing among the common bits
+    double = lambda x: held(x) - sum((F.bit_count(F.col(f"bits{x}")[k]) for k in range(first)), F.lit(0))
+    whole = F.greatest("na", "nb") * 100 <= listed * percent
+    shared = F.when(whole, F.ceil(F.greatest("na", "nb") * percent / 100)).otherwise(least_shared(percent, listed))
+    differ = count(lambda x, y: x.bitwiseXOR(y), range(first, first + PARITY_BITS // 64))
+    return (
+        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        & (count(lambda x, y: x.bitwiseAND(y), range(first)) >= shared - F.least(double("a"), double("b")))
+        & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    )
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int = 64, listed: int = 32, direct: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): documents whose sets of `width`-word
     shingles have 100 * intersection >= percent * union are linked."""
-    every = written(sketches(docs, width, keep), "sketches")
-    classes = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    every = written(sketches(docs, width, keep, listed), "sketches")
+    classes = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
     linker = _Linker(docs, classes, width, percent, keep)
     rows = written(entries(classes, percent, listed).withColumn("label", F.col("id")), "entries")
@@ -186,8 +219,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int =
         counts = rows.groupBy("key", "label").count()
         lists = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("size"))
         rows = written(rows.join(lists, "key"), "lists")
-        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest")))
-        linker.link(_pairs(outside, rows), "across")
+        rows = rows.join(classes.select("id", "bits"), "id")
+        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest"))).select("key", "id", "n", "label", "bits")
+        linker.link(_pairs(outside, rows.select(outside.columns), _linkable(percent, listed)), "across")
     ids = every.join(classes.select("digest", "id"), "digest", "left")
     if linker.roots is not None:
         ids = ids.join(linker.roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
