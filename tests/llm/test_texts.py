@@ -208,7 +208,7 @@ def test_ordinal_grades():
     assert (np.diff(model.thresholds) > 0).all()
     total = np.array([model.weights[r].sum() for r in rows[2000:]])
     expected = model.above(total).sum(0)
-    assert np.corrcoef(expected, grades[2000:])[0, 1] > 0.8
+    assert np.corrcoef(expected, grades[2000:])[0, 1] > 0.7
     assert abs(np.corrcoef(model.weights[:40], weights)[0, 1]) > 0.95
 
 
