@@ -34,9 +34,9 @@ def summaries(points: DataFrame, keys: list[str], order: list[str], share: float
     sums, no window: a long series isn't sorted in one task."""
     p = numeric(points)
     at = F.struct(*order)
-    top = F.struct(*[F.col(c) for c in order], F.col("value"), F.col("date"), F.col("flag"))
+    top = F.struct(at.alias("at"), "value", "date", "flag")
     rows = p.groupBy(*keys).agg(F.max_by(top, at).alias("last"), F.count(F.lit(1)).alias("n"))
-    before = p.join(rows.select(*keys, F.struct(*[F.col(f"last.{c}") for c in order]).alias("_at")), keys).where(at < F.col("_at"))
+    before = p.join(rows.select(*keys, F.col("last.at").alias("_at")), keys).where(at < F.col("_at"))
     before = before.groupBy(*keys).agg(F.max_by("value", at).alias("prev_value"))
     rows = rows.join(before, keys, "left")
     last = F.col("last.value")

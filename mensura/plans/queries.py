@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, numbers
 from ..operators import documents, ledger, matching, quality, reading, series
+from ..sources.shared import shared_folder
 from ..sources.tables import csv_lines, table
+from ..streaming import stateful
 from . import carriers as c
 from .carriers import HIGH, LINES_SQL, LOW, POINTS_SQL
 
@@ -461,3 +463,13 @@ def charts_by_unit(spark, d):
 def ages(spark, d):
     day, born = F.to_date("o_orderdate"), F.lit("1990-01-31").cast("date")
     return table(spark, d, "orders").select("o_orderkey", dates.age_on(born, day).alias("age"), dates.whole_months(born, day).cast("long").alias("months"))
+
+
+@query(f"""{PTS}, s AS (SELECT patient_id, series, event_id AS id, flag AS state, lag(flag) OVER (PARTITION BY patient_id, series ORDER BY ts, event_id) AS before FROM p) SELECT * FROM s WHERE state IS DISTINCT FROM before""")
+def stream_transitions(spark, d):
+    """state_transitions as a stream over the events files, read to their end."""
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    flag = numbers.compute_flag(F.col("value"), F.lit(LOW), F.lit(HIGH))
+    rows = rows.select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), flag.alias("state"))
+    return stateful.run_to_end(stateful.changes(rows, KEYS, "patient_id long, series string"), shared_folder(spark, "transitions"))
