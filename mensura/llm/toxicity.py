@@ -1,6 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-A text's features are its distinct words (of letters and digits, A-Z lower-cased), hashed into 2**`bits` buckets. One vector of weights w is shared by all thresholds
+A text's features are its distinct words (of letters and digits, A-Z lower-cased), hashed into 2**`bits` buckets, with the
+value log2(1 + occurrences). One vector of weights w is shared by all thresholds
 t1 < t2 < ...: P(grade >= k) = sigmoid(w.x - tk). It is fitted by likelihood with an L1 penalty, so that few words keep a
 weight and long texts don't add up noise. The result is the expected grade, the sum of P(grade >= k) over k.
 
@@ -29,13 +30,13 @@ from ._words import WORD_SIGNS, buffers, mix, pieces, word_hashes
 
 
 def features(texts: pa.Array, bits: int):
-    """Of each piece of texts: its first row, its number of rows, and the rows and buckets of the distinct words."""
+    """Of each piece of texts: its first row, its number of rows, and the rows, buckets and values of the distinct words."""
     data, offsets = buffers(texts)
     for i, j in pieces(offsets):
         words, first = word_hashes(data, offsets[i : j + 1], WORD_SIGNS)
         row = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(first))
-        key = np.unique(row << np.uint64(bits) | mix(words, 3) >> np.uint64(64 - bits))
-        yield i, j - i, (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64)
+        key, times = np.unique(row << np.uint64(bits) | mix(words, 3) >> np.uint64(64 - bits), return_counts=True)
+        yield i, j - i, (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64), np.log2(1 + times)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,13 +57,15 @@ class Model:
         return _sigmoid(score[None, :] - self.thresholds[:, None])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float = 2e-4, rounds: int = 300, rate: float = 0.3) -> Model:
-    """rows: the distinct buckets of each text; grades: 0, 1, ..., all of which occur. Proximal AdaGrad on all rows at once."""
+def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float = 2e-4, rounds: int = 300, rate: float = 0.3) -> Model:
+    """rows, values: the distinct buckets of each text and their values; grades: 0, 1, ..., all of which occur. Proximal AdaGrad on
+    all rows at once."""
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
     used, column = np.unique(flat, return_inverse=True)
     column = column.astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     common = np.bincount(column, minlength=len(used)) >= 3
+    value = np.concatenate([np.zeros(0), *values])[common[column]]
     column, row = column[common[column]], row[common[column]]
     w, gw = np.zeros(len(used)), np.full(len(used), 1e-8)
     top = int(grades.max())
@@ -74,14 +77,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float =
     edge = lambda t: np.concatenate([[-np.inf], t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))]), [np.inf]])
     n = len(rows)
     for _ in range(rounds):
-        score = np.bincount(row, w[column], n)
+        score = np.bincount(row, w[column] * value, n)
         e = edge(t)
         low, high = e[grades] - score, e[grades + 1] - score  # grade y: low < noise <= high
         a, b = _sigmoid(low), _sigmoid(high)
         p = np.maximum(b - a, 1e-12)
         da, db = a * (1 - a) / p, b * (1 - b) / p
         dscore = (db - da) / n  # of the negative logarithm of the likelihood
-        g = np.bincount(column, dscore[row], len(used))
+        g = np.bincount(column, dscore[row] * value, len(used))
         dedge = (np.bincount(grades, da, top + 1)[1:] - np.bincount(grades, db, top + 1)[:-1]) / n
         tail = np.cumsum(dedge[::-1])[::-1]
         dt = tail * np.concatenate([[1], np.exp(t[1:])])
@@ -106,12 +109,12 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, bits: int, typical: float)
     return grades if (grades == 2).any() else (toxic == 1).astype(np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Features and label values of at most `sample` documents of each value (of ten at most)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(F.col(value).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(10).collect()}
     if len(counts) < 2:
-        return [], np.zeros(0, np.int64)
+        return [], [], np.zeros(0, np.int64)
     parts = 1_000_003
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(parts, 4 * sample * parts // n + 1))])
     rows = known.where(F.col("y").isin(list(counts))).withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)))
@@ -120,24 +123,26 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits:
 
     def run(batches):
         for batch in batches:
-            lists = [np.zeros(0, np.int64)] * len(batch)
-            for i, n, row, bucket in features(batch.column("text"), bits):
+            words, values = [np.zeros(0, np.int64)] * len(batch), [np.zeros(0)] * len(batch)
+            for i, n, row, bucket, value in features(batch.column("text"), bits):
                 cuts = np.searchsorted(row, np.arange(n + 1))
-                lists[i : i + n] = [bucket[cuts[k] : cuts[k + 1]] for k in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["doc_id", "y", "words"])
+                words[i : i + n] = [bucket[cuts[k] : cuts[k + 1]] for k in range(n)]
+                values[i : i + n] = [value[cuts[k] : cuts[k + 1]] for k in range(n)]
+            arrays = pa.array([x.astype(np.int32) for x in words], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in values], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *arrays], ["doc_id", "y", "words", "values"])
 
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id")
-    found = joined.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>").collect()
+    found = joined.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>, values array<float>").collect()
     found.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return [np.array(r["words"], np.int64) for r in found], np.array([r["y"] for r in found])
+    return [np.array(r["words"], np.int64) for r in found], [np.array(r["values"]) for r in found], np.array([r["y"] for r in found])
 
 
 def train(docs: DataFrame, labels: DataFrame, value: str = "toxic", sample: int = 4000, bits: int = 18, typical: float = 8.0) -> Model | None:
-    rows, y = labelled(docs, labels, value, sample, bits)
+    rows, values, y = labelled(docs, labels, value, sample, bits)
     if len(set(y.tolist())) < 2:
         return None
     grades = graded(rows, y, bits, typical) if set(y.tolist()) == {0, 1} else np.unique(y, return_inverse=True)[1]
-    return fit(rows, grades, bits)
+    return fit(rows, values, grades, bits)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -150,8 +155,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             total = np.zeros(n)
             above = np.zeros((1, n))
             if model is not None:
-                for i, m, row, bucket in features(batch.column("text"), model.bits):
-                    total[i : i + m] = np.bincount(row, model.weights[bucket], m)
+                for i, m, row, bucket, value in features(batch.column("text"), model.bits):
+                    total[i : i + m] = np.bincount(row, model.weights[bucket] * value, m)
                 above = model.above(total)
             each = np.concatenate([np.ones((1, n)), above]) - np.concatenate([above, np.zeros((1, n))])
             yield pa.RecordBatch.from_arrays(

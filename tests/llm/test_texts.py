@@ -204,7 +204,7 @@ def test_ordinal_grades():
         rows.append(r.astype(np.int64))
         grades.append(np.searchsorted([-2, 0, 2], weights[r].sum() + rng.logistic()))
     grades = np.array(grades)
-    model = fit(rows[:2000], grades[:2000], 10)
+    model = fit(rows[:2000], [np.ones(len(r)) for r in rows[:2000]], grades[:2000], 10)
     assert (np.diff(model.thresholds) > 0).all()
     total = np.array([model.weights[r].sum() for r in rows[2000:]])
     expected = model.above(total).sum(0)
