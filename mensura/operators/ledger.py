@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,25 +68,74 @@ def first_writer(rows: DataFrame, key: list[str], owner: str, order: list[str])
     return own.groupBy(*key, owner).agg(F.max_by("value", at).alias("value"), F.count(F.lit(1)).alias("writes"))
 
 
-def replay(rows: DataFrame, key: str, schema: str) -> DataFrame:
-    """Optimistic writes (key, seq, owner, expected_rev, value) folded in order: the first creates revision 1; later ones count if the
-    owner is the same and expected_rev is the current revision; others are conflicts. Partitions are sorted by key and
-    sequence and read as a stream, so a key with a long history costs no memory; its state is five values."""
+def ordered_fold(rows: DataFrame, key: str, columns: list[str], step: Callable[[tuple | None, tuple], tuple], schema: str) -> DataFrame:
+    """The state of each key after its rows, in the order of seq: step(state or None, row of columns) gives the next state, a tuple that is
+    the result's columns behind the key. Partitions are sorted and read as a stream, so a key with a long history costs no
+    memory."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rev, owner, value, conflicts = None, 0, None, None, 0
+        now, state = None, None
         for part in parts:
             done = []
-            for r in part.itertuples(index=False):
-                if getattr(r, key) != now:
-                    if rev:
-                        done.append((now, rev, owner, value, conflicts))
-                    now, rev, owner, value, conflicts = getattr(r, key), 1, r.owner, r.value, 0
-                elif r.owner == owner and r.expected_rev == rev:
-                    rev, value = rev + 1, r.value
-                else:
-                    conflicts += 1
-            yield pd.DataFrame(done, columns=[key, "rev", "owner", "value", "conflicts"])
-        yield pd.DataFrame([(now, rev, owner, value, conflicts)] if rev else [], columns=[key, "rev", "owner", "value", "conflicts"])
-
-    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
+            for k, *row in part.itertuples(index=False, name=None):
+                if state is not None and k != now:
+                    done.append((now, *state))
+                    state = None
+                now, state = k, step(state, tuple(row))
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame([(now, *state)] if state is not None else [], columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, "seq").select(key, *columns).mapInPandas(run, schema)
+
+
+def replay(rows: DataFrame, key: str, schema: str) -> DataFrame:
+    """Optimistic writes (key, seq, owner, expected_rev, value): the first creates revision 1; later ones count if the owner is the same and
+    expected_rev is the current revision; others are conflicts. State: rev, owner, value, conflicts."""
+
+    def step(state: tuple | None, row: tuple) -> tuple:
+        who, expected, value = row
+        if state is None:
+            return 1, who, value, 0
+        rev, owner, old, conflicts = state
+        return (rev + 1, owner, value, conflicts) if who == owner and expected == rev else (rev, owner, old, conflicts + 1)
+
+    return ordered_fold(rows, key, ["owner", "expected_rev", "value"], step, schema)
+
+
+def alias_writes(rows: DataFrame, key: str, schema: str, orphan: str = "demo") -> DataFrame:
+    """Writes of scoped aliases (key, seq, target, source, taught_by): a writer replaces its own, but no model a person's; anyone replaces an
+    orphan's; a person replaces a model's. State: target, source, taught_by."""
+
+    def step(state: tuple | None, row: tuple) -> tuple:
+        if state is None:
+            return row
+        (_, old, owner), (_, new, writer) = state, row
+        own = owner == writer and not (old == "person" and new == "model")
+        return row if own or owner is None or owner == orphan or (old == "model" and new == "person") else state
+
+    return ordered_fold(rows, key, ["target", "source", "taught_by"], step, schema)
+
+
+def allowance(rows: DataFrame, key: str, schema: str, most: int) -> DataFrame:
+    """Guarded counter of events (key, seq, kind: claim or release): a claim counts while fewer than `most` are used, a release gives one
+    back. State: used, refused."""
+
+    def step(state: tuple | None, row: tuple) -> tuple:
+        used, refused = state or (0, 0)
+        if row[0] == "release":
+            return max(0, used - 1), refused
+        return (used + 1, refused) if used < most else (used, refused + 1)
+
+    return ordered_fold(rows, key, ["kind"], step, schema)
+
+
+def credited_once(rows: DataFrame, key: str, event: str, amount: str) -> DataFrame:
+    """Sums of purchases, each event counted once however often it is told."""
+    return rows.dropDuplicates([event]).groupBy(key).agg(F.sum(amount).alias("credit"), F.count(F.lit(1)).alias("n"))
+
+
+def cascade(parents: DataFrame, gone: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str) -> dict[str, DataFrame]:
+    """What is left of parents and of their children (name: table and its reference) when the parents in gone (key) are deleted."""
+    left = {"parents": parents.join(gone, key, "left_anti")}
+    return left | {n: df.join(gone.select(F.col(key).alias(ref)), ref, "left_anti") for n, (df, ref) in children.items()}

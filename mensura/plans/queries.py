@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, numbers
-from ..operators import documents, ledger, matching, quality, reading, series
+from ..functions import dates, names, numbers, printing
+from ..operators import documents, ledger, mapping, matching, patients, quality, reading, series
+from ..operators import rows as rows_of
 from ..sources.shared import shared_folder
 from ..sources.tables import csv_lines, table
 from ..streaming import stateful
@@ -473,3 +474,107 @@ def stream_transitions(spark, d):
     flag = numbers.compute_flag(F.col("value"), F.lit(LOW), F.lit(HIGH))
     rows = rows.select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), flag.alias("state"))
     return stateful.run_to_end(stateful.changes(rows, KEYS, "patient_id long, series string"), shared_folder(spark, "transitions"))
+
+
+_PRINTED = "replace(CASE WHEN x IS NULL THEN '—' ELSE regexp_replace(regexp_replace(CASE WHEN abs(x) >= 100 THEN printf('%.1f', x) WHEN abs(x) >= 1 THEN printf('%.2f', x) ELSE printf('%.3f', x) END, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END, '.', ',')"
+
+
+@query(f"WITH e AS (SELECT event_id, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) * 2 AS x FROM events) SELECT event_id, {_PRINTED} AS printed FROM e")
+def printed_numbers(spark, d):
+    x = F.round(F.col("value") * 100, 0).cast("long").cast("double") * 2
+    return table(spark, d, "events").select("event_id", printing.printed_number(x).alias("printed"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, p_name || ' ' || l_returnflag AS raw_name, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN replace(p_name, ' ', '_') END AS canonical_id, 'u' || l_suppkey % 4 AS unit_raw, l_quantity AS value, CAST(l_shipdate AS DATE) AS date,
+  CASE WHEN l_partkey % 5 = 1 THEN l_quantity - 1 END AS ref_low, CASE WHEN l_partkey % 5 = 1 THEN l_quantity + 1 END AS ref_high, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS o FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT raw_name, arg_min(unit_raw, o) AS unit_raw, arg_min(ref_low, o) FILTER (ref_low IS NOT NULL) AS low, arg_min(ref_high, o) FILTER (ref_low IS NOT NULL) AS high, CAST(NULL AS VARCHAR) AS material, count(*) AS n, count(DISTINCT date) AS n_dates, count(value) AS n_values, round(avg(value), 6) AS mean
+FROM r WHERE canonical_id IS NULL GROUP BY raw_name""")
+def find_unmapped(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    stated = F.col("l_partkey") % 5 == 1
+    rows = rows.select(
+        F.col("l_orderkey").alias("report_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("ord"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).alias("canonical_id"),
+        F.concat_ws(" ", "p_name", "l_returnflag").alias("raw_name"), F.concat(F.lit("u"), (F.col("l_suppkey") % 4).cast("string")).alias("unit_raw"), F.col("l_quantity").alias("value"), F.when(stated, F.col("l_quantity") - 1).alias("ref_low"), F.when(stated, F.col("l_quantity") + 1).alias("ref_high"), F.lit(None).cast("string").alias("material"),
+    )
+    return mapping.unmapped(rows).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH r AS (SELECT 'lab' || l_suppkey % 4 AS lab, CASE WHEN l_partkey % 7 = 0 THEN 'zzz_' ELSE 'S_' END || p_name AS raw_name, CASE WHEN l_partkey % 3 = 0 THEN 'kg' WHEN l_partkey % 3 = 1 THEN 'mg' ELSE 'G' END AS unit_raw, replace(p_name, ' ', '_') AS id, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT lab, raw_name, unit_raw, min(id) AS canonical_id, min(CASE WHEN l_partkey % 7 = 0 THEN 'material' ELSE 'unit' END) AS why, count(*) AS n FROM r WHERE (l_partkey % 7 = 0 OR l_partkey % 3 = 0) AND lab <> 'lab2' GROUP BY lab, raw_name, unit_raw""")
+def weak_matches(spark, d):
+    parts = table(spark, d, "part")
+    rows = table(spark, d, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    rows = rows.select(
+        F.concat(F.lit("lab"), (F.col("l_suppkey") % 4).cast("string")).alias("lab"), F.concat(F.when(F.col("l_partkey") % 7 == 0, "zzz_").otherwise("S_"), "p_name").alias("raw_name"),
+        F.when(F.col("l_partkey") % 3 == 0, "kg").when(F.col("l_partkey") % 3 == 1, "mg").otherwise("G").alias("unit_raw"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("canonical_id"),
+    )
+    entries = c.catalogue(spark, d).withColumn("other_units", F.array(F.lit("mg")))
+    aliases = parts.select(F.lit("LAB2").alias("alias_lab"), F.explode(F.array("p_name", F.concat(F.lit("zzz_"), "p_name"))).alias("alias_name"), F.lit(None).cast("string").alias("alias_unit")).distinct()
+    return mapping.weak_matches(rows, entries, aliases)
+
+
+@query(f"""WITH s AS ({ORACLE['suggest_mappings']})
+SELECT name, canonical_id, rank, CASE WHEN name_sim < 0.45 OR NOT unit_match OR NOT range_match OR NOT value_ok THEN 'contradicted' ELSE 'recommended' END AS verdict, unit_match AND range_match AND value_ok AS may_apply FROM s""")
+def mapping_verdicts(spark, d):
+    rows, none = suggest_mappings(spark, d), F.lit(None).cast("boolean")
+    unit, span, value = F.col("unit_match"), F.col("range_match"), F.col("value_ok")
+    return rows.select("name", "canonical_id", "rank", mapping.verdict(F.col("name_sim") < 0.45, unit, span, value, none).alias("verdict"), mapping.may_apply(unit, span, value, none).alias("may_apply"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS patient_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, lower(split_part(o_orderpriority, '-', 2)) AS kind, o_orderkey AS id FROM orders),
+r AS (SELECT *, CASE kind WHEN 'urgent' THEN 1 WHEN 'high' THEN 2 ELSE 0 END AS p FROM a)
+SELECT patient_id, date, string_agg(DISTINCT kind, '+' ORDER BY kind) AS kinds, count(*) AS n, arg_min(id, (p, id)) FILTER (p > 0) AS note_id, row_number() OVER (PARTITION BY patient_id ORDER BY date) AS number FROM r GROUP BY patient_id, date""")
+def visit_spine(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.trunc("o_orderdate", "month").alias("date"), F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2))).alias("kind"), F.col("o_orderkey").alias("id"))
+    return patients.visits(rows, "patient_id", ["urgent", "high"])
+
+
+@query(f"""{PTS}, e AS (SELECT *, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) * 2 AS x FROM p WHERE value IS NOT NULL)
+SELECT patient_id, series, series || ' | 5–110 | ' || string_agg(strftime(date, '%Y-%m-%d') || ': ' || {_PRINTED} || ' (' || flag || ')', '; ' ORDER BY ts, event_id) AS line FROM e GROUP BY patient_id, series""")
+def context_table(spark, d):
+    rows = c.points(spark, d).withColumn("value", F.round(F.col("value") * 100, 0).cast("long").cast("double") * 2)
+    return patients.context_lines(rows, "patient_id", "series", ORDER)
+
+
+@query(f"""{LNS}, r AS (SELECT id, l_partkey, p_name, l_partkey % 4 AS k FROM l JOIN part ON p_partkey = l_partkey)
+SELECT id, CASE WHEN k = 0 THEN replace(p_name, ' ', '_') WHEN k = 1 AND p_name LIKE '%ring' THEN replace(p_name, ' ', '_') WHEN k = 1 THEN 'old' ELSE 'kept' END AS canonical_id, k = 0 OR (k = 1 AND p_name LIKE '%ring') AS changed FROM r""")
+def rematch_rows(spark, d):
+    rows = c.lines(spark, d).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    k = F.col("l_partkey") % 4
+    rows = rows.select("id", F.concat(F.lit("S_"), "p_name").alias("raw_name"), F.when(k == 1, "old").when(k > 1, "kept").alias("canonical_id"))
+    entries = c.catalogue(spark, d)
+    splits = entries.where(F.endswith("canonical_id", F.lit("_ring"))).select("canonical_id", F.lit("old").alias("split_from"))
+    return mapping.rematched(rows, matching.name_index(entries), splits).select("id", "canonical_id", "changed")
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, round(least(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?[ \t\n\f\r]*[-–][ \t\n\f\r]*[0-9]+(?:[.,][0-9]+)?')), 10) * 0.5 + least(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\p{L}{3,}') AND regexp_matches(x, '[0-9]+[,.][0-9]+'))), 20) * 0.25::DOUBLE, 6) AS score FROM t""")
+def sheet_scores(spark, d):
+    # the documents have no units or headings of a sheet, so both sides count intervals and rows
+    return table(spark, d, "documents").select("doc_id", F.round(printing.sheet_score(F.coalesce("text", F.lit(""))), 6).alias("score"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS key, ('lab' || l_suppkey % 3) AS target, CASE WHEN l_partkey % 4 = 0 THEN 'person' ELSE 'model' END AS source, CASE WHEN l_linenumber % 3 = 0 THEN 'ann' WHEN l_linenumber % 3 = 1 THEN 'bob' ELSE 'demo' END AS taught_by,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem),
+f AS (SELECT key, rn, target, source, taught_by FROM w WHERE rn = 1
+  UNION ALL SELECT w.key, w.rn, CASE WHEN ok THEN w.target ELSE f.target END, CASE WHEN ok THEN w.source ELSE f.source END, CASE WHEN ok THEN w.taught_by ELSE f.taught_by END FROM f JOIN w ON w.key = f.key AND w.rn = f.rn + 1,
+    LATERAL (SELECT (f.taught_by = w.taught_by AND NOT (f.source = 'person' AND w.source = 'model')) OR f.taught_by = 'demo' OR (f.source = 'model' AND w.source = 'person') AS ok))
+SELECT key, arg_max(target, rn) AS target, arg_max(source, rn) AS source, arg_max(taught_by, rn) AS taught_by FROM f GROUP BY key""")
+def alias_precedence(spark, d):
+    rows = table(spark, d, "lineitem")
+    who = F.when(F.col("l_linenumber") % 3 == 0, "ann").when(F.col("l_linenumber") % 3 == 1, "bob").otherwise("demo")
+    rows = rows.select(
+        F.col("l_orderkey").alias("key"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"), F.concat(F.lit("lab"), (F.col("l_suppkey") % 3).cast("string")).alias("target"),
+        F.when(F.col("l_partkey") % 4 == 0, "person").otherwise("model").alias("source"), who.alias("taught_by"),
+    )
+    return ledger.alias_writes(rows, "key", "key long, target string, source string, taught_by string")
+
+
+@query()
+def page_row_clusters(spark, d):
+    """Line items as positioned words of an order's page."""
+    rows = c.lines(spark, d)
+    word = lambda text, x: F.struct(text.cast("string").alias("text"), F.lit(float(x)).alias("x0"))
+    words = rows.select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") * 20.0 + F.col("l_partkey") % 3).alias("y0"), F.inline(F.array(word(F.col("l_partkey"), 10), word(F.col("lo"), 200), word(F.col("hi"), 300))))
+    words = words.select("page_id", "text", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 10).alias("y1"))
+    return rows_of.page_rows(words)
