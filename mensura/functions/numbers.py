@@ -78,6 +78,8 @@ def _interval(text: Column) -> Column:
 
 def parse_range(text: Column) -> Column:
     """STRUCT<low, high, text> of a printed interval; what is no interval stays as its text."""
+    plain = r"^\s*(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*$"  # most cells: settled without the general patterns
+    ends = [F.replace(F.regexp_extract(text, plain, k), F.lit(","), F.lit(".")).try_cast("double") for k in (1, 2)]
     bare = trimmed(F.regexp_replace(trimmed(text), r"^[()]+|[()]+$", ""))
 
     def of(bare: Column) -> Column:
@@ -86,7 +88,8 @@ def parse_range(text: Column) -> Column:
         single = bound(rest, lambda r: F.when((r != bare) & r.rlike(ANY_POPULATION), "").otherwise(r))
         return bound(bound(single, _interval), lambda f: F.struct(f["low"].alias("low"), f["high"].alias("high"), F.when(f["low"].isNull() & f["high"].isNull() & (bare != ""), bare).alias("text")))
 
-    return bound(F.translate(bare, DASHES, "-" * len(DASHES)), of)
+    simple = F.struct(ends[0].alias("low"), ends[1].alias("high"), F.lit(None).cast("string").alias("text"))
+    return F.when(text.rlike(plain), simple).otherwise(bound(F.translate(bare, DASHES, "-" * len(DASHES)), of))
 
 
 def canonical_unit(unit: Column) -> Column:

@@ -279,6 +279,15 @@ def reconcile_reads(spark, d):
     return reading.reconcile(c.reads(spark, d), expected=2)
 
 
+@query(f"""{READS}, pages AS (SELECT page_id, count(*) FILTER (k <> 0) > 0 AS complete FROM cells GROUP BY 1),
+a AS (SELECT page_id, p_name || CASE WHEN twice THEN '#' || ord ELSE '' END AS key, CASE WHEN k IN (0, 3) THEN 1 ELSE 2 END AS readers, CASE WHEN k = 1 THEN 'values differ' WHEN NOT complete THEN 'a reading failed' WHEN k IN (0, 3) THEN 'seen by one reading' WHEN k = 4 THEN 'units differ' WHEN k = 6 THEN 'ranges differ' END AS disagreement
+  FROM cells JOIN names USING (page_id, p_name) JOIN pages USING (page_id)),
+b AS (SELECT page_id, 'xx' || p_name || CASE WHEN count(*) OVER (PARTITION BY page_id, p_name) > 1 THEN '#' || ord ELSE '' END AS key, 1 AS readers, 'seen by one reading' AS disagreement FROM cells WHERE k = 3)
+SELECT *, TRUE AS escalated FROM a UNION ALL SELECT *, TRUE FROM b""")
+def reconcile_verdicts(spark, d):
+    return reading.reconcile(c.reads(spark, d), expected=2).select("page_id", "key", F.col("readers").cast("int"), "disagreement", "escalated")
+
+
 @query(f"""{READS}, x AS (SELECT *, row_number() OVER (PARTITION BY page_id, p_name ORDER BY ord) AS nth FROM cells JOIN names USING (page_id, p_name))
 SELECT page_id, p_name || CASE WHEN twice THEN '#' || ord ELSE '' END AS kept, 'xx' || p_name || CASE WHEN count(*) OVER (PARTITION BY page_id, p_name, k = 3) > 1 THEN '#' || ord ELSE '' END AS merged, 'row' AS by FROM x WHERE k = 3""")
 def orphan_pairs(spark, d):
