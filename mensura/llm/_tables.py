@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,14 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and a lost executor costs no recomputation of what
     stands before it."""
     path = f"{shared_dir(df.sparkSession)}/mensura/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives as such a table, without the tables that make() wrote on the way: the result no longer reads them."""
+    start = len(_paths)
+    result = written(make(), name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _paths[start:-1]:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _paths[start:-1] = []
+    return result
+
+
 def among(df: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of df whose key is in ids (one long column of that name, distinct). ids are counted first: at most
     broadcast_rows (8 MB) are broadcast, so that df's rows stay where they are; more are joined by a shuffle."""

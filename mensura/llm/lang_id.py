@@ -244,7 +244,7 @@ def languages(docs: DataFrame, **how) -> DataFrame:
     return identify(docs, train(docs, **how))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those whose language isn't found: `und`, or a score below `least`. All columns stay."""
     gone = written(languages(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct(), "unidentified")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import WORD, numbered, written
+from ._tables import WORD, numbered, settled, written
 
 
 def level(sources: DataFrame, total: int) -> float:
@@ -95,7 +95,11 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycled_weight, blo
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: each row of docs as many times as it is taken; of a document taken in part (one a shard), its
     last time is given if half of it or more is taken. Rows that repeat a doc_id are taken alike."""
-    taken = mix(docs.select("doc_id", "text", "source"), **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = F.floor(F.col("t") / F.col("s") + 0.5).cast("int")
-    taken = written(taken.where(F.col("s") > 0).select("doc_id", times.alias("times")).where("times > 0"), "taken")
+
+    def decided() -> DataFrame:
+        taken = mix(docs.select("doc_id", "text", "source"), **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+        times = F.floor(F.col("t") / F.col("s") + 0.5).cast("int")
+        return taken.where(F.col("s") > 0).select("doc_id", times.alias("times")).where("times > 0")
+
+    taken = settled(docs.sparkSession, decided, "taken")
     return docs.join(taken, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)

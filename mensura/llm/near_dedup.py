@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import among, written
+from ._tables import among, settled, written
 from ._words import buffers, pieces, shingles, word_hashes
 
 
@@ -201,6 +201,10 @@ def _linkable(percent: int, listed: int):
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int = 64, listed: int = 32, direct: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): documents whose sets of `width`-word
     shingles have 100 * intersection >= percent * union are linked."""
+    return settled(docs.sparkSession, lambda: _groups(docs, width, percent, keep, listed, direct), "groups")
+
+
+def _groups(docs: DataFrame, width: int, percent: int, keep: int, listed: int, direct: int) -> DataFrame:
     every = written(sketches(docs, width, keep, listed), "sketches")
     classes = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
