@@ -139,3 +139,15 @@ def cascade(parents: DataFrame, gone: DataFrame, children: dict[str, tuple[DataF
     """What is left of parents and of their children (name: table and its reference) when the parents in gone (key) are deleted."""
     left = {"parents": parents.join(gone, key, "left_anti")}
     return left | {n: df.join(gone.select(F.col(key).alias(ref)), ref, "left_anti") for n, (df, ref) in children.items()}
+
+
+def strikes(rows: DataFrame, key: str, ts: str, days: int = 30, every: int = 3) -> DataFrame:
+    """Empty reads of each key with their number in the days before, and whether the slot is kept (every third one) or given back."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-days * 86_400_000_000, 0)
+    out = rows.withColumn("strike", F.count(F.lit(1)).over(w))
+    return out.withColumn("kept", F.col("strike") % every == 0)
+
+
+def stale(rows: DataFrame, ts: str, now: Column, seconds: int = 3600) -> DataFrame:
+    """Open slots that were claimed longer ago than that and never ended."""
+    return rows.where(F.col("ended").isNull() & (F.col(ts) < now - F.make_interval(secs=F.lit(seconds))))

@@ -109,3 +109,38 @@ def by_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
     first = keys.groupBy("k.code").agg(F.min_by("id", F.struct("k.p", "id")).alias("id"))
     return rows.join(first, "code", "left")
 
+
+
+def still_to_ask(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """Distinct names that haven't been asked about."""
+    return names.select("name").distinct().join(asked.select("name"), "name", "left_anti")
+
+
+def unrecognised(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows without an entry, or with one that isn't in the catalogue."""
+    return rows.join(entries.select("canonical_id"), "canonical_id", "left_anti")
+
+
+def aliases_in_use(aliases: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scoped aliases that hold for a loaded row: by lab and unit, by lab, or by unit."""
+    none = F.lit(None).cast("string")
+    scopes = F.array(*[alias_key(lab, F.col("raw_name"), unit) for lab, unit in ((F.col("lab"), F.col("unit_raw")), (F.col("lab"), none), (none, F.col("unit_raw")))])
+    keys = rows.select("lab", "raw_name", "unit_raw").distinct().select(F.explode(scopes).alias("_k")).distinct()
+    return aliases.withColumn("_k", alias_key(F.col("alias_lab"), F.col("alias_name"), F.col("alias_unit"))).join(keys, "_k", "left_semi").drop("_k")
+
+
+def name_decisions(aliases: DataFrame, learnt: DataFrame, rows: DataFrame) -> DataFrame:
+    """What has been decided about names: aliases in use, and learnt names (name, id) that a row is filed under, unless an alias has the
+    same name; by lab (blank last), then name."""
+    own = aliases_in_use(aliases, rows).select(F.col("alias_lab").alias("lab"), F.col("alias_name").alias("name"), F.col("target").alias("id"), F.lit("alias").alias("kind"))
+    filed = rows.select(norm_key(F.col("raw_name")).alias("_k"), F.col("canonical_id").alias("id")).distinct()
+    names = learnt.withColumn("_k", norm_key(F.col("name"))).join(filed, ["_k", "id"], "left_semi")
+    names = names.join(own.select(norm_key(F.col("name")).alias("_k")).distinct(), "_k", "left_anti").select(F.lit(None).cast("string").alias("lab"), "name", "id", F.lit("learnt").alias("kind"))
+    every = own.unionByName(names)
+    return every.orderBy(F.coalesce(F.trim("lab"), F.lit("")) == "", "lab", "name")
+
+
+def rows_under(rows: DataFrame, entry: str) -> DataFrame:
+    """The distinct (name, lab, unit) that are filed under an entry, with the first row of each."""
+    key = alias_key(F.col("lab"), F.col("raw_name"), F.col("unit_raw"))
+    return rows.where(F.col("canonical_id") == entry).groupBy(key.alias("scope")).agg(F.min_by(F.struct("lab", "raw_name", "unit_raw"), F.struct("report_id", "ord")).alias("r"), F.count(F.lit(1)).alias("n")).select("scope", "r.*", "n")

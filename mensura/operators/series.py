@@ -174,3 +174,20 @@ def observed(points: DataFrame, series: str) -> DataFrame:
         F.round(F.avg("value"), 6).alias("mean_value"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
     return agg.join(median, series)
+
+
+def overview(points: DataFrame, owner: list[str], series: str, order: list[str]) -> DataFrame:
+    """Of each owner: distinct draw dates, the last one, series, and of those drawn then how many are out of range now, newly out, and back
+    in range; and the series furthest beyond its limit."""
+    keys = [*owner, series]
+    two = latest_two(points, keys, order)
+    pick = lambda age, c: F.max(F.when(F.col("age") == age, F.col(c)))
+    last = two.groupBy(*keys).agg(pick(1, "date").alias("date"), pick(1, "flag").alias("flag"), pick(2, "flag").alias("before"), pick(1, "value").alias("value"), pick(1, "ref_low").alias("low"), pick(1, "ref_high").alias("high"))
+    draws = points.groupBy(*owner).agg(F.count_distinct("date").alias("draws"), F.max("date").alias("last_draw"))
+    rows = last.join(draws, owner)
+    now, out, was = F.col("date") == F.col("last_draw"), out_of_range(), F.coalesce(F.col("before").isin("high", "low"), F.lit(False))
+    beyond = F.round(beyond_limit(F.col("value"), F.col("low"), F.col("high")), 6)
+    return rows.groupBy(*owner, "draws", "last_draw").agg(
+        F.count(F.lit(1)).alias("n_series"), F.count_if(now & out).alias("out_now"), F.count_if(now & out & ~was).alias("newly_out"), F.count_if(now & ~out & was).alias("returned"),
+        F.max_by(series, F.when(now & out, F.struct(beyond, series))).alias("furthest"),
+    )

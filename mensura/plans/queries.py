@@ -587,3 +587,20 @@ def page_row_clusters(spark, d):
     words = rows.select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") * 20.0 + F.col("l_partkey") % 3).alias("y0"), F.inline(F.array(word(F.col("l_partkey"), 10), word(F.col("lo"), 200), word(F.col("hi"), 300))))
     words = words.select("page_id", "text", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 10).alias("y1"))
     return rows_of.page_rows(words)
+
+
+@query(f"""{PTS}, g AS (SELECT patient_id, count(DISTINCT date) AS draws, max(date) AS last_draw FROM p GROUP BY 1),
+r AS (SELECT *, row_number() OVER w AS age, lead(flag) OVER w AS before FROM p WHERE value IS NOT NULL WINDOW w AS (PARTITION BY patient_id, series ORDER BY ts DESC, event_id DESC)),
+l AS (SELECT r.*, g.draws, g.last_draw, date = last_draw AS now, flag IN ('high', 'low') AS out, coalesce(before IN ('high', 'low'), FALSE) AS was,
+  round(CASE WHEN value > ref_high THEN (value - ref_high) / ref_high WHEN value < ref_low THEN (ref_low - value) / ref_low END, 6) AS beyond FROM r JOIN g USING (patient_id) WHERE age = 1)
+SELECT patient_id, draws, last_draw, count(*) AS n_series, count(*) FILTER (now AND out) AS out_now, count(*) FILTER (now AND out AND NOT was) AS newly_out, count(*) FILTER (now AND NOT out AND was) AS returned,
+  arg_max(series, (beyond, series)) FILTER (now AND out) AS furthest FROM l GROUP BY patient_id, draws, last_draw""")
+def patient_overview(spark, d):
+    return series.overview(c.points(spark, d), ["patient_id"], "series", ORDER)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error'),
+s AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) AS strike FROM e) SELECT *, strike % 3 = 0 AS kept FROM s""")
+def empty_read_strikes(spark, d):
+    rows = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return ledger.strikes(rows, "user_id", "ts", days=7).drop("ts")

@@ -116,3 +116,15 @@ def test_tools(spark):
         tools.run("none")
     with pytest.raises(TypeError, match="has no x"):
         tools.run("all", x=1)
+
+
+def test_decisions(spark):
+    rows = spark.createDataFrame([(1, 0, "L", "S_Na", "g", "na"), (2, 0, "l ", "Na", "G", "na"), (2, 1, "L", "K", "g", None), (3, 0, "M", "Cl", "g", "gone")], "report_id int, ord int, lab string, raw_name string, unit_raw string, canonical_id string")
+    aliases = spark.createDataFrame([("L", "K", None, None), (None, "Cl", "mg", "x")], "alias_lab string, alias_name string, alias_unit string, target string")
+    learnt = spark.createDataFrame([("Na", "na"), ("Mg", "mg"), ("K", "k")], "name string, id string")
+    assert [tuple(r) for r in mapping.name_decisions(aliases, learnt, rows).collect()] == [("L", "K", None, "alias"), (None, "Na", "na", "learnt")]
+    assert [(r.raw_name, r.n) for r in mapping.rows_under(rows, "na").collect()] == [("S_Na", 2)]
+    assert sorted(r.raw_name for r in mapping.unrecognised(rows, spark.createDataFrame([("na",)], "canonical_id string")).collect()) == ["Cl", "K"]
+    assert [r.name for r in mapping.still_to_ask(learnt, spark.createDataFrame([("Na",), ("K",)], "name string")).collect()] == ["Mg"]
+    slots = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 8), None), (2, dt.datetime(2024, 1, 1, 11, 30), None), (3, dt.datetime(2024, 1, 1, 8), 1)], "id int, ts timestamp, ended int")
+    assert [r.id for r in ledger.stale(slots, "ts", F.lit("2024-01-01 12:00:00").cast("timestamp")).collect()] == [1]
