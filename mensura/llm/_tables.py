@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder, which is then set as the checkpoint folder of the context."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='mensura-')}"
         spark.sparkContext.setCheckpointDir(found)
