@@ -1,17 +1,19 @@
 """Main text of HTML pages by removal of the templates of their sites.
 
-Pass 1 hashes the element subtrees of each page and counts them per host in Spark: a subtree's hash covers its tags, classes
-and text, and stands for an exact copy (a menu, a footer line); its shape covers tags and classes only, and stands for a
-block whose words differ from page to page (an advert, a footer with the host's name). Pass 2 deletes the subtrees that
-recur on at least `share` of the pages of their host (and on `least` pages), then takes the text of the content region: the
-page's article or main elements, or, on a page without one, what is left of the body. Text blocks inside a content region
-are not deleted when they recur, as quoted passages and copied articles do; named boxes between them are.
+Pass 1 hashes the element subtrees of each page and counts them per host in Spark, pages with the same text counting once. A
+subtree is counted by its tags, classes and text (an exact copy: a menu, a footer line); a named one with at most half of the
+page's text also by tags, classes and three least hashes of its words (a block with mostly the same words) and, if it is
+short and all in links, by tags and classes alone (an advert). Pass 2 deletes the subtrees that recur on at least `share` of
+the pages of their host (and on `least` pages), then takes the text of the content region: the page's article or main
+elements, or, on a page without one, what is left of the body. Inside a content region exact copies are deleted: named boxes
+under the same bounds, text blocks and unnamed elements only if they recur on `most` of the host's pages and on `many`, as
+quoted passages do not, and not if more than half of the region's text would go. Words inside a running text are never cut out.
 
-Elements that are never text of an article (scripts, styles, forms, navigation, header, footer, aside elements, and elements
-whose class, id or role names them as advert, notice, comment and so on) go in both cases.
+As a second step, elements that are never text of an article (scripts, styles, forms, navigation, header, footer, aside
+elements, and elements whose class, id or role names them as advert, notice, comment and so on) go in all cases.
 
-Hashes are counted with a partial aggregation, host and hash being the key, so a host with a third of all pages is spread
-over all tasks. What recurs is joined to the pages' own hashes by host and hash, and collected per page.
+Hashes are counted with a partial aggregation, host, hash and content being the key, so a host with a third of all pages is
+spread over all tasks. What recurs is joined to the pages' own hashes by host and hash, and collected per page.
 
 Text: character references are decoded; white space inside a block becomes one blank; blocks are joined by one line feed in
 page order. Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements end with
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -52,6 +55,11 @@ NAMES = re.compile(
 CONTENT = frozenset(["article", "main"])
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo|promoted|related|replies|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 TEXT = frozenset("a b blockquote code em figcaption figure h1 h2 h3 h4 h5 h6 i li p pre q span strong table tbody td th tr".split())
+PHRASES = frozenset("a abbr b big cite code dd del dfn dt em font h1 h2 h3 h4 h5 h6 i ins kbd label li mark p pre q s samp small span strong sub sup td th tt u var".split())
+CELLS = frozenset("td th".split())
+#: Fixed value: odd factors that order word hashes in six ways.
+MIXES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
+_WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 
@@ -141,37 +149,67 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def subtrees(root: Node, skip: set[int]) -> list[tuple[Node, int, int]]:
-    """Every element outside the regions (by id()) with the hash of its subtree and of its shape; children before parents. A
-    shape is given to elements with classes or of a dropped kind, for a bare paragraph's shape says nothing."""
-    out: list[tuple[Node, int, int]] = []
-    done: dict[int, tuple[str, str]] = {}
-    todo: list[tuple[Node, bool]] = [(root, False)]
+@dataclass
+class Subtree:
+    """An element with the digest of its tags, classes and text, its text's length and how much of that is in links; alone:
+    it stands as a block of its own in a container. shape: the digest of its tags and classes (of named elements), or 0."""
+
+    node: Node
+    full: int
+    shape: int
+    size: int
+    linked: int
+    alone: bool
+
+
+def subtrees(root: Node, skip: set[int]) -> list[Subtree]:
+    """Every element below root that isn't dropped, has text and holds no region (by id(), in skip); children before parents."""
+    out: list[Subtree] = []
+    done: dict[int, tuple[str, str, int, int]] = {}
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, seen = todo.pop()
+        node, seen, alone = todo.pop()
         if not seen:
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node) and id(c) not in skip]
+            if node.dropped or node.tag in ("title", "iframe"):
+                done[id(node)] = "-", "-", 0, 0
+                continue
+            bare = node.tag not in PHRASES and not any(isinstance(c, str) and c.strip() for c in node.children)
+            todo.append((node, True, alone))
+            inline = sum(c.tag not in BLOCKS for c in node.children if isinstance(c, Node))
+            todo += [(c, False, c.tag in BLOCKS or (bare and inline == 1)) for c in node.children if isinstance(c, Node) and id(c) not in skip]
             continue
-        full, shape, holds = [node.tag, node.names], [node.tag, node.names], False
+        full, shape, holds, size, linked = [node.tag, node.names], [node.tag, node.names], False, 0, 0
         for c in node.children:
             if isinstance(c, str):
                 full.append(" ".join(c.split()))
+                size += len(full[-1])
             elif id(c) in skip:
                 holds = True
             else:
-                full.append(done[id(c)][0])
-                shape.append(done[id(c)][1])
-                holds |= done[id(c)][0] == ""
+                a, b, n, k = done[id(c)]
+                full.append(a)
+                shape.append(b)
+                size, linked, holds = size + n, linked + k, holds or a == ""
+        if node.tag == "a":
+            linked = size
         if holds:  # what holds a content region is no template
-            done[id(node)] = "", ""
+            done[id(node)] = "", "", size, linked
             continue
         a, b = _digest("\x1f".join(full)), _digest("\x1f".join(dict.fromkeys(shape)))
-        done[id(node)] = str(a), str(b)
-        out.append((node, a, b if node.names or node.tag in DROPPED else 0))
+        done[id(node)] = str(a), str(b), size, linked
+        if size and node.tag not in ("html", "body"):
+            out.append(Subtree(node, a, b if node.names else 0, size, linked, alone))
     return out
 
 
+def alike(shape: int, node: Node) -> list[int]:
+    """Two digests of the shape and of words of the node, each by three least hashes: equal for nodes with mostly the same
+    words. Digits count as one word."""
+    words = {zlib.crc32(w.encode("utf-8", "replace")) for w in _WORD.findall(re.sub(r"[0-9]+", "0", text_of([node], set()).lower()))}
+    least = [str(min((w * m & 0xFFFFFFFF for w in words), default=0)) for m in MIXES]
+    return [_digest(f"words\x1f{k}\x1f{shape}\x1f" + "\x1f".join(least[k : k + 3])) for k in (0, 3)]
+
+
 def text_of(nodes: list[Node], delete: set[int]) -> str:
     """The blocks of nodes, without dropped elements and those in delete (by id())."""
     blocks: list[str] = []
@@ -204,33 +242,62 @@ def text_of(nodes: list[Node], delete: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def outside(root: Node) -> dict[int, list[Node]]:
-    """Elements outside the content regions, by the hashes of their subtrees and shapes."""
-    out: dict[int, list[Node]] = {}
-    for node, *hashes in subtrees(root, {id(r) for r in regions(root)}):
-        for h in hashes:
-            if h:
-                out.setdefault(h, []).append(node)
+def outside(root: Node, found: list[Node], small: float = 0.1) -> dict[int, list[tuple[Node, bool]]]:
+    """Elements outside the content regions by the digests under which they are counted: of the exact copy; of shape and
+    words, for named elements with at most half of the text; of the shape alone, where all such elements of the page together
+    have at most `small` of its text, all of it in links."""
+    out: dict[int, list[tuple[Node, bool]]] = {}
+    kept = subtrees(root, {id(r) for r in found})
+    total = len(text_of([root], set()))
+    shapes: dict[int, list[int]] = {}
+    for s in kept:
+        if s.alone:
+            out.setdefault(s.full, []).append((s.node, False))
+        if s.shape:
+            of = shapes.setdefault(s.shape, [0, 0])
+            of[0], of[1] = of[0] + s.size, of[1] + s.linked
+    for s in kept:
+        if s.alone and s.shape and s.size * 2 <= total:
+            for h in alike(s.shape, s.node):
+                out.setdefault(h, []).append((s.node, False))
+            size, linked = shapes[s.shape]
+            if s.node.tag not in TEXT and linked == size <= total * small:
+                out.setdefault(s.shape, []).append((s.node, False))
     return out
 
 
-def deletable(root: Node) -> dict[int, list[Node]]:
-    """Elements whose deletion changes the page's text: without a content region those outside; else, inside the regions,
-    named elements that aren't text blocks, by their subtrees alone (an exact copy)."""
-    found = regions(root)
+def deletable(root: Node, found: list[Node]) -> dict[int, list[tuple[Node, bool]]]:
+    """Elements whose deletion changes the page's text, by digest: without a content region those outside; else, inside the
+    regions, exact copies. Each with whether it is a text block or unnamed element of a region, for which the stricter
+    bounds hold."""
     if not found:
-        return outside(root)
-    out: dict[int, list[Node]] = {}
+        return outside(root, found)
+    out: dict[int, list[tuple[Node, bool]]] = {}
     for region in found:
-        for node, full, _ in subtrees(region, set()):
-            if node.names and node.tag not in TEXT and node is not region:
-                out.setdefault(full, []).append(node)
+        for s in subtrees(region, set()):
+            box = bool(s.node.names) and s.node.tag not in TEXT
+            if s.alone and s.node is not region and (box or s.node.tag not in CELLS):
+                out.setdefault(s.full, []).append((s.node, not box))
     return out
 
 
+def main_text(root: Node, hits: set[int]) -> str:
+    """The page's text without the template subtrees in hits. What recurs inside a region stays if it is more than half of the
+    region's text, as in copies of an article that differ in some words."""
+    found = regions(root)
+    scope = found or [root]
+    if not hits:
+        return text_of(scope, set())
+    nodes = [x for h, those in deletable(root, found).items() if h in hits for x in those]
+    boxes = {id(n) for n, strict in nodes if not strict}
+    text, whole = text_of(scope, {id(n) for n, _ in nodes}), text_of(scope, boxes)
+    return text if not found or len(text) * 2 >= len(whole) else whole
+
+
 def candidates(pages: DataFrame) -> DataFrame:
-    """page_id, host and hash of the distinct template candidates of each page, and whether the page's text would change if
-    it is deleted. Hash 0 stands for the page itself."""
+    """page_id, host, content (a digest of the page's text) and hash of the distinct template candidates of each page; deletes:
+    0 if the page's text doesn't change if it is deleted, 1 if it does, 2 if it does under the stricter bounds. Hash 0 stands
+    for the page itself."""
 
     def run(batches):
         for batch in batches:
@@ -238,36 +305,39 @@ def candidates(pages: DataFrame) -> DataFrame:
             for page, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 host = parts_of(url)[0]
                 root = parse(source or "")
-                inner, outer = deletable(root), outside(root)
-                rows += [(page, host, 0, False)]
-                rows += [(page, host, h, h in inner) for h in {*inner, *outer}]
-            ids, hosts, hashes, uses = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(uses, pa.bool_())], ["page_id", "host", "hash", "deletes"])
-
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, host string, hash long, deletes boolean")
-
-
-def templates(found: DataFrame, share: float, least: int) -> DataFrame:
-    """host and hash of the subtrees that recur on at least `share` of the host's pages, and on `least` pages; found: from
-    candidates()."""
-    counts = written(found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least} or hash = 0"), "subtrees")
+                found = regions(root)
+                content = _digest(text_of(found or [root], set()))
+                inner = deletable(root, found)
+                outer = outside(root, found) if found else inner
+                rows += [(page, host, content, 0, 0)]
+                rows += [(page, host, content, h, 1 + any(strict for _, strict in inner[h]) if h in inner else 0) for h in {*inner, *outer}]
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "content", "hash", "deletes"])
+
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, host string, content long, hash long, deletes int")
+
+
+def templates(found: DataFrame, share: float, least: int, most: float, many: int) -> DataFrame:
+    """host and hash of the subtrees that recur on at least `share` of the host's pages, and on `least` pages; strict: whether
+    on `most` of them and on `many`. Pages with the same content count once. found: from candidates()."""
+    once = found.select("host", "hash", "content").distinct()
+    counts = written(once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least} or hash = 0"), "subtrees")
     sites = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(sites, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash")
+    strict = (F.col("n") >= F.col("pages") * most) & (F.col("n") >= many)
+    return counts.where("hash <> 0").join(sites, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash", strict.alias("strict"))
 
 
-def extract(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.5, least: int = 5, most: float = 0.9, many: int = 20) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html). Of the template subtrees, only the hashes
     that a page has itself are joined to it, by page_id."""
     found = written(candidates(pages), "candidates")
-    hits = found.where("deletes").join(templates(found, share, least), ["host", "hash"])
+    hits = found.where("deletes > 0").join(templates(found, share, least, most, many), ["host", "hash"]).where("deletes = 1 or strict")
     hits = written(hits.groupBy("page_id").agg(F.collect_set("hash").alias("hits")), "hits")
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for source, hashes in zip(batch.column("html").to_pylist(), batch.column("hits").to_pylist()):
-                root = parse(source or "")
-                texts.append(text_of(regions(root) or [root], {id(n) for h, nodes in deletable(root).items() if h in set(hashes or ()) for n in nodes}))
+            texts = [main_text(parse(source or ""), set(hashes or ())) for source, hashes in zip(batch.column("html").to_pylist(), batch.column("hits").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
