@@ -123,6 +123,18 @@ def test_html_templates_in_regions(spark):
     assert found[105] == f"Copied {texts[0]}\n{texts[1]}" and found[205] == f"Copied {texts[0]}\nEdition 5"
 
 
+def test_html_classed_text(spark):
+    """A main text in a classed container stays, though all pages of the host have its shape; so do copies of a page."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}" for _ in range(40)) for i in range(12)]
+    page = lambda i: f"<body class='page'><div class='top'><span>Hello {i}</span></div><div>Our town</div><div class='post'><p>{texts[i]}</p><p>Part {i}</p></div></body>"
+    rows = [(i, "http://post.example/", page(i)) for i in range(12)]
+    rows += [(100 + i, "http://copies.example/", page(0 if i < 8 else i)) for i in range(12)]
+    found = {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
+    assert found[3] == f"{texts[3]}\nPart 3" and found[11] == f"{texts[11]}\nPart 11"
+    assert texts[0] in found[100] and texts[9] in found[109]
+
+
 def test_url_parts():
     assert parts_of("HTTP://A.B/c?d#e") == ("a.b", "/c") and parts_of("http://x?y/z") == ("x", "") and parts_of(None) == ("", "") and parts_of("no") == ("", "")
     assert parts_of("http://É.x/a#b?c") == ("É.x", "/a")
