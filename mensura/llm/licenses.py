@@ -1,13 +1,15 @@
 """Licence scan by sentence rules, in DataFrame operations only.
 
-A text is split into sentences at line ends and behind . ! ? before white space; a sentence is normalised to lower-case
-letters and digits with single blanks. Known sentences have identifiers; the identifiers of a text, in order, are matched
-against ordered rules: each rule is a run of identifiers, the first rules are tried first, and what a rule has matched is
-not matched again. All of it is a projection of each row: nothing is shuffled, exploded or broadcast, so neither long texts
-nor frequent licences make a hot group. Both tables are parameters; their sizes bound the expression.
+A text is split into pieces at line ends and behind . ! ? before white space; pieces are normalised to lower-case letters and
+digits with single blanks. A known sentence has an identifier and is found where its words stand from a piece's beginning, or
+from behind a semicolon, to a piece's end or a semicolon, over as many pieces as it takes: wrapped sentences and abbreviations
+with a full stop are whole. Of several the longest is taken. The identifiers of a text, in order, are matched against ordered
+rules: each rule is a run of identifiers, the first rules are tried first, and what a rule has matched is not matched again.
+All of it is a projection of each row: nothing is shuffled, exploded or broadcast, so neither long texts nor frequent
+licences make a hot group. Both tables are parameters; their sizes bound the expression.
 
 Defined results: null and empty texts have no sentences; licences are given once each, in the order of the rules; `unknown`
-counts sentences that speak of a licence but aren't known, `unmatched` known ones that no rule took. Extra columns are
+counts pieces that speak of a licence outside known sentences, `unmatched` known ones that no rule took. Extra columns are
 ignored.
 """
 
@@ -38,6 +40,7 @@ SENTENCES = {
     "isc-ref": "released under the isc license",
     "lgpl3-ref": "licensed under the gnu lesser general public license version 3",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-grant-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-ref": "released under the mit license",
     "mpl2-ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -50,10 +53,12 @@ RULES = [
     ("Apache-2.0", ["apache2-ref-the", "apache2-comply", "apache2-copy", "asis-basis"]),
     ("Apache-2.0", ["apache2-ref-the", "apache2-comply"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
+    ("MIT", ["mit-grant-full", "mit-notice"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("Apache-2.0", ["apache2-ref-the"]),
     ("Apache-2.0", ["apache2-ref"]),
+    ("MIT", ["mit-grant-full"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-ref"]),
     ("GPL-3.0-only", ["gpl3-work"]),
@@ -77,12 +82,22 @@ RULES = [
 MARKS = r"licen[sc]e|permission|warrant|redistribut|cc0|public domain|rights reserved|copyright"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text that has a mark of a licence, in order; others are left out before they are
-    normalised."""
+#: The same over line ends: a look at a whole text.
+LOOK = MARKS.replace(" ", "[^a-z0-9]+")
+
+
+def pieces(text: Column) -> Column:
+    """A text's normalised pieces in one string, each behind a line feed and a sign: ! if it has a mark of a licence, else ~.
+    Semicolons stay."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\r\n]+|(?<=[.!?])\s+")
-    marked = F.filter(parts, lambda s: F.lower(s).rlike(MARKS))
-    return F.transform(marked, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    sign = lambda s: F.when(F.lower(s).rlike(MARKS), "\n!").otherwise("\n~")
+    return F.array_join(F.transform(parts, lambda s: F.concat(sign(s), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9;]+", " ")))), "")
+
+
+def pattern(known: dict[str, str]) -> str:
+    """Of the known sentences in what pieces() gives."""
+    each = [r"[ ;!~\n]++".join(s.split()) for s in sorted(known.values(), key=len, reverse=True)]
+    return rf"(?<=[!~;])[ ;]*+(?:{'|'.join(each)}) ?(?=[\n;]|\z)"
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -90,10 +105,11 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[s
     docs (doc_id, text)."""
     table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     # documents without any mark, nearly all, are settled by one look
-    found = F.when(F.lower("text").rlike(MARKS), sentences(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select("doc_id", found.alias("s"))
-    rows = rows.withColumn("ids", F.transform("s", lambda x: F.try_element_at(table, x)))
-    rows = rows.select("doc_id", F.filter("ids", lambda i: i.isNotNull()).alias("ids"), F.size(F.filter("ids", lambda i: i.isNull())).cast("long").alias("unknown"))
+    rows = docs.select("doc_id", F.when(F.lower("text").rlike(LOOK), pieces(F.col("text"))).otherwise("").alias("s"))
+    one, none = F.lit(pattern(known)), F.array().cast("array<string>")
+    hits = F.transform(F.regexp_extract_all("s", one, F.lit(0)), lambda x: F.try_element_at(table, F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))))
+    left = F.filter(F.split(F.regexp_replace("s", one, F.lit("!")), "\n"), lambda x: F.contains(x, F.lit("!")) & x.rlike(MARKS))
+    rows = rows.select("doc_id", F.when(F.col("s") == "", none).otherwise(hits).alias("ids"), F.when(F.col("s") == "", 0).otherwise(F.size(left)).cast("long").alias("unknown"))
     joined = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     rows = rows.withColumn("rest", F.when(F.size("ids") > 0, joined).otherwise(""))
     # a step a rule: whether what is left has its run, and what is left without it

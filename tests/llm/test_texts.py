@@ -170,6 +170,44 @@ def test_licenses(spark, odd_docs, no_docs):
     assert {r.licences for r in scan(odd_docs).collect()} == {""}
 
 
+def test_wrapped_licences(spark):
+    """Standard headers as they stand in files: wrapped, in comments, with semicolons, abbreviations and blank lines."""
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */"""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:\r\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    rows = [gpl, mit, apache, bsd, mpl, "All rights\nreserved.", "A licence of ours; all rights reserved in part.\nof this"]
+    found = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [found[i].licences for i in range(7)] == ["GPL-3.0-or-later", "MIT", "Apache-2.0", "BSD", "MPL-2.0", "proprietary", ""]
+    assert [found[i].unmatched + found[i].unknown for i in range(7)] == [0, 0, 0, 0, 0, 0, 1]
+    assert found[2].sentence_ids == "apache2-ref-the,apache2-comply,apache2-copy,asis-basis" and found[1].sentence_ids == "mit-grant-full,mit-notice"
+
+
 def test_network_gradients():
     rng = np.random.default_rng(3)
     net = Network.new(["a", "b"], 4, 3, 1)
