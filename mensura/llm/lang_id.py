@@ -9,7 +9,10 @@ by side. Gates use the piecewise linear sigmoid clip(x, 0, 1) and the candidate
 Training is backpropagation through time in numpy, on the driver, over a bounded sample: at most `sample` labelled documents
 (those whose hash is least, in equal parts for each language; the bound is a parameter), and from each one window of
 `learn_window` bytes at a random place for each pass. Prediction is a map over all documents with the weights (a few
-kilobytes) in the task.
+kilobytes, with the letter pairs at most 4 MB) in the task.
+
+The network gives every text one of the languages learnt; where others are to be told (in keep_identified), the letter pairs
+of the same sample say which texts are unlike all of them.
 
 Defined results: null texts and texts without a letter are `und` with score 0; the score is the pooled probability of the
 language given. Without any labelled document, all are `und`. Extra columns are ignored.
@@ -35,6 +38,63 @@ def is_held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: Fixed value: bytes as letters of one case; all others as a blank.
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.int64)
+
+
+def pairs(text: np.ndarray) -> np.ndarray:
+    """The numbers of a text's byte pairs that have a letter."""
+    x = _LETTERS[text]
+    found = x[:-1] * 256 + x[1:]
+    return found[found != 32 * 257]
+
+
+@dataclass
+class Fit:
+    """Whether texts are like those learnt, which the network can't tell, as its label probabilities sum to one: the mean
+    logarithm of letter pairs' probabilities in the likeliest language. likely: by language and pair; usual: the median of
+    labelled texts left out of likely, of `long` pairs or more; far: how far the farthest of them is below it; spare: the bits
+    that a text may lack besides, as for two strings of 16 letters that are no words (a key, an address)."""
+
+    likely: np.ndarray
+    usual: float = 0
+    far: float = 0
+    spare: float = 256
+    long: int = 64
+
+    @classmethod
+    def new(cls, texts: list[bytes], y: np.ndarray, labels: int, seed: int, least: int = 20, floor: float = 0.75, tables: int = 16) -> Fit | None:
+        """A fifth of the texts is left out of likely; None if these are fewer than `least`. far is `floor` bits at least, for
+        a few words of its own are in many a text."""
+        left_out = np.random.default_rng(seed).permutation(len(texts)) % 5 == 0
+        if left_out.sum() < least:
+            return None
+        each = [pairs(np.frombuffer(t, np.uint8)) for t in texts]
+        labels = min(labels, tables)  # beyond this, languages share tables, which are sent to the tasks
+        counts = np.full((labels, 65536), 0.02)
+        for k in np.flatnonzero(~left_out):
+            counts[y[k] % labels] += np.bincount(each[k], minlength=65536)
+        counts = counts.reshape(labels, 256, 256)
+        found = cls(np.log2(counts / counts.sum(2, keepdims=True)).reshape(labels, 65536).astype(np.float32))
+        tried = [each[k] for k in np.flatnonzero(left_out) if len(each[k])]
+        if not tried:
+            return None
+        whole = [found.mean(x) for x in tried if len(x) >= found.long] or [found.mean(x) for x in tried]
+        found.usual = float(np.median(whole))
+        found.far = max(floor, found.usual - min(whole))
+        return found
+
+    def mean(self, x: np.ndarray) -> float:
+        if len(x) > 65536:
+            return float((self.likely @ np.bincount(x, minlength=65536)).max() / len(x))
+        return float(self.likely[:, x].mean(1).max())
+
+    def like(self, text: np.ndarray) -> bool:
+        """Whether a text, but for the spare bits, is at most twice as far below the usual as labelled texts are."""
+        x = pairs(text)
+        return not len(x) or self.mean(x) >= self.usual - 2 * self.far - self.spare / len(x)
+
+
 @dataclass
 class Network:
     """Of each direction: E (embedding, 256 rows), W (update and reset gate, candidate from input, candidate from state; over
@@ -45,6 +105,7 @@ class Network:
     E: list[np.ndarray]
     W: list[np.ndarray]
     V: np.ndarray
+    fit: Fit | None = None
 
     @classmethod
     def new(cls, labels: list[str], state: int, embedding: int, seed: int) -> Network:
@@ -211,11 +272,13 @@ def train(docs: DataFrame, sample: int = 1200, text_bytes: int = 20_000, state:
     network = Network.new(labels, state, embedding, seed)
     y = np.array([labels.index(r["lang"]) for r in rows])
     network.learn([r["text"].encode() for r in rows], y, learn_window, passes, 128, 0.02, seed)
+    network.fit = Fit.new([r["text"].encode() for r in rows], y, len(labels), seed)
     return network
 
 
-def identify(docs: DataFrame, network: Network | None, window: int = 128, *keep: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text). Reads text alone for the prediction."""
+def identify(docs: DataFrame, network: Network | None, window: int = 128, reject: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text). Reads text alone for the prediction. reject:
+    texts unlike those learnt (see Fit) are `und` with score 0, too."""
 
     def run(batches):
         for batch in batches:
@@ -229,6 +292,8 @@ def identify(docs: DataFrame, network: Network | None, window: int = 128, *keep:
                     j = min(i + 1024, n)
                     pooled = network.pooled(data, offsets[i : j + 1], window)
                     best[i:j], score[i:j] = pooled.argmax(1), pooled.max(1)
+                if reject and network.fit is not None:
+                    letters &= [network.fit.like(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             known = letters & (network is not None)
             labels = np.array(network.labels if network is not None else ["und"], object)
             yield pa.RecordBatch.from_arrays(
@@ -245,6 +310,8 @@ def languages(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those whose language isn't found: `und`, or a score below `least`. All columns stay."""
-    gone = written(languages(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct(), "unidentified")
+    """docs without those whose language isn't found: `und`, as noise and texts in an unlearned language are, or a score below
+    `least`. All columns stay."""
+    found = identify(docs, train(docs), reject=True)
+    gone = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct(), "unidentified")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

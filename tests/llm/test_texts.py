@@ -261,6 +261,19 @@ def test_language_held_out_accuracy(spark, odd_docs, no_docs):
     assert is_held_out() is not None
 
 
+def test_unlearned_texts_go(spark):
+    """Noise, token junk and a language without labels are rejected; clean documents, short ones too, stay."""
+    rng = random.Random(12)
+    sounds = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ein", "pf"], "cc": ["ou", "ille", "ere"]}
+    say = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(sounds[lang := rng.choice(list(sounds))], rng.randint(3, 80)), lang) for i in range(500)]
+    rows += [(1000 + i, "".join(chr(rng.randint(33, 126)) for _ in range(400)), None) for i in range(10)]
+    rows += [(1100 + i, " ".join("%x" % rng.getrandbits(64) for _ in range(30)), None) for i in range(10)]
+    rows += [(1200 + i, say(["zhy", "bog", "wud", "ck"], 80), None) for i in range(10)]
+    kept = {r.doc_id for r in keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(500))
+
+
 def test_ordinal_grades():
     """Four grades share one weight vector; thresholds are ordered and expected grades follow the truth."""
     rng = np.random.default_rng(5)
