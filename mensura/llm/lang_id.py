@@ -256,11 +256,14 @@ def sample_of(docs: DataFrame, counts: dict[str, int], sample: int) -> DataFrame
     return labelled.select("doc_id", "lang", "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, sample: int = 1200, text_bytes: int = 20_000, state: int = 8, embedding: int = 4, learn_window: int = 64, passes: int = 40, seed: int = 11, languages: int = 64) -> Network | None:
+def train(docs: DataFrame, sample: int = 1200, text_bytes: int = 20_000, state: int = 8, embedding: int = 4, learn_window: int = 64, passes: int = 40, seed: int = 11) -> Network | None:
     """The network learnt from the labelled documents that aren't held out. What reaches the driver is bounded: `sample`
-    texts, of longer ones a random `text_bytes` characters (windows are drawn from these)."""
+    texts, of longer ones a random `text_bytes` characters (windows are drawn from these). Every value of lang is learnt; more
+    values than `sample` are an error."""
     counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in counts.limit(sample + 1).collect()}
+    if len(counts) > sample:
+        raise ValueError(f"more than {sample} languages, the bound of the sample")
     labels = sorted(counts)
     if not labels:
         return None

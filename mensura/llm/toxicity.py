@@ -110,12 +110,15 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, bits: int, typical: float)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Features and label values of at most `sample` documents of each value (of ten at most)."""
+    """Features and label values of at most `sample` documents of each value, and of ten times as many in all, in equal parts
+    for the values. More values than that are an error."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(F.col(value).cast("int")).alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(10).collect()}
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(10 * sample + 1).collect()}
+    if len(counts) > 10 * sample:
+        raise ValueError(f"more than {10 * sample} label values")
     if len(counts) < 2:
         return [], [], np.zeros(0, np.int64)
-    parts = 1_000_003
+    parts, sample = 1_000_003, min(sample, 10 * sample // len(counts))
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(parts, 4 * sample * parts // n + 1))])
     rows = known.where(F.col("y").isin(list(counts))).withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("order", "doc_id"))

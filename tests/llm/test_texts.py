@@ -274,6 +274,20 @@ def test_unlearned_texts_go(spark):
     assert kept == set(range(500))
 
 
+def test_every_label_is_learnt(spark):
+    from mensura.llm import lang_id, toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 70:02d}") for i in range(700)], "doc_id long, text string, lang string")
+    assert lang_id.train(docs, sample=140, passes=1).labels == [f"l{i:02d}" for i in range(70)]
+    with pytest.raises(ValueError):
+        lang_id.train(docs, sample=69, passes=1)
+    known = spark.createDataFrame([(i, min(i % 40, 11)) for i in range(480)], "doc_id long, toxic int")
+    y = toxicity.labelled(docs, known, "toxic", 60, 10)[2]
+    assert set(y.tolist()) == set(range(12)) and len(y) <= 600 and np.bincount(y).max() <= 50
+    with pytest.raises(ValueError):
+        toxicity.labelled(docs, known, "toxic", 1, 10)
+
+
 def test_ordinal_grades():
     """Four grades share one weight vector; thresholds are ordered and expected grades follow the truth."""
     rng = np.random.default_rng(5)
