@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,35 +32,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_paths: list[str] = []
+#: Of the innermost settled() that runs in this thread: the tables written on the way.
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and a lost executor costs no recomputation of what
     stands before it."""
     path = f"{shared_dir(df.sparkSession)}/mensura/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() gives as such a table, without the tables that make() wrote on the way: the result no longer reads them."""
-    start = len(_paths)
-    result = written(make(), name)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _paths[start:-1]:
-        where = hadoop.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _paths[start:-1] = []
+    own: list[str] = []
+    token, path = _scope.set(own), None
+    try:
+        result = written(make(), name)
+        path = own[-1]
+    finally:
+        _scope.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for gone in own:
+            if gone != path:
+                where = hadoop.Path(gone)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    outer = _scope.get()
+    if outer is not None:
+        outer.append(path)
     return result
 
 
-def among(df: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is in ids (one long column of that name, distinct). ids are counted first: at most
-    broadcast_rows (8 MB) are broadcast, so that df's rows stay where they are; more are joined by a shuffle."""
+def with_rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two long columns that name each of its rows, and their names: the hash of the row's file and its place in
+    the file, so a doc_id that is null or stands on several rows doesn't mix them up. They are the same in each scan of the
+    same files. What isn't read from files is written first."""
+    names = ["_file", "_place"]
+    while set(names) & set(docs.columns):
+        names = [f"_{x}" for x in names]
+
+    def named(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(place["file_path"]).alias(names[0]), place["row_index"].alias(names[1]))
+
+    plan = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    scanned = all(re.match(r"[\s:+-]*(Relation|Project|Filter)\b", x) for x in plan)  # a join or an explode repeats rows of a file
+    return named(docs if scanned else written(docs, "docs")), names
+
+
+def among(df: DataFrame, ids: DataFrame, key: list[str], broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows of df whose key is in ids (the key's columns and few others, one row a key), with the others. ids are counted first:
+    at most broadcast_rows (some 12 MB) are broadcast, so that df's rows stay where they are; more are joined by a shuffle."""
     small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, key)
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:

@@ -7,9 +7,9 @@ digest that may hold a `support` share of the rows; an exact count verifies them
 more than that share, so the rest shuffles evenly by digest.
 
 Defined results: a null text counts as empty; the smallest non-null doc_id of equal texts stays; rows with a null doc_id
-are kept only where all of their group's are null; rows that repeat a doc_id each count in group_size, and all rows with
-the kept doc_id are marked kept (deduplicate() returns one of them). Extra columns never enter: only doc_id and text are
-read.
+are kept only where all of their group's are null; rows that repeat a doc_id each count in group_size, and all rows of the
+group with the kept doc_id are marked kept (deduplicate() returns one of them). Extra columns never enter: only doc_id and text
+are read.
 """
 
 from __future__ import annotations
@@ -17,35 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import SPACE, written
+from ._tables import SPACE, settled, with_rows, written
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text, in binary."""
-    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, the SHA-256 of the normalised text, in binary, and other columns."""
+    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), *others)
 
 
-def heavy(rows: DataFrame, support: float) -> DataFrame:
-    """The digests that hold over a `support` share of the rows, with the row that stays and their exact count; at most
+def heavy(rows: DataFrame, support: float, *kept: Column) -> DataFrame:
+    """The digests that hold over a `support` share of the rows, with what is kept of each and their exact count; at most
     1/support rows."""
     total = rows.count()
     found = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
     verified = rows.join(F.broadcast(found), "digest", "left_semi").groupBy("digest")
-    return verified.agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > support * total)
+    return verified.agg(*kept, F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > support * total)
+
+
+def grouped(rows: DataFrame, support: float, *kept: Column) -> DataFrame:
+    """rows (with digest) with what is kept of each group of a digest, and group_size."""
+    winners = F.broadcast(written(heavy(rows, support, *kept), "heavy"))
+    rest = rows.join(winners, "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(*kept, F.count(F.lit(1)).alias("group_size"))
+    return rows.join(winners, "digest").unionByName(rest.join(groups, "digest"))
 
 
 def exact_groups(docs: DataFrame, support: float = 1e-3) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text)."""
-    rows = written(digests(docs), "digests")
-    winners = F.broadcast(written(heavy(rows, support), "heavy"))
-    hot = rows.join(winners, "digest")
-    rest = rows.join(winners, "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return hot.unionByName(rest.join(groups, "digest")).select(
+    return grouped(written(digests(docs), "digests"), support, F.min("doc_id").alias("keep_id")).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -55,14 +58,13 @@ def exact_groups(docs: DataFrame, support: float = 1e-3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, support: float = 1e-3) -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has; all columns stay. Only doc_ids that go are joined, and rows
-    that repeat a kept doc_id are one document given twice, of which one row stays."""
-    gone = exact_groups(docs.select("doc_id", "text"), support).where(~F.col("kept") | F.col("group_size").__gt__(1))
-    again = gone.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    gone = written(gone.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    again = written(again, "again")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return left.select(docs.columns)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    """One row of docs for each distinct text, all columns: the one with the smallest doc_id, null ids last. Rows are told
+    apart by their place in the table, so a doc_id that is null or stands on several rows loses no text."""
+    named, row = with_rows(docs)
+
+    def decided() -> DataFrame:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *row)).alias("first")
+        groups = grouped(written(digests(named, *row), "digests"), support, first).where("group_size > 1")
+        return groups.where(F.struct(*row) != F.struct(*[F.col(f"first.{x}") for x in row])).select(*row)
+
+    return named.join(settled(docs.sparkSession, decided, "gone"), row, "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@
    going round again after the end. A document's taken tokens are its part of them.
 
 Nothing but (doc_id, source, size) is shuffled. Defined results: null texts have size 0 and take nothing; a null source is a
-source, the last in order; rows that repeat a doc_id count each. Extra columns are ignored.
+source, the last in order; rows that repeat a doc_id or have none count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import WORD, numbered, settled, written
+from ._tables import WORD, numbered, settled, with_rows, written
 
 
 def level(sources: DataFrame, total: int) -> float:
@@ -67,11 +67,13 @@ def cycled_weight(number: Column) -> Column:
     return F.pmod(number - 1, F.lit(3)) + 1
 
 
-def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycled_weight, block: int = 8, repeats: int = 3, shard_tokens: int = 200_000, most_shards: int = 4096, seed: int = 7) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken of every row of docs (doc_id, text, source). weight: of a source, by its number from 1
+def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycled_weight, block: int = 8, repeats: int = 3, shard_tokens: int = 200_000, most_shards: int = 4096, seed: int = 7, others: list[str] = []) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken and others (columns of docs) of every row of docs (doc_id, text, source). weight: of a source, by its number from 1
     in code point order."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = written(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    # the seeded order is by id and text: rows that repeat an id, or have none, stand apart, and a rerun finds the same order
+    seeded = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = written(docs.select("doc_id", "source", size.alias("size"), seeded.alias("_order"), *others), "sizes")
     sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"))
     sources = written(sources.withColumn("weight", weight(F.col("number"))).withColumn("cap", F.col("source_size") * repeats), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -80,26 +82,27 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cycled_weight, blo
     shards = F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)))
     sources = sources.select("source", "number", "source_size", target.alias("target"), shards.alias("shards"))
     joined = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    rows = written(joined.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))).drop("shards"), "sharded")
+    rows = written(joined.withColumn("shard", F.pmod(F.xxhash64("_order"), F.col("shards"))).drop("shards"), "sharded")
     shards = rows.groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     shards = written(shards.withColumn("votes", F.coalesce(F.try_divide(F.col("target") * F.col("shard_size"), "source_size"), F.lit(0.0))), "shards")
     quotas = sainte_lague(shards, "votes", round(total / block), ["number", "shard"])
     quotas = quotas.select("number", "shard", "shard_size", F.least(F.col("seats") * block, F.col("shard_size") * repeats).alias("quota"))
-    order = Window.partitionBy("number", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("number", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(quotas, ["number", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     whole = F.coalesce(F.floor(F.try_divide("quota", "shard_size")), F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("quota") - whole * F.col("shard_size") - F.col("before")))
-    return rows.select("doc_id", "size", "source", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *others)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: each row of docs as many times as it is taken; of a document taken in part (one a shard), its
-    last time is given if half of it or more is taken. Rows that repeat a doc_id are taken alike."""
+    last time is given if half of it or more is taken. Rows are told apart by their place in the table."""
+    named, row = with_rows(docs)
+    times = "".join(row)
 
     def decided() -> DataFrame:
-        taken = mix(docs.select("doc_id", "text", "source"), **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-        times = F.floor(F.col("t") / F.col("s") + 0.5).cast("int")
-        return taken.where(F.col("s") > 0).select("doc_id", times.alias("times")).where("times > 0")
+        rounded = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
+        return mix(named, others=row, **how).select(*row, rounded.alias(times)).where(F.col(times) > 0)
 
     taken = settled(docs.sparkSession, decided, "taken")
-    return docs.join(taken, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    return named.join(taken, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)

@@ -22,8 +22,10 @@
    errors) go. The others are confirmed on the full sets, which are computed anew for the documents that need them.
 5. Links become components by alternating large-star and small-star steps, each one aggregation and one join.
 
-Defined results: null and empty texts and texts without words have no shingles, link with nothing and stay; a null doc_id
-is linked with nothing and stays; rows that repeat a doc_id are one node. Extra columns are ignored.
+Each row is a node of its own, named by its place in the table. Defined results: null and empty texts and texts without words
+have no shingles, link with nothing and stay; rows that repeat a doc_id or have none are rows like others (the smallest doc_id
+of a group is that of its rows that have one, null if none has); equal texts with one doc_id are all marked kept, and one of
+them stays in drop_near_copies(). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import among, settled, written
+from ._tables import among, settled, with_rows, written
 from ._words import buffers, pieces, shingles, word_hashes
 
 
@@ -64,45 +66,48 @@ def _bitmap(hashes: np.ndarray, bits: int, parity: bool) -> np.ndarray:
     return np.packbits(counts & 1 if parity else counts > 0).view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, keep: int, listed: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty or without doc_id), sketch (the smallest `keep` hashes), bits (bitmap of
-    the smallest `listed` ones, then the parity bitmap of all)."""
+def sketches(docs: DataFrame, width: int, keep: int, listed: int, row: list[str]) -> DataFrame:
+    """doc_id, row, n_shingles, digest of the set (null if empty), sketch (the smallest `keep` hashes), bits (bitmap of the
+    smallest `listed` ones, then the parity bitmap of all) of docs (doc_id, text, row: two columns that name a row)."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, digests, least, bits = batch.column("doc_id"), [], [], [], []
+            sizes, digests, least, bits = [], [], [], []
             for _, s in _sets(batch, width):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 least.append(s[:keep])  # np.unique sorts
                 bits.append(np.concatenate([_bitmap(s[:listed], RETAINED_BITS, False), _bitmap(s, PARITY_BITS, True)]))
-            valid = ids.is_valid().to_pylist()
+            own = ["doc_id", *row]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array([d if v else None for d, v in zip(digests, valid)], pa.binary()), _lists(least), _lists(bits)],
-                ["doc_id", "n_shingles", "digest", "sketch", "bits"],
+                [*map(batch.column, own), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(least), _lists(bits)], [*own, "n_shingles", "digest", "sketch", "bits"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>")
+    schema = f"doc_id long, {row[0]} long, {row[1]} long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", *row).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id and members of docs (id, text)."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([s for _, s in _sets(batch, width)])], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([s for _, s in _sets(batch, width)])], ["id", "members"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, members array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and root (the smallest id reachable) of every node of edges (a, b)."""
+    """id and root (the smallest id reachable) of every node of edges (a, b). Least neighbours are written before they are
+    joined, so that Spark can split the join where one node has very many edges."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.where("u <> v").distinct(), "edges")
@@ -112,13 +117,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def split_join(pairs: DataFrame, key: str, side: DataFrame, most: int = 1000) -> DataFrame:
+    """pairs joined with side (one row a key) on key. A key of more than `most` pairs is split into parts of about that many,
+    each of which gets its copy of the side's row."""
+    hot = pairs.groupBy(key).count().where(f"count > {most}").select(key, F.ceil(F.col("count") / most).cast("int").alias("_ways"))
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        return pairs.join(side, key)
+    ways = F.coalesce("_ways", F.lit(1))
+    pairs = pairs.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), ways).cast("int")).drop("_ways")
+    side = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return pairs.join(side, [key, "_part"]).drop("_part")
+
+
 class _Linker:
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, keep: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+    """docs: row, text; classes: id, n, sketch and row of its representative."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, row: list[str], width: int, percent: int, keep: int):
+        self.docs, self.classes, self.row, self.width, self.percent = docs, classes, row, width, percent
         j = percent / 100
         self.least = j - 5 * sqrt(j * (1 - j) / keep)
         self.keep = keep
-        self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
@@ -130,24 +149,26 @@ class _Linker:
     def link(self, pairs: DataFrame, name: str) -> None:
         """Confirms pairs (a, b, na, nb) and joins what they link."""
         pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "met")
         side = lambda x: self.classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = split_join(split_join(pairs, "a", side("a")), "b", side("b"))
         # sketches are sorted as unsigned; so are their unions, after the sign bit is flipped
         flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2**63))))
         both = both.withColumn("union", F.slice(F.array_sort(flip(F.array_union("sa", "sb"))), 1, self.keep))
         shared = F.size(F.array_intersect("union", flip(F.array_intersect("sa", "sb"))))
         pairs = written(both.where(shared >= F.size("union") * F.lit(self.least)).select("a", "b"), f"pairs-{name}")
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = written(ids.join(self.classes.select("id", *self.row), "id"), "ids")
         if ids.isEmpty():
             return
-        sets = written(full_sets(among(self.docs, ids), self.width), "sets")
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m{x}"))
+        sets = written(full_sets(among(self.docs, ids, self.row), self.width), "sets")
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
         shared = F.size(F.array_intersect("ma", "mb"))
-        joint = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("i"), (F.size("ma") + F.size("mb") - shared).alias("u"))
+        joint = split_join(split_join(pairs, "a", side("a")), "b", side("b"))
+        joint = joint.select("a", "b", shared.alias("i"), (F.size("ma") + F.size("mb") - shared).alias("u"))
         found = joint.where(F.col("i") * 100 >= F.col("u") * self.percent).select("a", "b")
-        self.edges = written(found if self.edges is None else self.edges.union(found), "links")
-        self.roots = components(self.edges)
+        # what was linked before goes on as stars
+        self.roots = components(found if self.roots is None else found.union(self.roots))
 
 
 def least_shared(percent: int, values: int, risk: float = 1e-6) -> int:
@@ -162,7 +183,7 @@ def least_shared(percent: int, values: int, risk: float = 1e-6) -> int:
 def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     """id, n and key: the inverted lists' entries, without values that only one class retains."""
     values = classes.select("id", "n", F.explode(F.slice("sketch", 1, listed)).alias("key"))
-    many = values.groupBy("key").count().where("count > 1")
+    many = written(values.groupBy("key").count().where("count > 1"), "values")
     shared = values.join(many, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("shared"))  # at most `listed`
     retained = F.least("n", F.lit(listed))
     # a set whose partners are all retained whole shares percent of its size; of larger ones the retained values share enough
@@ -173,14 +194,24 @@ def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     return shared.select("id", "n", F.explode(entered).alias("entry")).select("id", "n", F.col("entry.key").alias("key"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, also=None) -> DataFrame:
-    """Pairs of rows (key, id, n, label) of one key and different labels; also: a further condition on columns that end in a and
-    b."""
-    a, b = (rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in rows.columns if c not in ("key", "id")]) for x, rows in (("a", a), ("b", b)))
-    met = (a["key"] == b["key"]) & (F.col("labela") != F.col("labelb")) & (F.col("a") != F.col("b"))
+def _pairs(a: DataFrame, b: DataFrame, also=None, blocks: list[str] = []) -> DataFrame:
+    """Pairs of rows (key, id, n, label) of one key, and of one of each of blocks, and different labels; also: a further
+    condition on columns that end in a and b."""
+    on = ["key", *blocks]
+    a, b = (rows.select(*on, F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in rows.columns if c not in (*on, "id")]) for x, rows in (("a", a), ("b", b)))
+    met = (F.col("labela") != F.col("labelb")) & (F.col("a") != F.col("b"))
+    for c in on:
+        met = (a[c] == b[c]) & met
     return a.join(b, met if also is None else met & also).select("a", "b", F.col("na"), F.col("nb"))
 
 
+def _blocks(rows: DataFrame, own: str, other: str, block: int) -> DataFrame:
+    """rows (key, id, size of the key's list, ...), each in its own block of about `block` members of the list, once for
+    each block of the other side: a long list is met block by block, in as many tasks."""
+    ways = F.ceil(F.col("size") / block).cast("int")
+    return rows.withColumn(own, F.pmod(F.xxhash64("id"), ways).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), ways - 1))).drop("size")
+
+
 def _linkable(percent: int, listed: int):
     """What holds for every linked pair of classes a and b, by their bitmaps."""
     first = RETAINED_BITS // 64
@@ -198,17 +229,22 @@ def _linkable(percent: int, listed: int):
     )
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keep: int = 64, listed: int = 32, direct: int = 32) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): documents whose sets of `width`-word
     shingles have 100 * intersection >= percent * union are linked."""
-    return settled(docs.sparkSession, lambda: _groups(docs, width, percent, keep, listed, direct), "groups")
-
-
-def _groups(docs: DataFrame, width: int, percent: int, keep: int, listed: int, direct: int) -> DataFrame:
-    every = written(sketches(docs, width, keep, listed), "sketches")
-    classes = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
-    classes = written(classes, "classes")
-    linker = _Linker(docs, classes, width, percent, keep)
+    named, row = with_rows(docs)
+    found = settled(docs.sparkSession, lambda: _groups(named, row, width, percent, **how), "groups")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame, row: list[str], width: int, percent: int, keep: int = 64, listed: int = 32, direct: int = 32, block: int = 512) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, and stays: whether it is the row of its component that stays."""
+    every = written(sketches(docs, width, keep, listed, row).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    one = F.min_by(F.struct("node", *row, "n_shingles", "sketch", "bits"), "node").alias("one")
+    classes = every.where("digest is not null").groupBy("digest").agg(first, one)
+    classes = written(classes.select("digest", "first", F.col("one.node").alias("id"), *[f"one.{x}" for x in row], F.col("one.n_shingles").alias("n"), "one.sketch", "one.bits"), "classes")
+    linker = _Linker(docs.select("text", *row), classes, row, width, percent, keep)
     rows = written(entries(classes, percent, listed).withColumn("label", F.col("id")), "entries")
     for chosen in (F.col("id"), F.xxhash64("id", "key")):
         centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.struct(chosen, "id")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -216,24 +252,33 @@ def _groups(docs: DataFrame, width: int, percent: int, keep: int, listed: int, d
         linker.link(_pairs(centre, rows), "star")
         rows = linker.labelled(rows.drop("label"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        rows = written(rows.join(mixed, "key"), "mixed")
+        rows = written(rows.join(written(mixed, "keys"), "key"), "mixed")
         if rows.isEmpty():
             break
     else:
         counts = rows.groupBy("key", "label").count()
         lists = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("size"))
-        rows = written(rows.join(lists, "key"), "lists")
-        rows = rows.join(classes.select("id", "bits"), "id")
-        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest"))).select("key", "id", "n", "label", "bits")
-        linker.link(_pairs(outside, rows.select(outside.columns), _linkable(percent, listed)), "across")
-    ids = every.join(classes.select("digest", "id"), "digest", "left")
-    if linker.roots is not None:
-        ids = ids.join(linker.roots, "id", "left").withColumn("id", F.coalesce("root", "id"))
-    component = F.coalesce("id", "doc_id")
-    return ids.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group, all columns."""
-    gone = near_groups(docs.select("doc_id", "text"), **how).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+        rows = rows.join(written(lists, "lists"), "key").join(classes.select("id", "bits"), "id")
+        rows = written(rows, "lists")
+        wanted = ["key", "id", "n", "label", "bits", "size"]
+        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest"))).select(wanted)
+        a, b = _blocks(outside, "_i", "_j", block), _blocks(rows.select(wanted), "_j", "_i", block)
+        linker.link(_pairs(a, b, _linkable(percent, listed), ["_i", "_j"]), "across")
+    ids = classes.select("digest", "first", "id")
+    if linker.roots is None:
+        ids = ids.select("digest", "first")
+    else:
+        ids = written(linker.labelled(ids), "labels")
+        least = written(ids.groupBy("label").agg(F.min("first").alias("first")), "components")
+        ids = ids.drop("first").join(least, "label").select("digest", "first")
+    linked = every.where("digest is not null").join(written(ids, "found"), "digest")
+    linked = linked.select("doc_id", *row, "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("stays"))
+    alone = every.where("digest is null").select("doc_id", *row, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.unionByName(alone)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
+    """One row of each group of docs, all columns: the one with the smallest doc_id, null ids last."""
+    named, row = with_rows(docs)
+    gone = settled(docs.sparkSession, lambda: _groups(named, row, width, percent, **how).where("not stays").select(*row), "gone")
+    return named.join(gone, row, "left_anti").select(docs.columns)

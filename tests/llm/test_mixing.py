@@ -70,6 +70,23 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixed(odd_docs).columns == odd_docs.columns
 
 
+def test_mixed_works_on_rows(spark):
+    """Rows without a doc_id, and rows that repeat one, are taken like others."""
+    rows = [(None, f"w {i} x", "a") for i in range(30)] + [(7, "y " * (i + 1), "b") for i in range(10)] + [(i, "z z", "c") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mixed(docs, block=1, shard_tokens=20)
+    assert found.columns == docs.columns
+    out = [tuple(r) for r in found.collect()]
+    size = lambda r: len(r[1].split())
+    sizes = {s: sum(size(r) for r in rows if r[2] == s) for s in "abc"}
+    want = plain_targets(sizes)
+    for s in "abc":
+        assert abs(sum(size(r) for r in out if r[2] == s) - want[s]) <= 0.25 * want[s] + 10, s
+    assert set(out) <= set(rows) and len({r for r in out if r[0] is None}) > 3
+    taken = lambda df: sorted((r["size"], r.taken) for r in mix(df, block=1, shard_tokens=20).collect())
+    assert taken(docs) == taken(docs.repartition(2))
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), "id")
     assert all(r.number == r.x + 1 for r in numbered(df, F.asc("x")).collect())
