@@ -8,13 +8,13 @@ by side. Gates use the piecewise linear sigmoid clip(x, 0, 1) and the candidate
 
 Training is backpropagation through time in numpy, on the driver, over a bounded sample: at most `sample` labelled documents
 (those whose hash is least, in equal parts for each language; the bound is a parameter), and from each one window of
-`learn_window` bytes at a random place for each pass. Prediction is a map over all documents with the weights (a few
+`learn_window` bytes at a random place of the whole text for each pass. Prediction is a map over all documents with the weights (a few
 kilobytes, with the letter pairs at most 4 MB) in the task.
 
 The network gives every text one of the languages learnt; where others are to be told (in keep_identified), the letter pairs
 of the same sample say which texts are unlike all of them.
 
-Defined results: null texts and texts without a letter are `und` with score 0; the score is the pooled probability of the
+Defined results: null texts and texts without a letter (signs such as ² and Ⅷ are none) are `und` with score 0; the score is the pooled probability of the
 language given. Without any labelled document, all are `und`. Extra columns are ignored.
 """
 
@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import written
 from ._words import buffers
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and signs such as ² and Ⅷ
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def is_held_out() -> F.Column:
@@ -63,13 +66,13 @@ class Fit:
     long: int = 64
 
     @classmethod
-    def new(cls, texts: list[bytes], y: np.ndarray, labels: int, seed: int, least: int = 20, floor: float = 0.75, tables: int = 16) -> Fit | None:
+    def new(cls, texts: list[list[bytes]], y: np.ndarray, labels: int, seed: int, least: int = 20, floor: float = 0.75, tables: int = 16) -> Fit | None:
         """A fifth of the texts is left out of likely; None if these are fewer than `least`. far is `floor` bits at least, for
         a few words of its own are in many a text."""
         left_out = np.random.default_rng(seed).permutation(len(texts)) % 5 == 0
         if left_out.sum() < least:
             return None
-        each = [pairs(np.frombuffer(t, np.uint8)) for t in texts]
+        each = [np.concatenate([pairs(np.frombuffer(t, np.uint8)) for t in parts]) for parts in texts]
         labels = min(labels, tables)  # beyond this, languages share tables, which are sent to the tasks
         counts = np.full((labels, 65536), 0.02)
         for k in np.flatnonzero(~left_out):
@@ -190,8 +193,8 @@ class Network:
             found += [dE, dW]
         return float(loss), found
 
-    def learn(self, texts: list[bytes], y: np.ndarray, window: int, passes: int, batch: int, rate: float, seed: int) -> None:
-        """Adam with a falling rate."""
+    def learn(self, texts: list[list[bytes]], y: np.ndarray, window: int, passes: int, batch: int, rate: float, seed: int) -> None:
+        """Adam with a falling rate. texts: the parts of each, of which every pass takes one."""
         rng, values = np.random.default_rng(seed), [self.V, self.E[0], self.W[0], self.E[1], self.W[1]]
         first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
         total = passes * max(1, -(-len(texts) // batch))
@@ -201,7 +204,8 @@ class Network:
                 part = order[i : i + batch]
                 x = np.zeros((window, len(part)), np.int64)
                 for k, j in enumerate(part):
-                    text = texts[j] * (window // max(1, len(texts[j])) + 1) if len(texts[j]) < window else texts[j]
+                    text = texts[j][rng.integers(len(texts[j]))]
+                    text = text * (window // max(1, len(text)) + 1) if len(text) < window else text
                     at = rng.integers(0, len(text) - window + 1)
                     x[:, k] = np.frombuffer(text, np.uint8, window, at)
                 _, grads = self.gradients(x, y[part])
@@ -243,23 +247,47 @@ class Network:
         return sums / np.maximum(size, 1)[:, None]
 
 
-def sample_of(docs: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
-    """At most `sample` labelled documents, in equal parts for the languages in counts (with their rows): those with the
-    least hashes. Four times as many as asked for pass a threshold of their language first, on the map side; only those
-    are ranked."""
+def draw(rows: DataFrame, window: int, passes: int, seed: int) -> DataFrame:
+    """lang, hash and parts of rows (lang, hash, text): the whole text if it has at most passes * window bytes, else as many
+    windows at random places of the whole text. So what a text sends to the driver is bounded."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            parts = []
+            for k, h in enumerate(batch.column("hash").to_pylist()):
+                a, b = int(offsets[k]), int(offsets[k + 1])
+                if b - a <= window * passes:
+                    parts.append([data[a:b].tobytes()])
+                else:
+                    at = np.random.default_rng([seed, h & (2**63 - 1)]).integers(a, b - window + 1, passes)
+                    parts.append([data[i : i + window].tobytes() for i in at])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(parts, pa.list_(pa.binary()))], ["lang", "hash", "parts"])
+
+    return rows.mapInArrow(run, "lang string, hash long, parts array<binary>")
+
+
+def sample_of(docs: DataFrame, counts: dict[str, int], sample: int, window: int, passes: int, seed: int) -> DataFrame:
+    """lang, hash and parts (see draw) of at most `sample` labelled documents, in equal parts for the languages in counts (with their rows): all
+    of a language with no more than its part, else those with the least hashes. Of the others, four times as many as asked
+    for pass a threshold of their language first, on the map side; only those are ranked, in `ways` ranges of the hash that
+    share a language's part."""
     each, parts = max(1, sample // len(counts)), 1_000_003
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(parts, 4 * each * parts // n + 1))])
+    ways = min(16, each)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, parts if n <= each else min(parts, 4 * each * parts // n + 1))])
+    few = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, n <= each)])
     labelled = docs.where(F.col("lang").isin(list(counts)) & F.col("text").isNotNull() & ~is_held_out())
-    rows = labelled.select("doc_id", "lang", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(parts)).alias("order"))
-    rows = rows.where(F.col("order") < share[F.col("lang")])
-    few = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("rank") <= each)
-    return labelled.select("doc_id", "lang", "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
+    hashed = F.xxhash64("doc_id", "text", F.lit("sample"))
+    rows = labelled.select("lang", "text", hashed.alias("hash")).where(F.pmod("hash", F.lit(parts)) < share[F.col("lang")])
+    drawn = draw(rows.select("lang", "hash", "text"), window, passes, seed)
+    rank = F.row_number().over(Window.partitionBy("lang", F.pmod("hash", F.lit(ways))).orderBy(F.pmod("hash", F.lit(parts)), "hash"))
+    return drawn.withColumn("rank", rank).where(few[F.col("lang")] | (F.col("rank") <= each // ways)).select("lang", "hash", "parts")
 
 
-def train(docs: DataFrame, sample: int = 1200, text_bytes: int = 20_000, state: int = 8, embedding: int = 4, learn_window: int = 64, passes: int = 40, seed: int = 11) -> Network | None:
+def train(docs: DataFrame, sample: int = 1200, state: int = 8, embedding: int = 4, learn_window: int = 64, passes: int = 40, seed: int = 11) -> Network | None:
     """The network learnt from the labelled documents that aren't held out. What reaches the driver is bounded: `sample`
-    texts, of longer ones a random `text_bytes` characters (windows are drawn from these). Every value of lang is learnt; more
-    values than `sample` are an error."""
+    texts of at most passes * learn_window bytes each, longer ones as windows drawn from the whole text. Every value of lang
+    is learnt; more values than `sample` are an error."""
     counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["lang"]: r["n"] for r in counts.limit(sample + 1).collect()}
     if len(counts) > sample:
@@ -267,42 +295,43 @@ def train(docs: DataFrame, sample: int = 1200, text_bytes: int = 20_000, state:
     labels = sorted(counts)
     if not labels:
         return None
-    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - text_bytes, F.lit(0)) + 1)
-    drawn = sample_of(docs, counts, sample).select("doc_id", "lang", F.substr("text", start.cast("int"), F.lit(text_bytes)).alias("text"))
-    rows = sorted((r for r in drawn.collect() if r["text"].encode()), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    drawn = sample_of(docs, counts, sample, learn_window, passes, seed).collect()
+    rows = sorted((r["hash"], r["lang"], [bytes(x) for x in r["parts"]]) for r in drawn if any(r["parts"]))
     if not rows:
         return None
     network = Network.new(labels, state, embedding, seed)
-    y = np.array([labels.index(r["lang"]) for r in rows])
-    network.learn([r["text"].encode() for r in rows], y, learn_window, passes, 128, 0.02, seed)
-    network.fit = Fit.new([r["text"].encode() for r in rows], y, len(labels), seed)
+    texts, y = [r[2] for r in rows], np.array([labels.index(r[1]) for r in rows])
+    network.learn(texts, y, learn_window, passes, 128, 0.02, seed)
+    network.fit = Fit.new(texts, y, len(labels), seed)
     return network
 
 
+def predicted(texts: pa.Array, network: Network | None, window: int, reject: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The language of each text and its score."""
+    n = len(texts)
+    letters = np.array([has_letter(t.as_py()) for t in texts], bool)
+    best, score = np.zeros(n, np.int64), np.zeros(n)
+    if network is not None and n:
+        data, offsets = buffers(texts)
+        for i in range(0, n, 1024):
+            j = min(i + 1024, n)
+            pooled = network.pooled(data, offsets[i : j + 1], window)
+            best[i:j], score[i:j] = pooled.argmax(1), pooled.max(1)
+        if reject and network.fit is not None:
+            letters &= [network.fit.like(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    known = letters & (network is not None)
+    labels = np.array(network.labels if network is not None else ["und"], object)
+    return np.where(known, labels[best], "und"), np.where(known, np.clip(score, 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, network: Network | None, window: int = 128, reject: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text). Reads text alone for the prediction. reject:
     texts unlike those learnt (see Fit) are `und` with score 0, too."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            letters = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts], bool)
-            best, score = np.zeros(n, np.int64), np.zeros(n)
-            if network is not None and n:
-                data, offsets = buffers(texts)
-                for i in range(0, n, 1024):
-                    j = min(i + 1024, n)
-                    pooled = network.pooled(data, offsets[i : j + 1], window)
-                    best[i:j], score[i:j] = pooled.argmax(1), pooled.max(1)
-                if reject and network.fit is not None:
-                    letters &= [network.fit.like(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            known = letters & (network is not None)
-            labels = np.array(network.labels if network is not None else ["und"], object)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.where(known, labels[best], "und"), pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+            lang, score = predicted(batch.column("text"), network, window, reject)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", is_held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -312,9 +341,14 @@ def languages(docs: DataFrame, **how) -> DataFrame:
     return identify(docs, train(docs, **how))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, window: int = 128) -> DataFrame:
     """docs without those whose language isn't found: `und`, as noise and texts in an unlearned language are, or a score below
-    `least`. All columns stay."""
-    found = identify(docs, train(docs), reject=True)
-    gone = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct(), "unidentified")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    `least`. All columns stay; each row is decided by itself, so null and repeated doc_ids are like others."""
+    network = train(docs)
+
+    def run(batches):
+        for batch in batches:
+            lang, score = predicted(batch.column("text"), network, window, True)
+            yield batch.filter(pa.array((lang != "und") & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
