@@ -6,9 +6,9 @@ t1 < t2 < ...: P(grade >= k) = sigmoid(w.x - tk). It is fitted by likelihood wit
 weight and long texts don't add up noise. The result is the expected grade, the sum of P(grade >= k) over k.
 
 Fitting is on the driver over a bounded sample: at most `sample` labelled documents of each label value (those with the least
-hashes), of which hashed features are collected, not texts. Scoring is a map over all documents with one array of weights.
+hashes) with at most `most` features in all; these are collected, not texts. Scoring is a map over all documents with one array of weights.
 
-The label table tells toxic from not toxic. Severity among toxic texts is graded by how many of the words are typical of
+The label table tells toxic from not toxic, so severity here is one of wording: that among toxic texts is graded by how many of the words are typical of
 toxic texts in the sample (on at least `typical` times the share of toxic documents than of others, and on ten of them): up to the
 median is grade 1, above it grade 2. With a table that has grades of its own, fit() takes these.
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +58,19 @@ class Model:
         return _sigmoid(score[None, :] - self.thresholds[:, None])
 
 
-def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float = 2e-4, rounds: int = 300, rate: float = 0.3) -> Model:
-    """rows, values: the distinct buckets of each text and their values; grades: 0, 1, ..., all of which occur. Proximal AdaGrad on
-    all rows at once."""
+def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float = 2e-4, choice: float = 1e-3, rounds: int = 300) -> Model:
+    """rows, values: the distinct buckets of each text and their values; grades: 0, 1, ..., all of which occur. A first fit with
+    the penalty `choice` chooses the words; a second one with the lower `penalty` weighs these alone, which the first makes too
+    light."""
+    chosen = descend(rows, values, grades, bits, choice, rounds).weights != 0
+    if chosen.any():
+        values = [v[chosen[r]] for r, v in zip(rows, values)]
+        rows = [r[chosen[r]] for r in rows]
+    return descend(rows, values, grades, bits, penalty, rounds)
+
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, penalty: float, rounds: int, rate: float = 0.3) -> Model:
+    """Proximal AdaGrad on all rows at once, see fit()."""
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
     used, column = np.unique(flat, return_inverse=True)
     column = column.astype(np.int64)
@@ -109,9 +120,10 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, bits: int, typical: float)
     return grades if (grades == 2).any() else (toxic == 1).astype(np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits: int, most: int = 8_000_000) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Features and label values of at most `sample` documents of each value, and of ten times as many in all, in equal parts
-    for the values. More values than that are an error."""
+    for the values; of these, of each value the first whose features are at most its part of `most` (8 bytes each). More
+    values than that are an error. A value's documents are ranked in `ways` ranges of their hash, which share its part."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(F.col(value).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(10 * sample + 1).collect()}
     if len(counts) > 10 * sample:
@@ -119,10 +131,14 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits:
     if len(counts) < 2:
         return [], [], np.zeros(0, np.int64)
     parts, sample = 1_000_003, min(sample, 10 * sample // len(counts))
-    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(parts, 4 * sample * parts // n + 1))])
-    rows = known.where(F.col("y").isin(list(counts))).withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("order", "doc_id"))
-    few = rows.where(F.col("order") < share[F.col("y")]).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "y")
+    ways = min(16, sample)
+    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, parts if n <= sample else min(parts, 4 * sample * parts // n + 1))])
+    all_ = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, n <= sample)])
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts))
+    rows = known.where(F.col("y").isin(list(counts))).withColumn("order", hashed).where(F.col("order") < share[F.col("y")])
+    way = F.pmod(F.xxhash64("doc_id"), F.lit(ways))
+    rank = F.row_number().over(Window.partitionBy("y", way).orderBy("order", "doc_id"))
+    few = rows.withColumn("rank", rank).where(all_[F.col("y")] | (F.col("rank") <= sample // ways)).select("doc_id", "y", "order", way.alias("way"))
 
     def run(batches):
         for batch in batches:
@@ -132,12 +148,18 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, sample: int, bits:
                 words[i : i + n] = [bucket[cuts[k] : cuts[k + 1]] for k in range(n)]
                 values[i : i + n] = [value[cuts[k] : cuts[k + 1]] for k in range(n)]
             arrays = pa.array([x.astype(np.int32) for x in words], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in values], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *arrays], ["doc_id", "y", "words", "values"])
+            own = ["doc_id", "y", "order", "way"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), *arrays], [*own, "words", "values"])
 
+    # at most a row for each of the sample; a doc_id on several rows gives several
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id")
-    found = joined.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>, values array<float>").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return [np.array(r["words"], np.int64) for r in found], [np.array(r["values"]) for r in found], np.array([r["y"] for r in found])
+    found = joined.select("doc_id", "text", "y", "order", "way").mapInArrow(run, "doc_id long, y int, order long, way long, words array<int>, values array<float>")
+    so_far = Window.partitionBy("y", "way").orderBy("order", "doc_id", "words").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = found.withColumn("so_far", F.sum(F.size("words")).over(so_far)).where(F.col("so_far") <= most // (len(counts) * ways))
+    table = bounded.select("doc_id", "y", "words", "values").toArrow().combine_chunks()
+    table = table.take(pc.sort_indices(table.append_column("n", pc.list_value_length(table["words"])), [("doc_id", "ascending"), ("n", "ascending")]))
+    words, values = ([x.values.to_numpy() for x in table.column(c)] for c in ("words", "values"))
+    return words, values, table.column("y").to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, value: str = "toxic", sample: int = 4000, bits: int = 18, typical: float = 8.0) -> Model | None:
