@@ -18,7 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._words import buffers, mix, pieces, shingles, word_hashes
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+_END = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
 
 
 def _compared(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
@@ -136,7 +137,7 @@ def _key(row: tuple) -> tuple:
 
 
 def _ends(batches):
-    """Of a partition: its first and its last row in the order of (doc_id, text)."""
+    """Of a partition: its first and its last row in the order of (doc_id, text), with the partition's number."""
     least = most = None
     for batch in batches:
         keys = [(x is not None, x or 0) for x in batch.column("doc_id").to_pylist()]
@@ -147,26 +148,29 @@ def _ends(batches):
                 least = row if least is None or _key(row) < _key(least) else least
                 most = row if most is None or _key(row) > _key(most) else most
     if least is not None:
-        yield pa.RecordBatch.from_pylist([{"doc_id": r[0], "text": r[1], "last": k} for k, r in enumerate((least, most))], _ROW.append(pa.field("last", pa.int32())))
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pylist([{"part": part, "doc_id": r[0], "text": r[1], "last": bool(k)} for k, r in enumerate((least, most))], _END)
 
 
 def _outer(batches):
-    """All partitions' ends, in one task: the row after each last row is the next partition's first one; after the very last
-    the very first. There are two rows for each partition."""
-    rows = sorted((((*_key((x["doc_id"], x["text"])), x["last"]), x) for b in batches for x in b.to_pylist()), key=lambda r: r[0])
-    rows = [x for _, x in rows]
-    firsts = [x for x in rows if not x["last"]]
-    lasts = [x for x in rows if x["last"]]
-    for k, x in enumerate(lasts):
-        yield _compared([x["doc_id"]], [x["text"]], [firsts[(k + 1) % len(firsts)]["text"]])
+    """Of partitions' last rows: each with the text of the row after it."""
+    for batch in batches:
+        for x in batch.to_pylist():
+            yield _compared([x["doc_id"]], [x["text"]], [x["next_text"]])
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): its fingerprint, the one of its edited text (the last half of its characters
     replaced by as many of the next document's first ones), and the likeness to both. Next is by (doc_id, text), nulls
-    first. Texts are shuffled once, by ranges of doc_id: both branches below read the same exchange."""
+    first. Texts are shuffled once, by ranges of doc_id: all branches below read the same exchange. A partition's last row
+    meets the next partition's first one in a join by the partition's number; the window orders these numbers alone."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id")
     inner = ranged.sortWithinPartitions("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_inner, _OUT)
-    ends = ranged.mapInArrow(_ends, "doc_id long, text string, last int")
-    return inner.unionByName(ends.repartition(1).mapInArrow(_outer, _OUT))
+    # the shuffle keeps _ends in a stage of its own, where a task's number is its partition's
+    ends = ranged.mapInArrow(_ends, "part int, doc_id long, text string, last boolean").repartition(n, "part")
+    first = ends.where("not last").select(F.col("part").alias("next"), F.col("text").alias("next_text"))
+    every, order = Window.partitionBy(), Window.orderBy("part")
+    after = ends.where("not last").select("part").select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(every)).alias("next"))
+    last = ends.where("last").join(after, "part").join(first, "next").select("doc_id", "text", "next_text")
+    return inner.unionByName(last.mapInArrow(_outer, _OUT))
