@@ -3,9 +3,10 @@
 Entries (host, directory, verdict) are written as `host/directory/`. An index has their 64-bit xxhash keys, sorted, and beside
 them the full strings and verdicts. The files are made once, sent to all executors with SparkContext.addFile, and mapped into
 memory there, so the Python workers of a machine share one copy and a task reads only the pages its searches touch. For a batch of
-URLs all strings that could match (each suffix of the host at a dot with each prefix of the path at a slash) are hashed and
-sought with one vectorised binary search; a found key counts only if the stored string is the same, so two strings of one
-key are told apart. The longest entry that fits decides.
+URLs the keys of all strings that could match (each suffix of the host at a dot with each prefix of the path at a slash, up to the
+most labels and slashes of any entry, so a URL of any length costs little) are sought with one vectorised binary search; a
+found key counts only if the stored string is the same, so two strings of one key are told apart. The longest entry that fits
+decides.
 
 Defined results: a null URL or one without :// has an empty host and path and is allowed. A path without a slash is matched
 by no entry. Extra columns are ignored.
@@ -13,6 +14,7 @@ by no entry. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -49,6 +51,8 @@ def write_index(entries: Iterable[tuple[str, str, str, bool]], folder: str) -> l
         "ends": np.cumsum([0] + [len(x[1]) for x in ordered], dtype=np.int64),
         "kinds": np.array([x[2] for x in ordered], np.uint8),
         "names": np.frombuffer(blob, np.uint8),
+        # the most labels of a host and the most slashes of a directory: longer candidates match no entry
+        "most": np.array([max((x[1].partition(b"/")[0].count(b".") + 1 for x in ordered), default=0), max((x[1].count(b"/") for x in ordered), default=0)]),
     }
     paths = []
     for part, values in parts.items():
@@ -61,19 +65,18 @@ class Index:
     """An index mapped into memory."""
 
     def __init__(self, paths: list[str]):
-        self.keys, self.ends, self.kinds, self.names = (np.load(p, mmap_mode="r") if os.path.getsize(p) > 128 else np.load(p) for p in paths)
+        self.keys, self.ends, self.kinds, self.names, most = (np.load(p, mmap_mode="r") if os.path.getsize(p) > 128 else np.load(p) for p in paths)
+        self.labels, self.depth = map(int, most)
 
-    def find(self, names: list[bytes]) -> np.ndarray:
-        """Of each name: the place of its entry, or -1."""
-        import xxhash
-
-        keys = np.fromiter((xxhash.xxh64_intdigest(n) for n in names), np.uint64, len(names))
+    def find(self, keys: np.ndarray, name) -> np.ndarray:
+        """Of each key: the place of its entry, or -1. name(k) gives the string of the k-th key, and is asked only where the key
+        is found."""
         at = np.searchsorted(self.keys, keys)
-        out = np.full(len(names), -1)
+        out = np.full(len(keys), -1)
         for k in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else []:
             i = at[k]
             while i < len(self.keys) and self.keys[i] == keys[k]:  # entries of one key stand side by side
-                if self.names[self.ends[i] : self.ends[i + 1]].tobytes() == names[k]:
+                if self.names[self.ends[i] : self.ends[i + 1]].tobytes() == name(k):
                     out[k] = i
                 i += 1
         return out
@@ -92,28 +95,57 @@ def parts_of(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def candidates(host: str, path: str) -> list[str]:
-    """Every string whose entry would fit: suffixes of the host at dots, with prefixes of the path up to each slash."""
-    hosts = [host[i:] for i in [0, *(k + 1 for k, c in enumerate(host) if c == ".")]]
-    return [h + path[: k + 1] for k, c in enumerate(path) if c == "/" for h in hosts] if path.startswith("/") else []
+def candidates(host: str, path: str, labels: int, depth: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """The xxhash keys of every string whose entry would fit, and where the host's suffix begins and the path's prefix ends:
+    suffixes of the host of at most `labels` labels, with prefixes of the path up to each of the first `depth` slashes.
+    Prefixes are hashed on from the shorter ones, so no such string is built."""
+    import xxhash
+
+    keys: list[int] = []
+    places: list[tuple[int, int]] = []
+    if not path.startswith("/"):
+        return keys, places
+    begins, at = [], len(host)
+    while at >= 0 and len(begins) < labels:
+        at = host.rfind(".", 0, at) if at > 0 else -1
+        begins.append(at + 1)
+    ends, at = [], 0
+    while at >= 0 and len(ends) < depth:
+        ends.append(at + 1)
+        at = path.find("/", at + 1)
+    for begin in begins:
+        hashed, before = xxhash.xxh64(host[begin:].encode()), 0
+        for end in ends:
+            hashed.update(path[before:end].encode())
+            keys.append(hashed.intdigest())
+            places.append((begin, end))
+            before = end
+    return keys, places
 
 
 _open: dict[tuple[str, ...], Index] = {}
+#: By application and content: the files sent for an index, and the driver's folder of them, which goes with the driver.
+_sent: dict[tuple[str, str], tuple[list[str], tempfile.TemporaryDirectory]] = {}
+
+
+def sent(spark: SparkSession, entries: list[tuple[str, str, str, bool]]) -> list[str]:
+    """Names under which the files of the index of entries are sent to all executors, once for each application."""
+    which = spark.sparkContext.applicationId, hashlib.sha256(repr(entries).encode()).hexdigest()
+    if which not in _sent:
+        folder, names = tempfile.TemporaryDirectory(prefix="urls-"), []
+        for path in write_index(entries, folder.name):  # each file under a name of its own: added files share one folder on the executors
+            names.append(f"urls-{uuid.uuid4().hex}-{os.path.basename(path)}")
+            own = os.path.join(folder.name, names[-1])
+            os.rename(path, own)
+            spark.sparkContext.addFile(own)
+        _sent[which] = names, folder
+    return _sent[which][0]
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], blocked: Iterable[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages (page_id, url). rules: (host, directory, verdict);
     blocked: (host, directory) of the blocklist, which decides where no rule fits."""
-    spark: SparkSession = pages.sparkSession
-    folder = os.path.join(tempfile.mkdtemp(), f"urls-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    paths = write_index([*((h, d, v, True) for h, d, v in rules), *((h, d, "block", False) for h, d in blocked)], folder)
-    names = []
-    for p in paths:  # each file under a name of its own: added files share one folder on the executors
-        own = f"{folder}-{os.path.basename(p)}"
-        os.rename(p, own)
-        spark.sparkContext.addFile(own)
-        names.append(os.path.basename(own))
+    names = sent(pages.sparkSession, [*((h, d, v, True) for h, d, v in rules), *((h, d, "block", False) for h, d in blocked)])
 
     def run(batches):
         key = tuple(names)
@@ -124,21 +156,23 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], blocked: Iter
         for batch in batches:
             urls = batch.column("url").to_pylist()
             split = [parts_of(u) for u in urls]
-            own = [candidates(h, p) for h, p in split]
-            at = index.find([s.encode() for c in own for s in c])
-            rule, verdict, k = [None] * len(urls), ["allow"] * len(urls), 0
-            for n, c in enumerate(own):
-                best = None
-                for s in c:
-                    if at[k] >= 0:
-                        kind = int(index.kinds[at[k]])
-                        rank = (kind >= 2, len(s))  # rules before the blocklist, then the longest
-                        if best is None or rank > best[0]:
-                            best = rank, s, kind
-                    k += 1
-                if best is not None:
-                    rule[n] = best[1] if best[2] >= 2 else None
-                    verdict[n] = "block" if best[2] & 1 else "allow"
+            own = [candidates(h, p, index.labels, index.depth) for h, p in split]
+            row = np.repeat(np.arange(len(urls)), [len(keys) for keys, _ in own])
+            first = np.concatenate([[0], np.cumsum([len(keys) for keys, _ in own])])
+
+            def name(k: int) -> bytes:
+                (host, path), (begin, end) = split[row[k]], own[row[k]][1][k - first[row[k]]]
+                return (host[begin:] + path[:end]).encode()
+
+            at = index.find(np.array([x for keys, _ in own for x in keys], np.uint64), name)
+            rule, best = [None] * len(urls), [(False, 0, 0)] * len(urls)
+            for k in np.flatnonzero(at >= 0):
+                kind, text = int(index.kinds[at[k]]), name(k).decode()
+                rank = (kind >= 2, len(text), kind)  # rules before the blocklist, then the longest
+                if rank > best[row[k]]:
+                    best[row[k]] = rank
+                    rule[row[k]] = text if kind >= 2 else None
+            verdict = ["block" if kind & 1 else "allow" for _, _, kind in best]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                 ["page_id", "host", "path", "rule", "verdict"],
