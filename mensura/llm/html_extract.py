@@ -26,6 +26,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -47,21 +48,36 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("article aside blockquote body div dl footer form header html main nav ol section table ul".split())
 #: Elements that are never an article's text, and words of a class, id or role that name such elements.
 DROPPED = frozenset("aside button dialog footer form head header iframe input menu nav noscript object script select style svg template textarea".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+_NAME = (
+    "ads? advert[a-z]* banner breadcrumbs? comments? commentlist consent cookies? disqus footer gdpr header login masthead menu modal nav navbar navigation "
+    "newsletter notices? pagination popup promo promoted related replies respond share sharing sidebar sponsor[a-z]* subscribe toolbar widget"
+).split()
+#: Words that stand before such a word in a name (site-footer), others (entry-header, with-sidebar) not.
+PLACES = "bottom global left main mobile page primary right secondary side site sub top".split()
+NAMES = re.compile(rf"(?:^|\s)(?:(?:{'|'.join(PLACES)})[_-])*(?:{'|'.join(_NAME)})(?:$|[\s_-])", re.I)
 CONTENT = frozenset(["article", "main"])
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo|promoted|related|replies|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
+CONTENT_NAMES = re.compile(r"(?:^|\s)(?:ads?|advert\w*|comments?|promo|promoted|related|replies|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 TEXT = frozenset("a b blockquote code em figcaption figure h1 h2 h3 h4 h5 h6 i li p pre q span strong table tbody td th tr".split())
 PHRASES = frozenset("a abbr b big cite code dd del dfn dt em font h1 h2 h3 h4 h5 h6 i ins kbd label li mark p pre q s samp small span strong sub sup td th tt u var".split())
 CELLS = frozenset("td th".split())
 #: Fixed value: odd factors that order word hashes in six ways.
 MIXES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
 _WORD = re.compile(r"\w+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+#: An attribute and its value; a quote opens a value only behind =, so an unclosed one or one in a name or an unquoted value ends nothing.
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+#: Fixed value: as deep as browsers nest elements; deeper ones stand beside each other.
+DEPTH = 512
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes that begin at a place, the first of each name, whether a slash ends the tag, and the place behind it."""
+    found: dict[str, str] = {}
+    while (m := _ATTRIBUTE.match(page, at)) is not None:
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+    end = page.find(">", at)
+    return found, page[at:end].rstrip().endswith("/"), len(page) if end < 0 else end + 1
 
 
 @dataclass
@@ -81,38 +97,41 @@ class Node:
 
 
 def parse(page: str) -> Node:
+    """The page's elements. Each sign is looked at a bounded number of times, so a page of any length takes linear time."""
     root = Node("html")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside raw content
+    stack, at, lead = [root], 0, 0
+    opened: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
+    while (m := _START.search(page, lead)) is not None:
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        closing, opening = m[1], m[2]
-        if closing:
-            tag = closing.lower()
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+        at = lead = m.end()
+        if m[1]:
+            tag = m[1].lower()
+            if tag == "p" and not opened[tag]:
                 stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break  # an inline end tag doesn't close a block
-        elif opening:
-            tag = opening.lower().rstrip("/")
+        elif m[2]:
+            tag = m[2].lower()
+            found, single, at = _attributes(page, at)
+            lead = at
             if tag == "html":
                 continue
-            node = Node(tag)
-            if m[3]:
-                found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-                node.names = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
-                node.hidden = "hidden" in found or found.get("aria-hidden") == "true"
+            node = Node(tag, " ".join(found[k] for k in ("class", "id", "role") if found.get(k)))
+            node.hidden = "hidden" in found or found.get("aria-hidden") == "true"
             ends = SIBLINGS.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends or (tag in ENDS_P and stack[k].tag == "p"):
-                    del stack[k:]
+                    close(k)
                     if tag not in SIBLINGS or stack[-1].tag not in ends:
                         break
                 elif stack[k].tag in SCOPES:
@@ -122,12 +141,11 @@ def parse(page: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 stop = end.start() if end else len(page)
                 node.children.append(page[at:stop])
-                close = page.find(">", stop)
-                at = len(page) if not end or close < 0 else close + 1
-            elif tag not in VOID and not m[3].endswith("/"):
+                behind = page.find(">", stop) if end else -1
+                at = lead = len(page) if behind < 0 else behind + 1
+            elif tag not in VOID and not single and len(stack) <= DEPTH:
                 stack.append(node)
-        elif m[0] == "<":
-            stack[-1].children.append("<")
+                opened[tag] += 1
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root

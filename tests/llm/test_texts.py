@@ -1,18 +1,21 @@
 import hashlib
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mensura.llm import fingerprints as fp
-from mensura.llm.html_extract import extract, parse, regions, text_of
-from mensura.llm.lang_id import Network, identify, is_held_out, keep_identified, languages
+from mensura.llm.html_extract import deletable, extract, outside, parse, regions, text_of
+from mensura.llm.html_extract import main_text as main_text_without
+from mensura.llm.lang_id import Network, has_letter, identify, is_held_out, keep_identified, languages
 from mensura.llm.licenses import scan
 from mensura.llm.sentencepiece_bpe import Codec, round_trip
 from mensura.llm.toxicity import fit, score, train
-from mensura.llm.url_filter import Index, judge, parts_of, write_index
+from mensura.llm.url_filter import Index, candidates, judge, parts_of, write_index
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
@@ -96,6 +99,63 @@ def test_html_text():
     assert main_text("<p>x<!-- <p>y --><style>p{}</style>&amp;&#39;") == "x&'"
 
 
+def test_html_odd_tags():
+    assert main_text("<p data-x=it's>Hello</p>") == "Hello" and main_text('<a href="x>y">z</a> 3 < 4 <b>q</b>') == "z 3 < 4 q"
+    assert main_text("<div class='layout with-sidebar'><article>A</article></div><div class='left-sidebar'>s</div>") == "A"
+    assert main_text("<article><div class='entry-header'><h1>T</h1></div><p>b</article>") == "T\nb"
+    assert main_text('a <p title="never closed>text <b>more</b>') == "a\ntext more"
+
+
+def test_html_takes_linear_time():
+    import time
+
+    n, begun = 16_000, time.time()
+    for odd in ('<a "' * n, '<a b="' * n, "<a b='\"" * n, "<b>" * n + "</i>" * n, "<li><b>" * n, "<p><i>" * n + "</p>" * n, "<script>" * n, "</" * n, "<!--" * n, "<x" + " " * n):
+        main_text(odd)
+    assert time.time() - begun < 20
+    deep = "<div>" * n + "inside" + "</div>" * n + "after"
+    assert main_text(deep).split() == ["inside", "after"]
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "http://h.example/", "<p>a" + " word" * 50_000), (1, "http://h.example/", "<p>a"), (None, None, "<p>b"), (2, "http://h.example/", None)]
+    found = extract(pages(spark, rows).withColumn("hits", F.lit(1)).withColumn("text", F.lit("clash")))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.n_chars) for r in found.collect()) == [(0, 1), (1, 1), (1, 250_001), (2, 0)]
+
+
+def test_html_equals_plain_counts(spark):
+    """The counts per host in plain Python give Spark's texts, on the given pages and on hosts whose template has no article."""
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    rng, planted = random.Random(3), []
+    for i in range(40):
+        own = "".join(f"<p>{' '.join(rng.choice('lorem ipsum dolor sit amet sed do'.split()) for _ in range(20))} {i}</p>" for _ in range(3))
+        planted.append((10_000 + i, f"http://p{i % 2}.example/{i}", f"<div class='nav-1'><a href=/>Home of p{i % 2}</a></div><div class='x'>{own}</div><div>Reach us: p{i % 2}</div>"))
+    rows = given + planted
+    hosts, by_host, counts = {}, defaultdict(set), defaultdict(set)
+    for page, url, source in rows:
+        root = parse(source or "")
+        found = regions(root)
+        hosts[page] = host = parts_of(url)[0]
+        content = text_of(found or [root], set())
+        by_host[host].add(content)
+        for h in {*deletable(root, found), *outside(root, found)}:
+            counts[host, h].add(content)
+    want = {}
+    for page, url, source in rows:
+        root, host = parse(source or ""), hosts[page]
+        found, hits = regions(root), set()
+        for h, those in deletable(root, found).items():
+            n, every = len(counts[host, h]), len(by_host[host])
+            if n >= 5 and n >= every / 2 and (not any(strict for _, strict in those) or (n >= 0.9 * every and n >= 20)):
+                hits.add(h)
+        want[page] = main_text_without(root, hits)
+    got = {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
+    assert got == want
+    changed = [p for p, url, source in planted if got[p] != main_text(source)]
+    assert len(changed) == len(planted) and all("Home" not in got[p] and "Reach" not in got[p] and got[p].count("\n") == 2 for p in changed)
+
+
 def test_html_templates(spark):
     """Without an article, what recurs on the host's pages goes, whatever its words; what is on one page stays."""
     rows = [(i, "http://h.example/%d" % i, f"<div class='top'><span>Hello {i}</span></div><div>Our town</div><p>Body {i} text</p>") for i in range(8)]
@@ -148,16 +208,32 @@ def test_url_filter(spark, tmp_path):
     # two strings under one key are told apart by the stored strings
     index = Index(write_index([("x.org", "/", "block", False), ("y.org", "/", "allow", False)], str(tmp_path)))
     index.keys = np.array([index.keys[0]] * 2)
+    names = [index.names[index.ends[k] : index.ends[k + 1]].tobytes() for k in (0, 1)]
+    asked = [names[1], names[0], b"z.org/"]
+    assert list(index.find(np.array([index.keys[0]] * 3), asked.__getitem__)) == [1, 0, -1]
+    assert list(Index(write_index([], str(tmp_path))).find(np.array([5], np.uint64), asked.__getitem__)) == [-1]
+
+
+def test_url_candidates():
+    """Keys of every suffix and prefix up to the index's longest; a path of very many slashes costs no more."""
+    import time
+
     import xxhash
 
-    names = [index.names[index.ends[k] : index.ends[k + 1]].tobytes() for k in (0, 1)]
-    old = xxhash.xxh64_intdigest
-    try:
-        xxhash.xxh64_intdigest = lambda _: int(index.keys[0])
-        assert list(index.find([names[1], names[0], b"z.org/"])) == [1, 0, -1]
-    finally:
-        xxhash.xxh64_intdigest = old
-    assert list(Index(write_index([], str(tmp_path))).find([b"a/"])) == [-1]
+    keys, places = candidates("a.b.c", "/x/y/z", 2, 2)
+    assert keys == [xxhash.xxh64_intdigest(h + d) for h in ("c", "b.c") for d in ("/", "/x/")] and places == [(4, 1), (4, 3), (2, 1), (2, 3)]
+    assert candidates("a", "", 3, 3) == ([], []) and len(candidates("a.b", "/x/y", 9, 9)[0]) == 4 and candidates("", "/", 2, 2)[1] == [(0, 1)]
+    begun = time.time()
+    assert len(candidates("a." * 50_000, "/x" * 50_000, 3, 2)[0]) == 6 and time.time() - begun < 1
+
+
+def test_url_odd_rows(spark, no_docs):
+    rows = [(1, "http://" + "a." * 5000 + "bad.org/" + "x/" * 5000, None), (1, None, None), (None, "http://bad.org/", None), (2, "", None), (2, "http://bad.org", None)]
+    odd = pages(spark, rows).withColumn("verdict", F.lit("clash")).withColumn("host", F.lit(3))
+    found = judge(odd, [], [("bad.org", "/")])
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id or 0, r.host[-7:], len(r.path), r.verdict) for r in found.collect()) == [(0, "bad.org", 1, "block"), (1, "", 0, "allow"), (1, "bad.org", 10001, "block"), (2, "", 0, "allow"), (2, "bad.org", 0, "allow")]
+    assert judge(odd.where("false"), [], []).count() == 0 and {r.verdict for r in judge(odd, [], []).collect()} == {"allow"}
 
 
 def test_licenses(spark, odd_docs, no_docs):
@@ -238,6 +314,10 @@ def test_pooling_is_the_same_for_any_batch():
     assert np.allclose(net.probabilities(net.states(one, 0), net.states(one, 1)).mean(0)[:, 0], together[0], atol=1e-5)
 
 
+def test_letters():
+    assert not any(map(has_letter, [None, "", "²", "½ ① Ⅷ", "12_3 !"])) and all(map(has_letter, ["1a", "ª", "漢", "② б"]))
+
+
 def test_language_held_out_accuracy(spark, odd_docs, no_docs):
     rng = random.Random(4)
     sounds = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ein", "pf"], "cc": ["éau", "ou", "ille", "ère"]}
@@ -297,11 +377,14 @@ def test_ordinal_grades():
         rows.append(r.astype(np.int64))
         grades.append(np.searchsorted([-2, 0, 2], weights[r].sum() + rng.logistic()))
     grades = np.array(grades)
+    truth = np.array([weights[r].sum() for r in rows[2000:]])
+    ideal = (1 / (1 + np.exp(np.array([[-2], [0], [2]]) - truth))).sum(0)
     model = fit(rows[:2000], [np.ones(len(r)) for r in rows[:2000]], grades[:2000], 10)
     assert (np.diff(model.thresholds) > 0).all()
     total = np.array([model.weights[r].sum() for r in rows[2000:]])
     expected = model.above(total).sum(0)
-    assert np.corrcoef(expected, grades[2000:])[0, 1] > 0.7
+    # the noise leaves the true weights themselves a correlation of 0.774
+    assert np.corrcoef(expected, grades[2000:])[0, 1] > np.corrcoef(ideal, grades[2000:])[0, 1] - 0.015
     assert abs(np.corrcoef(model.weights[:40], weights)[0, 1]) > 0.95
 
 
@@ -318,7 +401,7 @@ def test_toxicity(spark, odd_docs, no_docs):
         labels.append((i, int(bad)))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:900] + [(None, 1), (5000, 1), (3, None)], "doc_id long, toxic int")
     found = {r.doc_id: r for r in score(docs, train(docs, known)).collect()}
-    assert np.mean([found[i].toxic == bool(t) for i, t in labels[900:]]) > 0.9
+    assert np.mean([found[i].toxic == bool(t) for i, t in labels[900:]]) > 0.95  # 0.96 measured: words that occur once in a long text
     mean = lambda k: np.mean([r.severity for r in found.values() if (r.doc_id % 4 == 0) == k])
     assert mean(True) > mean(False) + 0.8
     assert all(r.severity == 0 and not r.toxic for r in score(odd_docs, train(odd_docs, known.where("false"))).collect())
