@@ -59,10 +59,59 @@ def compatible(a: Column, b: Column) -> Column:
     return F.arrays_overlap(family(a), family(b))
 
 
+def alias_place(lab: Column) -> Column:
+    place = squeezed(F.lower(F.coalesce(lab, F.lit(""))))
+    return F.when(place == "", "*").otherwise(place)
+
+
+def alias_unit(unit: Column) -> Column:
+    return F.when(unit.isNull(), "*").otherwise(unit_key(unit))
+
+
 def alias_key(lab: Column, name: Column, unit: Column) -> Column:
     """Where a scoped alias holds; NULL of lab or unit means any."""
-    place = squeezed(F.lower(F.coalesce(lab, F.lit(""))))
-    return F.concat_ws("|", F.when(place == "", "*").otherwise(place), norm_key(name), F.when(unit.isNull(), "*").otherwise(unit_key(unit)))
+    return F.concat_ws("|", alias_place(lab), norm_key(name), alias_unit(unit))
+
+
+def series_key(lab: Column, name: Column, unit: Column) -> Column:
+    """The series of a name that isn't recognised: one laboratory's name in one unit."""
+    return F.concat(F.lit("unrecognised:"), lab, F.lit("|"), norm_key(name), F.lit("|"), F.lower(F.trim(F.coalesce(unit, F.lit("")))))
+
+
+def name_keys(name: Column) -> Column:
+    """Every key under which a printed name is looked up, the full one first: abbreviation, name behind a code, what is outside
+    and inside of brackets at the end, and the parts around a dash between blanks."""
+    raw = F.trim(F.coalesce(name, F.lit("")))
+    bracket = r"(?s)^(.*?)\s*\(([^()]+)\)\s*$"
+    parts = F.split(raw, r"\s+[-–]\s+")
+    keys = F.concat(
+        F.array(norm_key(raw), abbreviation_key(raw), leading_code_key(raw), norm_key(F.regexp_extract(raw, bracket, 1)), norm_key(F.regexp_extract(raw, bracket, 2))),
+        F.when(F.size(parts) > 1, F.transform(parts, norm_key)).otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(F.filter(keys, lambda k: F.coalesce(k != "", F.lit(False))))
+
+
+def materials_of(names: Column) -> Column:
+    """The materials that an array of names announces, in order of occurrence, joined by commas; NULL if none does."""
+    known = lambda n: F.when(material_prefix(n).isin(MATERIALS), F.split(material_prefix(n), ",")).otherwise(F.array().cast("array<string>"))
+    found = F.array_join(F.array_distinct(F.flatten(F.transform(names, known))), ",")
+    return F.when(found != "", found)
+
+
+def merged_names(first: Column, second: Column, moved: Column) -> Column:
+    """Both arrays of synonyms in order, without repeats and without the names that went to another entry."""
+    return F.array_except(F.array_distinct(F.concat(first, second)), moved)
+
+
+def friendly_name(name: Column) -> Column:
+    """A code table's name without the bracket at its end that holds a semicolon. Brackets inside it may nest three deep."""
+    s = F.trim(F.coalesce(name, F.lit("")))
+    inner = r"[^()]*"
+    for _ in range(3):
+        inner = rf"[^()]*(?:\({inner}\)[^()]*)*"
+    last = rf"(?s)^(.*)\(({inner})\)$"
+    head, held = F.trim(F.regexp_extract(s, last, 1)), F.regexp_extract(s, last, 2)
+    return F.when(F.contains(held, F.lit(";")) & (head != ""), head).otherwise(s)
 
 
 def sorted_tokens(name: Column) -> Column:
