@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import birth_number
+from ..functions.numbers import bound
 from ..functions.text import excerpt, fold
 
 
@@ -50,15 +52,115 @@ IDENTITY = {
 }
 
 
+#: A sign without which a kind can't occur: a quick look before the pattern.
+_NEEDED = {"email": "@", "ip": ".", "phone": "+", "number": "/"}
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """doc_id, the text without identity, and how many of each kind were found. Nothing of a found kind survives: that is
-    counted again in the result."""
-    text, counts = F.coalesce("text", F.lit("")), {}
+    """doc_id, the text without addresses and numbers, and how many of each kind were found; surviving: how many are found when the
+    result is read again. Each kind is a step of its own, so no pattern runs twice over a text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     for kind, pattern in IDENTITY.items():
-        counts[f"n_{kind}"] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
-    left = sum((F.regexp_count(text, F.lit(p)) for p in IDENTITY.values()), F.lit(0))
-    return docs.select("doc_id", text.alias("redacted"), *[c.alias(n) for n, c in counts.items()], left.alias("surviving"))
+        may = F.contains("_t", F.lit(_NEEDED[kind]))
+        rows = rows.withColumn(f"n_{kind}", F.when(may, F.regexp_count("_t", F.lit(pattern))).otherwise(0))
+        rows = rows.withColumn("_t", F.when(F.col(f"n_{kind}") > 0, F.regexp_replace("_t", pattern, f"[{kind}]")).otherwise(F.col("_t")))
+    left = sum((F.when(F.contains("_t", F.lit(_NEEDED[k])), F.regexp_count("_t", F.lit(p))).otherwise(0) for k, p in IDENTITY.items()), F.lit(0))
+    return rows.select("doc_id", F.col("_t").alias("redacted"), *[f"n_{k}" for k in IDENTITY], left.alias("surviving"))
+
+
+#: The labels in front of a person's data, in folded text, by kind; other labels end a value.
+LABELS = {
+    "birth-date": r"datum narozeni|datum nar\.?|dat\. ?nar\.?|narozena|narozen|nar\.",
+    "birth-number": r"rodne cislo|rod\.? ?cislo|rod\. ?c\.|r\. ?c\.|rc|cislo pojistence|c\. ?pojistence|c\. ?poj\.|identifikace pacienta|id pacienta|id(?=\s*:)",
+    "address": r"trvale bydliste|trvaly pobyt|bydliste|adresa pacienta|adresa|ulice",
+    "name": r"jmeno a prijmeni|prijmeni a jmeno|jmeno pacienta|pacient/ka|pacientka|pacient|prijmeni|jmeno|nemocny|klient",
+}
+OTHER_LABEL = r"^[^\d:]{2,40}:"
+BIRTH_NUMBER = r"\d(?:\s?\d){5}\s?/?\s?\d(?:\s?\d){2,3}"
+BIRTH_DATE = r"\d{1,2}\.\s?\d{1,2}\.\s?(?:\d{4}|\d{2})(?!\d)|\d{4}-\d{2}-\d{2}"
+_ANY = rf"(?<![a-z0-9])(?:{'|'.join(f'({x})' for x in LABELS.values())})(?![a-z0-9])\s*:?[ \t]*"
+_NEXT = rf"(?<![a-z0-9])(?:{'|'.join(LABELS.values())})(?![a-z0-9])"
+_LABELLED = rf"{_ANY}(.*?)(?=\s*(?:{_NEXT}|\t|\x20{{2}}|$))"
+_MASK = "\u0001"
+
+
+def identity_in(text: Column, bare: bool = True) -> Column:
+    """ARRAY<STRUCT<kind, value>> of a person's data in a text, folded: what stands behind a label, in its cell or the next one of
+    the line (cells end at a tab or two blanks), as far as the next label; and with bare, birth numbers anywhere that decode to
+    a date, unless they are nine digits in groups, as telephone numbers are."""
+    kinds = list(LABELS)
+
+    def of(line: Column) -> Column:
+        hits = F.arrays_zip(*[F.regexp_extract_all(line, F.lit(_LABELLED), F.lit(k)).alias(f"g{k}") for k in range(1, 6)])
+
+        def said(h: Column) -> Column:
+            value = F.trim(F.regexp_replace(h["g5"], r"\s+", " "))
+            number, date = F.regexp_extract(value, BIRTH_NUMBER, 0), F.regexp_extract(value, BIRTH_DATE, 0)
+            words = F.when(value.rlike("[a-z]") & (F.length(value) >= 2) & ~value.rlike(OTHER_LABEL), value)
+            pair = lambda k, v: F.struct(F.lit(kinds[k]).alias("kind"), v.alias("value"))
+            other = F.when((value != "") & ~value.rlike(OTHER_LABEL), value)
+            return (
+                F.when(h["g1"] != "", pair(0, F.when(date != "", date))).when(h["g2"] != "", pair(1, F.when(number != "", number).otherwise(other)))
+                .when(h["g3"] != "", pair(2, words)).otherwise(pair(3, words))
+            )
+
+        found = F.transform(hits, said)
+        if bare:
+            numbers = F.filter(F.regexp_extract_all(line, F.lit(BIRTH_NUMBER), F.lit(0)), lambda n: birth_number(n)["valid"] & ~((F.length(F.regexp_replace(n, r"\D", "")) == 9) & ~F.contains(n, F.lit("/")) & n.rlike(r"\s")))
+            found = F.concat(found, F.transform(numbers, lambda n: F.struct(F.lit("birth-number").alias("kind"), n.alias("value"))))
+        return F.filter(found, lambda x: x["value"].isNotNull())
+
+    folded = fold(text)
+    may = folded.rlike(rf"{_NEXT}|{BIRTH_NUMBER}" if bare else _NEXT)
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return F.when(may, F.flatten(F.transform(F.split(folded, "\n"), of))).otherwise(none)
+
+
+def spellings(hits: Column) -> Column:
+    """The spellings of identity_in()'s values that are looked for everywhere, the longest first: of names their parts too, of
+    numbers with and without a slash."""
+
+    def each(h: Column) -> Column:
+        digits = F.regexp_replace(h["value"], r"\D", "")
+        slashed = F.concat(F.left(digits, F.lit(6)), F.lit("/"), F.substr(digits, F.lit(7)))
+        number = F.when(F.length(digits).isin(9, 10), F.array(h["value"], digits, slashed)).otherwise(F.array(h["value"]))
+        return F.when(h["kind"] == "name", identity_variants(h["value"])).when(h["kind"] == "birth-number", number).otherwise(F.array(h["value"]))
+
+    every = F.array_distinct(F.flatten(F.transform(hits, each)))
+    return F.transform(F.reverse(F.array_sort(F.transform(every, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda x: x["v"])
+
+
+def _whole(needle: Column) -> Column:
+    return F.concat(F.lit(r"(?<![a-z0-9])\Q"), needle, F.lit(r"\E(?![a-z0-9])"))
+
+
+def masked(text: Column, needles: Column) -> Column:
+    """The text with every whole occurrence of the needles blacked out, whatever its case and marks; nothing else changes."""
+    black = F.aggregate(needles, fold(text), lambda t, n: F.regexp_replace(t, _whole(n), F.repeat(F.lit(_MASK), F.length(n))))
+
+    def rebuilt(folded: Column) -> Column:
+        # kept pieces and blacked runs take turns; the fold keeps places, so the original is cut at the same ones
+        runs = F.arrays_zip(F.split(folded, f"{_MASK}+").alias("piece"), F.regexp_extract_all(folded, F.lit(f"{_MASK}+"), F.lit(0)).alias("run"))
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+        n = lambda c: F.coalesce(F.length(c), F.lit(0))
+        step = lambda s, x: F.struct((s["at"] + n(x["piece"]) + n(x["run"])).alias("at"), F.concat(s["out"], F.substr(text, s["at"], n(x["piece"])), F.repeat(F.lit("█"), n(x["run"]))).alias("out"))
+        return F.aggregate(runs, start, step)["out"]
+
+    return F.when(F.size(needles) > 0, bound(black, rebuilt)).otherwise(text)
+
+
+def surviving(text: Column, needles: Column) -> Column:
+    """The needles that can still be read in a text."""
+    return F.filter(needles, lambda n: F.regexp_like(fold(text), _whole(n)))
+
+
+def without_identity(docs: DataFrame, bare: bool = True) -> DataFrame:
+    """doc_id, redacted, kinds (joined by commas), spellings (their number) and surviving (spellings that the result still has) of docs
+    (doc_id, text): labelled data are found first, then every spelling of them anywhere in the text is blacked out."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_hits", identity_in(F.col("_t"), bare))
+    rows = rows.withColumn("_needles", spellings(F.col("_hits"))).withColumn("redacted", masked(F.col("_t"), F.col("_needles")))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["kind"]))), ",")
+    return rows.select("doc_id", "redacted", kinds.alias("kinds"), F.size("_needles").alias("spellings"), F.size(surviving(F.col("redacted"), F.col("_needles"))).alias("surviving"))
 
 
 def identity_variants(name: Column) -> Column:

@@ -70,8 +70,8 @@ def first_writer(rows: DataFrame, key: list[str], owner: str, order: list[str])
 
 def ordered_fold(rows: DataFrame, key: str, columns: list[str], step: Callable[[tuple | None, tuple], tuple], schema: str) -> DataFrame:
     """The state of each key after its rows, in the order of seq: step(state or None, row of columns) gives the next state, a tuple that is
-    the result's columns behind the key. Partitions are sorted and read as a stream, so a key with a long history costs no
-    memory."""
+    the result's columns behind the key. Rows without a key are one history, like those of a key. Partitions are sorted and read as
+    a stream, so a key with a long history costs no memory."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,12 +79,13 @@ def ordered_fold(rows: DataFrame, key: str, columns: list[str], step: Callable[[
         for part in parts:
             done = []
             for k, *row in part.itertuples(index=False, name=None):
+                k = None if pd.isna(k) else k  # pandas gives NaN, which equals nothing
                 if state is not None and k != now:
                     done.append((now, *state))
                     state = None
                 now, state = k, step(state, tuple(row))
-            yield pd.DataFrame(done, columns=names)
-        yield pd.DataFrame([(now, *state)] if state is not None else [], columns=names)
+            yield pd.DataFrame(done, columns=names, dtype=object)
+        yield pd.DataFrame([(now, *state)] if state is not None else [], columns=names, dtype=object)
 
     return rows.repartition(key).sortWithinPartitions(key, "seq").select(key, *columns).mapInPandas(run, schema)
 

@@ -44,13 +44,14 @@ def page_rows(words: DataFrame) -> DataFrame:
         for part in parts:
             done = []
             for page, *word in part.itertuples(index=False, name=None):
+                page = None if pd.isna(page) else page  # words without a page are one page
                 if held and page != now:
                     done += rows_of(now, held)
                     held = []
                 now = page
                 held.append(tuple(word))
-            yield pd.DataFrame(done, columns=names)
-        yield pd.DataFrame(rows_of(now, held) if held else [], columns=names)
+            yield pd.DataFrame(done, columns=names, dtype=object)
+        yield pd.DataFrame(rows_of(now, held) if held else [], columns=names, dtype=object)
 
     ordered = words.select("page_id", "text", "x0", "y0", "x1", "y1").repartition("page_id").sortWithinPartitions("page_id")
     return ordered.mapInPandas(run, "page_id long, row_index int, cells array<string>, y double")

@@ -117,8 +117,8 @@ def canonical_series(points: DataFrame, keys: list[str], order: list[str], units
     equal ones the first seen)."""
     last = keys[-1]
     canon = units.groupBy(last).agg(F.first("canonical_unit").alias("canonical_unit"))
-    rows = points.withColumn("unit_key", unit_key(F.col("unit"))).join(F.broadcast(units.select(last, "unit_key", "factor")), [last, "unit_key"], "left")
-    rows = rows.join(F.broadcast(canon), last, "left")
+    rows = points.withColumn("unit_key", unit_key(F.col("unit"))).join(units.select(last, "unit_key", "factor"), [last, "unit_key"], "left")
+    rows = rows.join(canon, last, "left")
     blank = F.coalesce(F.col("unit"), F.lit("")) == ""
     factor = F.when(blank & F.col("canonical_unit").isNotNull(), 1.0).otherwise(F.col("factor"))
     rows = rows.withColumns({"factor": factor, "value": F.when(factor == 1, F.col("value")).when(factor.isNotNull(), significant(F.col("value") * factor)).otherwise(F.col("value"))})
@@ -161,19 +161,21 @@ def derived(points: DataFrame, owner: list[str], series: str, report: str, input
 
 def observed(points: DataFrame, series: str) -> DataFrame:
     """Of each series: count, dates, extremes, mean, first and last date, and the upper median of its values (the element at
-    half the count)."""
+    half the count). Approximate percentiles around the middle bracket it, those below are only counted, and only the few
+    distinct values between are ordered, so a series with a third of all points is no long sort."""
     p = numeric(points)
-    # the window runs over counted values, not over points
-    counted = p.groupBy(series, "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(series)
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.select(series, "value", "c", upto.alias("upto"), F.floor(F.sum("c").over(w) / 2).alias("half"))
-    median = ranked.where("half >= upto - c and half < upto").select(series, F.col("value").alias("median_value"))
+    near = F.percentile_approx("value", [0.495, 0.505], 10_000)
     agg = p.groupBy(series).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("n_dates"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.round(F.avg("value"), 6).alias("mean_value"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.round(F.avg("value"), 6).alias("mean_value"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), near.alias("_near"),
     )
-    return agg.join(median, series)
+    inner = p.select(series, "value").join(agg.select(series, "_near"), series)
+    counted = inner.groupBy(series, F.when(F.col("value") >= F.col("_near")[0], F.least("value", F.col("_near")[1])).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(series).orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0))
+    half = F.floor(F.sum("c").over(Window.partitionBy(series)) / 2)
+    ranked = counted.select(series, "value", "c", upto.alias("upto"), half.alias("half"))
+    median = ranked.where("half >= upto - c and half < upto").select(series, F.col("value").alias("median_value"))
+    return agg.drop("_near").join(median, series)
 
 
 def overview(points: DataFrame, owner: list[str], series: str, order: list[str]) -> DataFrame:

@@ -26,8 +26,8 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
-    """Reports as JSON lines, one folder for each patient; a re-run replaces what it wrote."""
-    reports.write.mode("overwrite").partitionBy("patient_id").json(folder)
+    """Reports as JSON lines, one folder for each patient; a re-run replaces the patients that it writes, and no others."""
+    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient_id").json(folder)
 
 
 def delete_reports(reports: DataFrame, ids: DataFrame) -> DataFrame:
