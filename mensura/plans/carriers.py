@@ -65,11 +65,16 @@ UNITS = [("umol/l", "µmol/l"), ("μmol / L", "µmol/l"), ("x 109/l", "10^9/l"),
 
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Part names as a catalogue: one entry for each name, its synonyms a material code before it and its initials; its
-    interval and extremes are those of its parts' sizes and prices."""
-    parts = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"), F.min("p_size").cast("double").alias("ref_low"), F.max("p_size").cast("double").alias("ref_high"), F.min("p_retailprice").alias("min_value"), F.max("p_retailprice").alias("max_value"))
+    """Part names as a catalogue: one entry for each name, its synonyms a material code before it and its initials. Four in five have
+    a curated interval (extremes of sizes), all an observed one and observed prices; half were seen in plasma."""
+    parts = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"), F.min("p_size").cast("double").alias("low"), F.max("p_size").cast("double").alias("high"), F.min("p_retailprice").alias("min_value"), F.max("p_retailprice").alias("max_value"))
     initials = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.upper(F.left(w, F.lit(3)))), "")
-    return parts.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("canonical_id"), F.col("p_name").alias("display_name"), F.array(F.concat(F.lit("S_"), "p_name"), initials).alias("synonyms"), F.lit("g").alias("canonical_unit"), "ord", "ref_low", "ref_high", "min_value", "max_value")
+    curated, none = F.length("p_name") % 5 != 0, F.array().cast("array<string>")
+    return parts.select(
+        F.replace("p_name", F.lit(" "), F.lit("_")).alias("canonical_id"), F.col("p_name").alias("display_name"), F.array(F.concat(F.lit("S_"), "p_name"), initials).alias("synonyms"), F.lit("g").alias("canonical_unit"), F.array(F.lit("mg")).alias("conversions"), "ord",
+        F.when(curated, F.col("low")).alias("ref_low"), F.when(curated, F.col("high")).alias("ref_high"), F.lit("g").alias("seen_unit"), F.col("low").alias("seen_low"), (F.col("high") + 9).alias("seen_high"), "min_value", "max_value",
+        F.when(F.length("p_name") % 2 == 0, F.array(F.lit("p"))).otherwise(none).alias("materials"),
+    )
 
 
 def printed_names(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +102,3 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     return base.withColumn("reader", F.lit("a")).unionByName(second.withColumn("reader", F.lit("b")))
-
-
-def orders_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("patient_id"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("lab"), F.col("o_orderstatus").alias("status"))

@@ -122,13 +122,18 @@ def _with_units(spark, d):
 
 
 @query(f"""{PTS}, u AS (SELECT *, {_UNIT_OF} AS unit FROM p),
-f AS (SELECT *, CASE WHEN series IN ('click', 'view') THEN CASE WHEN unit IN ('mg/l', 'mg / L', '') THEN 1 WHEN unit = 'g/l' THEN 1000 END END AS factor FROM u)
+f AS (SELECT *, CASE WHEN unit IN ('mg/l', 'mg / L', '') THEN 1 WHEN unit = 'g/l' THEN 1000 END AS factor FROM u)
 SELECT patient_id, series, ts, event_id, CASE WHEN factor = 1000 THEN round(value * 1000 * pow(10, 3 - floor(log10(abs(value * 1000)))), 0) / pow(10, 3 - floor(log10(abs(value * 1000)))) ELSE value END AS value, 'mg/l' AS unit
 FROM f WHERE factor IS NOT NULL""")
 def trend_canonical_unit(spark, d):
-    units = spark.createDataFrame([(s, u, f, "mg/l") for s in ("click", "view") for u, f in (("mg/l", 1.0), ("g/l", 1000.0))], "series string, unit_key string, factor double, canonical_unit string")
-    rows = _with_units(spark, d).where(F.col("series").isin("click", "view"))
-    return series.canonical_series(rows, KEYS, ORDER, units)[0]
+    units = spark.createDataFrame([(s, u, f, "mg/l") for s in ("click", "view", "purchase", "signup", "error") for u, f in (("mg/l", 1.0), ("g/l", 1000.0))], "series string, unit_key string, factor double, canonical_unit string")
+    return series.canonical_series(_with_units(spark, d), KEYS, ORDER, units)[0]
+
+
+@query(f"""{PTS}, u AS (SELECT *, {_UNIT_OF} AS unit FROM p) SELECT patient_id, series, unit, count(*) AS n FROM u WHERE unit = 'arb' GROUP BY ALL""")
+def unit_misfits(spark, d):
+    units = spark.createDataFrame([(s, u, f, "mg/l") for s in ("click", "view", "purchase", "signup", "error") for u, f in (("mg/l", 1.0), ("g/l", 1000.0))], "series string, unit_key string, factor double, canonical_unit string")
+    return series.canonical_series(_with_units(spark, d), KEYS, ORDER, units)[1]
 
 
 @query(f"""{PTS}, u AS (SELECT *, {_UNIT_OF} AS unit FROM p), k AS (SELECT patient_id, series, lower(unit) AS lu, count(*) AS n, arg_min(unit, (ts, event_id)) AS unit, min((ts, event_id)) AS seen FROM u WHERE unit <> '' GROUP BY ALL)
@@ -196,18 +201,19 @@ def flags(spark, d):
     return rows.select("id", numbers.bound(numbers.parse_range(F.col("range_raw")), flag).alias("flag"))
 
 
-@query(f"{LNS} SELECT id, CASE WHEN id % 8 = 7 AND cents / 100.0 >= hi * 1000 THEN 'high' ELSE 'unknown' END AS flag FROM l")
+@query(f"{LNS} SELECT id, CASE WHEN id % 8 = 7 AND cents / 100.0 >= hi * 1000 OR id % 8 = 4 AND hi > lo OR id % 8 = 1 AND lo > 25 THEN 'high' ELSE 'unknown' END AS flag FROM l")
 def censored_flags(spark, d):
-    return c.value_cells(c.lines(spark, d)).select("id", numbers.censored_flag(F.col("value_raw"), F.col("hi") * 1000.0).alias("flag"))
-
+    """Results printed as bounds: > (the top itself is past it), ≥ and >= (it isn't), and those below a bound."""
+    rows, k = c.value_cells(c.lines(spark, d)), F.col("id") % 8
+    cell = F.when(k == 4, F.concat(F.lit("≥ "), "hi", F.lit("000"))).when(k == 1, F.concat(F.lit(">="), "lo", F.lit(" 000 !"))).otherwise(F.col("value_raw"))
+    top = F.when(k == 4, F.col("lo")).when(k == 1, 25).otherwise(F.col("hi")) * 1000.0
+    return rows.select("id", numbers.censored_flag(cell, top).alias("flag"))
 
-_NAME3 = r"regexp_extract(coalesce(text, ''), '^[^ \t-\r]+( [^ \t-\r]+){0,2}', 0)"
 
-
-@query(f"""SELECT doc_id, trim(regexp_replace(strip_accents(lower({_NAME3})), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(strip_accents(lower(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)))), '[^a-z0-9]+', ' ', 'g')) AS key FROM (SELECT doc_id, replace(text, '#', ' ') AS text FROM documents)""")
 def norm_keys(spark, d):
-    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^ \t-\r]+( [^ \t-\r]+){0,2}", 0)
-    return table(spark, d, "documents").select("doc_id", names.norm_key(F.concat(F.lit("S_"), first)).alias("key"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", names.norm_key(F.concat(F.lit("S_"), F.ltrim(text))).alias("key"))
 
 
 _INITIALS = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:3])), '')"
@@ -241,17 +247,23 @@ _DICE = f"""CASE WHEN key = ckey THEN 1.0::DOUBLE WHEN length(key) < 2 OR length
   2.0 * list_sum([least(len(list_filter({_GRAMS.format('key')}, lambda x: x = g)), len(list_filter({_GRAMS.format('ckey')}, lambda x: x = g))) FOR g IN list_distinct({_GRAMS.format('key')})]) / (length(key) + length(ckey) - 2)::DOUBLE END"""
 
 
-@query(f"""WITH n AS (SELECT p_name || ' ' || lower(p_type) AS name, CASE WHEN count(*) % 2 = 0 THEN 'g' ELSE 'kg' END AS unit, min(p_size)::DOUBLE AS low, max(p_size)::DOUBLE AS high, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY p_name, p_type),
-e AS (SELECT replace(p_name, ' ', '_') AS canonical_id, p_name AS ckey, min(p_size)::DOUBLE AS ref_low, max(p_size)::DOUBLE AS ref_high, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value FROM part GROUP BY p_name),
-s AS (SELECT *, name AS key FROM n, e), t AS (SELECT *, {_DICE} AS ns FROM s),
-u AS (SELECT *, unit = 'g' AS unit_match, CASE WHEN least(high, ref_high) - greatest(low, ref_low) <= 0 THEN FALSE ELSE greatest(high, ref_high) - least(low, ref_low) <= 0 OR (least(high, ref_high) - greatest(low, ref_low)) / (greatest(high, ref_high) - least(low, ref_low)) >= 0.3 END AS range_match,
-  mean BETWEEN min_value / 3 AND max_value * 3 AS value_ok FROM t WHERE ns >= 0.28),
-v AS (SELECT *, round(ns + CASE WHEN contains(key, ckey) OR contains(ckey, key) THEN 0.15 ELSE 0 END + CASE WHEN unit_match THEN 0.2 ELSE -0.25 END + CASE WHEN range_match THEN 0.3 ELSE -0.6 END + CASE WHEN value_ok THEN 0.1 ELSE -0.35 END, 6) AS score FROM u)
-SELECT name, canonical_id, round(ns, 6) AS name_sim, score, unit_match, range_match, value_ok, rank FROM (SELECT *, row_number() OVER (PARTITION BY name, unit, low, high, mean ORDER BY score DESC, canonical_id) AS rank FROM v WHERE ns >= 0.45 OR score >= 0.45) WHERE rank <= 3""")
+@query(f"""WITH n AS (SELECT p_name || ' ' || lower(p_type) AS name, [' g', 'kg', 'MG', NULL][count(*) % 4 + 1] AS unit, CASE WHEN count(*) % 5 > 0 THEN min(p_size)::DOUBLE END AS low, max(p_size)::DOUBLE AS high, round(avg(p_retailprice), 6) AS mean, CASE length(p_type) % 3 WHEN 0 THEN 's' WHEN 1 THEN 'u' END AS material FROM part GROUP BY p_name, p_type),
+e AS (SELECT replace(p_name, ' ', '_') AS canonical_id, p_name, [p_name, lower({_INITIALS}), CASE WHEN length(split_part(p_name, ' ', 1)) <= 4 THEN substr(p_name, length(split_part(p_name, ' ', 1)) + 2) ELSE p_name END] AS keys, min(p_size)::DOUBLE AS ref_low, max(p_size)::DOUBLE + CASE WHEN length(p_name) % 5 = 0 THEN 9 ELSE 0 END AS ref_high, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value, length(p_name) % 2 = 0 AS plasma FROM part GROUP BY p_name),
+k AS (SELECT *, name AS key FROM n, (SELECT *, unnest(keys) AS ckey FROM e)),
+t AS (SELECT name, unit, low, high, mean, material, canonical_id, ref_low, ref_high, min_value, max_value, plasma, max({_DICE}) AS ns, bool_or(length(ckey) >= 3 AND (contains(key, ckey) OR contains(ckey, key))) AS inside FROM k GROUP BY ALL),
+u AS (SELECT *, CASE WHEN unit IS NOT NULL THEN unit <> 'kg' END AS unit_match, CASE WHEN low IS NULL THEN NULL WHEN least(high, ref_high) - greatest(low, ref_low) <= 0 THEN FALSE ELSE greatest(high, ref_high) - least(low, ref_low) <= 0 OR (least(high, ref_high) - greatest(low, ref_low)) / (greatest(high, ref_high) - least(low, ref_low)) >= 0.3 END AS range_match,
+  mean BETWEEN min_value / 3 AND max_value * 3 AS value_ok, CASE WHEN material IS NOT NULL AND plasma THEN material = 's' END AS material_match FROM t WHERE ns >= 0.28),
+v AS (SELECT *, round(ns + CASE WHEN inside THEN 0.15 ELSE 0 END + CASE WHEN unit_match THEN 0.2 WHEN NOT unit_match THEN -0.25 ELSE 0 END + CASE WHEN range_match THEN 0.3 WHEN NOT range_match THEN -0.6 ELSE 0 END + CASE WHEN value_ok THEN 0.1 ELSE -0.35 END
+  + CASE WHEN material_match THEN 0.05 WHEN NOT material_match THEN -0.4 ELSE 0 END, 6) AS score FROM u)
+SELECT name, canonical_id, round(ns, 6) AS name_sim, score, unit_match, range_match, value_ok, material_match, rank FROM (SELECT *, row_number() OVER (PARTITION BY name, unit, low, high, mean, material ORDER BY score DESC, canonical_id) AS rank FROM v WHERE ns >= 0.45 OR score >= 0.45) WHERE rank <= 3""")
 def suggest_mappings(spark, d):
     parts = table(spark, d, "part")
     unmapped = parts.groupBy("p_name", "p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_size").cast("double").alias("low"), F.max("p_size").cast("double").alias("high"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
-    unmapped = unmapped.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.when(F.col("n") % 2 == 0, "g").otherwise("kg").alias("unit"), "low", "high", "mean")
+    k = F.length("p_type") % 3
+    unmapped = unmapped.select(
+        F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), c.pick(F.col("n"), [F.lit(" g"), F.lit("kg"), F.lit("MG"), F.lit(None).cast("string")]).alias("unit"), F.when(F.col("n") % 5 > 0, F.col("low")).alias("low"), "high", "mean",
+        F.when(k == 0, "s").when(k == 1, "u").alias("material"),
+    )
     return matching.suggestions(unmapped, c.catalogue(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -350,7 +362,8 @@ def _redact_sql() -> str:
     for kind, pattern in documents.IDENTITY.items():
         cols.append(f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INT) AS n_{kind}")
         text = f"regexp_replace({text}, '{pattern}', '[{kind}]', 'g')"
-    return f"SELECT doc_id, {text} AS redacted, {', '.join(cols)}, CAST(0 AS INT) AS surviving FROM documents"
+    left = " + ".join(f"len(regexp_extract_all(redacted, '{p}'))" for p in documents.IDENTITY.values())
+    return f"SELECT *, CAST({left} AS INT) AS surviving FROM (SELECT doc_id, {text} AS redacted, {', '.join(cols)} FROM documents)"
 
 
 @query(_redact_sql())
@@ -373,12 +386,12 @@ def spend_ledger(spark, d):
 
 
 @query("""WITH p(model, since, i, o) AS (VALUES ('click', TIMESTAMP '2024-01-01', 2.0::DOUBLE, 8.0::DOUBLE), ('click', TIMESTAMP '2024-01-15', 1.0, 4.0), ('view', TIMESTAMP '2024-01-10', 0.5, 1.5)),
-u AS (SELECT event_id, event_type, ts, value * 100 AS tin, value * 10 AS tout, event_id % 5 * 10 AS cached, event_id % 3 * 10 AS written FROM events WHERE event_type IN ('click', 'view'))
+u AS (SELECT event_id, event_type, ts, value * 100 AS tin, value * 10 AS tout, event_id % 5 * 10 AS cached, event_id % 3 * 10 AS written FROM events)
 SELECT event_type, count(*) AS calls, count(i) AS priced, round(sum((tin * i + cached * i * 0.1 + written * i * 1.25 + tout * o) / 1e6), 6) AS usd
 FROM u ASOF LEFT JOIN p ON event_type = model AND ts >= since GROUP BY 1""")
 def price_usage(spark, d):
     prices = spark.createDataFrame([("click", "2024-01-01", 2.0, 8.0), ("click", "2024-01-15", 1.0, 4.0), ("view", "2024-01-10", 0.5, 1.5)], "event_type string, since string, usd_in double, usd_out double").withColumn("since", F.to_timestamp("since"))
-    usage = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id", "event_type", "ts", (F.col("value") * 100).alias("tokens_in"), (F.col("value") * 10).alias("tokens_out"), (F.col("event_id") % 5 * 10).alias("cached"), (F.col("event_id") % 3 * 10).alias("written"))
+    usage = table(spark, d, "events").select("event_id", "event_type", "ts", (F.col("value") * 100).alias("tokens_in"), (F.col("value") * 10).alias("tokens_out"), (F.col("event_id") % 5 * 10).alias("cached"), (F.col("event_id") % 3 * 10).alias("written"))
     return ledger.priced(usage, prices, "event_type", "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.count("usd").alias("priced"), F.round(F.sum("usd"), 6).alias("usd"))
 
 
@@ -522,12 +535,13 @@ def weak_matches(spark, d):
     return mapping.weak_matches(rows, entries, aliases)
 
 
-@query(f"""WITH s AS ({ORACLE['suggest_mappings']})
-SELECT name, canonical_id, rank, CASE WHEN name_sim < 0.45 OR NOT unit_match OR NOT range_match OR NOT value_ok THEN 'contradicted' ELSE 'recommended' END AS verdict, unit_match AND range_match AND value_ok AS may_apply FROM s""")
+@query(f"""WITH s AS ({ORACLE['suggest_mappings']}), c AS (SELECT *, NOT coalesce(unit_match, TRUE) OR NOT coalesce(range_match, TRUE) OR NOT coalesce(value_ok, TRUE) OR NOT coalesce(material_match, TRUE) AS against,
+  coalesce(unit_match, FALSE) OR coalesce(range_match, FALSE) OR coalesce(value_ok, FALSE) OR coalesce(material_match, FALSE) AS fit FROM s)
+SELECT name, canonical_id, rank, CASE WHEN against OR name_sim < 0.45 THEN 'contradicted' WHEN fit THEN 'recommended' ELSE 'possible' END AS verdict, NOT against AND coalesce(unit_match, FALSE) AS may_apply FROM c""")
 def mapping_verdicts(spark, d):
-    rows, none = suggest_mappings(spark, d), F.lit(None).cast("boolean")
-    unit, span, value = F.col("unit_match"), F.col("range_match"), F.col("value_ok")
-    return rows.select("name", "canonical_id", "rank", mapping.verdict(F.col("name_sim") < 0.45, unit, span, value, none).alias("verdict"), mapping.may_apply(unit, span, value, none).alias("may_apply"))
+    rows = suggest_mappings(spark, d)
+    unit, span, value, material = F.col("unit_match"), F.col("range_match"), F.col("value_ok"), F.col("material_match")
+    return rows.select("name", "canonical_id", "rank", mapping.verdict(F.col("name_sim") < 0.45, unit, span, value, material).alias("verdict"), mapping.may_apply(unit, span, value, material).alias("may_apply"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS patient_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, lower(split_part(o_orderpriority, '-', 2)) AS kind, o_orderkey AS id FROM orders),
@@ -556,11 +570,16 @@ def rematch_rows(spark, d):
     return mapping.rematched(rows, matching.name_index(entries), splits).select("id", "canonical_id", "changed")
 
 
-@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-SELECT doc_id, round(least(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?[ \t\n\f\r]*[-–][ \t\n\f\r]*[0-9]+(?:[.,][0-9]+)?')), 10) * 0.5 + least(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\p{L}{3,}') AND regexp_matches(x, '[0-9]+[,.][0-9]+'))), 20) * 0.25::DOUBLE, 6) AS score FROM t""")
+@query(f"""{LNS} SELECT l_orderkey AS sheet, least(count(DISTINCT CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 END), 6) * 1.5 + least(count(*) FILTER (id % 3 < 2), 10) * 0.5 + least(1 + count(*) FILTER (id % 5 = 0), 4) + least(count(*), 20) * 0.25::DOUBLE AS score FROM l GROUP BY 1""")
 def sheet_scores(spark, d):
-    # the documents have no units or headings of a sheet, so both sides count intervals and rows
-    return table(spark, d, "documents").select("doc_id", F.round(printing.sheet_score(F.coalesce("text", F.lit(""))), 6).alias("score"))
+    """Each order as a printed sheet: a heading, then rows of a name, a value with decimals, a unit, an interval, here and there
+    another heading."""
+    k = F.col("id")
+    unit = c.pick(k, ["mmol / l", "j/24 h", "× 10 9/l", "µkat/kg", "fl", "stejné"])
+    span = c.pick(k, [F.concat("lo", F.lit(" — "), "hi"), F.concat(F.lit("≤ "), "hi"), F.lit("beze změny")])
+    row = F.concat_ws("  ", F.lit("Látka"), F.concat("lo", F.lit(",5")), unit, span, F.when(k % 5 == 0, "Ref. meze"))
+    rows = c.lines(spark, d).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    return rows.select(F.col("l_orderkey").alias("sheet"), printing.sheet_score(F.concat(F.lit("Vyšetření\n\n"), "rows")).alias("score"))
 
 
 @query("""WITH RECURSIVE w AS (SELECT l_orderkey AS key, ('lab' || l_suppkey % 3) AS target, CASE WHEN l_partkey % 4 = 0 THEN 'person' ELSE 'model' END AS source, CASE WHEN l_linenumber % 3 = 0 THEN 'ann' WHEN l_linenumber % 3 = 1 THEN 'bob' ELSE 'demo' END AS taught_by,
