@@ -146,7 +146,7 @@ def printed_span(a: Column, b: Column) -> Column:
     years, rest = F.floor(months / 12).cast("int"), F.pmod(months, F.lit(12)).cast("int")
     y, m = plural(years, "rok", "roky", "let"), plural(rest, "měsíc", "měsíce", "měsíců")
     days = plural(days_between(a, b), "den", "dny", "dnů")
-    return F.when(months < 0, None).when(months == 0, days).when(years == 0, m).when(rest == 0, y).otherwise(F.concat(y, F.lit(" a "), m))
+    return F.when(months.isNull() | (months < 0), None).when(months == 0, days).when(years == 0, m).when(rest == 0, y).otherwise(F.concat(y, F.lit(" a "), m))
 
 
 def converted_text(raw: Column, value: Column, factor: Column) -> Column:

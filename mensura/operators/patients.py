@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import birth_number
 from ..functions.names import sorted_tokens
 from ..functions.printing import printed_number, printed_range
+from . import charts, quality, series
+from .documents import all_tokens, search
 
 
 def same_person(id_a: Column, name_a: Column, id_b: Column, name_b: Column) -> Column:
@@ -66,3 +68,41 @@ class Tools:
         if odd := set(arguments) - allowed:
             raise TypeError(f"{name} has no {', '.join(sorted(odd))}")
         return call(**arguments)
+
+
+def patient_tools(data: dict[str, DataFrame], order: list[str]) -> Tools:
+    """The ten tools over tables: points (patient_id, series, display_name, unit, date, value, flag, ref_low, ref_high and order), patients
+    (patient_id, name, birth_year), documents (doc_id, owner, doc_date, kind, title, text), performance (patient_id, metric, day,
+    value). Each runs for one patient but find_patient and cohort_query."""
+    tools, points, docs = Tools(), data["points"], data["documents"]
+    keys = ["patient_id", "series"]
+    own = lambda df, patient: df.where(F.col("patient_id") == patient)
+
+    def find_patient(query: str, birth_year: int | None = None) -> DataFrame:
+        found = data["patients"].where(all_tokens(F.col("name"), query))
+        return found.where(F.col("birth_year") == birth_year) if birth_year is not None else found
+
+    def get_document(patient, id=None) -> DataFrame:
+        mine = docs.where(F.col("owner") == patient)
+        return mine.select("doc_id", "doc_date", "kind", "title") if id is None else mine.where(F.col("doc_id") == id)
+
+    def get_perf_trend(patient, metric: str | None = None) -> DataFrame:
+        mine = own(data["performance"], patient)
+        listed = mine.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
+        return listed if metric is None else mine.where(F.col("metric") == metric).select("day", "value")
+
+    def propose_chart(patient, spec: str) -> DataFrame:
+        asked = points.sparkSession.range(1).select(F.lit(patient).cast(points.schema["patient_id"].dataType).alias("patient_id"), F.lit(1).alias("spec_id"), F.lit(spec).alias("spec"))
+        return charts.resolved_charts(charts.parsed_specs(asked), own(points, patient), "patient_id")
+
+    tools.add("find_patient", find_patient, "query", "birth_year")
+    tools.add("cohort_query", lambda series_id, direction="any", flag="any": quality.cohort(series.summaries(points.where(F.col("series") == series_id), keys, order), data["patients"], "patient_id", direction, flag), "series_id", "direction", "flag")
+    tools.add("search_documents", lambda patient, query: search(docs.where(F.col("owner") == patient), query), "patient", "query")
+    tools.add("get_document", get_document, "patient", "id")
+    tools.add("get_perf_trend", get_perf_trend, "patient", "metric")
+    tools.add("list_analytes", lambda patient: own(points, patient).groupBy("series").agg(F.min("display_name").alias("display_name"), F.count("value").alias("n"), F.max("date").alias("last_date")), "patient")
+    tools.add("get_trend", lambda patient, series_id: own(points, patient).where(F.col("series") == series_id).select("date", "value", "flag", "ref_low", "ref_high"), "patient", "series_id")
+    tools.add("summarize_changes", lambda patient: series.change_summaries(own(points, patient), ["patient_id"], "series", order), "patient")
+    tools.add("propose_chart", propose_chart, "patient", "spec")
+    tools.add("computed_values", lambda patient, inputs, formula: series.derived(own(points, patient).withColumn("report", F.col("date")), ["patient_id"], "series", "report", inputs, formula, order), "patient", "inputs", "formula")
+    return tools

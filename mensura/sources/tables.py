@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MEASUREMENT = (
@@ -63,8 +66,20 @@ def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
     rows.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").options(sep=";", quoteAll=True, header=True, lineSep="\r\n", escape='"').csv(path)
 
 
-def json_export(reports: DataFrame, by: str) -> DataFrame:
-    return reports.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*reports.columns)))).alias("reports"))
+def csv_document(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """An export as lines in order (part, order, line): part 0 is the heading, which begins with a byte order mark; lines end as
+    the writer is told (CRLF for spreadsheets)."""
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order]
+    heading = "\ufeff" + ";".join(f'"{c}"' for c in columns)
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("part"), *nothing, F.lit(heading).alias("line"))
+    return first.unionByName(csv_lines(rows, columns, order).withColumn("part", F.lit(1)))
+
+
+def json_export(reports: DataFrame, by: str, order: str) -> DataFrame:
+    """Each report as a JSON line with its number inside its patient, so that a patient with very many reports is no single row;
+    a patient's lines in order, joined by commas in brackets, are the export's array."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return reports.select(by, n.cast("long").alias("n"), F.to_json(F.struct(*reports.columns)).alias("line"))
 
 
 def sanitised(reports: DataFrame) -> DataFrame:
@@ -77,3 +92,46 @@ def shifted_dates(rows: DataFrame, key: str, columns: list[str], salt: str, most
     """Dates moved by a number of days that is the same for all rows of a key."""
     days = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(2 * most + 1)).cast("int") - most
     return rows.withColumns({c: F.date_add(F.col(c), days) for c in columns})
+
+
+class PatientSource(Protocol):
+    """What operators and tools ask of a source of one patient's measurements; each answer is a DataFrame."""
+
+    def list_analytes(self) -> DataFrame: ...
+
+    def get_trend(self, canonical_id: str) -> DataFrame: ...
+
+    def reports(self) -> DataFrame: ...
+
+
+class TableSource:
+    """A patient's reports (report_id, patient_id, report_date, canonical_id, value, ...) in a table. The filter by patient goes down
+    to the scan; an unknown patient is an error, not an empty result."""
+
+    def __init__(self, rows: DataFrame, patients: DataFrame, patient_id):
+        self.rows = rows.where(F.col("patient_id") == patient_id)
+        self.patient = require_known(rows.sparkSession.range(1).select(F.lit(patient_id).cast(patients.schema["patient_id"].dataType).alias("patient_id")), patients, "patient_id")
+
+    def reports(self) -> DataFrame:
+        return self.rows.join(F.broadcast(self.patient), "patient_id")  # one row
+
+    def list_analytes(self) -> DataFrame:
+        known = self.reports().where("canonical_id is not null")
+        return known.groupBy("canonical_id").agg(F.count("value").alias("n"), F.max("report_date").alias("last_date"))
+
+    def get_trend(self, canonical_id: str) -> DataFrame:
+        return self.reports().where(F.col("canonical_id") == canonical_id).select("report_id", "report_date", "value")
+
+
+class SessionSource(TableSource):
+    """The same over reports that were never stored: rows of Python values of one patient."""
+
+    def __init__(self, spark: SparkSession, rows: Iterable[tuple], schema: str, patient_id):
+        loaded = spark.createDataFrame(list(rows), schema)
+        super().__init__(loaded, spark.createDataFrame([(patient_id,)], ["patient_id"]), patient_id)
+
+
+def seed(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes tables in their order, parents first; what stood there before is replaced, so a second run gives the same."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -10,7 +10,8 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -22,46 +23,86 @@ def _stateful(rows: DataFrame, keys: list[str], run, output: str, state: str) ->
     return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def closed_objects(text: str) -> tuple[list[str], str]:
-    """The complete objects of a (partly received) array, and the text from the first open one on."""
-    found, depth, start, quoted, escaped, rest = [], 0, None, False, False, 0
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                found.append(text[start : i + 1])
-                start, rest = None, i + 1
-    return found, text[rest if start is None else start :]
-
-
 def scan_rows(fragments: DataFrame, most: int = 32_768) -> DataFrame:
-    """fragments (stream_id, seq, text) of one JSON array for each stream_id: a row for each object as soon as it is closed, n
-    from 0. An open object of over `most` characters is dropped with what belongs to it, as no row is that long."""
+    """fragments (stream_id, seq, text) of one JSON array for each stream_id: a row for each object as soon as it is closed, n from
+    0, with its size in characters; row is NULL for what is no JSON and for an object of over `most` characters, which is
+    skipped to its own end, so that nothing inside it is taken for a row. The state is the open object, bounded by `most`."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, n = state.get if state.exists else ("", 0)
-        out = []
+        held, size, depth, quoted, escaped, n = state.get if state.exists else ("", 0, 0, False, False, 0)
+        out: list[tuple] = []
+        for text in _batch(parts, ["seq"])["text"]:
+            kept = [held] if held else []
+            for c in text or "":
+                if quoted:
+                    escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+                elif c == '"':
+                    quoted = True
+                elif c == "{":
+                    depth += 1
+                inside = depth > 0
+                if c == "}" and not quoted and depth:
+                    depth -= 1
+                if inside:
+                    size += 1
+                    if size <= most:
+                        kept.append(c)
+                if inside and not depth:
+                    row = None
+                    if size <= most:
+                        try:
+                            row = json.dumps(json.loads("".join(kept)), sort_keys=True, ensure_ascii=False)
+                        except ValueError:
+                            row = None
+                    out.append((key[0], n, size, row))
+                    kept, size, n = [], 0, n + 1
+            held = "".join(kept) if size <= most else ""
+        state.update((held, size, depth, quoted, escaped, n))
+        yield pd.DataFrame(out, columns=["stream_id", "n", "size", "row"])
+
+    return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, size long, row string", "held string, size long, depth long, quoted boolean, escaped boolean, n long")
+
+
+def split_pieces(fragments: DataFrame, end: str, most: int = 1_048_576) -> DataFrame:
+    """fragments (stream_id, seq, text) as the pieces between `end`, n from 0, wherever the fragments were cut; what follows the last
+    end waits. A piece of over `most` characters is NULL and skipped to its own end."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, long, n = state.get if state.exists else ("", False, 0)
+        out: list[tuple] = []
         for text in _batch(parts, ["seq"])["text"]:
-            found, rest = closed_objects(rest + (text or ""))
-            rest = rest[-most:] if "{" in rest else ""
-            for row in found:
-                try:
-                    out.append((key[0], n, json.dumps(json.loads(row), sort_keys=True, ensure_ascii=False)))
-                    n += 1
-                except ValueError:
-                    continue
-        state.update((rest, n))
-        yield pd.DataFrame(out, columns=["stream_id", "n", "row"])
-
-    return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, row string", "rest string, n long")
+            *whole, held = (held + (text or "")).split(end)
+            for piece in whole:
+                out.append((key[0], n, None if long or len(piece) > most else piece))
+                long, n = False, n + 1
+            if len(held) > most:
+                held, long = held[-len(end) :], True  # the end may have begun
+        state.update((held, long, n))
+        yield pd.DataFrame(out, columns=["stream_id", "n", "piece"])
+
+    return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, piece string", "held string, long boolean, n long")
+
+
+def encoded_frame(event: Column) -> Column:
+    """A JSON event as one frame of a server-sent stream."""
+    return F.concat(F.lit("data: "), event, F.lit("\n\n"))
+
+
+def frames(fragments: DataFrame) -> DataFrame:
+    """The JSON events of a server-sent stream (stream_id, n, event), whatever its fragments; frames without data and those that
+    are no JSON are left out."""
+    pieces = split_pieces(fragments, "\n\n")
+    line = F.get(F.filter(F.split("piece", "\n"), lambda x: F.startswith(x, F.lit("data: "))), F.lit(0))
+    event = F.substr(line, F.lit(7))
+    return pieces.select("stream_id", "n", event.alias("event")).where(F.try_parse_json("event").isNotNull())
+
+
+def response_lines(fragments: DataFrame) -> DataFrame:
+    """The lines of an answer in JSON lines (stream_id, n, kind, line): row, done or error by the line's type; blank lines and what is
+    no JSON are left out."""
+    pieces = split_pieces(fragments, "\n").where(F.try_parse_json("piece").isNotNull())
+    said = F.get_json_object("piece", "$.type")
+    return pieces.select("stream_id", "n", F.when(said.isin("done", "error"), said).otherwise("row").alias("kind"), F.col("piece").alias("line"))
 
 
 def admit(events: DataFrame) -> DataFrame:
