@@ -605,7 +605,7 @@ def page_row_clusters(spark, d):
     word = lambda text, x: F.struct(text.cast("string").alias("text"), F.lit(float(x)).alias("x0"))
     words = rows.select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") * 20.0 + F.col("l_partkey") % 3).alias("y0"), F.inline(F.array(word(F.col("l_partkey"), 10), word(F.col("lo"), 200), word(F.col("hi"), 300))))
     words = words.select("page_id", "text", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 10).alias("y1"))
-    return rows_of.page_rows(words)
+    return rows_of.page_rows(words).withColumn("cells", F.array_join("cells", "|"))
 
 
 @query(f"""{PTS}, g AS (SELECT patient_id, count(DISTINCT date) AS draws, max(date) AS last_draw FROM p GROUP BY 1),
