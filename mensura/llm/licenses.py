@@ -15,6 +15,8 @@ ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 
-#: Fixed value: a sentence with one of these is about a licence. Every known sentence must have one.
+#: Fixed value: a sentence with one of these is about a licence; what isn't known counts as unknown then.
 MARKS = r"licen[sc]e|permission|warrant|redistribut|cc0|public domain|rights reserved|copyright"
 
 
@@ -104,8 +106,9 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[s
     """doc_id, sentence_ids (joined by commas, in order), licences (joined by commas), unmatched and unknown of every row of
     docs (doc_id, text)."""
     table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
-    # documents without any mark, nearly all, are settled by one look
-    rows = docs.select("doc_id", F.when(F.lower("text").rlike(LOOK), pieces(F.col("text"))).otherwise("").alias("s"))
+    # documents without any mark, nearly all, are settled by one look; known sentences without one are looked for themselves
+    bare = [r"[^a-z0-9]+".join(s.split()) for s in known.values() if not re.search(MARKS, s)]
+    rows = docs.select("doc_id", F.when(F.lower("text").rlike("|".join([LOOK, *bare])), pieces(F.col("text"))).otherwise("").alias("s"))
     one, none = F.lit(pattern(known)), F.array().cast("array<string>")
     hits = F.transform(F.regexp_extract_all("s", one, F.lit(0)), lambda x: F.try_element_at(table, F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))))
     left = F.filter(F.split(F.regexp_replace("s", one, F.lit("!")), "\n"), lambda x: F.contains(x, F.lit("!")) & x.rlike(MARKS))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.llm import fingerprints as fp
+from mensura.llm._words import buffers, mix, shingles, word_hashes
 from mensura.llm.html_extract import deletable, extract, outside, parse, regions, text_of
 from mensura.llm.html_extract import main_text as main_text_without
 from mensura.llm.lang_id import Network, has_letter, identify, is_held_out, keep_identified, languages
@@ -70,6 +71,47 @@ def test_fingerprints_estimate_similarity():
     assert rng and fp.packed(x)[0] == fp.packed(fp.signatures(pa.array([a]))[0])[0] and len(fp.packed(x)[0]) == 256
 
 
+def plain_signature(text, bins, bits, width):
+    """Bins, densification and low bits by loops over the same hashes."""
+    data, offsets = buffers(pa.array([text]))
+    hashes = [int(h) for h in shingles(*word_hashes(data, offsets), width)[0]]
+    if not hashes:
+        return [0] * bins
+    least = {}
+    for h in hashes:
+        b = h >> (64 - (bins - 1).bit_length())
+        least[b] = min(h, least.get(b, h))
+    out = []
+    for b in range(bins):
+        keys = mix(np.arange(b * bins, (b + 1) * bins, dtype=np.uint64), 5)
+        source = next(j for j in np.argsort(keys, kind="stable").tolist() if j in least) if b not in least else b
+        salt = int(mix(np.array([b], np.uint64), 7)[0])
+        out.append(int(mix(np.array([least[source] ^ salt], np.uint64))[0]) & (2**bits - 1))
+    return out
+
+
+def test_signatures_equal_loops():
+    rng = random.Random(5)
+    for n in (0, 1, 4, 9, 70, 900):
+        text = " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+        for bins, bits in ((64, 2), (128, 1), (256, 4)):
+            assert fp.signatures(pa.array([text]), bins, bits, 5)[0][0].tolist() == plain_signature(text, bins, bits, 5), (n, bins)
+
+
+def test_likeness_error():
+    """The standard error of the estimate stays below 0.025 over pairs of all degrees of likeness."""
+    rng, errors = random.Random(6), []
+    for k in range(60):
+        n = rng.choice([80, 400, 1500])
+        base = [f"{k}x{i}" for i in range(n)]
+        cut = rng.randint(0, n // 2)
+        a, b = " ".join(base), " ".join(base[: n - cut] + [f"{k}y{i}" for i in range(cut)])
+        (x, sx), (y, sy) = (fp.signatures(pa.array([t])) for t in (a, b))
+        want = len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+        errors.append(fp.likeness(x, sx, y, sy)[0] - want)
+    assert np.std(errors) < 0.025 and abs(np.mean(errors)) < 0.01
+
+
 def test_edited_likeness(spark, odd_docs, no_docs):
     assert fp.edited_likeness(no_docs).count() == 0
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.collect()))
@@ -284,6 +326,15 @@ copies or substantial portions of the Software."""
     assert found[2].sentence_ids == "apache2-ref-the,apache2-comply,apache2-copy,asis-basis" and found[1].sentence_ids == "mit-grant-full,mit-notice"
 
 
+def test_licences_are_native_and_take_any_table(spark):
+    docs = spark.createDataFrame([(1, "Do what you like\nwith this."), (2, "word " * 200_000 + "\nAll rights reserved."), (2, "All rights reserved."), (None, "All rights reserved.")], "doc_id long, text string").withColumn("rest", F.lit(1)).withColumn("ids", F.lit("x"))
+    plan = scan(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    own = scan(docs, {"like": "do what you like with this"}, [("Own", ["like"])])
+    assert sorted((r.doc_id or 0, r.licences) for r in own.collect()) == [(0, ""), (1, "Own"), (2, ""), (2, "")]
+    assert sorted((r.doc_id or 0, r.licences) for r in scan(docs).collect()) == [(0, "proprietary"), (1, ""), (2, "proprietary"), (2, "proprietary")]
+
+
 def test_network_gradients():
     rng = np.random.default_rng(3)
     net = Network.new(["a", "b"], 4, 3, 1)
