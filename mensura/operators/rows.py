@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
-from ..functions.numbers import VALUE_MARKS
+from ..functions.numbers import VALUE_MARKS, bound
+from ..functions.text import fold, strip_marks
+from .documents import nearest_heading
 
 
 def page_rows(words: DataFrame) -> DataFrame:
@@ -93,3 +95,91 @@ def best_prefix(rows: DataFrame, pages: DataFrame) -> DataFrame:
     met = rows.join(pages.select("page_id", F.col("row_index").alias("_i"), norm_key(F.array_join("cells", " ")).alias("_n")), "page_id").where(F.startswith("_n", norm_key(F.col("raw_name"))))
     one = met.groupBy("page_id", "ord").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_i"))
     return rows.join(one, ["page_id", "ord"], "left").select(*rows.columns, F.when(F.col("_c") == 1, F.col("_i")).alias("found_row"))
+
+
+#: Headings of blocks and the materials they announce, and what a cell of a material column says; folded.
+HEADING_MATERIALS = {
+    "mocovy sediment": "u", "moc chemicky": "u", "moc": "u", "moci": "u", "serum": "s", "plazma": "p", "krevni obraz": "b", "krvny obraz": "b", "hematologie": "b", "hematologia": "b", "biochemie": "s", "biochemia": "s",
+}
+MATERIAL_WORDS = {"serum": "s", "plazma": "p", "krv edta": "b", "krv": "b", "krev": "b", "plna krev": "b", "moc": "u"}
+
+
+def _map(fixed: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+
+
+def material_word(cell: Column) -> Column:
+    """The material that a cell says if it is nothing but a known word."""
+    return F.try_element_at(_map(MATERIAL_WORDS), fold(cell))
+
+
+def heading_material(cell: Column) -> Column:
+    """The material that a heading announces: its earliest mention; NULL if it names none."""
+
+    def mention(phrase: str, code: str) -> Column:
+        pattern = rf"(?:^|[^a-z]){phrase}(?![a-z])"
+        found = F.regexp_extract(fold(cell), pattern, 0)
+        at = F.regexp_instr(fold(cell), F.lit(pattern)) + F.length(found) - len(phrase)
+        return F.when(found != "", F.struct(at.alias("at"), F.lit(code).alias("code")))
+
+    found = F.filter(F.array(*[mention(p, m) for p, m in HEADING_MATERIALS.items()]), lambda x: x.isNotNull())
+    return F.array_min(found)["code"]
+
+
+def printed_materials(pages: DataFrame) -> DataFrame:
+    """page_id, row_index, material and source of the rows of pages (page_id, row_index, cells): what a cell behind the first one
+    says (column: the first cell is a name, even if it is spelt like a material), else what the nearest heading at or above
+    announces (heading; it holds even if it announces nothing); NULL if nothing does."""
+    cells = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: F.coalesce(c != "", F.lit(False)))
+    rows = pages.select("page_id", "row_index", cells.alias("cells"))
+    column = F.get(F.filter(F.transform(F.slice("cells", 2, 1_000_000), material_word), lambda m: m.isNotNull()), F.lit(0))
+    known = F.filter("cells", lambda c: material_word(c).isNull() & fold(c).isin(list(HEADING_MATERIALS)))
+    single = F.get("cells", F.lit(0))
+    looks = (F.size("cells") == 1) & single.rlike(r"^\p{Lu}") & ~single.rlike(r"\d") & (F.length(single) <= 40)
+    rows = rows.withColumns({"_column": column, "_heading": F.coalesce(F.get(known, F.lit(0)), F.when(looks, single))})
+    above = nearest_heading(rows, "page_id", "row_index", F.col("_heading").isNotNull(), heading_material(F.col("_heading")))
+    source = F.when(F.col("_column").isNotNull(), "column").when(F.col("heading").isNotNull(), "heading")
+    return above.select("page_id", "row_index", F.coalesce("_column", "heading").alias("material"), source.alias("source"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(strip_marks(F.lower(F.coalesce(text, F.lit("")))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def row_has_value(text: Column, value: Column) -> Column:
+    """Whether a row's text has the value as one token, or as two or three joined, whatever the marks and blanks."""
+
+    def key(x: Column) -> Column:
+        plain = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")
+        return F.when(F.translate(plain, "!*↑↓", "") == "", plain).otherwise(F.translate(plain, "!*↑↓", ""))
+
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    runs = F.flatten(F.transform(tokens, lambda _, i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: key(F.array_join(F.slice(tokens, i + 1, n), "")))))
+    return (key(value) != "") & F.array_contains(runs, key(value))
+
+
+def row_has_name(text: Column, name: Column) -> Column:
+    """Whether some tokens in a row, joined, are the name's, joined, but for one edit in five characters."""
+
+    def of(n: Column) -> Column:
+        tokens, budget = _tokens(text), F.floor(F.length(n) * 0.2).cast("int")
+        longest = F.least(F.size(tokens), F.length(n) + budget)
+
+        def fits(run: Column) -> Column:
+            near = F.abs(F.length(run) - F.length(n)) <= budget
+            # without a threshold: a run this near in length is short
+            return near & ((run == n) | ((budget > 0) & (F.levenshtein(n, run) <= budget)))
+
+        runs = lambda i: F.transform(F.sequence(F.lit(1), F.greatest(longest, F.lit(1))), lambda k: F.array_join(F.slice(tokens, i + 1, k), ""))
+        return (n != "") & F.exists(F.transform(tokens, lambda _, i: F.exists(runs(i), fits)), lambda x: x)
+
+    return bound(F.array_join(_tokens(name), ""), of)
+
+
+def matched_reads(reads: DataFrame, rows: DataFrame) -> DataFrame:
+    """reads (page_id, ord, raw_name, value_raw) with the one row (page_id, row_index, text) of their page that has the name and the
+    value; NULL if none has or several have, and for all reads that claim the same row."""
+    met = reads.join(rows, "page_id").where(row_has_value(F.col("text"), F.col("value_raw")) & row_has_name(F.col("text"), F.col("raw_name")))
+    picked = met.groupBy("page_id", "ord").agg(F.count(F.lit(1)).alias("_n"), F.min("row_index").alias("_row")).where("_n = 1")
+    sole = picked.withColumn("_claims", F.count(F.lit(1)).over(Window.partitionBy("page_id", "_row"))).where("_claims = 1")
+    return reads.join(sole.select("page_id", "ord", F.col("_row").alias("found_row")), ["page_id", "ord"], "left").select(*reads.columns, "found_row")

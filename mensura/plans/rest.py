@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, printing
@@ -149,6 +150,39 @@ def printed_rows(spark, d):
     return rows.join(left, "page_id", "left").select("id", rows_of.printed_on_row(F.col("value_raw"), F.col("cells")).alias("printed"), F.coalesce("unclaimed", F.lit(False)).alias("unclaimed"))
 
 
+_PAGE = """r AS (SELECT l_orderkey AS page_id, l_partkey, cents, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cents) AS ord FROM l)"""
+
+
+def _page(spark, d):
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "cents"))
+    return c.lines(spark, d).select(F.col("l_orderkey").alias("page_id"), "l_partkey", "cents", nth.alias("ord"))
+
+
+@query(f"""{LNS}, {_PAGE}, h AS (SELECT DISTINCT page_id, 0 AS row_index, ['s', 'u', NULL, 'b', 'u'][page_id % 5 + 1] AS material FROM r)
+SELECT page_id, row_index, material, CASE WHEN material IS NOT NULL THEN 'heading' END AS source FROM h UNION ALL
+SELECT page_id, ord, CASE WHEN l_partkey % 5 = 0 THEN 'b' ELSE material END, CASE WHEN l_partkey % 5 = 0 THEN 'column' WHEN material IS NOT NULL THEN 'heading' END FROM r JOIN h USING (page_id)""")
+def row_materials(spark, d):
+    """Pages with a heading and rows whose first cell is spelt like a material; some say their material in a column."""
+    rows = _page(spark, d)
+    heading = c.pick(F.col("page_id"), [F.array(F.lit(" Biochemie ")), F.array(F.lit("Moč - biochemie")), F.array(F.lit("Metabolity")), F.array(F.lit("KREVNÍ OBRAZ")), F.array(F.lit("Močový sediment"), F.lit("negativní"))])
+    heads = rows.select("page_id").distinct().select("page_id", F.lit(0).alias("row_index"), heading.alias("cells"))
+    said = F.array(F.lit("Moč"), F.lit(""), F.col("cents").cast("string"), F.when(F.col("l_partkey") % 5 == 0, "Plná krev").otherwise("krev 2"))
+    return rows_of.printed_materials(heads.unionByName(rows.select("page_id", F.col("ord").alias("row_index"), said.alias("cells"))))
+
+
+@query(f"""{LNS}, {_PAGE} SELECT page_id, ord, CASE WHEN cents % 5 < 3 THEN ord END AS found_row FROM r""")
+def matched_reads(spark, d):
+    """Reads of rows with a letter lost, a separator lost, another value, and two reads of one row."""
+    rows = _page(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    value, k = F.concat(F.col("ord").cast("string"), F.lit(","), F.col("cents").cast("string")), F.col("cents") % 5
+    text = F.concat(F.lit("S_"), F.initcap("p_name"), F.lit(" "), F.col("ord").cast("string"), F.lit(" ,"), F.col("cents").cast("string"), F.lit(" ! g/l"))
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit(""))).when(k == 2, F.concat(F.left("p_name", F.length("p_name") - 1), F.lit("q"))).otherwise(F.col("p_name"))
+    reads = rows.select("page_id", "ord", name.alias("raw_name"), F.when(k == 3, F.concat(value, F.lit("9"))).otherwise(value).alias("value_raw"), F.explode(F.when(k == 4, F.array(F.lit(0), F.lit(100_000))).otherwise(F.array(F.lit(0)))).alias("twice"))
+    reads = reads.select("page_id", (F.col("ord") + F.col("twice")).alias("ord"), "raw_name", "value_raw")
+    found = rows_of.matched_reads(reads, rows.select("page_id", F.col("ord").alias("row_index"), text.alias("text")))
+    return found.where("ord < 100000").select("page_id", "ord", "found_row")
+
+
 @query("""SELECT user_id, sum(event_id % 7 + 1) AS credit, count(*) AS n FROM events GROUP BY user_id""")
 def credits_once(spark, d):
     """Purchases told twice or more count once."""
