@@ -106,9 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
+        large = large.distinct()
+        # a node has few smaller neighbours here, as many as the lists that it is entered in
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first()
@@ -117,14 +117,20 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def split_join(pairs: DataFrame, key: str, side: DataFrame, most: int = 1000) -> DataFrame:
-    """pairs joined with side (one row a key) on key. A key of more than `most` pairs is split into parts of about that many,
-    each of which gets its copy of the side's row."""
-    hot = pairs.groupBy(key).count().where(f"count > {most}").select(key, F.ceil(F.col("count") / most).cast("int").alias("_ways"))
-    hot = written(hot, "hot")
-    if hot.isEmpty():
+def busy(pairs: DataFrame, most: int = 1000) -> DataFrame | None:
+    """id and ways of the members of more than `most` pairs (a, b): into how many parts these are split in split_join; None if
+    there are none."""
+    hot = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().where(f"count > {most}")
+    hot = written(hot.select("id", F.ceil(F.col("count") / most).cast("int").alias("ways")), "busy")
+    return None if hot.isEmpty() else hot
+
+
+def split_join(pairs: DataFrame, key: str, side: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """pairs (a, b) joined with side (one row a key) on key. The pairs of a busy key are split into parts, each of which gets its copy
+    of the side's row."""
+    if hot is None:
         return pairs.join(side, key)
-    ways = F.coalesce("_ways", F.lit(1))
+    ways, hot = F.coalesce("_ways", F.lit(1)), hot.select(F.col("id").alias(key), F.col("ways").alias("_ways"))
     pairs = pairs.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), ways).cast("int")).drop("_ways")
     side = side.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
     return pairs.join(side, [key, "_part"]).drop("_part")
@@ -151,7 +157,8 @@ class _Linker:
         pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "met")
         side = lambda x: self.classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-        both = split_join(split_join(pairs, "a", side("a")), "b", side("b"))
+        hot = busy(pairs)  # of the confirmed pairs below, these are enough parts
+        both = split_join(split_join(pairs, "a", side("a"), hot), "b", side("b"), hot)
         # sketches are sorted as unsigned; so are their unions, after the sign bit is flipped
         flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2**63))))
         both = both.withColumn("union", F.slice(F.array_sort(flip(F.array_union("sa", "sb"))), 1, self.keep))
@@ -164,7 +171,7 @@ class _Linker:
         sets = written(full_sets(among(self.docs, ids, self.row), self.width), "sets")
         side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
         shared = F.size(F.array_intersect("ma", "mb"))
-        joint = split_join(split_join(pairs, "a", side("a")), "b", side("b"))
+        joint = split_join(split_join(pairs, "a", side("a"), hot), "b", side("b"), hot)
         joint = joint.select("a", "b", shared.alias("i"), (F.size("ma") + F.size("mb") - shared).alias("u"))
         found = joint.where(F.col("i") * 100 >= F.col("u") * self.percent).select("a", "b")
         # what was linked before goes on as stars
@@ -268,7 +275,7 @@ def _groups(docs: DataFrame, row: list[str], width: int, percent: int, keep: int
     if linker.roots is None:
         ids = ids.select("digest", "first")
     else:
-        ids = written(linker.labelled(ids), "labels")
+        ids = linker.labelled(ids)
         least = written(ids.groupBy("label").agg(F.min("first").alias("first")), "components")
         ids = ids.drop("first").join(least, "label").select("digest", "first")
     linked = every.where("digest is not null").join(written(ids, "found"), "digest")

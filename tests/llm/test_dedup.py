@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from mensura.llm.exact_dedup import deduplicate, exact_groups
-from mensura.llm.near_dedup import components, drop_near_copies, least_shared, near_groups, split_join
+from mensura.llm.near_dedup import busy, components, drop_near_copies, least_shared, near_groups, split_join
 
 
 def norm(t):
@@ -101,7 +101,7 @@ def test_split_join(spark):
     pairs = spark.createDataFrame([(1, b) for b in range(10, 60)] + [(2, 10), (3, 11)], "a long, b long")
     side = spark.createDataFrame([(k, k * 10) for k in range(4)], "a long, v long")
     for most in (1, 7, 1000):
-        assert sorted(map(tuple, split_join(pairs, "a", side, most).select("a", "b", "v").collect())) == sorted((r.a, r.b, r.a * 10) for r in pairs.collect())
+        assert sorted(map(tuple, split_join(pairs, "a", side, busy(pairs, most)).select("a", "b", "v").collect())) == sorted((r.a, r.b, r.a * 10) for r in pairs.collect())
 
 
 def words(t):
