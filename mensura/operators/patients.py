@@ -44,12 +44,16 @@ def visits(artifacts: DataFrame, owner: str, prefer: list[str]) -> DataFrame:
     return found.withColumn("number", F.row_number().over(Window.partitionBy(owner).orderBy("date")).cast("long"))
 
 
-def context_lines(points: DataFrame, owner: str, series: str, order: list[str]) -> DataFrame:
-    """One line of text for each series: name, interval of the last point, dated values with their flags."""
+def context_lines(points: DataFrame, owner: str, series: str, order: list[str], most: int = 500) -> DataFrame:
+    """Lines of text for each series: name, interval of the last point, dated values with their flags; a line (part, from 0) has at
+    most `most` values, so a long series is several lines and no unbounded row."""
     at = F.struct(*order)
     said = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(": "), printed_number(F.col("value")), F.lit(" ("), F.col("flag"), F.lit(")"))
-    rows = points.where("value is not null").groupBy(owner, series).agg(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), said.alias("s")))), lambda x: x["s"]).alias("s"), F.max_by(F.struct("ref_low", "ref_high"), at).alias("r"))
-    return rows.select(owner, series, F.concat_ws(" | ", F.col(series), printed_range(F.col("r.ref_low"), F.col("r.ref_high")), F.array_join("s", "; ")).alias("line"))
+    w = Window.partitionBy(owner, series).orderBy(*order)
+    rows = points.where("value is not null").withColumn("part", F.floor((F.row_number().over(w) - 1) / most).cast("long"))
+    last = F.last(F.struct("ref_low", "ref_high")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("r", last).groupBy(owner, series, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), said.alias("s")))), lambda x: x["s"]).alias("s"), F.first("r").alias("r"))
+    return rows.select(owner, series, "part", F.concat_ws(" | ", F.col(series), printed_range(F.col("r.ref_low"), F.col("r.ref_high")), F.array_join("s", "; ")).alias("line"))
 
 
 class Tools:

@@ -146,19 +146,50 @@ def majority_unit(points: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*keys, F.col("u.unit").alias("unit"), "n")
 
 
-def derived(points: DataFrame, owner: list[str], series: str, report: str, inputs: list[str], formula, order: list[str], guard=None, least: int = 2) -> DataFrame:
+def derived(
+    points: DataFrame, owner: list[str], series: str, report: str, inputs: list[str], formula, order: list[str], guard=None, least: int = 2, units: list[str] | None = None
+) -> DataFrame:
     """A value computed from inputs of the same report, never of the nearest date: the last point of each input in a report.
-    guard: a condition under which there is no value; those are counted. Owners with fewer than `least` values have none."""
+    guard: a condition under which there is no value; units: those that the inputs (with unit) must have, as they are spelt, for
+    nothing is converted silently. Reports with all inputs and no value are counted as skipped. Owners with fewer than `least`
+    values have none."""
     at = F.struct(*order)
-    wide = numeric(points).where(F.col(series).isin(inputs)).groupBy(*owner, report).agg(*[F.max_by(F.when(F.col(series) == i, F.col("value")), F.when(F.col(series) == i, at)).alias(i) for i in inputs], F.max("date").alias("date"))
+    said = F.struct(F.col("value").alias("v"), (F.coalesce("unit", F.lit("")) if units else F.lit("")).alias("u"))
+    last = lambda i: F.max_by(F.when(F.col(series) == i, said), F.when(F.col(series) == i, at))
+    wide = numeric(points).where(F.col(series).isin(inputs)).groupBy(*owner, report).agg(*[last(i).alias(i) for i in inputs], F.max("date").alias("date"))
     wide = wide.where(" and ".join(f"`{i}` is not null" for i in inputs))
-    value = formula(*[F.col(i) for i in inputs])
-    value = F.when(~guard(*[F.col(i) for i in inputs]), value) if guard else value
+    values = [F.col(f"`{i}`.v") for i in inputs]
+    value = formula(*values)
+    value = F.when(~guard(*values), value) if guard else value
+    for i, unit in zip(inputs, units or []):
+        value = F.when(F.col(f"`{i}`.u") == unit, value)
     rows = wide.withColumn("value", F.round(value, 6))
     enough = rows.groupBy(*owner).agg(F.count("value").alias("usable"), F.count_if(F.col("value").isNull()).alias("skipped")).where(F.col("usable") >= least)
     return rows.join(enough, owner).select(*owner, report, "date", "value", "usable", "skipped")
 
 
+#: Computed series: inputs with their units, formula, where there is no value, and the reason that is told then.
+FORMULAS = {
+    "derived:non_hdl": ({"cholesterol": "mmol/l", "hdl": "mmol/l"}, lambda c, h: c - h, None, ""),
+    "derived:ldl_friedewald": (
+        {"cholesterol": "mmol/l", "hdl": "mmol/l", "triacylglyceroly": "mmol/l"}, lambda c, h, t: c - h - t / 2.2, lambda c, h, t: t > 4.5, "nad 4,5 mmol/l triacylglycerolů Friedewaldův výpočet neplatí",
+    ),
+    "derived:chol_hdl": ({"cholesterol": "mmol/l", "hdl": "mmol/l"}, lambda c, h: F.try_divide(c, h), lambda c, h: h <= 0, "HDL je nula"),
+    "derived:ast_alt": ({"ast": "µkat/l", "alt": "µkat/l"}, lambda a, b: F.try_divide(a, b), lambda a, b: b <= 0, "ALT je nula"),
+}
+
+
+def computed_series(points: DataFrame, owner: list[str], series: str, report: str, order: list[str]) -> DataFrame:
+    """The points of all computed series, with the name of each and the reason for what was skipped. Their flag is unknown: they
+    have no interval."""
+    found = None
+    for name, (inputs, formula, guard, reason) in FORMULAS.items():
+        rows = derived(points, owner, series, report, list(inputs), formula, order, guard, units=list(inputs.values()))
+        rows = rows.where("value is not null").withColumns({series: F.lit(name), "flag": F.lit("unknown"), "reason": F.when((F.col("skipped") > 0) & F.lit(reason != ""), reason)})
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def observed(points: DataFrame, series: str) -> DataFrame:
     """Of each series: count, dates, extremes, mean, first and last date, and the upper median of its values (the element at
     half the count). Approximate percentiles around the middle bracket it, those below are only counted, and only the few

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numbers, printing
 from ..operators import charts, citations, codes, documents, normal
+from ..operators.series import computed_series as computed
 from ..sources.tables import table
 from . import carriers as c
 from .carriers import LINES_SQL, POINTS_SQL
@@ -296,9 +297,6 @@ def follow_ups(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(citations.followups(end), "|").alias("asked"))
 
 
-_WHO = "'Xeno Q' || doc_id || 'zuv'"
-
-
 @query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, 'Q' || doc_id || 'zuv' AS last, length('Q' || doc_id || 'zuv') AS n FROM documents)
 SELECT doc_id, 'Pacient: ' || repeat('█', 5 + n) || '  Narozena: ' || repeat('█', 8) || '
 Rodné číslo: ' || repeat('█', 11) || chr(9) || 'Datum odběru: 3.4.2020
@@ -327,3 +325,34 @@ def printed_spans(spark, d):
 @query("""SELECT event_id, left(sha256('salt|' || strftime(ts, '%Y-%m-%d') || '|' || user_id), 16) AS owner, left(sha256('salt|' || event_type), 16) AS kind FROM events""")
 def hashed_owners(spark, d):
     return table(spark, d, "events").select("event_id", printing.hashed_owner(F.col("user_id").cast("string"), "salt", F.col("ts")).alias("owner"), printing.hashed_owner(F.col("event_type"), "salt").alias("kind"))
+
+
+_NAMED = {"click": "cholesterol", "view": "hdl", "purchase": "triacylglyceroly", "signup": "ast", "error": "alt"}
+
+
+def _computed_sql() -> str:
+    wide = ", ".join(f"arg_max({{'v': x, 'u': unit}}, (ts, event_id)) FILTER (series = '{s}') AS {n}" for s, n in _NAMED.items())
+    cases = [
+        ("derived:non_hdl", ("cholesterol", "hdl"), "cholesterol.v - hdl.v", "TRUE", ""), ("derived:ldl_friedewald", ("cholesterol", "hdl", "triacylglyceroly"), "cholesterol.v - hdl.v - triacylglyceroly.v / 2.2", "triacylglyceroly.v <= 4.5", "nad 4,5 mmol/l triacylglycerolů Friedewaldův výpočet neplatí"),
+        ("derived:chol_hdl", ("cholesterol", "hdl"), "cholesterol.v / hdl.v", "hdl.v > 0", "HDL je nula"), ("derived:ast_alt", ("ast", "alt"), "ast.v / alt.v", "alt.v > 0", "ALT je nula"),
+    ]
+    parts = []
+    for name, inputs, value, good, reason in cases:
+        units = " AND ".join([good, *(f"{i}.u = '{'mmol/l' if name != 'derived:ast_alt' else 'µkat/l'}'" for i in inputs)])
+        there = " AND ".join(f"{i} IS NOT NULL" for i in inputs)
+        parts.append(f"SELECT *, '{name}' AS series, '{reason}' AS why FROM (SELECT patient_id, report_id, date, CASE WHEN {units} THEN round({value}, 6) END AS value FROM w WHERE {there})")
+    return f"""{PTS}, q AS (SELECT *, concat_ws('|', patient_id, CAST(date AS VARCHAR)) AS report_id, CASE WHEN series = 'purchase' THEN value * 0.05 WHEN event_id % 50 = 0 THEN 0 ELSE value END AS x, CASE WHEN event_id % 9 = 0 THEN 'mg/dl' WHEN series IN ('signup', 'error') THEN 'µkat/l' ELSE 'mmol/l' END AS unit FROM p WHERE value IS NOT NULL),
+w AS (SELECT patient_id, report_id, date, {wide} FROM q GROUP BY ALL), v AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT patient_id, series, count(value) AS usable, count(*) - count(value) AS skipped FROM v GROUP BY ALL HAVING count(value) >= 2)
+SELECT patient_id, series, report_id, date, value, usable, skipped, 'unknown' AS flag, CASE WHEN skipped > 0 AND why <> '' THEN why END AS reason FROM v JOIN e USING (patient_id, series) WHERE value IS NOT NULL"""
+
+
+@query(_computed_sql())
+def computed_series(spark, d):
+    """Readings under the names of the formulas' inputs; each ninth is in another unit, some are 0."""
+    rows = c.points(spark, d)
+    name = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])[F.col("series")]
+    value = F.when(F.col("series") == "purchase", F.col("value") * 0.05).when(F.col("event_id") % 50 == 0, 0.0).otherwise(F.col("value"))
+    unit = F.when(F.col("event_id") % 9 == 0, "mg/dl").when(F.col("series").isin("signup", "error"), "µkat/l").otherwise("mmol/l")
+    rows = rows.where("value is not null").withColumns({"report_id": F.concat_ws("|", "patient_id", F.col("date").cast("string")), "value": value, "unit": unit, "series": name})
+    return computed(rows, ["patient_id"], "series", "report_id", ORDER)

@@ -552,8 +552,8 @@ def visit_spine(spark, d):
     return patients.visits(rows, "patient_id", ["urgent", "high"])
 
 
-@query(f"""{PTS}, e AS (SELECT *, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) * 2 AS x FROM p WHERE value IS NOT NULL)
-SELECT patient_id, series, series || ' | 5–110 | ' || string_agg(strftime(date, '%Y-%m-%d') || ': ' || {_PRINTED} || ' (' || flag || ')', '; ' ORDER BY ts, event_id) AS line FROM e GROUP BY patient_id, series""")
+@query(f"""{PTS}, e AS (SELECT *, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) * 2 AS x, (row_number() OVER (PARTITION BY patient_id, series ORDER BY ts, event_id) - 1) // 500 AS part FROM p WHERE value IS NOT NULL)
+SELECT patient_id, series, part, series || ' | 5–110 | ' || string_agg(strftime(date, '%Y-%m-%d') || ': ' || {_PRINTED} || ' (' || flag || ')', '; ' ORDER BY ts, event_id) AS line FROM e GROUP BY patient_id, series, part""")
 def context_table(spark, d):
     rows = c.points(spark, d).withColumn("value", F.round(F.col("value") * 100, 0).cast("long").cast("double") * 2)
     return patients.context_lines(rows, "patient_id", "series", ORDER)
