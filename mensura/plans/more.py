@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers, printing
-from ..operators import charts, citations, codes, documents, normal
+from ..operators import charts, citations, codes, documents, normal, prose
 from ..operators.series import computed_series as computed
 from ..sources.tables import table
 from . import carriers as c
@@ -356,3 +356,19 @@ def computed_series(spark, d):
     unit = F.when(F.col("event_id") % 9 == 0, "mg/dl").when(F.col("series").isin("signup", "error"), "µkat/l").otherwise("mmol/l")
     rows = rows.where("value is not null").withColumns({"report_id": F.concat_ws("|", "patient_id", F.col("date").cast("string")), "value": value, "unit": unit, "series": name})
     return computed(rows, ["patient_id"], "series", "report_id", ORDER)
+
+
+@query(f"""WITH sh AS ({ORACLE['series_shape']}), p AS ({POINTS_SQL}),
+e AS (SELECT patient_id, series, arg_min(flag, (ts, event_id)) AS first_flag, arg_max(flag, (ts, event_id)) AS last_flag, arg_max(date, (ts, event_id)) AS last_date, arg_max(value, (ts, event_id)) AS lv FROM p WHERE value IS NOT NULL GROUP BY ALL),
+d AS (SELECT patient_id, max(date) AS draw FROM p GROUP BY 1),
+r AS (SELECT e.*, draw, sh.* EXCLUDE (patient_id, series), coalesce(abs(rel_change), abs(change), 0) AS size, last_flag IN ('high', 'low') AS out, first_flag IN ('high', 'low') AS out0 FROM e JOIN d USING (patient_id) LEFT JOIN sh ON sh.patient_id = e.patient_id AND sh.series = e.series),
+k AS (SELECT *, 'out' AS kind FROM r WHERE out AND last_date = draw UNION ALL SELECT *, 'longest' FROM r WHERE out AND last_date = draw AND out_streak >= 3
+  UNION ALL SELECT *, direction FROM r WHERE span_days > 0 AND (last_flag = 'high' AND direction = 'rising' OR last_flag = 'low' AND direction = 'falling')
+  UNION ALL SELECT *, 'drift' FROM r WHERE n IS NOT NULL AND NOT out AND monotone AND size >= 0.15 UNION ALL SELECT *, 'returned' FROM r WHERE n IS NOT NULL AND out0 AND NOT out
+  UNION ALL SELECT *, 'recovering' FROM r WHERE n IS NOT NULL AND (last_flag = 'high' AND direction = 'falling' OR last_flag = 'low' AND direction = 'rising') AND size >= 0.05),
+h AS (SELECT *, bool_or(kind IN ('rising', 'falling')) OVER w AS worse, bool_or(kind = 'returned') OVER w AS came FROM k WINDOW w AS (PARTITION BY patient_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY patient_id, kind ORDER BY CASE WHEN kind = 'longest' THEN out_streak ELSE 0 END DESC, size DESC, series) AS place FROM h WHERE NOT (kind = 'drift' AND worse) AND NOT (kind = 'recovering' AND came))
+SELECT patient_id, kind, place, series, coalesce(first_value, lv) AS first_value, coalesce(last_value, lv) AS last_value, rel_change, CAST(coalesce(out_streak, 1) AS BIGINT) AS out_streak FROM o
+WHERE kind = 'out' OR place <= CASE WHEN kind IN ('rising', 'falling', 'returned') THEN 2 ELSE 1 END""")
+def prose_picks(spark, d):
+    return prose.picks(c.points(spark, d), ["patient_id"], "series", ORDER)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.functions import names, printing
-from mensura.operators import charts, citations, codes, documents, ledger, matching, normal, patients
+from mensura.operators import charts, citations, codes, documents, ledger, matching, normal, patients, prose
 from mensura.operators import rows as page_rows
 from mensura.sources import tables
 from mensura.streaming import stateful
@@ -163,3 +163,20 @@ def test_split_streams(spark, tmp_path):
     text = "ab--" + "x" * 30 + "--cd--" + "y" * 9 + "-"
     rows = [("s", i, text[i * 3 : i * 3 + 3]) for i in range(18)] + [("s", 18, "-e"), ("s", 19, "--")]
     assert [(n, p) for _, n, p in run_stream(spark, tmp_path, rows, "stream_id string, seq long, text string", pieces, 2)] == [(0, "ab"), (1, None), (2, "cd"), (3, None), (4, "e")]
+
+
+def test_sentences(spark):
+    day = lambda k: dt.date(2024, k, 5)
+    rows = [(1, "alt", day(k), v, "high", None) for k, v in ((1, 0.61), (2, 0.8), (3, 1.02))] + [(1, "na", day(k), 140.0, "normal", None) for k in (1, 3)]
+    rows += [(1, "crp", day(1), 9.0, "high", None), (1, "crp", day(3), 3.0, "normal", None), (1, "k", day(3), 44.5, "high", "impossible")]
+    rows += [(2, "na", day(1), 140.0, "normal", None), (3, "na", day(1), None, "unknown", None), (3, "na", day(2), 150.0, "high", None)]
+    points = spark.createDataFrame(rows, "owner int, series string, date date, value double, flag string, suspect string")
+    names_ = spark.createDataFrame([("alt", "ALT", "µkat/l"), ("crp", "CRP", None), ("k", "Draslík", "mmol/l"), ("na", "Sodík", "mmol/l")], "series string, name string, unit string")
+    got = {r.owner: r.sentences for r in prose.sentences(points, ["owner"], "series", ["date"], names_, "suspect").collect()}
+    assert got[1] == [
+        "Mimo referenční rozmezí k poslednímu odběru 5. 3. 2024: ALT (3 odběry po sobě). 1 hodnota k ověření: Draslík.",
+        "Nárůst napříč celou sérií, ne jen mezi posledními dvěma odběry: ALT +67 % (0,61 → 1,02 µkat/l).",
+        "Zpět v referenčním rozmezí oproti prvnímu odběru: CRP −67 % (9 → 3).",
+    ]
+    assert got[2] == ["K poslednímu odběru 5. 1. 2024 žádná hodnota mimo referenční rozmezí.", "Zatím jediný odběr: popis vývoje až od druhého."]
+    assert got[3] == ["Mimo referenční rozmezí k poslednímu odběru 5. 2. 2024: Sodík.", "Zatím žádný parametr se dvěma porovnatelnými měřeními."]
