@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import BLOOD, MATERIALS, material_prefix, norm_key
+from ..functions.text import strip_marks
+from .rows import printed_on_row
+
 
 def scored(truth: DataFrame, arm: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Truth and an arm met by keys and occurrence: matched, mismatch, missing, extra."""
@@ -41,3 +45,62 @@ def visit_counts(visits: DataFrame, points: DataFrame, owner: str, day: str) ->
     """Per visit: readings of its day, those with any flag but normal (unknown too), and those high or low; 0 without readings."""
     counts = points.groupBy(owner, F.col("date").alias(day)).agg(F.count(F.lit(1)).alias("labs"), F.count_if(F.col("flag") != "normal").alias("not_normal"), F.count_if(F.col("flag").isin("high", "low")).alias("out_of_range"))
     return visits.join(counts, [owner, day], "left").na.fill(0, ["labs", "not_normal", "out_of_range"])
+
+
+#: Words of names, values and headings that put a row outside of blood results.
+ANTHROPOMETRIC = r"\b(?:hmotnost|hmotnosti|vaha|vahy|vyska|vysky|telesna)\b"
+AUXILIARY = r"\b(?:separace|separacia)\b.*\b(?:sera|seru)\b|\bpomocne\b"
+TOXICOLOGY = r"\btoxikolog"
+RECEIPT = r"^(?:prijato|prijate|prijata|prijaty|dorucen)"
+#: Fixed value: a complete printed interval.
+INTERVAL = r"-?\d+(?:[.,]\d+)?\s*(?:-|–|—|až)\s*-?\d+(?:[.,]\d+)?"
+
+
+def scope_exclusion() -> Column:
+    """Of a row (raw_name, value_raw, unit_raw, ref_range_raw, section, material): why it is no blood result, or NULL: receipt,
+    anthropometric, auxiliary, toxicology, material (its name's code, else the printed material, isn't blood)."""
+    words = lambda c: F.trim(F.regexp_replace(strip_marks(F.lower(F.coalesce(F.col(c), F.lit("")))), r"[^\p{L}\p{N}]+", " "))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    prefix = material_prefix(F.col("raw_name"))
+    code = F.coalesce(F.when(prefix.isin(MATERIALS), prefix), F.col("material"))
+    foreign = ~F.exists(F.split(code, ","), lambda m: m.isin(BLOOD))
+    return (
+        F.when(words("value_raw").rlike(RECEIPT) & blank("unit_raw") & blank("ref_range_raw"), "receipt").when(words("raw_name").rlike(ANTHROPOMETRIC), "anthropometric")
+        .when(words("raw_name").rlike(AUXILIARY) | words("section").rlike(AUXILIARY), "auxiliary").when(words("section").rlike(TOXICOLOGY), "toxicology").when(foreign, "material")
+    )
+
+
+def fabricated(rows: DataFrame, pages: DataFrame, fields: list[str]) -> DataFrame:
+    """page_id, ord, field and value of what a reader has given (rows: page_id, ord and fields) and no row of its page (page_id, cells)
+    prints, as one cell or as adjacent ones, whatever the marks and blanks."""
+    said = rows.select("page_id", "ord", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
+    said = said.where(F.trim(F.coalesce("value", F.lit(""))) != "")
+    asked = said.select("page_id", "value").distinct()
+    printed = asked.join(pages.select("page_id", "cells"), "page_id").where(printed_on_row(F.col("value"), F.col("cells"))).select("page_id", "value").distinct()
+    return said.join(printed, ["page_id", "value"], "left_anti").select("page_id", "ord", "field", "value")
+
+
+def interval_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(INTERVAL))
+
+
+def two_values(value: Column) -> Column:
+    """Whether a cell has two numbers where one is expected; dates, intervals and groups of thousands are one thing."""
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(raw, r"[!*↑↓<>]", " "), r"(\d)\s(?=\d{3}(?!\d))", "$1")
+    date = raw.rlike(r"\d{1,4}\s*[./]\s*\d{1,2}\s*[./]\s*\d{2,4}")
+    return ~date & (interval_count(raw) == 0) & (F.regexp_count(bare, F.lit(r"-?\d+(?:[.,]\d+)?")) >= 2)
+
+
+def merged_rows(arm: DataFrame, truth: DataFrame) -> DataFrame:
+    """page_id, ord and reasons (joined by commas) of an arm's rows (page_id, ord, raw_name, value_raw, ref_range_raw) that fuse two printed
+    rows: range (two intervals), value (two numbers), name (two names that the page's truth has, the whole name being none)."""
+    keys = truth.select("page_id", norm_key(F.col("raw_name")).alias("key")).where("key <> ''").distinct()
+    words = F.split(F.trim(F.coalesce("raw_name", F.lit(""))), r"\s+")
+    halves = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(norm_key(F.array_join(F.slice(words, 1, i), " ")).alias("left"), norm_key(F.array_join(F.slice(words, i + 1, 1_000_000), " ")).alias("right"))))
+    cut = arm.select("page_id", "ord", norm_key(F.col("raw_name")).alias("key"), F.explode(halves).alias("h")).select("page_id", "ord", "key", "h.left", "h.right").where("left <> '' and right <> '' and left <> right")
+    side = lambda c: keys.select("page_id", F.col("key").alias(c))
+    fused = cut.join(side("left"), ["page_id", "left"]).join(side("right"), ["page_id", "right"]).join(side("key"), ["page_id", "key"], "left_anti").select("page_id", "ord").distinct().withColumn("_name", F.lit(True))
+    rows = arm.join(fused, ["page_id", "ord"], "left")
+    reasons = F.array_join(F.filter(F.array(F.when(interval_count(F.col("ref_range_raw")) >= 2, "range"), F.when(two_values(F.col("value_raw")), "value"), F.when(F.col("_name"), "name")), lambda r: r.isNotNull()), ",")
+    return rows.select("page_id", "ord", reasons.alias("reasons")).where("reasons <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, printing
-from ..operators import documents, ledger, mapping, matching, patients
+from ..operators import documents, ledger, mapping, matching, patients, quality
 from ..operators import rows as rows_of
 from ..sources import tables
 from ..sources.shared import shared_folder
@@ -35,9 +35,9 @@ def birth_numbers(spark, d):
     return rows.select("o_orderkey", F.inline(F.array(dates.birth_number(number))))
 
 
-@query("""SELECT c_custkey, array_to_string(list_sort(list_filter(string_split(lower(c_mktsegment) || ' eva ' || 'customer', ' '), lambda x: x <> '')), ' ') AS key FROM customer""")
+@query("""SELECT c_custkey, array_to_string(list_sort(list_filter(string_split(lower(c_mktsegment) || ' eva customer d ph', ' '), lambda x: x <> '')), ' ') AS key FROM customer""")
 def person_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey", names.sorted_tokens(F.concat(F.col("c_name"), F.lit(", ÉVA  "), F.col("c_mktsegment"))).alias("key"))
+    return table(spark, d, "customer").select("c_custkey", names.sorted_tokens(F.concat(F.lit("MUDr. "), F.col("c_name"), F.lit(", ÉVA  "), F.col("c_mktsegment"), F.lit(", Ph.D., CSc."))).alias("key"))
 
 
 @query(f"{LNS} SELECT id, ['reject', 'ok', 'ok', 'warn', 'ok', 'reject', 'reject'][id % 7 + 1] AS verdict FROM l")
@@ -183,6 +183,42 @@ def matched_reads(spark, d):
     return found.where("ord < 100000").select("page_id", "ord", "found_row")
 
 
+@query(f"""{LNS} SELECT id, [NULL, 'receipt', 'anthropometric', 'auxiliary', 'toxicology', 'material', 'material', NULL, NULL][id % 9 + 1] AS why FROM l""")
+def scope_exclusions(spark, d):
+    k, lo = F.col("id") % 9, F.col("lo").cast("string")
+    name = F.when(k == 2, "Pt_Hmotnost pacienta").when(k == 3, "Separace krve – séra").when(k == 5, "U_Glukóza").when(k == 7, "xxx_eGF").otherwise("S_Glukóza")
+    rows = c.lines(spark, d).select(
+        "id", name.alias("raw_name"), F.when(k.isin(1, 8), F.concat(F.lit("Přijato "), lo)).otherwise(lo).alias("value_raw"), F.when(k == 8, "g").alias("unit_raw"), F.lit(" ").alias("ref_range_raw"),
+        F.when(k == 4, "Toxikologie").when(k == 6, "Biochemie").alias("section"), F.when(k == 6, "u").when(k == 7, "s").when(k == 5, "s").alias("material"),
+    )
+    rows = rows.withColumn("raw_name", F.when(k == 6, "Glukóza").otherwise(F.col("raw_name")))
+    return rows.select("id", quality.scope_exclusion().alias("why"))
+
+
+@query(f"""{LNS}, {_PAGE} SELECT page_id, ord, 'value_raw' AS field, ord || ',' || cents || '9' AS value FROM r WHERE cents % 5 = 0 UNION ALL SELECT page_id, ord, 'unit_raw', 'kg' FROM r WHERE cents % 7 = 0""")
+def fabricated_fields(spark, d):
+    """Values and units that a page doesn't print."""
+    rows, value = _page(spark, d), F.concat(F.col("ord").cast("string"), F.lit(","), F.col("cents").cast("string"))
+    pages = rows.select("page_id", F.array(F.lit("Látka"), F.concat(F.col("ord").cast("string"), F.lit(" ,")), F.concat(F.col("cents").cast("string"), F.lit(" !")), F.lit("g/l")).alias("cells"))
+    arm = rows.select("page_id", "ord", F.when(F.col("cents") % 5 == 0, F.concat(value, F.lit("9"))).otherwise(value).alias("value_raw"), F.when(F.col("cents") % 7 == 0, "kg").when(F.col("cents") % 7 == 1, " ").otherwise("g / l").alias("unit_raw"))
+    return quality.fabricated(arm, pages, ["value_raw", "unit_raw"])
+
+
+@query(f"""{LNS}, {_PAGE}, k AS (SELECT page_id, ord, cents % 6 AS k, p_name, count(*) OVER (PARTITION BY page_id) AS n, lead(p_name) OVER (PARTITION BY page_id ORDER BY ord) AS next FROM r JOIN part ON p_partkey = l_partkey)
+SELECT page_id, ord, CASE WHEN k = 1 THEN 'range' WHEN k = 2 THEN 'value' WHEN k = 3 THEN 'range,value' ELSE 'name' END AS reasons FROM k WHERE k IN (1, 2, 3) OR k = 4 AND next IS NOT NULL AND next <> p_name""")
+def fused_rows(spark, d):
+    """Rows of a reader in which two printed rows are one: two intervals, two numbers, two names; dates, thousands and single
+    intervals are none."""
+    rows = _page(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    after = F.lead("p_name").over(Window.partitionBy("page_id").orderBy("ord"))
+    rows, k = rows.withColumn("next", after), F.col("cents") % 6
+    arm = rows.select(
+        "page_id", "ord", F.when((k == 4) & F.col("next").isNotNull(), F.concat_ws(" ", "p_name", "next")).otherwise(F.col("p_name")).alias("raw_name"),
+        F.when(k.isin(2, 3), "5,3 ! <1,0").when(k == 0, "21.05.2024").when(k == 5, "10 000").otherwise("( 2,5 - 6,4 )").alias("value_raw"), F.when(k.isin(1, 3), "3,6 - 5,6 2,9 až 5,0").otherwise("( 2,5000 - 6,4000 )").alias("ref_range_raw"),
+    )
+    return quality.merged_rows(arm, rows.select("page_id", F.col("p_name").alias("raw_name")))
+
+
 @query("""SELECT user_id, sum(event_id % 7 + 1) AS credit, count(*) AS n FROM events GROUP BY user_id""")
 def credits_once(spark, d):
     """Purchases told twice or more count once."""
@@ -308,10 +344,11 @@ def stream_gate(spark, d):
     return rows.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("said"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, event_type = 'error' AS blank FROM events), k AS (SELECT user_id, arg_min(event_type, event_id) FILTER (NOT blank) AS known FROM e GROUP BY 1)
-SELECT CAST(user_id AS VARCHAR) AS session, CAST(event_id AS VARCHAR) AS report_id, CASE WHEN event_type = known THEN 'admitted' ELSE 'mismatch' END AS decision FROM e JOIN k USING (user_id) WHERE NOT blank""")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, first_value(event_type) OVER w AS known, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT CAST(user_id AS VARCHAR) AS session, CAST(event_id AS VARCHAR) AS report_id, CASE WHEN n = 1 OR event_type = known THEN 'admitted' ELSE 'mismatch' END AS decision FROM e WHERE n = 1 OR known <> 'error' AND event_type <> 'error'""")
 def stream_admissions(spark, d):
-    """Reports with an identity are decided as they come; those without one wait for an end that doesn't come."""
+    """A session's first report is admitted; others with an identity are decided as they come, those that can't be compared wait for an
+    end that doesn't come."""
     rows = _stream(spark, d).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit("report").alias("kind"), F.col("event_id").cast("string").alias("report_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("identity"))
     return stateful.run_to_end(stateful.admit(rows), shared_folder(spark, "admit"))
 

@@ -7,6 +7,8 @@ batches gives what one batch gives.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.names import TITLES
+
 
 def _batch(parts: Iterable[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(order)
@@ -105,27 +109,87 @@ def response_lines(fragments: DataFrame) -> DataFrame:
     return pieces.select("stream_id", "n", F.when(said.isin("done", "error"), said).otherwise("row").alias("kind"), F.col("piece").alias("line"))
 
 
+def _person(identity: str | None) -> tuple[str, str] | None:
+    """What an identity is compared by: the digits of a birth number, else a name's folded words in order, without titles."""
+    if identity is None or pd.isna(identity):
+        return None
+    digits = re.sub(r"[\s/]", "", identity)
+    if re.fullmatch(r"\d{9,10}", digits):
+        return "number", digits
+    plain = "".join(c for c in unicodedata.normalize("NFD", identity.lower()) if not unicodedata.combining(c))
+    words = sorted(w for w in re.sub("[^a-z]+", " ", plain).split() if w not in TITLES)
+    return ("name", " ".join(words)) if words else None
+
+
+def _checked(identity: str | None, admitted: Iterable[str | None]) -> str:
+    """ok if nothing is admitted or the same person is; mismatch if another one is; unverifiable if nothing can be compared."""
+    admitted = list(admitted)
+    if not admitted:
+        return "ok"
+    mine, known = _person(identity), [p for p in map(_person, admitted) if p]
+    alike = [p for p in known if mine and p[0] == mine[0]]
+    return "ok" if mine in alike else "mismatch" if alike else "unverifiable"
+
+
 def admit(events: DataFrame) -> DataFrame:
-    """events (session, seq, kind, report_id, identity): reports are held until the session's identity is known (its first
-    report that has one); the same identity is admitted, another one asked about, and a report without one waits for the
-    session's `done`, then is asked about as unverifiable."""
+    """events (session, seq, kind, report_id, identity): a row (session, report_id, decision) whenever what is decided about a
+    report changes. kind report: a report, or a later page of one; the first of a session is admitted, then those of a person who
+    is; another person's is a mismatch, asked about at once; one that can't be compared waits until it is done (kind done, for
+    one report or, without report_id, for all), then is unverifiable, asked about. Each admission may settle others that wait,
+    until none changes. Answers to what is asked: keep admits, discard throws away for good, replace admits and dismisses all
+    that was admitted before."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, held = state.get if state.exists else (None, "[]")
-        waiting, out = json.loads(held), []
+        admitted, held, gone, told = json.loads(state.get[0]) if state.exists else ({}, {}, [], {})
+        out: list[tuple] = []
+
+        def tell(report: str, decision: str) -> None:
+            if told.get(report) != decision:
+                told[report] = decision
+                out.append((key[0], report, decision))
+
+        def settle() -> None:
+            moved = True
+            while moved:
+                moved = False
+                for report, (identity, done) in list(held.items()):
+                    found = _checked(identity, admitted.values())
+                    if found == "ok":
+                        admitted[report], moved = identity, True
+                        del held[report]
+                        tell(report, "admitted")
+                    elif found == "mismatch" or done:
+                        tell(report, found)
+
         for e in _batch(parts, ["seq"]).itertuples(index=False):
-            if e.kind == "done":
-                out += [(key[0], r, "unverifiable") for r in waiting]
-                waiting = []
-            elif e.kind == "report" and (e.identity is None or pd.isna(e.identity)):
-                waiting.append(e.report_id)
-            elif e.kind == "report":
-                known = known or e.identity
-                out.append((key[0], e.report_id, "admitted" if e.identity == known else "mismatch"))
-        state.update((known, json.dumps(waiting)))
+            report = None if pd.isna(e.report_id) else e.report_id
+            identity = None if e.identity is None or pd.isna(e.identity) else e.identity
+            if e.kind == "report" and report in admitted:
+                admitted[report] = identity or admitted[report]
+            elif e.kind == "report" and report not in gone:
+                before = held.get(report, (None, False))
+                held[report] = (identity or before[0], before[1])
+            elif e.kind == "done":
+                for r in [report] if report is not None else list(held):
+                    if r in held:
+                        held[r] = (held[r][0], True)
+            elif e.kind in ("keep", "replace", "discard") and report in held:
+                identity, _ = held.pop(report)
+                if e.kind == "replace":
+                    for r in admitted:
+                        tell(r, "dismissed")
+                    admitted = {}
+                if e.kind == "discard":
+                    gone.append(report)
+                    tell(report, "discarded")
+                else:
+                    admitted[report] = identity
+                    tell(report, "admitted")
+            settle()
+        state.update((json.dumps([admitted, held, gone, told]),))
         yield pd.DataFrame(out, columns=["session", "report_id", "decision"])
 
-    return _stateful(events, ["session"], run, "session string, report_id string, decision string", "known string, held string")
+    return _stateful(events, ["session"], run, "session string, report_id string, decision string", "seen string")
 
 
 def changes(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:

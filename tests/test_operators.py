@@ -150,9 +150,15 @@ def test_streams(spark, tmp_path):
     assert text
     want = [("s", 0, 29, '{"a": "x}{\\"", "b": {"c": 1}}'), ("s", 1, 8, '{"a": 2}')]
     assert run_stream(spark, tmp_path, rows, "stream_id string, seq long, text string", stateful.scan_rows, 3) == want
-    events = [("u", 0, "report", "r0", None), ("u", 1, "report", "r1", "jan"), ("u", 2, "report", "r2", "eva"), ("u", 3, "report", "r3", "jan"), ("u", 4, "done", None, None)]
+    events = [
+        ("u", 0, "report", "r0", "Jan Novák"), ("u", 1, "report", "r1", None), ("u", 2, "report", "r2", "eva"), ("u", 3, "report", "r3", "MUDr. NOVAK, Jan"), ("u", 4, "report", "r4", None), ("u", 5, "report", "r4", "novak jan"),
+        ("u", 6, "done", None, None), ("u", 7, "report", "r5", "Eva"), ("u", 8, "discard", "r1", None), ("u", 9, "report", "r1", "jan novak"), ("u", 10, "replace", "r2", None), ("v", 0, "report", "r0", None), ("v", 1, "report", "r1", "jan"), ("v", 2, "keep", "r1", None), ("v", 3, "report", "r2", "jan"),
+    ]
     schema = "session string, seq long, kind string, report_id string, identity string"
-    want = [("u", "r0", "unverifiable"), ("u", "r1", "admitted"), ("u", "r2", "mismatch"), ("u", "r3", "admitted")]
+    want = sorted(
+        [("u", "r0", "admitted"), ("u", "r2", "mismatch"), ("u", "r3", "admitted"), ("u", "r4", "admitted"), ("u", "r1", "unverifiable"), ("u", "r5", "mismatch"), ("u", "r1", "discarded"), ("u", "r0", "dismissed"), ("u", "r3", "dismissed"), ("u", "r4", "dismissed")]
+        + [("u", "r2", "admitted"), ("u", "r5", "admitted"), ("v", "r0", "admitted"), ("v", "r1", "admitted"), ("v", "r2", "admitted")]
+    )
     assert run_stream(spark, tmp_path, events, schema, stateful.admit, 2) == want
 
     def gated(stream):
