@@ -17,7 +17,10 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["series_summary", "series_shape", "watch_list", "parse_ranges", "name_lookup", "suggest_mappings", "orphan_pairs", "rate_limit_hits", "stream_transitions"])
+@pytest.mark.parametrize(
+    "name",
+    ["series_summary", "series_shape", "watch_list", "parse_ranges", "name_lookup", "suggest_mappings", "orphan_pairs", "rate_limit_hits", "stream_transitions", "normalised_rows", "code_ranking", "chart_requests", "prose_picks", "without_identity", "row_materials", "fused_rows", "computed_series", "stream_frames"],
+)
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
