@@ -281,12 +281,20 @@ def trigram_shortlist(spark, d):
     return found.withColumns({"rank": F.col("rank").cast("long"), "shared": F.col("shared").cast("long")})
 
 
-READS = f"""{LNS}, c0 AS (SELECT l_orderkey AS page_id, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cents) AS ord FROM l JOIN part ON p_partkey = l_partkey),
+READS = f"""{LNS}, c0 AS (SELECT l_orderkey AS page_id, p_name, cents, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cents) AS ord FROM l JOIN part ON p_partkey = l_partkey),
 cells AS (SELECT *, (page_id * 100 + ord) % 13 AS k FROM c0),
 names AS (SELECT page_id, p_name, count(*) > 1 AS twice, count(*) FILTER (k NOT IN (0, 3)) > 1 AS twice_b FROM cells GROUP BY ALL)"""
 
 
-@query()
+_CELL = """[big || ',' || part, whole || ',' || part || ' !', '<' || whole || ',' || part, 'negativní', '  ' || whole || '.' || part || ' ', replace(big, ' ', '.') || ',' || part, '↑ ' || whole, '> ' || whole || ',' || part][(page_id * 100 + ord) % 8 + 1]"""
+_PRINTS = """w AS (SELECT *, cents // 100 AS whole, lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS part, CASE WHEN cents >= 100000 THEN cents // 100000 || ' ' || lpad(CAST(cents // 100 % 1000 AS VARCHAR), 3, '0') ELSE CAST(cents // 100 AS VARCHAR) END AS big FROM cells)"""
+
+
+@query(f"""{READS}, {_PRINTS}, pages AS (SELECT page_id, count(*) FILTER (k <> 0) > 0 AS complete FROM cells GROUP BY 1),
+a AS (SELECT page_id, p_name || CASE WHEN twice THEN '#' || ord ELSE '' END AS key, p_name AS raw_name, {_CELL} AS value_raw, CASE WHEN k IN (0, 3) THEN 1 ELSE 2 END AS readers,
+  CASE WHEN k = 1 THEN 'values differ' WHEN NOT complete THEN 'a reading failed' WHEN k IN (0, 3) THEN 'seen by one reading' WHEN k = 4 THEN 'units differ' WHEN k = 6 THEN 'ranges differ' END AS disagreement FROM w JOIN names USING (page_id, p_name) JOIN pages USING (page_id)),
+b AS (SELECT page_id, 'xx' || p_name || CASE WHEN count(*) OVER (PARTITION BY page_id, p_name) > 1 THEN '#' || ord ELSE '' END AS key, 'XX' || p_name AS raw_name, {_CELL} AS value_raw, 1 AS readers, 'seen by one reading' AS disagreement FROM w WHERE k = 3)
+SELECT *, 'mmol/l' AS unit_raw, '1 - 5' AS ref_range_raw, TRUE AS escalated FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
 def reconcile_reads(spark, d):
     return reading.reconcile(c.reads(spark, d), expected=2)
 
