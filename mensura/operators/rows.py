@@ -146,23 +146,30 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(strip_marks(F.lower(F.coalesce(text, F.lit("")))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def row_has_value(text: Column, value: Column) -> Column:
-    """Whether a row's text has the value as one token, or as two or three joined, whatever the marks and blanks."""
+def _value_key(x: Column) -> Column:
+    plain = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")
+    bare = F.translate(plain, "!*↑↓", "")
+    return F.when(bare == "", plain).otherwise(bare)
 
-    def key(x: Column) -> Column:
-        plain = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")
-        return F.when(F.translate(plain, "!*↑↓", "") == "", plain).otherwise(F.translate(plain, "!*↑↓", ""))
 
+def value_runs(text: Column) -> Column:
+    """The keys of every token of a row's text, and of two and three adjacent ones joined."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-    runs = F.flatten(F.transform(tokens, lambda _, i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: key(F.array_join(F.slice(tokens, i + 1, n), "")))))
-    return (key(value) != "") & F.array_contains(runs, key(value))
+    runs = lambda ts: F.flatten(F.transform(ts, lambda _, i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: _value_key(F.array_join(F.slice(ts, i + 1, n), "")))))
+    return F.array_distinct(bound(tokens, runs))
+
+
+def row_has_value(text: Column, value: Column) -> Column:
+    """Whether a row's text has the value as one token, or as two or three joined, whatever the marks and blanks."""
+    return (_value_key(value) != "") & F.array_contains(value_runs(text), _value_key(value))
 
 
 def row_has_name(text: Column, name: Column) -> Column:
     """Whether some tokens in a row, joined, are the name's, joined, but for one edit in five characters."""
 
-    def of(n: Column) -> Column:
-        tokens, budget = _tokens(text), F.floor(F.length(n) * 0.2).cast("int")
+    def of(given: Column) -> Column:
+        n, tokens = given["n"], given["tokens"]
+        budget = F.floor(F.length(n) * 0.2).cast("int")
         longest = F.least(F.size(tokens), F.length(n) + budget)
 
         def fits(run: Column) -> Column:
@@ -173,13 +180,15 @@ def row_has_name(text: Column, name: Column) -> Column:
         runs = lambda i: F.transform(F.sequence(F.lit(1), F.greatest(longest, F.lit(1))), lambda k: F.array_join(F.slice(tokens, i + 1, k), ""))
         return (n != "") & F.exists(F.transform(tokens, lambda _, i: F.exists(runs(i), fits)), lambda x: x)
 
-    return bound(F.array_join(_tokens(name), ""), of)
+    return bound(F.struct(F.array_join(_tokens(name), "").alias("n"), _tokens(text).alias("tokens")), of)
 
 
 def matched_reads(reads: DataFrame, rows: DataFrame) -> DataFrame:
     """reads (page_id, ord, raw_name, value_raw) with the one row (page_id, row_index, text) of their page that has the name and the
-    value; NULL if none has or several have, and for all reads that claim the same row."""
-    met = reads.join(rows, "page_id").where(row_has_value(F.col("text"), F.col("value_raw")) & row_has_name(F.col("text"), F.col("raw_name")))
+    value; NULL if none has or several have, and for all reads that claim the same row. Reads meet rows by page and value;
+    only those are compared by name."""
+    carried = rows.select("page_id", "row_index", "text", F.explode(value_runs(F.col("text"))).alias("_v")).where("_v <> ''")
+    met = reads.withColumn("_v", _value_key(F.col("value_raw"))).join(carried, ["page_id", "_v"]).where(row_has_name(F.col("text"), F.col("raw_name")))
     picked = met.groupBy("page_id", "ord").agg(F.count(F.lit(1)).alias("_n"), F.min("row_index").alias("_row")).where("_n = 1")
     sole = picked.withColumn("_claims", F.count(F.lit(1)).over(Window.partitionBy("page_id", "_row"))).where("_claims = 1")
     return reads.join(sole.select("page_id", "ord", F.col("_row").alias("found_row")), ["page_id", "ord"], "left").select(*reads.columns, "found_row")
