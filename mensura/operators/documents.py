@@ -110,10 +110,10 @@ def identity_in(text: Column, bare: bool = True) -> Column:
             found = F.concat(found, F.transform(numbers, lambda n: F.struct(F.lit("birth-number").alias("kind"), n.alias("value"))))
         return F.filter(found, lambda x: x["value"].isNotNull())
 
-    folded = fold(text)
-    may = folded.rlike(rf"{_NEXT}|{BIRTH_NUMBER}" if bare else _NEXT)
+    # most lines have neither a label nor a number, which one look tells
+    lines = F.filter(F.split(fold(text), "\n"), lambda line: line.rlike(rf"{_NEXT}|{BIRTH_NUMBER}" if bare else _NEXT))
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    return F.when(may, F.flatten(F.transform(F.split(folded, "\n"), of))).otherwise(none)
+    return F.coalesce(F.flatten(F.transform(lines, of)), none)
 
 
 def spellings(hits: Column) -> Column:
