@@ -14,7 +14,10 @@ from .lang_id import languages
 from .licenses import MARKS, RULES, SENTENCES, scan
 from .mixing import mix
 from .near_dedup import near_groups
+from .prefix_trie import prefix_trie
 from .sentencepiece_bpe import round_trip
+from .sharding import assign
+from .token_align import align
 from .toxicity import score, train
 from .url_filter import DOMAINS, SITES, judge
 from .url_filter import RULES as URL_RULES
@@ -67,12 +70,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return round_trip(read(spark, sf_dir, "documents"), Path(model).read_bytes())
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    if a is None or b is None:
+        import public_tokenizers
+
+        a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align(read(spark, sf_dir, "documents"), Path(a).read_text(encoding="utf-8"), Path(b).read_bytes())
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(read(spark, sf_dir, "documents"), shards=40)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op4_html_extract, op5_fingerprints, op6_toxicity, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_licenses, op2_near_dedup, op3_mixing, op4_html_extract, op5_fingerprints, op6_toxicity, op7_exact_dedup, op8_url_filter, op9_language_id, op10_sentencepiece, op11_token_align, op12_sharding, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_licenses": _op1(), "op7_exact_dedup": OP7, "op8_url_filter": _op8()}
+    return {"op1_licenses": _op1(), "op7_exact_dedup": OP7, "op8_url_filter": _op8(), "op13_prefix_trie": OP13}
 
 
 OP7 = r"""
@@ -84,6 +103,43 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+#: crc32 by its bits; turns numbered, rebuilt and joined to prefixes; a node's descendants are those whose smallest member passes through it.
+OP13 = r"""
+WITH o AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+    SELECT conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda u, _: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384::BIGINT) ELSE u // 2 END)) AS r
+    FROM (SELECT DISTINCT conv_id FROM o)
+),
+h AS (SELECT conv_id, xor(r, 4294967295::BIGINT) % 4 AS h FROM c),
+parts AS (
+    SELECT conv_id, 1 AS part, pos, role, text FROM o JOIN h USING (conv_id) WHERE pos > h
+    UNION ALL SELECT h.conv_id, 0, o.pos, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.pos <= h.h
+),
+turns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM parts),
+paths AS (
+    SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+           list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node
+    FROM turns
+    UNION ALL SELECT conv_id, 0, 0, [] FROM h
+),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY ALL),
+children AS (SELECT node[:-2] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)),
+sums AS (
+    SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * o.words)::BIGINT AS saved_tokens
+    FROM own o JOIN paths p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY ALL
+),
+lasts AS (SELECT conv_id, arg_max(node, depth) AS node FROM paths GROUP BY conv_id),
+ends AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM lasts GROUP BY node)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own o JOIN sums USING (node) LEFT JOIN ends USING (node) LEFT JOIN own p ON o.depth > 0 AND p.node = o.node[:-2]
+"""
+
 
 def _op1() -> str:
     """Sentences, identifiers and rules as in licenses.py; a step for each rule."""
