@@ -41,6 +41,10 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Fixed value: how a byte-level vocabulary of this kind splits a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Pair:
     """The two tokenizers, with each token's bytes."""
 
@@ -48,18 +52,31 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_str(a), SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
-        signs = byte_signs()
-        vocabulary = {i: s for s, i in self.a.get_vocab().items()}
-        special = {x["id"] for x in json.loads(a)["added_tokens"]}
-        self.a_bytes = [s.encode() if i in special else bytes(signs[c] for c in s) for i, s in sorted(vocabulary.items())]
+        whole, self.b = Tokenizer.from_str(a), SentencePieceProcessor(model_proto=b)
+        signs, file = byte_signs(), json.loads(a)
+        vocabulary = {i: s for s, i in whole.get_vocab().items()}
+        special = {x["id"] for x in file["added_tokens"]}
+        a_bytes = [s.encode() if i in special else bytes(signs[c] for c in s) for i, s in sorted(vocabulary.items())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.numbers = [b"%d%s" % (i, s) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for s in SEPARATORS]
-        whole = any(re.search(rb"[a-z] ", x) for t in (self.a_bytes, self.b_bytes) for x in t)
-        self.cut = None if whole else re.compile(rf"(?s).{{{part}}}.*?[a-z](?= [a-z])")
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
+        self.a_begin, self.b_begin = (np.cumsum(n) - n for n in (self.a_size, self.b_size))
+        self.a_data, self.b_data = (np.frombuffer(b"".join(t), np.uint8) for t in (a_bytes, b_bytes))
+        self.numbers = [b"%d%s" % (i, s) for i in range(max(len(a_bytes), len(b_bytes))) for s in SEPARATORS]
+        across = any(re.search(rb"[a-z] ", x) for t in (a_bytes, b_bytes) for x in t)
+        self.cut = None if across else re.compile(rf"(?s).{{{part}}}.*?[a-z](?= [a-z])")
+        merges = [file["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
+        words = file["pre_tokenizer"]
+        if words["type"] == "ByteLevel" and words["use_regex"] and not words["add_prefix_space"] and not file["normalizer"] and merges == sorted(merges):
+            # merges in the order of their ids: the same vocabulary as ranks, in a library that is three times as fast
+            import tiktoken
+
+            ranks = {x: i for i, x in enumerate(a_bytes) if i not in special}
+            fast = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.encode_a = lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        else:
+            whole.encode_special_tokens = True
+            self.encode_a = lambda text: np.array(whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def parts(self, text: str) -> list[str]:
         out, at = [], 0
@@ -74,15 +91,22 @@ class Pair:
         for text in texts:
             parts = self.parts(text) if text else []
             # a part after the first begins with the blank that B would put there itself
-            x = [e.ids for e in self.a.encode_batch_fast([p if k else f" {p}" for k, p in enumerate(parts)], add_special_tokens=False)]
-            y = self.b.encode([p[1:] if k else p for k, p in enumerate(parts)], num_threads=1) if parts else []
-            raw = f" {text}".encode()
-            spelled = parts and all(b"".join(map(t.__getitem__, (i for ids in z for i in ids))) == raw for t, z in ((self.a_bytes, x), (self.b_bytes, y)))
+            x = [self.encode_a(p if k else f" {p}") for k, p in enumerate(parts)]
+            y = [np.array(self.b.encode(p[1:] if k else p, num_threads=1), np.int64) for k, p in enumerate(parts)]
+            x, y = (np.concatenate(z) if parts else np.zeros(0, np.int64) for z in (x, y))
+            raw = np.frombuffer(f" {text}".encode(), np.uint8)
+            spelled = np.array_equal(spell(x, self.a_size, self.a_begin, self.a_data), raw) and np.array_equal(spell(y, self.b_size, self.b_begin, self.b_data), raw)
             for out, z in ((a, x), (b, y)):
-                out.append(np.array([i for ids in z for i in ids] if spelled else [], np.int64))
+                out.append(z if spelled else z[:0])
         return a, b
 
 
+def spell(ids: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The bytes of the tokens, one after the other. size, begin: of each token's bytes in data, the bytes of all tokens by id."""
+    n = size[ids]
+    return data[np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, bounds: np.ndarray, lane: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Of texts laid end to end, where tokens end on each side; bounds: where the texts begin, and the end of the last. Which A and B tokens end
     together, in order."""
@@ -157,7 +181,7 @@ def merged(pair: Pair, texts: list[str], keep: bool) -> list[pa.Array]:
     a_many, b_many = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
     group_first = np.searchsorted(doc, np.arange(len(texts) + 1))
     n_links = np.add.reduceat(np.append(a_many * b_many, 0), np.minimum(group_first[:-1], len(doc))) * (np.diff(group_first) > 0)
-    of, code, times = linked(a, b, a_many, b_many, doc, len(pair.b_bytes))
+    of, code, times = linked(a, b, a_many, b_many, doc, len(pair.b_size))
     first = np.searchsorted(of, np.arange(len(texts) + 1))
 
     # each group's A ids, then its B ids, with the separators
