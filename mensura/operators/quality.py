@@ -19,6 +19,28 @@ def scored(truth: DataFrame, arm: DataFrame, keys: list[str], value: str = "valu
     return both.select(*keys, "nth", verdict.alias("verdict"))
 
 
+def paired_by_value(truth: DataFrame, arm: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Truth and an arm met inside keys, equal values first: the nth row of a value with the nth of that value, then what is left in order (ord).
+    keys, truth_ord, arm_ord, truth and arm (their values), verdict as in scored. Null keys and values equal themselves; equal ords are
+    ordered by value. So no row that has its value on the other side is given to another."""
+
+    def round_of(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("_ord", "_value"))
+        one = a.withColumn("_nth", nth).withColumns({"_t": F.lit(True), "truth_ord": F.col("_ord"), "truth": F.col("_value")}).drop("_ord")
+        two = b.withColumn("_nth", nth).withColumns({"_a": F.lit(True), "arm_ord": F.col("_ord"), "arm": F.col("_value")}).drop("_ord")
+        two = two.select(*(F.col(c).alias(f"{c}_b") for c in [*keys, "_value", "_nth"]), "_a", "arm_ord", "arm")
+        met = one.join(two, [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in [*by, "_nth"]], "full_outer")
+        return met.select(*(F.when(F.col("_t"), F.col(k)).otherwise(F.col(f"{k}_b")).alias(k) for k in keys), "_t", "_a", "truth_ord", "arm_ord", "truth", "arm")
+
+    slim = lambda df: df.select(*keys, F.col("ord").alias("_ord"), F.col(value).alias("_value"))
+    equal = round_of(slim(truth), slim(arm), [*keys, "_value"])
+    left = lambda has, hasnt, side: equal.where(F.col(has) & F.col(hasnt).isNull()).select(*keys, F.col(f"{side}_ord").alias("_ord"), F.col(side).alias("_value"))
+    rest = round_of(left("_t", "_a", "truth"), left("_a", "_t", "arm"), keys)
+    verdict = F.when(F.col("_a").isNull(), "missing").when(F.col("_t").isNull(), "extra").when(F.col("truth").eqNullSafe(F.col("arm")), "matched").otherwise("mismatch")
+    both = equal.where("_t and _a").unionByName(rest)
+    return both.select(*keys, "truth_ord", "arm_ord", "truth", "arm", verdict.alias("verdict"))
+
+
 def confusion(rows: DataFrame, truth: str, found: str) -> DataFrame:
     """Counts of a yes-or-no rule against truth."""
     t, f = F.col(truth), F.col(found)
@@ -97,7 +119,7 @@ def merged_rows(arm: DataFrame, truth: DataFrame) -> DataFrame:
     rows: range (two intervals), value (two numbers), name (two names that the page's truth has, the whole name being none)."""
     keys = truth.select("page_id", norm_key(F.col("raw_name")).alias("key")).where("key <> ''").distinct()
     words = F.split(F.trim(F.coalesce("raw_name", F.lit(""))), r"\s+")
-    halves = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(norm_key(F.array_join(F.slice(words, 1, i), " ")).alias("left"), norm_key(F.array_join(F.slice(words, i + 1, 1_000_000), " ")).alias("right"))))
+    halves = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(norm_key(F.array_join(F.slice(words, 1, i), " ")).alias("left"), norm_key(F.array_join(F.slice(words, i + 1, F.size(words)), " ")).alias("right"))))
     cut = arm.select("page_id", "ord", norm_key(F.col("raw_name")).alias("key"), F.explode(halves).alias("h")).select("page_id", "ord", "key", "h.left", "h.right").where("left <> '' and right <> '' and left <> right")
     side = lambda c: keys.select("page_id", F.col("key").alias(c))
     fused = cut.join(side("left"), ["page_id", "left"]).join(side("right"), ["page_id", "right"]).join(side("key"), ["page_id", "key"], "left_anti").select("page_id", "ord").distinct().withColumn("_name", F.lit(True))

@@ -16,11 +16,12 @@ from ..functions.names import norm_key
 from ..functions.numbers import VALUE_MARKS, bound
 from ..functions.text import fold, strip_marks
 from .documents import nearest_heading
+from .layout import cells_of, side_by_side
 
 
-def page_rows(words: DataFrame) -> DataFrame:
-    """words (page_id, text, x0, y0, x1, y1) as rows (page_id, row_index, cells, y): words whose centres stay within 0.6 of the median height
-    of the row's running mean, from left to right."""
+def page_boxes(words: DataFrame) -> DataFrame:
+    """words (page_id, text, x0, y0, x1, y1) as rows (page_id, row_index, boxes): words whose centres stay within 0.6 of the median height
+    of the row's running mean, from left to right, as text and edges. Words without text are in no row."""
 
     def rows_of(page: int, words: list[tuple]) -> list[tuple]:
         words.sort(key=lambda w: ((w[2] + w[4]) / 2, w[1], w[0] or ""))
@@ -36,13 +37,13 @@ def page_rows(words: DataFrame) -> DataFrame:
             mean += (c - mean) / len(groups[-1])
         out = []
         for g in groups:
-            cells = [w[0].strip() for w in sorted(g, key=lambda w: w[1]) if w[0] and w[0].strip()]
-            if cells:
-                out.append((page, len(out), cells, min(w[2] for w in g)))
+            boxes = [dict(zip(("text", "x0", "y0", "x1", "y1"), (w[0].strip(), *w[1:]))) for w in sorted(g, key=lambda w: w[1]) if w[0] and w[0].strip()]
+            if boxes:
+                out.append((page, len(out), boxes))
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, now, held = ["page_id", "row_index", "cells", "y"], None, []
+        names, now, held = ["page_id", "row_index", "boxes"], None, []
         for part in parts:
             done = []
             for page, *word in part.itertuples(index=False, name=None):
@@ -55,8 +56,13 @@ def page_rows(words: DataFrame) -> DataFrame:
             yield pd.DataFrame(done, columns=names, dtype=object)
         yield pd.DataFrame(rows_of(now, held) if held else [], columns=names, dtype=object)
 
-    ordered = words.select("page_id", "text", "x0", "y0", "x1", "y1").repartition("page_id").sortWithinPartitions("page_id")
-    return ordered.mapInPandas(run, "page_id long, row_index int, cells array<string>, y double")
+    ordered = words.select("page_id", "text", "x0", "y0", "x1", "y1").repartition(F.xxhash64("page_id")).sortWithinPartitions("page_id")  # by an expression: Spark would drop an exchange that a union seems to have made, and then split pages
+    return ordered.mapInPandas(run, "page_id long, row_index int, boxes array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>")
+
+
+def page_rows(words: DataFrame) -> DataFrame:
+    """words as rows (page_id, row_index, cells, y) of page_boxes, the rows of two tables side by side taken apart."""
+    return cells_of(side_by_side(page_boxes(words)))
 
 
 def _bare(text: Column) -> Column:
@@ -132,7 +138,7 @@ def printed_materials(pages: DataFrame) -> DataFrame:
     announces (heading; it holds even if it announces nothing); NULL if nothing does."""
     cells = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: F.coalesce(c != "", F.lit(False)))
     rows = pages.select("page_id", "row_index", cells.alias("cells"))
-    column = F.get(F.filter(F.transform(F.slice("cells", 2, 1_000_000), material_word), lambda m: m.isNotNull()), F.lit(0))
+    column = F.get(F.filter(F.transform(F.slice("cells", F.lit(2), F.size("cells")), material_word), lambda m: m.isNotNull()), F.lit(0))
     known = F.filter("cells", lambda c: material_word(c).isNull() & fold(c).isin(list(HEADING_MATERIALS)))
     single = F.get("cells", F.lit(0))
     looks = (F.size("cells") == 1) & single.rlike(r"^\p{Lu}") & ~single.rlike(r"\d") & (F.length(single) <= 40)

@@ -67,24 +67,31 @@ def scan_rows(fragments: DataFrame, most: int = 32_768) -> DataFrame:
     return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, size long, row string", "held string, size long, depth long, quoted boolean, escaped boolean, n long")
 
 
-def split_pieces(fragments: DataFrame, end: str, most: int = 1_048_576) -> DataFrame:
-    """fragments (stream_id, seq, text) as the pieces between `end`, n from 0, wherever the fragments were cut; what follows the last
-    end waits. A piece of over `most` characters is NULL and skipped to its own end."""
+def _pieces(fragments: DataFrame, end: str, most: int) -> DataFrame:
+    """split_pieces, with each piece's size in characters."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, long, n = state.get if state.exists else ("", False, 0)
+        held, gone, n = state.get if state.exists else ("", 0, 0)
         out: list[tuple] = []
         for text in _batch(parts, ["seq"])["text"]:
             *whole, held = (held + (text or "")).split(end)
             for piece in whole:
-                out.append((key[0], n, None if long or len(piece) > most else piece))
-                long, n = False, n + 1
-            if len(held) > most:
-                held, long = held[-len(end) :], True  # the end may have begun
-        state.update((held, long, n))
-        yield pd.DataFrame(out, columns=["stream_id", "n", "piece"])
+                size = gone + len(piece)
+                out.append((key[0], n, size, None if size > most else piece))
+                gone, n = 0, n + 1
+            if gone + len(held) > most:
+                keep = held[-len(end) :]  # the end may have begun
+                held, gone = keep, gone + len(held) - len(keep)
+        state.update((held, gone, n))
+        yield pd.DataFrame(out, columns=["stream_id", "n", "size", "piece"])
+
+    return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, size long, piece string", "held string, gone long, n long")
 
-    return _stateful(fragments, ["stream_id"], run, "stream_id string, n long, piece string", "held string, long boolean, n long")
+
+def split_pieces(fragments: DataFrame, end: str, most: int = 1_048_576) -> DataFrame:
+    """fragments (stream_id, seq, text) as the pieces between `end`, n from 0, wherever the fragments were cut; what follows the last
+    end waits. A piece of over `most` characters is NULL and skipped to its own end."""
+    return _pieces(fragments, end, most).drop("size")
 
 
 def encoded_frame(event: Column) -> Column:
@@ -92,21 +99,22 @@ def encoded_frame(event: Column) -> Column:
     return F.concat(F.lit("data: "), event, F.lit("\n\n"))
 
 
-def frames(fragments: DataFrame) -> DataFrame:
+def frames(fragments: DataFrame, most: int = 1_048_576) -> DataFrame:
     """The JSON events of a server-sent stream (stream_id, n, event), whatever its fragments; frames without data and those that
-    are no JSON are left out."""
-    pieces = split_pieces(fragments, "\n\n")
+    are no JSON are left out. A frame of over `most` characters is told by a row without event."""
+    pieces = _pieces(fragments, "\n\n", most)
     line = F.get(F.filter(F.split("piece", "\n"), lambda x: F.startswith(x, F.lit("data: "))), F.lit(0))
     event = F.substr(line, F.lit(7))
-    return pieces.select("stream_id", "n", event.alias("event")).where(F.try_parse_json("event").isNotNull())
+    return pieces.select("stream_id", "n", event.alias("event"), "size").where(F.try_parse_json("event").isNotNull() | (F.col("size") > most)).drop("size")
 
 
-def response_lines(fragments: DataFrame) -> DataFrame:
+def response_lines(fragments: DataFrame, most: int = 1_048_576) -> DataFrame:
     """The lines of an answer in JSON lines (stream_id, n, kind, line): row, done or error by the line's type; blank lines and what is
-    no JSON are left out."""
-    pieces = split_pieces(fragments, "\n").where(F.try_parse_json("piece").isNotNull())
+    no JSON are left out. A line of over `most` characters is told as too long, without its text."""
+    pieces = _pieces(fragments, "\n", most).where(F.try_parse_json("piece").isNotNull() | (F.col("size") > most))
     said = F.get_json_object("piece", "$.type")
-    return pieces.select("stream_id", "n", F.when(said.isin("done", "error"), said).otherwise("row").alias("kind"), F.col("piece").alias("line"))
+    kind = F.when(F.col("size") > most, "too long").when(said.isin("done", "error"), said).otherwise("row")
+    return pieces.select("stream_id", "n", kind.alias("kind"), F.col("piece").alias("line"))
 
 
 def _person(identity: str | None) -> tuple[str, str] | None:
