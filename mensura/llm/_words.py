@@ -1,8 +1,9 @@
 """Vectorised word and shingle hashes over the UTF-8 bytes of an Arrow string column.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased. Its hash is a polynomial of its bytes
-modulo 2**64, taken from prefix sums over blocks, so no Python object is made for a word. Bytes above 0x7F are never
-separators, therefore words of bytes are words of characters.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased. Its hash is the sum, modulo 2**64, of one
+mixed 64-bit value for each of its bytes and its place in the word, taken from prefix sums over blocks, so no Python object is
+made for a word. (A polynomial modulo 2**64 would do without the places, but words built by doubling collide for any base.) Bytes
+above 0x7F are never separators, therefore words of bytes are words of characters.
 """
 
 from __future__ import annotations
@@ -24,15 +25,6 @@ _CODE[65:91] += np.uint64(32)
 _PLACE = [(_R * 0xD1342543DE82EF95 ** (k + 1)) & _MASK | 1 for k in range(16)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POW, _INV = _powers(_R, _BLOCK + 1), _powers(pow(_R, -1, 1 << 64), _BLOCK + 1)
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -76,6 +68,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     edge[cuts] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
+    inside_word = inside.copy()
     ends = inside
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -84,13 +77,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
         low = int(s[i])
         j = max(i + 1, int(np.searchsorted(e, low + _BLOCK, side="right")))
         high = int(e[j - 1])
-        n = high - low
-        power, inverse = (_POW, _INV) if n <= _BLOCK else (_powers(_R, n + 1), _INV)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_CODE[text[low:high]] * power[:n], out=sums[1:])
-        at = s[i:j] - low
-        out[i:j] = (sums[e[i:j] - low] - sums[at]) * inverse[at]
+        size = e[i:j] - s[i:j]
+        begin = np.cumsum(size) - size
+        place = np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)  # of each byte in its word
+        byte = _CODE[text[low:high]][inside_word[low:high]]
+        out[i:j] = np.add.reduceat(mix(place.astype(np.uint64) << np.uint64(9) | byte), begin)
         i = j
     return out, np.searchsorted(s, cuts)
 

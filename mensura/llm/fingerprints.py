@@ -18,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import written
 from ._words import buffers, mix, pieces, shingles, word_hashes
 
 BINS, BITS, WIDTH = 1024, 2, 5
@@ -96,7 +96,6 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_END = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
 
 
 def _compared(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
@@ -119,37 +118,18 @@ def _compared(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
 
 
 def _inner(batches):
-    """Of a sorted partition: every row but the last, with the row after it."""
-    before: tuple[list, list] = ([], [])
+    """Of partitions sorted by part: every row but the last of its part, with the row after it."""
+    before: tuple[list, list, list] = ([], [], [])
     for batch in batches:
         _, offsets = buffers(batch.column("text"))
         for i, j in pieces(offsets, 1 << 21):
-            part = batch.slice(i, j - i)
-            ids = before[0] + part.column("doc_id").to_pylist()
-            texts = before[1] + [t or "" for t in part.column("text").to_pylist()]
-            if len(ids) > 1:
-                yield _compared(ids[:-1], texts[:-1], texts[1:])
-            before = ids[-1:], texts[-1:]
-
-
-def _key(row: tuple) -> tuple:
-    return (row[0] is not None, row[0] or 0, row[1])
-
-
-def _ends(batches):
-    """Of a partition: its first and its last row in the order of (doc_id, text), with the partition's number."""
-    least = most = None
-    for batch in batches:
-        keys = [(x is not None, x or 0) for x in batch.column("doc_id").to_pylist()]
-        extremes = (min(keys), max(keys)) if keys else ()
-        for k, key in enumerate(keys):
-            if key in extremes:
-                row = (batch.column("doc_id")[k].as_py(), batch.column("text")[k].as_py() or "")
-                least = row if least is None or _key(row) < _key(least) else least
-                most = row if most is None or _key(row) > _key(most) else most
-    if least is not None:
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pylist([{"part": part, "doc_id": r[0], "text": r[1], "last": bool(k)} for k, r in enumerate((least, most))], _END)
+            rows = batch.slice(i, j - i)
+            parts, ids = before[0] + rows.column("part").to_pylist(), before[1] + rows.column("doc_id").to_pylist()
+            texts = before[2] + [t or "" for t in rows.column("text").to_pylist()]
+            at = [k for k in range(len(ids) - 1) if parts[k] == parts[k + 1]]
+            if at:
+                yield _compared([ids[k] for k in at], [texts[k] for k in at], [texts[k + 1] for k in at])
+            before = parts[-1:], ids[-1:], texts[-1:]
 
 
 def _outer(batches):
@@ -159,18 +139,40 @@ def _outer(batches):
             yield _compared([x["doc_id"]], [x["text"]], [x["next_text"]])
 
 
+def _part(id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most id; 0 without an id. Found in two steps: first the run of cuts, then the place in it."""
+    size = max(1, round(len(cuts) ** 0.5))
+    runs = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    upto = lambda values: F.size(F.filter(values, lambda x: x <= id))
+    list_of = lambda values: F.array(*[F.lit(x) for x in values]).cast("array<bigint>")
+    run = F.greatest(upto(list_of([r[0] for r in runs])) - 1, F.lit(0))
+    place = upto(F.get(F.array(*[list_of(r) for r in runs]), run))
+    return F.when(id.isNull(), 0).otherwise(run * size + place).cast("int")
+
+
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): its fingerprint, the one of its edited text (the last half of its characters
     replaced by as many of the next document's first ones), and the likeness to both. Next is by (doc_id, text), nulls
-    first. Texts are shuffled once, by ranges of doc_id: all branches below read the same exchange. A partition's last row
-    meets the next partition's first one in a join by the partition's number; the window orders these numbers alone."""
+    first.
+
+    Ranges of doc_id (parts) are set by cuts that are computed once, as many numbers as there are shuffle partitions. Texts are shuffled once,
+    by part, and each row meets the next one of its part. A part's last row meets the next part's first one: which ids these have is an
+    aggregation of ids, and their texts are read for these ids only. So nothing depends on how an exchange is sampled or reused."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id")
-    inner = ranged.sortWithinPartitions("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_inner, _OUT)
-    # the shuffle keeps _ends in a stage of its own, where a task's number is its partition's
-    ends = ranged.mapInArrow(_ends, "part int, doc_id long, text string, last boolean").repartition(n, "part")
-    first = ends.where("not last").select(F.col("part").alias("next"), F.col("text").alias("next_text"))
-    every, order = Window.partitionBy(), Window.orderBy("part")
-    after = ends.where("not last").select("part").select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(every)).alias("next"))
-    last = ends.where("last").join(after, "part").join(first, "next").select("doc_id", "text", "next_text")
-    return inner.unionByName(last.mapInArrow(_outer, _OUT))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    shares = [k / n for k in range(1, n)] or [0.5]
+    cuts = sorted({x for x in docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first().cuts or []})
+    parts = docs.withColumn("part", _part(F.col("doc_id"), cuts) if cuts else F.lit(0))
+    order = ["part", "doc_id", F.coalesce("text", F.lit(""))]
+    inner = parts.repartitionByRange(n, "part").sortWithinPartitions(*order).select("part", "doc_id", "text").mapInArrow(_inner, _OUT)
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
+    ends = written(parts.groupBy("part").agg(F.min(key)["doc_id"].alias("low"), F.max(key)["doc_id"].alias("high")), "ends")  # a row a part
+    text = F.coalesce("text", F.lit(""))
+    at_ends = parts.join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("low")) | F.col("doc_id").eqNullSafe(F.col("high")))
+    first, last = (F.when(F.col("doc_id").eqNullSafe(F.col(x)), text) for x in ("low", "high"))
+    told = written(at_ends.groupBy("part").agg(F.min(first).alias("first"), F.max(last).alias("last")).join(ends.select("part", "high"), "part"), "end_texts")
+    every, by = Window.partitionBy(), Window.orderBy("part")
+    after = told.select("part").select("part", F.coalesce(F.lead("part").over(by), F.min("part").over(every)).alias("next"))
+    met = told.join(after, "part").join(told.select(F.col("part").alias("next"), F.col("first").alias("next_text")), "next")
+    outer = met.select(F.col("high").alias("doc_id"), F.col("last").alias("text"), "next_text")
+    return inner.unionByName(outer.mapInArrow(_outer, _OUT))

@@ -261,3 +261,43 @@ def test_trie_of_little(spark):
 def test_trie_of_the_given_table(spark):
     table = spark.read.parquet(f"{SMALL}/conversations.parquet")
     assert trie_rows(prefix_trie(table)) == plain_trie([(r.conv_id, r.turn, r.role, r.text) for r in table.collect()])
+
+
+# ---- words and fingerprints
+
+
+def test_words_built_by_doubling_differ(spark):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2**64."""
+    from mensura.llm import fingerprints as fp
+    from mensura.llm.near_dedup import near_groups
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_groups(docs, width=3, percent=85).collect()} == {(1, 1), (2, 2), (3, 1)}
+    found = {r.doc_id: bytes(r.fingerprint) for r in fp.fingerprints(docs).collect()}
+    assert found[1] == found[3] != found[2]
+
+
+def test_edited_likeness_without_exchange_reuse(spark):
+    from mensura.llm import fingerprints as fp
+
+    rng = random.Random(8)
+    rows = [(rng.choice([i, i, i % 9, None]), rng.choice(["", None, "x y z", f"text {i} " * rng.randint(1, 30)])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for (i, t), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        t, following = t or "", following or ""
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", "false")
+        for n in (1, 4, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in fp.edited_likeness(docs).collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
