@@ -17,7 +17,8 @@ spread over all tasks. What recurs is joined to the pages' own hashes by host an
 
 Text: character references are decoded; white space inside a block becomes one blank; blocks are joined by one line feed in
 page order. Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements end with
-their parent; a page without a host counts under the empty host. Extra columns are ignored.
+their parent; a page without a host counts under the empty host; rows without page_id and rows that share one are pages of their own,
+told apart by file and place. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import with_rows, written
 from .url_filter import parts_of
 
 #: Fixed values of HTML: elements without content, with raw content, that form blocks, and that a new block ends.
@@ -260,11 +261,11 @@ def text_of(nodes: list[Node], delete: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def outside(root: Node, found: list[Node], small: float = 0.1) -> dict[int, list[tuple[Node, bool]]]:
+def outside(root: Node, found: list[Node], small: float = 0.1) -> dict[int, list[tuple[Node, bool | None]]]:
     """Elements outside the content regions by the digests under which they are counted: of the exact copy; of shape and
     words, for named elements with at most half of the text; of the shape alone, where all such elements of the page together
-    have at most `small` of its text, all of it in links."""
-    out: dict[int, list[tuple[Node, bool]]] = {}
+    have at most `small` of its text, all of it in links. With each, False, or None where mostly the same words are enough."""
+    out: dict[int, list[tuple[Node, bool | None]]] = {}
     kept = subtrees(root, {id(r) for r in found})
     total = len(text_of([root], set()))
     shapes: dict[int, list[int]] = {}
@@ -277,7 +278,7 @@ def outside(root: Node, found: list[Node], small: float = 0.1) -> dict[int, list
     for s in kept:
         if s.alone and s.shape and s.size * 2 <= total:
             for h in alike(s.shape, s.node):
-                out.setdefault(h, []).append((s.node, False))
+                out.setdefault(h, []).append((s.node, None))
             size, linked = shapes[s.shape]
             if s.node.tag not in TEXT and linked == size <= total * small:
                 out.setdefault(s.shape, []).append((s.node, False))
@@ -301,39 +302,43 @@ def deletable(root: Node, found: list[Node]) -> dict[int, list[tuple[Node, bool]
 
 def main_text(root: Node, hits: set[int]) -> str:
     """The page's text without the template subtrees in hits. What recurs inside a region stays if it is more than half of the
-    region's text, as in copies of an article that differ in some words."""
+    region's text, as in copies of an article that differ in some words. On a page without a region, what only has mostly the same words as
+    on other pages stays if it is more than half of the text without exact copies, as the values of a page of data are."""
     found = regions(root)
     scope = found or [root]
     if not hits:
         return text_of(scope, set())
     nodes = [x for h, those in deletable(root, found).items() if h in hits for x in those]
-    boxes = {id(n) for n, strict in nodes if not strict}
-    text, whole = text_of(scope, {id(n) for n, _ in nodes}), text_of(scope, boxes)
-    return text if not found or len(text) * 2 >= len(whole) else whole
+    sure = {id(n) for n, strict in nodes if (not strict if found else strict is not None)}
+    text, whole = text_of(scope, {id(n) for n, _ in nodes}), text_of(scope, sure)
+    return text if len(text) * 2 >= len(whole) else whole
 
 
-def candidates(pages: DataFrame) -> DataFrame:
-    """page_id, host, content (a digest of the page's text) and hash of the distinct template candidates of each page; deletes:
+def candidates(pages: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """key (page_id), host, content (a digest of the page's text) and hash of the distinct template candidates of each page; deletes:
     0 if the page's text doesn't change if it is deleted, 1 if it does, 2 if it does under the stricter bounds. Hash 0 stands
-    for the page itself."""
+    for the page itself. key: the long columns that name a page."""
+    key = key or ["page_id"]
+    names = [*key, "host", "content", "hash", "deletes"]
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for page, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            for *page, url, source in zip(*(batch.column(c).to_pylist() for c in (*key, "url", "html"))):
                 host = parts_of(url)[0]
                 root = parse(source or "")
                 found = regions(root)
                 content = _digest(text_of(found or [root], set()))
                 inner = deletable(root, found)
                 outer = outside(root, found) if found else inner
-                rows += [(page, host, content, 0, 0)]
-                rows += [(page, host, content, h, 1 + any(strict for _, strict in inner[h]) if h in inner else 0) for h in {*inner, *outer}]
-            columns = zip(*rows) if rows else [()] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "content", "hash", "deletes"])
+                rows += [(*page, host, content, 0, 0)]
+                rows += [(*page, host, content, h, 1 + any(strict for _, strict in inner[h]) if h in inner else 0) for h in {*inner, *outer}]
+            columns = zip(*rows) if rows else [()] * len(names)
+            kinds = (*[pa.int64()] * len(key), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, host string, content long, hash long, deletes int")
+    schema = ", ".join(f"{c} long" for c in key)
+    return pages.select(*(F.col(c).cast("long") for c in key), "url", "html").mapInArrow(run, f"{schema}, host string, content long, hash long, deletes int")
 
 
 def templates(found: DataFrame, share: float, least: int, most: float, many: int) -> DataFrame:
@@ -348,10 +353,11 @@ def templates(found: DataFrame, share: float, least: int, most: float, many: int
 
 def extract(pages: DataFrame, share: float = 0.5, least: int = 5, most: float = 0.9, many: int = 20) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html). Of the template subtrees, only the hashes
-    that a page has itself are joined to it, by page_id."""
-    found = written(candidates(pages), "candidates")
+    that a page has itself are joined to it, by the row's file and place."""
+    pages, row = with_rows(pages.select("page_id", "url", "html"))
+    found = written(candidates(pages, row), "candidates")
     hits = found.where("deletes > 0").join(templates(found, share, least, most, many), ["host", "hash"]).where("deletes = 1 or strict")
-    hits = written(hits.groupBy("page_id").agg(F.collect_set("hash").alias("hits")), "hits")
+    hits = written(hits.groupBy(*row).agg(F.collect_set("hash").alias("hits")), "hits")
 
     def run(batches):
         for batch in batches:
@@ -360,5 +366,5 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 5, most: float =
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    rows = pages.selectExpr("cast(page_id as long) page_id", "url", "html").join(hits, "page_id", "left")
+    rows = pages.join(hits, row, "left").select(F.col("page_id").cast("long"), "url", "html", "hits")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

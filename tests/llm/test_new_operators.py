@@ -301,3 +301,16 @@ def test_edited_likeness_without_exchange_reuse(spark):
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+# ---- pages
+
+
+def test_pages_of_data_keep_their_text_whatever_their_ids(spark):
+    from mensura.llm.html_extract import extract
+
+    menu = '<div class="top"><a href="/">Home page</a> <a href="/map">Map of stations</a></div>'
+    page = lambda k: f'<html><body>{menu}<div class="report">Station {k} of the river. Temperature {k * 7 % 40} degrees</div><div class="foot">All rights reserved</div></body></html>'
+    rows = [(None if k % 3 == 0 else k // 2, f"http://data.example/{k}", page(k)) for k in range(40)]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {(r.page_id, r.url, r.text) for r in found} == {(i, u, f"Station {k} of the river. Temperature {k * 7 % 40} degrees") for k, (i, u, _) in enumerate(rows)} and len(found) == 40
