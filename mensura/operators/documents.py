@@ -75,7 +75,7 @@ LABELS = {
     "address": r"trvale bydliste|trvaly pobyt|bydliste|adresa pacienta|adresa|ulice",
     "name": r"jmeno a prijmeni|prijmeni a jmeno|jmeno pacienta|pacient/ka|pacientka|pacient|prijmeni|jmeno|nemocny|klient",
 }
-OTHER_LABEL = r"^[^\d:]{2,40}:"
+#: The formats of birth numbers and of birth dates.
 BIRTH_NUMBER = r"\d(?:\s?\d){5}\s?/?\s?\d(?:\s?\d){2,3}"
 BIRTH_DATE = r"\d{1,2}\.\s?\d{1,2}\.\s?(?:\d{4}|\d{2})(?!\d)|\d{4}-\d{2}-\d{2}"
 _ANY = rf"(?<![a-z0-9])(?:{'|'.join(f'({x})' for x in LABELS.values())})(?![a-z0-9])\s*:?[ \t]*"
@@ -84,6 +84,12 @@ _LABELLED = rf"{_ANY}(.*?)(?=\s*(?:{_NEXT}|\t|\x20{{2}}|$))"
 _MASK = "\u0001"
 
 
+def _labelled(value: Column) -> Column:
+    """Whether a value is another label with its own: two to forty signs without a digit, then a colon."""
+    label = F.substring_index(value, ":", 1)
+    return F.contains(value, F.lit(":")) & F.length(label).between(2, 40) & (F.translate(label, "0123456789", "") == label)
+
+
 def identity_in(text: Column, bare: bool = True) -> Column:
     """ARRAY<STRUCT<kind, value>> of a person's data in a text, folded: what stands behind a label, in its cell or the next one of
     the line (cells end at a tab or two blanks), as far as the next label; and with bare, birth numbers anywhere that decode to
@@ -96,9 +102,10 @@ def identity_in(text: Column, bare: bool = True) -> Column:
         def said(h: Column) -> Column:
             value = F.trim(F.regexp_replace(h["g5"], r"\s+", " "))
             number, date = F.regexp_extract(value, BIRTH_NUMBER, 0), F.regexp_extract(value, BIRTH_DATE, 0)
-            words = F.when(value.rlike("[a-z]") & (F.length(value) >= 2) & ~value.rlike(OTHER_LABEL), value)
+            own = ~_labelled(value)
+            words = F.when(value.rlike("[a-z]") & (F.length(value) >= 2) & own, value)
             pair = lambda k, v: F.struct(F.lit(kinds[k]).alias("kind"), v.alias("value"))
-            other = F.when((value != "") & ~value.rlike(OTHER_LABEL), value)
+            other = F.when((value != "") & own, value)
             return (
                 F.when(h["g1"] != "", pair(0, F.when(date != "", date))).when(h["g2"] != "", pair(1, F.when(number != "", number).otherwise(other)))
                 .when(h["g3"] != "", pair(2, words)).otherwise(pair(3, words))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
-from ..functions.numbers import VALUE_MARKS, bound, implausible, parse_range, unit_key
+from ..functions.numbers import VALUE_MARKS, implausible, unit_key, with_range
 
 
 def compared(reads: DataFrame) -> DataFrame:
     """reads (page_id, reader, ord, raw_name, value_raw, unit_raw, ref_range_raw, row_index) with the keys under which rows meet:
     the name; with the row index (or its ordinal) if any reader has the name twice on the page."""
-    rows = reads.withColumn("name", norm_key(F.col("raw_name")))
+    rows = with_range(reads, F.col("ref_range_raw"), "_span").withColumn("name", norm_key(F.col("raw_name")))
     own = Window.partitionBy("page_id", "name", "reader")
     rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("ord")) - 1, "copies": F.count(F.lit(1)).over(own)})
     twice = F.max("copies").over(Window.partitionBy("page_id", "name")) > 1
@@ -23,9 +23,9 @@ def compared(reads: DataFrame) -> DataFrame:
             "key": F.when(twice, F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
             "value_key": F.lower(F.regexp_replace(F.translate(F.coalesce("value_raw", F.lit("")), VALUE_MARKS, ""), r"\s+", "")),
             "unit_k": unit_key(F.col("unit_raw")),
-            "range_key": bound(parse_range(F.col("ref_range_raw")), span),
+            "range_key": span(F.col("_span")),
         }
-    )
+    ).drop("_span")
 
 
 def reconcile(reads: DataFrame, expected: int = 1) -> DataFrame:

@@ -185,7 +185,7 @@ def parse_numbers(spark, d):
 @query(f"""{LNS} SELECT id, CASE WHEN id % 10 IN (0, 1, 4, 5, 7) THEN CAST(lo AS DOUBLE) END AS low, CASE WHEN id % 10 IN (0, 1, 2, 3, 5, 7) THEN hi + 0.5::DOUBLE END AS high,
   CASE id % 10 WHEN 6 THEN lo || ' - ' || hi || ',5 let' WHEN 8 THEN 'M: ' || lo || '-' || hi || ',5 Ž: 1-2' WHEN 9 THEN 'negativní' END AS text FROM l""")
 def parse_ranges(spark, d):
-    return c.range_cells(c.lines(spark, d)).select("id", numbers.parse_range(F.col("range_raw")).alias("r")).select("id", "r.*")
+    return numbers.with_range(c.range_cells(c.lines(spark, d)).select("id", "range_raw"), F.col("range_raw"), "r").select("id", "r.*")
 
 
 @query(f"{LNS} SELECT id, [{', '.join(repr(b) for _, b in c.UNITS)}][id % {len(c.UNITS)} + 1] AS unit FROM l")
@@ -196,9 +196,8 @@ def canonical_units(spark, d):
 @query(f"""{LNS}, v AS (SELECT *, {_VALUE} / 1000 AS value FROM l)
 SELECT id, CASE WHEN value IS NULL THEN 'unknown' WHEN id % 10 IN (0, 1, 5, 7, 4) AND value < lo THEN 'low' WHEN id % 10 IN (0, 1, 2, 3, 5, 7) AND value > hi + 0.5 THEN 'high' WHEN id % 10 IN (6, 8, 9) THEN 'unknown' ELSE 'normal' END AS flag FROM v""")
 def flags(spark, d):
-    rows = c.range_cells(c.value_cells(c.lines(spark, d)))
-    flag = lambda span: numbers.compute_flag(numbers.parse_value(F.col("value_raw")) / 1000, span["low"], span["high"])
-    return rows.select("id", numbers.bound(numbers.parse_range(F.col("range_raw")), flag).alias("flag"))
+    rows = numbers.with_range(c.range_cells(c.value_cells(c.lines(spark, d))), F.col("range_raw"), "span")
+    return rows.select("id", numbers.compute_flag(numbers.parse_value(F.col("value_raw")) / 1000, F.col("span.low"), F.col("span.high")).alias("flag"))
 
 
 @query(f"{LNS} SELECT id, CASE WHEN id % 8 = 7 AND cents / 100.0 >= hi * 1000 OR id % 8 = 4 AND hi > lo OR id % 8 = 1 AND lo > 25 THEN 'high' ELSE 'unknown' END AS flag FROM l")

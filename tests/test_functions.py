@@ -34,6 +34,20 @@ def test_ranges(spark):
     assert {r.x: tuple(r.r) for r in rows} == cases
 
 
+def test_tables_of_cells_as_expressions(spark):
+    """The projections over a table give what the expressions give, hard cells included."""
+    cells = ["5 - 7\u00a0mg", "M: 5 - 7 F: 3-4", "5 - 7 muži", "muži: < 5", "+5 - 7", "<= 5", "< 5 10^9/l", "5 - 7 x 10 ^9/l", "5 - 7 a b c d", "do5", "( 1 – 2 )", "1 234,5–2 000 g/l", "5 - -", None, "", "a" * 100_000, "1-" * 50_000]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cells)], "i int, x string")
+    got = {r.i: (tuple(r.r), tuple(r.e), r.r == r.e) for r in numbers.with_range(rows, F.col("x"), "r").select("i", "r", numbers.parse_range(F.col("x")).alias("e")).collect()}
+    assert all(same for _, _, same in got.values()) and len(got) == len(cells)
+    texts = [(5.0, 7.0, None), (None, None, cells[1]), (5.0, 7.0, None), (None, 5.0, None), (None, None, cells[4]), (None, None, cells[5]), (None, None, cells[6]), (5.0, 7.0, None), (None, None, cells[8]), (None, None, "do5"), (1.0, 2.0, None), (1234.5, 2000.0, None), (None, None, "5 - -"), (None, None, None), (None, None, None)]
+    assert [got[i][0] for i in range(15)] == texts and got[15][0][2] == cells[15] and got[16][0][2] == cells[16]
+    units = ["mmol\t/\u00a0L", "[U/L]", "10 6/l", "1 09", "cm^3", "1,73m^2/L", "ug/24 h", "kU/L", "×10^12/L", "L", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(units)], "i int, x string")
+    found = [r[0] for r in numbers.with_unit(rows, F.col("x"), "u").orderBy("i").select("u").collect()]
+    assert found == ["mmol/l", "[U/l]", "10^6/l", "1 09", "cm3", "1,73 m2/l", "µg/24 h", "kU/l", "10^12/l", "L", None]
+
+
 def test_flags(spark):
     rows = spark.createDataFrame([(5.0, 5.0, 6.0), (4.9, 5.0, None), (7.0, None, 6.0), (None, 1.0, 2.0), (1.0, None, None)], "v double, lo double, hi double")
     assert [r[0] for r in rows.select(numbers.compute_flag(F.col("v"), F.col("lo"), F.col("hi"))).collect()] == ["normal", "low", "high", "unknown", "unknown"]
