@@ -152,3 +152,19 @@ def strikes(rows: DataFrame, key: str, ts: str, days: int = 30, every: int = 3)
 def stale(rows: DataFrame, ts: str, now: Column, seconds: int = 3600) -> DataFrame:
     """Open slots that were claimed longer ago than that and never ended."""
     return rows.where(F.col("ended").isNull() & (F.col(ts) < now - F.make_interval(secs=F.lit(seconds))))
+
+
+def pages_allowed(rows: DataFrame, key: str, schema: str, cap: int) -> DataFrame:
+    """Pages of documents from events (key, seq, kind: send or fail): a page is taken while fewer than `cap` are out or read (a failed one
+    can be sent again) and fewer than three times the cap were sent in all; a failure with no page sent that hasn't failed changes
+    nothing, other kinds neither. State: sent, failed, refused."""
+
+    def step(state: tuple | None, row: tuple) -> tuple:
+        sent, failed, refused = state or (0, 0, 0)
+        if row[0] == "fail":
+            return sent, min(failed + 1, sent), refused
+        if row[0] != "send":
+            return sent, failed, refused
+        return (sent + 1, failed, refused) if sent - failed < cap and sent < 3 * cap else (sent, failed, refused + 1)
+
+    return ordered_fold(rows, key, ["kind"], step, schema)

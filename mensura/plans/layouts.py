@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, quality
+from ..operators import layout, ledger, mapping, quality
 from ..operators import rows as rows_of
 from ..sources.shared import shared_folder
 from ..sources.tables import table
@@ -164,3 +164,32 @@ def stream_month_alerts(spark, d):
 def stream_fresh(spark, d):
     """Users that haven't been seen for two hours."""
     return expiry.run_to_end(expiry.fresh(_stream(spark, d), F.col("user_id"), "ts", "event_id", 7200, "1 hour"), shared_folder(spark, "fresh"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id AS key, CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'send' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT key, rn, CAST(kind = 'send' AS BIGINT) AS sent, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS refused FROM w WHERE rn = 1
+  UNION ALL SELECT w.key, w.rn, f.sent + CAST(w.kind = 'send' AND f.sent - f.failed < 2 AND f.sent < 6 AS BIGINT), least(f.sent, f.failed + CAST(w.kind = 'fail' AS BIGINT)),
+    f.refused + CAST(w.kind = 'send' AND (f.sent - f.failed >= 2 OR f.sent >= 6) AS BIGINT) FROM f JOIN w ON w.key = f.key AND w.rn = f.rn + 1)
+SELECT key, arg_max(sent, rn) AS sent, arg_max(failed, rn) AS failed, arg_max(refused, rn) AS refused FROM f GROUP BY key""")
+def page_caps(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "fail").otherwise("send").alias("kind"))
+    return ledger.pages_allowed(rows, "key", "key long, sent long, failed long, refused long", 2)
+
+
+@query("""WITH t AS (SELECT replace(p_name, ' ', '_') AS base, count(DISTINCT p_size) AS used FROM part WHERE p_partkey % 4 = 0 GROUP BY 1),
+n AS (SELECT p_name AS name, p_partkey AS ord, replace(p_name, ' ', '_') AS base, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 4 <> 0)
+SELECT name, ord, CASE WHEN n + coalesce(used, 0) > 1 THEN base || '_' || (n + coalesce(used, 0)) ELSE base END AS canonical_id FROM n LEFT JOIN t USING (base)""")
+def new_identifiers(spark, d):
+    """Three quarters of the parts become entries; the others' names are taken, once for each size, with numbers behind them."""
+    parts = table(spark, d, "part")
+    slugs = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), (F.col("p_size") + 100).cast("string"))
+    taken = parts.where("p_partkey % 4 = 0").select(slugs.alias("canonical_id")).distinct()
+    return mapping.founded_ids(parts.where("p_partkey % 4 <> 0").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")), taken)
+
+
+@query("""SELECT lower(l_returnflag) || '|' || p_name || '|g' AS scope, l_returnflag AS lab, p_name AS raw_name, 'g' AS unit_raw, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey
+  WHERE p_size <= 10 GROUP BY l_returnflag, p_name""")
+def rows_of_entry(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("raw_name"), F.when(F.col("p_size") <= 10, "small").otherwise("large").alias("canonical_id"))
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("lab"), F.lit("g").alias("unit_raw"))
+    return mapping.rows_under(rows.join(parts, "l_partkey"), "small")

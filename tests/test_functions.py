@@ -81,3 +81,13 @@ def test_fold_keeps_length(spark):
     s = "Příliš žluťoučký kůň ñ Æ"
     assert spark.createDataFrame([(s,)], "s string").select(text.fold(F.col("s"))).first()[0] == "prilis zlutoucky kun n æ"
     assert len(text.FOLD[0]) == len(text.FOLD[1]) > 300
+
+
+def test_pages_allowed(spark):
+    from mensura.operators import ledger
+
+    kinds = {"k": "send send send fail send fail send fail send fail send fail fail send".split(), "j": ["fail", "other", "send"], None: ["send"]}
+    rows = spark.createDataFrame([(k, i, kind) for k, each in kinds.items() for i, kind in enumerate(each)], "key string, seq int, kind string")
+    got = {tuple(r) for r in ledger.pages_allowed(rows, "key", "key string, sent long, failed long, refused long", 2).collect()}
+    assert got == {("k", 6, 6, 2), ("j", 1, 0, 0), (None, 1, 0, 0)}
+    assert ledger.pages_allowed(rows.limit(0), "key", "key string, sent long, failed long, refused long", 2).count() == 0
