@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
 from ..functions.numbers import VALUE_MARKS, implausible, unit_key, with_range
+from ..sources.shared import kept
 
 
 def compared(reads: DataFrame) -> DataFrame:
@@ -28,14 +29,18 @@ def compared(reads: DataFrame) -> DataFrame:
     ).drop("_span")
 
 
-def reconcile(reads: DataFrame, expected: int = 1) -> DataFrame:
+def reconcile(reads: DataFrame, expected: int = 1, pair: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per page and key: the first reader's row, the number of readers, and the first disagreement that holds: values,
-    a missing reader, seen by one, units, ranges. Doubt is stated, never dropped."""
+    a missing reader, seen by one, units, ranges. Doubt is stated, never dropped. pair: rows that orphan_pairs finds to be one are
+    compared as one; also: further columns of the first reader's row."""
     rows = compared(reads)
+    if pair:
+        rows = kept(rows, "compared")
+        rows = rows.join(paired(rows).select("page_id", F.col("merged").alias("key"), "kept"), ["page_id", "key"], "left").withColumn("key", F.coalesce("kept", "key")).drop("kept")
     first = F.struct("reader", "ord")
     total = rows.groupBy("page_id").agg(F.count_distinct("reader").alias("total"))
     found = rows.groupBy("page_id", "key").agg(
-        F.min_by(F.struct("raw_name", "value_raw", "unit_raw", "ref_range_raw"), first).alias("kept"), F.count_distinct("reader").alias("readers"),
+        F.min_by(F.struct("raw_name", "value_raw", "unit_raw", "ref_range_raw", *also), first).alias("kept"), F.count_distinct("reader").alias("readers"),
         F.count_distinct("value_key").alias("values"), F.count_distinct("unit_k").alias("units"), F.count_distinct("range_key").alias("ranges"),
     ).join(total, "page_id")
     wanted = F.greatest(F.lit(expected), F.col("total"))
@@ -49,7 +54,11 @@ def reconcile(reads: DataFrame, expected: int = 1) -> DataFrame:
 def orphan_pairs(reads: DataFrame) -> DataFrame:
     """For two readers: rows that one reader alone has, paired with one of the other by the same row index when exactly one side has one
     row there (its first with the other side's first), else by the same value and unit that each side has once."""
-    rows = compared(reads)
+    return paired(compared(reads))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """orphan_pairs of compared rows."""
     alone = rows.groupBy("page_id", "key").agg(F.count_distinct("reader").alias("n"), F.min_by(F.struct("reader", "ord", "row_index", "value_key", "unit_k"), F.struct("reader", "ord")).alias("r")).where("n = 1").select("page_id", "key", "r.*")
 
     def met(df: DataFrame, by: list[str], ok) -> DataFrame:
