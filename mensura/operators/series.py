@@ -82,8 +82,21 @@ def beyond_limit(value: Column, low: Column, high: Column) -> Column:
     return F.when(value > high, F.try_divide(value - high, F.abs(high))).when(value < low, F.try_divide(low - value, F.abs(low)))
 
 
-def watch_list(points: DataFrame, owner: list[str], series: str, order: list[str]) -> DataFrame:
-    """Series whose last point is out of range and falls on the owner's last draw date; the farthest beyond first."""
+def in_order(name: str, collation: str | None = None) -> Column:
+    """A name as sorted: by code points, or as a language sorts (cs: ch behind h, letters with a hook behind the plain ones). Names that
+    a collation doesn't tell apart stay in the order of their code points if sorted by both."""
+    return F.collate(F.col(name), collation) if collation else F.col(name)
+
+
+def ranked_names(rows: DataFrame, owner: list[str], name: str, collation: str = "cs") -> DataFrame:
+    """The distinct names of each owner with their rank in a language's order; NULL comes last."""
+    w = Window.partitionBy(*owner).orderBy(in_order(name, collation).asc_nulls_last(), name)
+    return rows.select(*owner, name).distinct().withColumn("rank", F.row_number().over(w))
+
+
+def watch_list(points: DataFrame, owner: list[str], series: str, order: list[str], collation: str | None = None) -> DataFrame:
+    """Series whose last point is out of range and falls on the owner's last draw date; the farthest beyond first, then the longest
+    streak, then by name, as the collation sorts."""
     keys = [*owner, series]
     draws = points.groupBy(*owner).agg(F.max("date").alias("draw"))
     at = F.struct(*order)
@@ -92,7 +105,7 @@ def watch_list(points: DataFrame, owner: list[str], series: str, order: list[str
     rows = rows.join(out_streaks(points, keys, order).select(*keys, "out_streak"), keys)
     beyond = F.round(beyond_limit(F.col("l.value"), F.col("l.ref_low"), F.col("l.ref_high")), 6)
     rows = rows.select(*keys, F.col("l.date").alias("date"), F.col("l.value").alias("value"), F.col("l.flag").alias("flag"), beyond.alias("beyond"), "out_streak")
-    w = Window.partitionBy(*owner).orderBy(F.desc(F.coalesce("beyond", F.lit(-1.0))), F.desc("out_streak"), series)
+    w = Window.partitionBy(*owner).orderBy(F.desc(F.coalesce("beyond", F.lit(-1.0))), F.desc("out_streak"), in_order(series, collation), series)
     return rows.withColumn("rank", F.row_number().over(w))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, pages
+from ..operators import matching, pages, series
 from ..sources.tables import table
 from . import carriers as c
 from .layouts import _NTH, _numbered
 from .queries import query
-from .rest import LNS
+from .rest import LNS, PTS
 
 #: What is wrong with an item's reading, by kind: 0 the second reader may miss it, 1 its index is one too high, 2 its name is misspelt, 3 its value is
 #: made up, 4 nobody reads it, 5 it has a result in words and nobody reads it, 6 it has no index, 7 the second reader names it
@@ -77,3 +77,27 @@ def page_reports(spark, d):
     """What each page's rows came to, with its laboratory, its date and the dates that its readings don't agree on."""
     rows, reads = _interpreted(spark, d)
     return pages.page_counts(rows, pages.page_facts(reads)).drop("matched", "scan").withColumn("date_conflict", F.array_join("date_conflict", ","))
+
+
+_CZECH = "CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN translate(p_name, 'srzc', 'šřžč') ELSE replace(p_name, 'g', 'ch') END"
+_CZECH_KEY = "replace(replace(replace(replace(replace({0}, 'ch', 'h~'), 'č', 'c~'), 'ř', 'r~'), 'š', 's~'), 'ž', 'z~')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_type, {_CZECH} AS name FROM part) SELECT p_type, name, row_number() OVER (PARTITION BY p_type ORDER BY {_CZECH_KEY.format('name')}) AS rank FROM n""")
+def czech_order(spark, d):
+    """Names of parts, spelt with letters with hooks and with ch, in the order of the Czech alphabet."""
+    names = table(spark, d, "part").select("p_type", F.expr(_CZECH).alias("name"))
+    return series.ranked_names(names, ["p_type"], "name").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""{PTS}, n AS (SELECT *, CASE series WHEN 'click' THEN 'chlor' WHEN 'view' THEN 'hořčík' WHEN 'purchase' THEN 'čas' WHEN 'signup' THEN 'cukr' ELSE 'i ' || series END AS name FROM p),
+v AS (SELECT * FROM n WHERE value IS NOT NULL), t AS (SELECT patient_id, name, arg_max(value, (ts, event_id)) AS value, arg_max(flag, (ts, event_id)) AS flag, max(date) AS date FROM v GROUP BY ALL),
+w AS (SELECT patient_id, max(date) AS draw FROM p GROUP BY 1)
+SELECT patient_id, name, flag, row_number() OVER (PARTITION BY patient_id ORDER BY {_CZECH_KEY.format('name')}) AS rank FROM t JOIN w USING (patient_id) WHERE date = draw AND flag IN ('high', 'low')""")
+def watched_names(spark, d):
+    """Watched series by their Czech names alone."""
+    said = F.create_map(*[F.lit(x) for x in ("click", "chlor", "view", "hořčík", "purchase", "čas", "signup", "cukr")])
+    points = c.points(spark, d).withColumn("name", F.coalesce(F.try_element_at(said, "series"), F.concat(F.lit("i "), "series")))
+    watched = series.watch_list(points, ["patient_id"], "name", ["ts", "event_id"]).select("patient_id", "name", "flag")
+    ranks = series.ranked_names(watched, ["patient_id"], "name")
+    return watched.join(ranks, ["patient_id", "name"]).withColumn("rank", F.col("rank").cast("long"))

@@ -83,3 +83,18 @@ def test_empty_pages(spark):
     assert found.count() == 0 and pages.page_counts(found, facts).count() == 0
     found, _ = _interpret(spark, [], [(1, 0, ["Urea", "7", "mmol/l"])])
     assert [(r.source, r.raw_name, r.lab) for r in found.collect()] == [("unread", "Urea", None)]
+
+
+def test_czech_order(spark):
+    from datetime import date
+
+    from mensura.operators import series
+
+    words = ["i", "chlor", "hz", "h", "c", "čas", "cz", "z", "žena", "š", "sz", "r", "ř", None]
+    names = spark.createDataFrame([(1, w) for w in words + ["h"]], "patient_id long, name string")
+    found = [r.name for r in series.ranked_names(names, ["patient_id"], "name").orderBy("rank").collect()]
+    assert found == ["c", "cz", "čas", "h", "hz", "chlor", "i", "r", "ř", "sz", "š", "z", "žena", None]
+    points = [(1, w, k, date(2024, 1, 1), 9.0, "high", 1.0, 6.0) for k, w in enumerate(["i", "chlor", "h", "čas", "cz"])]
+    points = spark.createDataFrame(points, "patient_id long, series string, ord int, date date, value double, flag string, ref_low double, ref_high double")
+    ranks = lambda c: [r.series for r in series.watch_list(points, ["patient_id"], "series", ["ord"], c).orderBy("rank").collect()]
+    assert ranks("cs") == ["cz", "čas", "h", "chlor", "i"] and ranks(None) == ["chlor", "cz", "h", "i", "čas"]
