@@ -14,23 +14,31 @@ from . import charts, quality, series
 from .documents import all_tokens, search
 
 
-def same_person(id_a: Column, name_a: Column, id_b: Column, name_b: Column) -> Column:
-    """same, different or unknown: valid birth numbers decide if both are there, else names do."""
-    number = lambda x: F.when(birth_number(x)["valid"], F.regexp_replace(x, r"[\s/]", ""))
-    a, b = number(id_a), number(id_b)
-    na, nb = sorted_tokens(F.coalesce(name_a, F.lit(""))), sorted_tokens(F.coalesce(name_b, F.lit("")))
-    decide = lambda x, y: F.when(x == y, "same").otherwise("different")
-    return F.when(a.isNotNull() & b.isNotNull(), decide(a, b)).when((na != "") & (nb != ""), decide(na, nb)).otherwise("unknown")
+def _person(rows: DataFrame, *also: str) -> DataFrame:
+    """also, with what a person (person_id, person_name) is compared by: a valid birth number or NULL, and the name's folded tokens
+    in order, NULL without any."""
+    number = F.when(birth_number(F.col("person_id"))["valid"], F.regexp_replace("person_id", r"[\s/]", ""))
+    name = sorted_tokens(F.coalesce("person_name", F.lit("")))
+    rows = rows.select(*also, number.alias("_number"), name.alias("_name"))
+    return rows.withColumn("_name", F.when(F.col("_name") != "", F.col("_name")))
 
 
 def identity_check(incoming: DataFrame, loaded: DataFrame, session: str) -> DataFrame:
     """ok, mismatch or unverifiable for incoming reports (session, report_id, person_id, person_name) against the identities loaded in the
-    session; ok if nothing is loaded."""
-    known = loaded.select(session, F.col("person_id").alias("_id"), F.col("person_name").alias("_name")).distinct()
-    met = incoming.join(known, session, "left").withColumn("v", F.when(F.col("_id").isNotNull() | F.col("_name").isNotNull(), same_person(F.col("person_id"), F.col("person_name"), F.col("_id"), F.col("_name"))))
-    any_loaded = loaded.select(session).distinct().withColumn("_loaded", F.lit(True))
-    found = met.groupBy(session, "report_id").agg(F.bool_or(F.col("v") == "same").alias("same"), F.bool_or(F.col("v") == "different").alias("different")).join(any_loaded, session, "left")
-    verdict = F.when(F.col("_loaded").isNull() | F.coalesce("same", F.lit(False)), "ok").when(F.coalesce("different", F.lit(False)), "mismatch").otherwise("unverifiable")
+    session; ok if nothing is loaded. Two persons are the same or different by valid birth numbers if both have one, else by names if both
+    have one, else unknown. A report meets the loaded numbers and names that equal its own, and of the others only whether there are any, so a
+    session with many identities costs no more than its rows."""
+    known = _person(loaded, session).distinct()
+    bare = F.col("_number").isNull()
+    numbers = known.where(~bare).select(session, "_number", F.lit(True).alias("_met")).distinct()
+    names = known.where("_name is not null").groupBy(session, "_name").agg(F.bool_or(bare).alias("_bare"))  # _bare: of one without a number
+    named = F.col("_name").isNotNull()
+    any_of = known.groupBy(session).agg(F.bool_or(~bare).alias("_numbers"), F.bool_or(named).alias("_names"), F.bool_or(named & bare).alias("_bares"))
+    rows = _person(incoming, session, "report_id").join(numbers, [session, "_number"], "left").join(names, [session, "_name"], "left").join(any_of, session, "left")
+    same = F.when(bare, F.col("_bare").isNotNull()).otherwise(F.col("_met").isNotNull() | F.coalesce("_bare", F.lit(False)))
+    other = F.when(bare, named & F.col("_names")).otherwise(F.col("_numbers") | (named & F.col("_bares")))
+    found = rows.groupBy(session, "report_id").agg(F.bool_or(same).alias("same"), F.bool_or(other).alias("different"), F.bool_or(F.col("_names").isNotNull()).alias("loaded"))
+    verdict = F.when(~F.col("loaded") | F.col("same"), "ok").when(F.coalesce("different", F.lit(False)), "mismatch").otherwise("unverifiable")
     return found.select(session, "report_id", verdict.alias("verdict"))
 
 
