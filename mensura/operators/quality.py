@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import BLOOD, MATERIALS, material_prefix, norm_key
 from ..functions.text import strip_marks
-from .rows import printed_on_row
+from .rows import bare, printed_runs
 
 
 def scored(truth: DataFrame, arm: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -96,10 +96,11 @@ def fabricated(rows: DataFrame, pages: DataFrame, fields: list[str]) -> DataFram
     """page_id, ord, field and value of what a reader has given (rows: page_id, ord and fields) and no row of its page (page_id, cells)
     prints, as one cell or as adjacent ones, whatever the marks and blanks."""
     said = rows.select("page_id", "ord", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
-    said = said.where(F.trim(F.coalesce("value", F.lit(""))) != "")
-    asked = said.select("page_id", "value").distinct()
-    printed = asked.join(pages.select("page_id", "cells"), "page_id").where(printed_on_row(F.col("value"), F.col("cells"))).select("page_id", "value").distinct()
-    return said.join(printed, ["page_id", "value"], "left_anti").select("page_id", "ord", "field", "value")
+    said = said.where(F.trim(F.coalesce("value", F.lit(""))) != "").withColumn("_bare", bare(F.col("value")))
+    # what a row prints is spelt once, not once for each value that is looked for on it
+    printed = pages.select(F.col("page_id").alias("_page"), printed_runs(F.col("cells")).alias("_runs"))
+    met = (F.col("page_id") == F.col("_page")) & (F.col("_bare") != "") & F.array_contains("_runs", F.col("_bare"))
+    return said.join(printed, met, "left_anti").select("page_id", "ord", "field", "value")
 
 
 def interval_count(text: Column) -> Column:
