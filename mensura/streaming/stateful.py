@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,6 +119,7 @@ def response_lines(fragments: DataFrame, most: int = 1_048_576) -> DataFrame:
     return pieces.select("stream_id", "n", kind.alias("kind"), F.col("piece").alias("line"))
 
 
+@lru_cache(maxsize=65_536)
 def _person(identity: str | None) -> tuple[str, str] | None:
     """What an identity is compared by: the digits of a birth number, else a name's folded words in order, without titles."""
     if identity is None or pd.isna(identity):
@@ -129,14 +132,37 @@ def _person(identity: str | None) -> tuple[str, str] | None:
     return ("name", " ".join(words)) if words else None
 
 
-def _checked(identity: str | None, admitted: Iterable[str | None]) -> str:
-    """ok if nothing is admitted or the same person is; mismatch if another one is; unverifiable if nothing can be compared."""
-    admitted = list(admitted)
-    if not admitted:
-        return "ok"
-    mine, known = _person(identity), [p for p in map(_person, admitted) if p]
-    alike = [p for p in known if mine and p[0] == mine[0]]
-    return "ok" if mine in alike else "mismatch" if alike else "unverifiable"
+class _Admitted:
+    """The reports admitted to a session with their identities, and how many have each person and each kind of identity."""
+
+    def __init__(self, reports: dict[str, str | None]):
+        self.reports, self.persons, self.kinds, self.moved = {}, Counter(), Counter(), False
+        for report, identity in reports.items():
+            self.put(report, identity)
+        self.moved = False
+
+    def put(self, report: str, identity: str | None) -> None:
+        """moved tells from now on whether who is admitted has changed."""
+        was, now = _person(self.reports.get(report)), _person(identity)
+        self.moved |= not self.reports
+        self.reports[report] = identity
+        if was == now:
+            return
+        if was:
+            self.persons[was] -= 1
+            self.kinds[was[0]] -= 1
+            self.moved |= self.persons[was] == 0
+        if now:
+            self.persons[now] += 1
+            self.kinds[now[0]] += 1
+            self.moved |= self.persons[now] == 1
+
+    def check(self, identity: str | None) -> str:
+        """ok if nothing is admitted or the same person is; mismatch if another one is; unverifiable if nothing can be compared."""
+        mine = _person(identity)
+        if not self.reports or (mine and self.persons[mine]):
+            return "ok"
+        return "mismatch" if mine and self.kinds[mine[0]] else "unverifiable"
 
 
 def admit(events: DataFrame) -> DataFrame:
@@ -144,11 +170,12 @@ def admit(events: DataFrame) -> DataFrame:
     report changes. kind report: a report, or a later page of one; the first of a session is admitted, then those of a person who
     is; another person's is a mismatch, asked about at once; one that can't be compared waits until it is done (kind done, for
     one report or, without report_id, for all), then is unverifiable, asked about. Each admission may settle others that wait,
-    until none changes. Answers to what is asked: keep admits, discard throws away for good, replace admits and dismisses all
+    until none changes; reports that wait are looked at again only then, so one that comes costs no more in a long session. Answers to what is asked: keep admits, discard throws away for good, replace admits and dismisses all
     that was admitted before."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         admitted, held, gone, told = json.loads(state.get[0]) if state.exists else ({}, {}, [], {})
+        inside, gone = _Admitted(admitted), dict.fromkeys(gone)
         out: list[tuple] = []
 
         def tell(report: str, decision: str) -> None:
@@ -156,45 +183,50 @@ def admit(events: DataFrame) -> DataFrame:
                 told[report] = decision
                 out.append((key[0], report, decision))
 
-        def settle() -> None:
-            moved = True
-            while moved:
-                moved = False
-                for report, (identity, done) in list(held.items()):
-                    found = _checked(identity, admitted.values())
-                    if found == "ok":
-                        admitted[report], moved = identity, True
-                        del held[report]
-                        tell(report, "admitted")
-                    elif found == "mismatch" or done:
-                        tell(report, found)
+        def settle(reports: list[str]) -> None:
+            reports = list(held) if inside.moved else reports
+            while reports:
+                inside.moved = False
+                for report in reports:
+                    if report in held:
+                        identity, done = held[report]
+                        found = inside.check(identity)
+                        if found == "ok":
+                            inside.put(report, identity)
+                            del held[report]
+                            tell(report, "admitted")
+                        elif found == "mismatch" or done:
+                            tell(report, found)
+                reports = list(held) if inside.moved else []
 
         for e in _batch(parts, ["seq"]).itertuples(index=False):
             report = None if pd.isna(e.report_id) else e.report_id
             identity = None if e.identity is None or pd.isna(e.identity) else e.identity
-            if e.kind == "report" and report in admitted:
-                admitted[report] = identity or admitted[report]
+            touched: list[str] = []
+            if e.kind == "report" and report in inside.reports:
+                inside.put(report, identity or inside.reports[report])
             elif e.kind == "report" and report not in gone:
                 before = held.get(report, (None, False))
                 held[report] = (identity or before[0], before[1])
+                touched = [report]
             elif e.kind == "done":
-                for r in [report] if report is not None else list(held):
-                    if r in held:
-                        held[r] = (held[r][0], True)
+                touched = [r for r in ([report] if report is not None else held) if r in held]
+                for r in touched:
+                    held[r] = (held[r][0], True)
             elif e.kind in ("keep", "replace", "discard") and report in held:
                 identity, _ = held.pop(report)
                 if e.kind == "replace":
-                    for r in admitted:
+                    for r in inside.reports:
                         tell(r, "dismissed")
-                    admitted = {}
+                    inside = _Admitted({})
                 if e.kind == "discard":
-                    gone.append(report)
+                    gone[report] = None
                     tell(report, "discarded")
                 else:
-                    admitted[report] = identity
+                    inside.put(report, identity)
                     tell(report, "admitted")
-            settle()
-        state.update((json.dumps([admitted, held, gone, told]),))
+            settle(touched)
+        state.update((json.dumps([inside.reports, held, list(gone), told]),))
         yield pd.DataFrame(out, columns=["session", "report_id", "decision"])
 
     return _stateful(events, ["session"], run, "session string, report_id string, decision string", "seen string")
