@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import unit_key
+from .numbers import bound, unit_key
 from .text import fold, squeezed, strip_marks
 
 #: Codes of materials in front of a name, and those of blood.
@@ -14,6 +14,8 @@ BLOOD = ["s", "p", "b", "pk", "pe", "sp", "fw", "k"]
 _SMALL, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _UNDERSCORE = r"(?i)^([a-z]{1,4})_"
 _SEPARATED = r"(?iu)^([a-z]{1,4}(?:,[a-z]{1,4})?)[-/](?=\p{L})"
+#: The code of a material in front of a name in small letters, as norm_key strips it: any before an underscore, else a known one.
+_SMALL_PREFIX = rf"^(?:[a-z]{{1,4}}_|(?:{'|'.join(MATERIALS)})[-/](?=\p{{L}}))"
 
 
 def material_prefix(name: Column) -> Column:
@@ -23,16 +25,11 @@ def material_prefix(name: Column) -> Column:
     return F.when(generic != "", generic).when(listed.isin(MATERIALS), listed)
 
 
-def strip_material(name: Column) -> Column:
-    listed = F.lower(F.regexp_extract(name, _SEPARATED, 1))
-    return F.when(name.rlike(_UNDERSCORE), F.regexp_replace(name, _UNDERSCORE, "")).when(listed.isin(MATERIALS), F.regexp_replace(name, _SEPARATED, "")).otherwise(name)
-
-
 def norm_key(name: Column) -> Column:
     """The key under which a name is looked up."""
     s = F.lower(F.trim(F.coalesce(name, F.lit(""))))
     s = F.replace(F.regexp_replace(s, r"\s+#", " abs"), F.lit("#"), F.lit(" "))
-    s = strip_marks(strip_material(F.trim(s)))
+    s = strip_marks(F.regexp_replace(F.trim(s), _SMALL_PREFIX, ""))
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
@@ -60,8 +57,12 @@ def leading_code(name: Column) -> tuple[Column, Column]:
 def leading_code_key(name: Column) -> Column:
     """The name behind a code that can be its abbreviation: it begins with a small letter, the code's first one."""
     code, rest = leading_code(name)
-    fits = rest.rlike(r"^\p{Ll}") & (F.left(fold(rest), F.lit(1)) == F.left(F.lower(code), F.lit(1)))
-    return F.when((code != "") & fits & (norm_key(rest) != ""), norm_key(rest))
+
+    def of(x: Column) -> Column:
+        fits = x["rest"].rlike(r"^\p{Ll}") & (F.left(fold(x["rest"]), F.lit(1)) == F.left(F.lower(x["code"]), F.lit(1)))
+        return F.when((x["code"] != "") & fits, F.nullif(norm_key(x["rest"]), F.lit("")))
+
+    return bound(F.struct(code.alias("code"), rest.alias("rest")), of)
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -92,14 +93,17 @@ def series_key(lab: Column, name: Column, unit: Column) -> Column:
 def name_keys(name: Column) -> Column:
     """Every key under which a printed name is looked up, the full one first: abbreviation, name behind a code, what is outside
     and inside of brackets at the end, and the parts around a dash between blanks."""
-    raw = F.trim(F.coalesce(name, F.lit("")))
     bracket = r"(?s)^(.*?)\s*\(([^()]+)\)\s*$"
-    parts = F.split(raw, r"\s+[-–]\s+")
-    keys = F.concat(
-        F.array(norm_key(raw), abbreviation_key(raw), leading_code_key(raw), norm_key(F.regexp_extract(raw, bracket, 1)), norm_key(F.regexp_extract(raw, bracket, 2))),
-        F.when(F.size(parts) > 1, F.transform(parts, norm_key)).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_distinct(F.filter(keys, lambda k: F.coalesce(k != "", F.lit(False))))
+
+    def of(raw: Column) -> Column:
+        parts = F.split(raw, r"\s+[-–]\s+")
+        keys = F.concat(
+            F.array(norm_key(raw), abbreviation_key(raw), leading_code_key(raw), norm_key(F.regexp_extract(raw, bracket, 1)), norm_key(F.regexp_extract(raw, bracket, 2))),
+            F.when(F.size(parts) > 1, F.transform(parts, norm_key)).otherwise(F.array().cast("array<string>")),
+        )
+        return F.array_distinct(F.filter(keys, lambda k: F.coalesce(k != "", F.lit(False))))
+
+    return bound(F.trim(F.coalesce(name, F.lit(""))), of)  # a name may be a long expression; it is computed once
 
 
 def materials_of(names: Column) -> Column:
