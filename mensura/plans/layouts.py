@@ -156,7 +156,7 @@ SELECT month, alert, arg_min(event_id, (ts, event_id)) AS id, min(total) AS tota
 def stream_month_alerts(spark, d):
     """Amounts of events against a budget of a month: each of its two thresholds is told once."""
     cents = F.round(F.abs(F.coalesce("value", F.lit(0.0))) * 100, 0).cast("long")
-    found = expiry.month_alerts(_stream(spark, d), "ts", "event_id", cents, {"80 %": 80_000, "100 %": 100_000}, "1 day")
+    found = expiry.month_alerts(_stream(spark, d), "ts", "event_id", cents, {"80 %": 80_000, "100 %": 100_000}, "1 day", refunds=False)
     return expiry.run_to_end(found, shared_folder(spark, "alerts")).withColumnRenamed("key", "month")
 
 

@@ -87,8 +87,34 @@ def _kind(rows: DataFrame, key: Column) -> str:
 class _Alerts(_Expiring):
     fields, names = "total bigint, alerts array<string>, until bigint", ["key", "alert", "id", "total"]
 
-    def __init__(self, thresholds: dict[str, int]):
-        self.thresholds = sorted(thresholds.items(), key=lambda x: (x[1], x[0]))
+    def __init__(self, thresholds: dict[str, int], refunds: bool = True):
+        self.thresholds, self.refunds = sorted(thresholds.items(), key=lambda x: (x[1], x[0])), refunds
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.refunds:
+            yield from super().handleInputRows(key, rows, timerValues)
+            return
+        total, alerts, until = tuple(self.state.get()) if self.state.exists() else (0, [], 0)
+        held, later, top = None, 0, max((least for _, least in self.thresholds), default=0)
+        for part in rows:
+            part = part[["us", "id", "amount", "until"]].assign(amount=part["amount"].fillna(0).astype("int64"))
+            if (part["amount"] < 0).any():
+                raise ValueError("an amount below 0, where refunds are ruled out")
+            # amounts only add, so behind the row that reaches the highest threshold their sum is all that counts
+            held = (part if held is None else pd.concat([held, part])).sort_values(["us", "id"])
+            reached = (total + held["amount"].cumsum() >= top).to_numpy()
+            n = int(reached.argmax()) + 1 if reached.any() else len(held)
+            later += int(held["amount"].iloc[n:].sum())
+            held = held.iloc[:n]
+        out, state = [], (total, list(alerts), until) if self.state.exists() else None
+        for row in held.itertuples(index=False):
+            given, state, until = self.told(key, row, state)
+            out += given
+        self.state.update((state[0] + later, *state[1:]))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=self.names)
 
     def told(self, key, row, state):
         total, alerts, until = state or (0, [], int(row.until))
@@ -97,13 +123,14 @@ class _Alerts(_Expiring):
         return [(key[0], name, row.id, total) for name in new], (total, [*alerts, *new], until), until
 
 
-def month_alerts(rows: DataFrame, ts: str, id: str, amount: Column, thresholds: dict[str, int], delay: str) -> DataFrame:
+def month_alerts(rows: DataFrame, ts: str, id: str, amount: Column, thresholds: dict[str, int], delay: str, refunds: bool = True) -> DataFrame:
     """key (the month, yyyy-MM), alert, id and total of the row of a stream at which a month's amounts reach a threshold; each threshold is told once a
-    month. amount: whole numbers, null counts as none. A month's state goes when its last moment is past."""
+    month. amount: whole numbers, null counts as none. refunds: whether an amount may be below 0; if not, one is an error, and of a month's rows
+    only those up to its highest threshold are held, else a micro-batch's rows of a month are held and ordered. A month's state goes when its last moment is past."""
     at = F.col(ts).cast("timestamp")
     end = F.unix_millis(F.date_trunc("month", at) + F.expr("interval 1 month"))
     timed = _timed(rows, F.date_format(at, "yyyy-MM"), ts, id, delay, amount=amount.cast("long"), until=end)
-    return timed.groupBy("key").transformWithStateInPandas(_Alerts(thresholds), "key string, alert string, id long, total long", "append", "eventtime")
+    return timed.groupBy("key").transformWithStateInPandas(_Alerts(thresholds, refunds), "key string, alert string, id long, total long", "append", "eventtime")
 
 
 class _Fresh(_Expiring):
