@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
 from ..functions.numbers import VALUE_MARKS, implausible, unit_key, with_range
-from ..sources.shared import kept
+from ..sources.shared import kept, told_once
 
 
 def compared(reads: DataFrame) -> DataFrame:
     """reads (page_id, reader, ord, raw_name, value_raw, unit_raw, ref_range_raw, row_index) with the keys under which rows meet:
-    the name; with the row index (or its ordinal) if any reader has the name twice on the page."""
-    rows = with_range(reads, F.col("ref_range_raw"), "_span").withColumn("name", norm_key(F.col("raw_name")))
+    the name; with the row index (or its ordinal) if any reader has the name twice on the page. Each distinct (name, unit, interval) is
+    worked out once."""
+    number = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    span = lambda s: F.when(s["low"].isNotNull() | s["high"].isNotNull(), F.concat_ws("|", number(s["low"]), number(s["high"])))
+    spelt = lambda texts: with_range(texts, F.col("ref_range_raw"), "_span").withColumns({"name": norm_key(F.col("raw_name")), "unit_k": unit_key(F.col("unit_raw")), "range_key": span(F.col("_span"))}).drop("_span")
+    rows = told_once(reads, ["raw_name", "unit_raw", "ref_range_raw"], spelt)
     own = Window.partitionBy("page_id", "name", "reader")
     rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("ord")) - 1, "copies": F.count(F.lit(1)).over(own)})
     twice = F.max("copies").over(Window.partitionBy("page_id", "name")) > 1
-    number = lambda x: F.coalesce(x.cast("string"), F.lit(""))
-    span = lambda s: F.when(s["low"].isNotNull() | s["high"].isNotNull(), F.concat_ws("|", number(s["low"]), number(s["high"])))
     return rows.withColumns(
         {
             "key": F.when(twice, F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
             "value_key": F.lower(F.regexp_replace(F.translate(F.coalesce("value_raw", F.lit("")), VALUE_MARKS, ""), r"\s+", "")),
-            "unit_k": unit_key(F.col("unit_raw")),
-            "range_key": span(F.col("_span")),
         }
-    ).drop("_span")
+    )
 
 
 def reconcile(reads: DataFrame, expected: int = 1, pair: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
@@ -60,6 +60,7 @@ def orphan_pairs(reads: DataFrame) -> DataFrame:
 def paired(rows: DataFrame) -> DataFrame:
     """orphan_pairs of compared rows."""
     alone = rows.groupBy("page_id", "key").agg(F.count_distinct("reader").alias("n"), F.min_by(F.struct("reader", "ord", "row_index", "value_key", "unit_k"), F.struct("reader", "ord")).alias("r")).where("n = 1").select("page_id", "key", "r.*")
+    alone = kept(alone, "alone")
 
     def met(df: DataFrame, by: list[str], ok) -> DataFrame:
         sides = df.groupBy(*by, "reader").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", "ord").alias("key"))

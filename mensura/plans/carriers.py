@@ -42,14 +42,20 @@ def pick(number: Column, choices: list) -> Column:
 
 def value_cells(rows: DataFrame) -> DataFrame:
     """Printed value cells in eight manners."""
-    whole, part = F.floor(F.col("cents") / 100), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
-    plain = F.concat(whole.cast("string"), F.lit(","), part)
-    thousands = F.when(whole >= 1000, F.concat(F.floor(whole / 1000).cast("string"), F.lit(" "), F.lpad((whole % 1000).cast("string"), 3, "0"))).otherwise(whole.cast("string"))
+    text = lambda x: F.col(x).cast("string")
+    kept = rows.columns
+    # each step is a projection of the one before it, so that no part is spelt twice
+    rows = rows.withColumns({"_whole": F.floor(F.col("cents") / 100), "_part": F.lpad((F.col("cents") % 100).cast("string"), 2, "0"), "_form": F.pmod(F.col("id"), F.lit(8))})
+    thousands = F.when(F.col("_whole") >= 1000, F.concat(F.floor(F.col("_whole") / 1000).cast("string"), F.lit(" "), F.lpad((F.col("_whole") % 1000).cast("string"), 3, "0"))).otherwise(text("_whole"))
+    rows = rows.withColumns({"_plain": F.concat(text("_whole"), F.lit(","), F.col("_part")), "_thousands": thousands})
     forms = [
-        F.concat(thousands, F.lit(","), part), F.concat(plain, F.lit(" !")), F.concat(F.lit("<"), plain), F.lit("negativní"),
-        F.concat(F.lit("  "), whole.cast("string"), F.lit("."), part, F.lit(" ")), F.concat(F.replace(thousands, F.lit(" "), F.lit(".")), F.lit(","), part), F.concat(F.lit("↑ "), whole.cast("string")), F.concat(F.lit("> "), plain),
+        F.concat("_thousands", F.lit(","), "_part"), F.concat("_plain", F.lit(" !")), F.concat(F.lit("<"), "_plain"), F.lit("negativní"),
+        F.concat(F.lit("  "), text("_whole"), F.lit("."), "_part", F.lit(" ")), F.concat(F.translate("_thousands", " ", "."), F.lit(","), "_part"), F.concat(F.lit("↑ "), text("_whole")), F.concat(F.lit("> "), "_plain"),
     ]
-    return rows.withColumn("value_raw", pick(F.col("id"), forms))
+    value = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        value = F.when(F.col("_form") == k, form).otherwise(value)
+    return rows.select(*kept, value.alias("value_raw"))
 
 
 def range_cells(rows: DataFrame) -> DataFrame:
@@ -91,14 +97,15 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     rows = lines(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "cents"))
     rows = value_cells(rows.withColumn("ord", nth).withColumn("id", F.col("l_orderkey") * 100 + F.col("ord")))
-    base = rows.select(F.col("l_orderkey").alias("page_id"), "ord", F.col("p_name").alias("raw_name"), "value_raw", F.lit("mmol/l").alias("unit_raw"), F.lit("1 - 5").alias("ref_range_raw"), F.col("ord").alias("row_index"), "id")
     k = F.pmod("id", F.lit(13))
-    second = base.where(k != 0).withColumns(
-        {
-            "value_raw": F.when(k == 1, F.concat("value_raw", F.lit("9"))).when(k == 2, F.concat("value_raw", F.lit(" !"))).otherwise(F.col("value_raw")),
-            "raw_name": F.when(k == 3, F.concat(F.lit("XX"), "raw_name")).otherwise(F.concat(F.lit("S_"), "raw_name")),
-            "unit_raw": F.when(k == 4, "umol/l").when(k == 5, "mmol / L").otherwise(F.col("unit_raw")),
-            "ref_range_raw": F.when(k == 6, "1 - 6").when(k == 7, "1–5").otherwise(F.col("ref_range_raw")),
-        }
+    # both readings of a row come from one row: it is made once
+    readers = F.when(k != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    rows = rows.select(F.col("l_orderkey").alias("page_id"), "ord", F.col("p_name").alias("raw_name"), "value_raw", "id", F.explode(readers).alias("reader"))
+    second = lambda x, other: F.when(F.col("reader") == "b", other).otherwise(x)
+    unit, span = F.lit("mmol/l"), F.lit("1 - 5")
+    return rows.select(
+        "page_id", "ord", second(F.col("raw_name"), F.concat(F.when(k == 3, "XX").otherwise("S_"), "raw_name")).alias("raw_name"),
+        second(F.col("value_raw"), F.concat("value_raw", F.when(k == 1, "9").when(k == 2, " !").otherwise(""))).alias("value_raw"),
+        second(unit, F.when(k == 4, "umol/l").when(k == 5, "mmol / L").otherwise(unit)).alias("unit_raw"), second(span, F.when(k == 6, "1 - 6").when(k == 7, "1–5").otherwise(span)).alias("ref_range_raw"),
+        F.col("ord").alias("row_index"), "id", "reader",
     )
-    return base.withColumn("reader", F.lit("a")).unionByName(second.withColumn("reader", F.lit("b")))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -23,3 +26,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def told_once(rows: DataFrame, texts: list[str], tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that tell() adds to their distinct texts (in place of columns of the same names): what many rows print alike is worked out once. The distinct texts are a
+    table in the shared folder, so Spark knows its size and broadcasts it below its own threshold, and shuffles beyond. NULL is a text too."""
+    told = kept(tell(rows.select(*texts).distinct()), "texts")
+    rows = rows.drop(*[c for c in told.columns if c not in texts])
+    told = told.withColumnsRenamed({t: f"__{t}" for t in texts})
+    same = reduce(lambda a, b: a & b, [F.col(t).eqNullSafe(F.col(f"__{t}")) for t in texts])
+    return rows.join(told, same, "left").drop(*[f"__{t}" for t in texts])
