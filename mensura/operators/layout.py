@@ -37,19 +37,26 @@ def side_by_side(rows: DataFrame, near: float = 6.0, apart: float = 24.0, suppor
     left = lambda i: F.get("boxes", i)["x0"]
     mirrored = F.forall(F.sequence(F.lit(0), F.greatest(half - 1, F.lit(0))), lambda i: F.abs(left(i) - left(F.lit(0)) - left(half + i) + left(half)) <= near)
     edges = (F.get("boxes", half - 1)["x1"], left(half))
-    said = rows.where((n >= 6) & (n % 2 == 0)).where(mirrored & (edges[1] > edges[0])).select("page_id", ((edges[0] + edges[1]) / 2).alias("x"))
-    along = Window.partitionBy("page_id").orderBy("x")
-    fresh = F.coalesce(F.col("x") - F.lag("x").over(along) > apart, F.lit(True))
-    one = said.withColumn("_new", fresh).withColumn("_border", F.count_if("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    borders = one.groupBy("page_id", "_border").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("page_id", "x", "n")
-    through = F.exists("boxes", lambda b: (b["x0"] < F.col("x")) & (F.col("x") < b["x1"]))
-    clear = _met(rows, borders).groupBy("page_id", "x", "n").agg(F.bool_or(F.coalesce(through, F.lit(False))).alias("crossed")).where("not crossed")
-    best = clear.groupBy("page_id").agg(F.min_by("x", F.struct(-F.col("n"), "x")).alias("_x"))
+    # every step is a window of the page, so that rows are dealt by page once and made once
+    page = Window.partitionBy("page_id")
+    speaks = (n >= 6) & (n % 2 == 0) & mirrored & (edges[1] > edges[0])
+    said = rows.select("page_id", "row_index", "boxes", F.when(speaks, (edges[0] + edges[1]) / 2).alias("_at"))
+    along = page.orderBy(F.col("_at").asc_nulls_last())
+    fresh = F.coalesce(F.col("_at") - F.lag("_at").over(along) > apart, F.lit(True))
+    one = said.withColumn("_new", F.col("_at").isNotNull() & fresh).withColumn("_border", F.when(F.col("_at").isNotNull(), F.count_if("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    border = Window.partitionBy("page_id", "_border")
+    told = one.withColumns({"_x": F.avg("_at").over(border), "_n": F.count("_at").over(border)})
+    # a border is told once, by the row that begins it
+    borders = told.withColumn("_borders", F.collect_list(F.when(F.col("_new") & (F.col("_n") >= support), F.struct((-F.col("_n")).alias("n"), F.col("_x").alias("x")))).over(page))
+    through = lambda x: F.exists("boxes", lambda b: (b["x0"] < x) & (x < b["x1"]))
+    crossed = borders.withColumn("_crossed", F.filter("_borders", lambda b: F.coalesce(through(b["x"]), F.lit(False))))
+    crossed = crossed.withColumn("_crossed", F.flatten(F.collect_list(F.when(F.size("_crossed") > 0, F.col("_crossed"))).over(page)))
+    best = crossed.select("page_id", "row_index", "boxes", F.array_min(F.array_except("_borders", "_crossed"))["x"].alias("_x"))
     first = F.size(F.filter("boxes", lambda b: b["x0"] <= F.col("_x")))
     two = (n >= 6) & (first > 0) & (first < n)
     parts = F.when(two, F.array(F.slice("boxes", 1, first), F.slice("boxes", first + 1, n - first))).otherwise(F.array("boxes"))
-    each = _met(rows, best, "left").select("page_id", F.col("row_index").alias("_row"), F.posexplode(parts).alias("_part", "boxes"))
-    order = Window.partitionBy("page_id").orderBy("_row", "_part")
+    each = best.select("page_id", F.col("row_index").alias("_row"), F.posexplode(parts).alias("_part", "boxes"))
+    order = page.orderBy("_row", "_part")
     return each.select("page_id", (F.row_number().over(order) - 1).alias("row_index"), "boxes")
 
 
