@@ -21,6 +21,7 @@ language given. Without any labelled document, all are `und`. Extra columns are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -218,7 +219,7 @@ class Network:
                     s += 0.001 * (g * g - s)
                     v -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
 
-    def pooled(self, data: np.ndarray, offsets: np.ndarray, window: int, side_by_side: int = 4096) -> np.ndarray:
+    def pooled(self, data: np.ndarray, offsets: np.ndarray, window: int, side_by_side: int = 2048) -> np.ndarray:
         """(rows, labels): the mean of the probabilities at all positions of each text."""
         sums = np.zeros((len(offsets) - 1, len(self.labels)))
         size = np.diff(offsets)
@@ -324,12 +325,17 @@ def predicted(texts: pa.Array, network: Network | None, window: int, reject: boo
     return np.where(known, labels[best], "und"), np.where(known, np.clip(score, 0, 1), 0.0)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows that predicted() reads at once, so that what it gives for them and their copy without some are no larger."""
+    return (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
 def identify(docs: DataFrame, network: Network | None, window: int = 128, reject: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text). Reads text alone for the prediction. reject:
     texts unlike those learnt (see Fit) are `und` with score 0, too."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for batch in batches for x in _slices(batch)):
             lang, score = predicted(batch.column("text"), network, window, reject)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -347,7 +353,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, window: int = 128) -> D
     network = train(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for batch in batches for x in _slices(batch)):
             lang, score = predicted(batch.column("text"), network, window, True)
             yield batch.filter(pa.array((lang != "und") & (score >= least)))
 

@@ -43,13 +43,13 @@ from ._tables import among, settled, with_rows, written
 from ._words import buffers, pieces, shingles, word_hashes
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and sorted distinct shingle hashes of each row's text."""
+def _sets(batch: pa.RecordBatch, width: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A batch's rows piece by piece, of about `size` bytes of text, with the sorted distinct shingle hashes of each row's text: sets take more room
+    than their texts, so no more than a piece's are held at once."""
     data, offsets = buffers(batch.column("text"))
-    for i, j in pieces(offsets):
+    for i, j in pieces(offsets, size):
         found, begin = shingles(*word_hashes(data, offsets[i : j + 1]), width)
-        for k in range(j - i):
-            yield i + k, np.unique(found[begin[k] : begin[k + 1]]).view(np.int64)
+        yield batch.slice(i, j - i), [np.unique(found[begin[k] : begin[k + 1]]).view(np.int64) for k in range(j - i)]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -71,16 +71,13 @@ def sketches(docs: DataFrame, width: int, keep: int, listed: int, row: list[str]
     smallest `listed` ones, then the parity bitmap of all) of docs (doc_id, text, row: two columns that name a row)."""
 
     def run(batches):
-        for batch in batches:
-            sizes, digests, least, bits = [], [], [], []
-            for _, s in _sets(batch, width):
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                least.append(s[:keep])  # np.unique sorts
-                bits.append(np.concatenate([_bitmap(s[:listed], RETAINED_BITS, False), _bitmap(s, PARITY_BITS, True)]))
-            own = ["doc_id", *row]
+        own = ["doc_id", *row]
+        for piece, sets in (x for batch in batches for x in _sets(batch, width)):
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            bits = [np.concatenate([_bitmap(s[:listed], RETAINED_BITS, False), _bitmap(s, PARITY_BITS, True)]) for s in sets]
+            least = [s[:keep] for s in sets]  # np.unique sorts
             yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, own), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(least), _lists(bits)], [*own, "n_shingles", "digest", "sketch", "bits"]
+                [*map(piece.column, own), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), _lists(least), _lists(bits)], [*own, "n_shingles", "digest", "sketch", "bits"]
             )
 
     schema = f"doc_id long, {row[0]} long, {row[1]} long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
@@ -91,8 +88,8 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """id and members of docs (id, text)."""
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([s for _, s in _sets(batch, width)])], ["id", "members"])
+        for piece, sets in (x for batch in batches for x in _sets(batch, width)):
+            yield pa.RecordBatch.from_arrays([piece.column("id"), _lists(sets)], ["id", "members"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, members array<long>")
 

@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from mensura.llm.exact_dedup import deduplicate, exact_groups
-from mensura.llm.near_dedup import busy, components, drop_near_copies, least_shared, near_groups, split_join
+from mensura.llm.near_dedup import _sets, busy, components, drop_near_copies, least_shared, near_groups, split_join
 
 
 def norm(t):
@@ -184,3 +186,13 @@ def test_components(spark):
 
 def test_least_shared():
     assert least_shared(85, 32) == 16 and least_shared(80, 32) == 13
+
+
+def test_sets_come_piece_by_piece():
+    """The sets of a whole batch are never held together, and are the same as those of each text alone."""
+    texts = [" ".join(f"w{(i * k) % 997}" for k in range(400 * (i % 5))) for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    found = [(piece.column("id").to_pylist(), sets) for piece, sets in _sets(batch, 5, 1 << 14)]
+    assert len(found) > 10 and [i for ids, _ in found for i in ids] == list(range(len(texts)))
+    alone = [sets[0] for i in range(len(texts)) for _, sets in _sets(batch.slice(i, 1), 5)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip((s for _, sets in found for s in sets), alone, strict=True))
