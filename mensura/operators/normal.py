@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_doubt
 from ..functions.names import BLOOD
 from ..functions.numbers import censored_flag, compute_flag, parse_value, with_range, with_unit
+from ..sources.shared import told_once
 
 
 def looks_numeric(raw: Column) -> Column:
@@ -19,7 +20,8 @@ def normalised(rows: DataFrame) -> DataFrame:
     """rows (value_raw, unit_raw, ref_range_raw, confidence) with value, unit, ref_range_low, ref_range_high, ref_range_text and flag. A
     cell that looks like a number, isn't a bound and gives no number makes the confidence low; else it stays. A result printed
     as a bound has the flag that the bound decides. NULL cells give NULL and the flag unknown."""
-    typed = with_unit(with_range(rows, F.col("ref_range_raw"), "_span"), F.col("unit_raw"), "unit").withColumn("value", parse_value(F.col("value_raw")))
+    spelt = lambda texts: with_unit(with_range(texts, F.col("ref_range_raw"), "_span"), F.col("unit_raw"), "unit")
+    typed = told_once(rows, ["ref_range_raw", "unit_raw"], spelt).withColumn("value", parse_value(F.col("value_raw")))
     low, high = F.col("_span.low"), F.col("_span.high")
     flag = F.when(F.col("value").isNull(), censored_flag(F.col("value_raw"), high)).otherwise(compute_flag(F.col("value"), low, high))
     unread = F.col("value").isNull() & looks_numeric(F.col("value_raw")) & ~F.col("value_raw").rlike("[<>]")
