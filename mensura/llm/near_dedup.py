@@ -9,12 +9,13 @@
    their size for certain). So, with the values ordered by the number of classes that retain them, two linked classes share one of
    their rarest `listed` - least number + 1 values, and only those are entered. A line or a passage that very many
    documents share is common, so it is entered only by documents that consist mostly of shared text.
-3. Lists give candidates in three rounds. First each list's members meet its first member only. What that links is one
+3. Lists give candidates in three rounds. First each list's members meet its most typical member only: the one whose retained
+   values most classes retain, which is the least edited of a group of copies. What that links is one
    component, whose members need not meet again; so a group of near copies costs as many pairs as it has members. In
    lists that still hold several components, the members meet one that is chosen by hash, another one in each list. In
    what is still mixed, members of different components meet: all of them in lists of at most `direct` members; in longer
-   ones, those outside the largest component meet all others, which leaves out no pair of different components. No list is
-   cut, so no link is lost but by the chance of step 2. Two bounds that hold for every linked pair are part of this join's
+   ones, those outside the largest component meet all others, which leaves out no pair of different components. A pair that
+   shares several lists meets in the first of them only, and once. No list is cut, so no link is lost but by the chance of step 2. Two bounds that hold for every linked pair are part of this join's
    condition: enough common bits of the retained values' bitmaps, and few enough different bits of the sets' parity
    bitmaps (each bit tells whether an odd number of hashes falls on it, so sets that differ in x hashes differ in x
    bits at most). So chance meetings and copies just below the threshold give no rows.
@@ -185,7 +186,7 @@ def least_shared(percent: int, values: int, risk: float = 1e-6) -> int:
 
 
 def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
-    """id, n and key: the inverted lists' entries, without values that only one class retains."""
+    """id, n, typical (how many classes retain its values, summed) and key: the inverted lists' entries, without values that only one class retains."""
     values = classes.select("id", "n", F.explode(F.slice("sketch", 1, listed)).alias("key"))
     many = written(values.groupBy("key").count().where("count > 1"), "values")
     shared = values.join(many, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("shared"))  # at most `listed`
@@ -195,7 +196,8 @@ def entries(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     least = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(least_shared(percent, listed))
     alone = retained - F.size("shared")  # values of no other class are the rarest
     entered = F.slice("shared", F.lit(1), F.greatest(F.lit(0), retained - least + 1 - alone).cast("int"))
-    return shared.select("id", "n", F.explode(entered).alias("entry")).select("id", "n", F.col("entry.key").alias("key"))
+    typical = F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["count"])
+    return shared.select("id", "n", typical.alias("typical"), F.explode(entered).alias("entry")).select("id", "n", "typical", F.col("entry.key").alias("key"))
 
 
 def _pairs(a: DataFrame, b: DataFrame, also=None, blocks: list[str] = []) -> DataFrame:
@@ -233,6 +235,12 @@ def _linkable(percent: int, listed: int):
     )
 
 
+def _once():
+    """Whether the classes a and b meet here: of the lists that both are in, in the first one, and from the side whose members all meet."""
+    first = F.array_min(F.array_intersect("keysa", "keysb"))
+    return ((F.col("a") < F.col("b")) | ~F.col("outsideb")) & (first == F.col("firsta"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): documents whose sets of `width`-word
     shingles have 100 * intersection >= percent * union are linked."""
@@ -250,10 +258,10 @@ def _groups(docs: DataFrame, row: list[str], width: int, percent: int, keep: int
     classes = written(classes.select("digest", "first", F.col("one.node").alias("id"), *[f"one.{x}" for x in row], F.col("one.n_shingles").alias("n"), "one.sketch", "one.bits"), "classes")
     linker = _Linker(docs.select("text", *row), classes, row, width, percent, keep)
     rows = written(entries(classes, percent, listed).withColumn("label", F.col("id")), "entries")
-    for chosen in (F.col("id"), F.xxhash64("id", "key")):
+    for chosen in (-F.col("typical"), F.xxhash64("id", "key")):
         centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.struct(chosen, "id")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
         centre = written(centre.select("key", "c.*"), "centres")
-        linker.link(_pairs(centre, rows), "star")
+        linker.link(_pairs(centre, rows.select("key", "id", "n", "label")), "star")
         rows = linker.labelled(rows.drop("label"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         rows = written(rows.join(written(mixed, "keys"), "key"), "mixed")
@@ -262,12 +270,12 @@ def _groups(docs: DataFrame, row: list[str], width: int, percent: int, keep: int
     else:
         counts = rows.groupBy("key", "label").count()
         lists = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("size"))
-        rows = rows.join(written(lists, "lists"), "key").join(classes.select("id", "bits"), "id")
-        rows = written(rows, "lists")
-        wanted = ["key", "id", "n", "label", "bits", "size"]
-        outside = rows.where((F.col("size") <= direct) | (F.col("label") != F.col("largest"))).select(wanted)
-        a, b = _blocks(outside, "_i", "_j", block), _blocks(rows.select(wanted), "_j", "_i", block)
-        linker.link(_pairs(a, b, _linkable(percent, listed), ["_i", "_j"]), "across")
+        within = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most `listed`
+        rows = rows.join(written(lists, "lists"), "key").join(within, "id").join(classes.select("id", "bits"), "id")
+        outside = (F.col("size") <= direct) | (F.col("label") != F.col("largest"))
+        rows = written(rows.select("key", "id", "n", "label", "bits", "size", "keys", outside.alias("outside"), F.col("key").alias("first")), "lists")
+        a, b = _blocks(rows.where("outside"), "_i", "_j", block), _blocks(rows, "_j", "_i", block)
+        linker.link(_pairs(a, b, _linkable(percent, listed) & _once(), ["_i", "_j"]), "across")
     ids = classes.select("digest", "first", "id")
     if linker.roots is None:
         ids = ids.select("digest", "first")

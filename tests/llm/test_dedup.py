@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 
+from mensura.llm import near_dedup
 from mensura.llm.exact_dedup import deduplicate, exact_groups
 from mensura.llm.near_dedup import _sets, busy, components, drop_near_copies, least_shared, near_groups, split_join
 
@@ -196,3 +197,25 @@ def test_sets_come_piece_by_piece():
     assert len(found) > 10 and [i for ids, _ in found for i in ids] == list(range(len(texts)))
     alone = [sets[0] for i in range(len(texts)) for _, sets in _sets(batch.slice(i, 1), 5)]
     assert all((a == b).all() and len(a) == len(b) for a, b in zip((s for _, sets in found for s in sets), alone, strict=True))
+
+
+def test_near_pairs_meet_once(spark, monkeypatch):
+    """Copies around the threshold share many lists; in the last round each pair of them is one row, not one for each list and side."""
+    rng, made = random.Random(3), []
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(90):
+        at = dict.fromkeys(rng.sample(range(300), rng.randint(3, 9)))
+        rows.append((k, " ".join(f"{w}x{k}" if i in at else w for i, w in enumerate(base))))
+    plain = near_dedup._pairs
+
+    def pairs(a, b, also=None, *blocks):
+        met = plain(a, b, also, *blocks)
+        if also is not None:
+            made.extend((min(r.a, r.b), max(r.a, r.b)) for r in met.collect())
+        return met
+
+    monkeypatch.setattr(near_dedup, "_pairs", pairs)
+    found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85, direct=8)
+    assert made and len(made) == len(set(made))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == plain_near(rows, 3, 85)
