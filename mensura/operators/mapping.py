@@ -28,7 +28,8 @@ def weak_matches(rows: DataFrame, catalogue: DataFrame, aliases: DataFrame) -> D
     decided about them. catalogue: canonical_id, canonical_unit, synonyms, other_units."""
     taken = aliases.select(alias_key(F.col("alias_lab"), F.col("alias_name"), F.col("alias_unit")).alias("_k")).distinct()
     none = F.lit(None).cast("string")
-    left = rows.where(F.col("canonical_id").isNotNull())
+    # rows printed alike are decided once
+    left = rows.where(F.col("canonical_id").isNotNull()).groupBy("lab", "raw_name", "unit_raw", "canonical_id").agg(F.count(F.lit(1)).alias("_n"))
     for lab, unit in ((F.col("lab"), F.col("unit_raw")), (F.col("lab"), none), (none, F.col("unit_raw"))):
         left = left.join(taken, alias_key(lab, F.col("raw_name"), unit) == F.col("_k"), "left_anti")
     both = left.join(catalogue.select("canonical_id", "canonical_unit", "synonyms", "other_units"), "canonical_id")
@@ -36,7 +37,7 @@ def weak_matches(rows: DataFrame, catalogue: DataFrame, aliases: DataFrame) -> D
     known = (unit == "") | (unit == own) | F.exists("other_units", lambda u: unit_key(u) == unit)
     odd = code.isNotNull() & ~code.isin(MATERIALS) & ~F.array_contains("synonyms", F.col("raw_name"))
     why = F.when(odd, "material").when(~known, "unit")
-    return both.withColumn("why", why).where("why is not null").groupBy("lab", "raw_name", "unit_raw").agg(F.min("canonical_id").alias("canonical_id"), F.min("why").alias("why"), F.count(F.lit(1)).alias("n"))
+    return both.withColumn("why", why).where("why is not null").groupBy("lab", "raw_name", "unit_raw").agg(F.min("canonical_id").alias("canonical_id"), F.min("why").alias("why"), F.sum("_n").alias("n"))
 
 
 def _is(c: Column, value: bool) -> Column:
