@@ -2,76 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_key
 from ..functions.numbers import VALUE_MARKS, implausible, unit_key, with_range
-from ..sources.shared import kept, told_once
+from ..sources.shared import told_once
 
 
-def compared(reads: DataFrame) -> DataFrame:
+def compared(reads: DataFrame, of_page: dict[str, Column] | None = None) -> DataFrame:
     """reads (page_id, reader, ord, raw_name, value_raw, unit_raw, ref_range_raw, row_index) with the keys under which rows meet:
-    the name; with the row index (or its ordinal) if any reader has the name twice on the page. Each distinct (name, unit, interval) is
-    worked out once."""
+    the name; with the row index (or its ordinal) if any reader has the name twice on the page; and with total, the page's number of
+    readers. of_page: further columns, each an aggregate over the page's rows. Each distinct (name, unit, interval) is worked out once.
+    Rows are dealt by page once, and all that follows stays on their page."""
     number = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     span = lambda s: F.when(s["low"].isNotNull() | s["high"].isNotNull(), F.concat_ws("|", number(s["low"]), number(s["high"])))
     spelt = lambda texts: with_range(texts, F.col("ref_range_raw"), "_span").withColumns({"name": norm_key(F.col("raw_name")), "unit_k": unit_key(F.col("unit_raw")), "range_key": span(F.col("_span"))}).drop("_span")
-    rows = told_once(reads, ["raw_name", "unit_raw", "ref_range_raw"], spelt)
-    own = Window.partitionBy("page_id", "name", "reader")
+    rows = told_once(reads, ["raw_name", "unit_raw", "ref_range_raw"], spelt).repartition("page_id")
+    own, page = Window.partitionBy("page_id", "name", "reader"), Window.partitionBy("page_id")
+    # the first window's order serves all of them
     rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("ord")) - 1, "copies": F.count(F.lit(1)).over(own)})
     twice = F.max("copies").over(Window.partitionBy("page_id", "name")) > 1
+    rows = rows.withColumns({"_twice": twice, "total": F.size(F.collect_set("reader").over(page)), **{c: x.over(page) for c, x in (of_page or {}).items()}})
     return rows.withColumns(
         {
-            "key": F.when(twice, F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
+            "key": F.when(F.col("_twice"), F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
             "value_key": F.lower(F.regexp_replace(F.translate(F.coalesce("value_raw", F.lit("")), VALUE_MARKS, ""), r"\s+", "")),
         }
-    )
+    ).drop("_twice")
+
+
+#: What the rows of one key are compared by, and the columns that say how far they go.
+_ENDS = [(f, k, f"{end}_{k}") for k in ("value_key", "unit_k", "range_key") for f, end in ((F.min, "low"), (F.max, "high"))]
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Of compared rows the first reader's one per page and key, with readers, how many have the key, and the least and the greatest of
+    what they are compared by, which differ where the rows do."""
+    key = Window.partitionBy("page_id", "key")
+    order = key.orderBy("reader", "ord")
+    new = F.when(F.lag("reader").over(order).eqNullSafe(F.col("reader")), None).otherwise(F.col("reader"))
+    rows = rows.withColumns({"_nth": F.row_number().over(order), "_new": new, **{name: f(k).over(key) for f, k, name in _ENDS}})
+    return rows.withColumn("readers", F.count("_new").over(key)).where("_nth = 1").drop("_nth", "_new")
 
 
-def reconcile(reads: DataFrame, expected: int = 1, pair: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+def reconcile(reads: DataFrame, expected: int = 1, pair: bool = False, also: tuple[str, ...] = (), of_page: dict[str, Column] | None = None) -> DataFrame:
     """One row per page and key: the first reader's row, the number of readers, and the first disagreement that holds: values,
     a missing reader, seen by one, units, ranges. Doubt is stated, never dropped. pair: rows that orphan_pairs finds to be one are
-    compared as one; also: further columns of the first reader's row."""
-    rows = compared(reads)
+    compared as one; also: further columns of the first reader's row; of_page: columns that compared() adds."""
+    found = grouped(compared(reads, of_page))
     if pair:
-        rows = kept(rows, "compared")
-        rows = rows.join(paired(rows).select("page_id", F.col("merged").alias("key"), "kept"), ["page_id", "key"], "left").withColumn("key", F.coalesce("kept", "key")).drop("kept")
-    first = F.struct("reader", "ord")
-    total = rows.groupBy("page_id").agg(F.count_distinct("reader").alias("total"))
-    found = rows.groupBy("page_id", "key").agg(
-        F.min_by(F.struct("raw_name", "value_raw", "unit_raw", "ref_range_raw", *also), first).alias("kept"), F.count_distinct("reader").alias("readers"),
-        F.count_distinct("value_key").alias("values"), F.count_distinct("unit_k").alias("units"), F.count_distinct("range_key").alias("ranges"),
-    ).join(total, "page_id")
-    wanted = F.greatest(F.lit(expected), F.col("total"))
+        found = paired(found).withColumn("key", F.coalesce("kept", "key"))
+        key = Window.partitionBy("page_id", "key")
+        found = found.withColumns({"_nth": F.row_number().over(key.orderBy("reader", "ord")), "readers": F.sum("readers").over(key), **{name: f(name).over(key) for f, _, name in _ENDS}}).where("_nth = 1")
+    wanted, differ = F.greatest(F.lit(expected), F.col("total")), lambda k: F.col(f"low_{k}") != F.col(f"high_{k}")
     doubt = (
-        F.when(F.col("values") > 1, "values differ").when(wanted > F.col("total"), "a reading failed").when((F.col("total") > 1) & (F.col("readers") < F.col("total")), "seen by one reading")
-        .when(F.col("units") > 1, "units differ").when(F.col("ranges") > 1, "ranges differ")
+        F.when(differ("value_key"), "values differ").when(wanted > F.col("total"), "a reading failed").when((F.col("total") > 1) & (F.col("readers") < F.col("total")), "seen by one reading")
+        .when(differ("unit_k"), "units differ").when(differ("range_key"), "ranges differ")
     )
-    return found.select("page_id", "key", "kept.*", "readers", doubt.alias("disagreement"), (wanted > 1).alias("escalated"))
+    return found.select("page_id", "key", "raw_name", "value_raw", "unit_raw", "ref_range_raw", *also, *(of_page or {}), "readers", doubt.alias("disagreement"), (wanted > 1).alias("escalated"))
 
 
 def orphan_pairs(reads: DataFrame) -> DataFrame:
     """For two readers: rows that one reader alone has, paired with one of the other by the same row index when exactly one side has one
     row there (its first with the other side's first), else by the same value and unit that each side has once."""
-    return paired(compared(reads))
+    return paired(grouped(compared(reads))).where("kept is not null").select("page_id", "kept", F.col("key").alias("merged"), "by")
 
 
 def paired(rows: DataFrame) -> DataFrame:
-    """orphan_pairs of compared rows."""
-    alone = rows.groupBy("page_id", "key").agg(F.count_distinct("reader").alias("n"), F.min_by(F.struct("reader", "ord", "row_index", "value_key", "unit_k"), F.struct("reader", "ord")).alias("r")).where("n = 1").select("page_id", "key", "r.*")
-    alone = kept(alone, "alone")
-
-    def met(df: DataFrame, by: list[str], ok) -> DataFrame:
-        sides = df.groupBy(*by, "reader").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", "ord").alias("key"))
-        both = sides.groupBy(*by).agg(F.count(F.lit(1)).alias("readers"), F.min("n").alias("least"), F.max("n").alias("most"), F.min_by("key", "reader").alias("kept"), F.max_by("key", "reader").alias("merged"))
-        return both.where((F.col("readers") == 2) & ok).select("page_id", "kept", "merged")
-
-    one = met(alone.where("row_index is not null"), ["page_id", "row_index"], F.col("least") == 1).withColumn("by", F.lit("row"))
-    used = one.select("page_id", F.explode(F.array("kept", "merged")).alias("key"))
-    left = alone.join(used, ["page_id", "key"], "left_anti").where("value_key <> ''")
-    two = met(left, ["page_id", "value_key", "unit_k"], F.col("most") == 1).withColumn("by", F.lit("value"))
-    return one.unionByName(two)
+    """grouped rows with kept, the key of the row that a row is one with by orphan_pairs (only the later reader's has one), and by. Both ways are
+    windows over the page's rows, so nothing is joined or shuffled."""
+
+    def met(rows: DataFrame, way: str, among: Column, by: list[str], ok: Column) -> DataFrame:
+        """rows with way: kept and merged of the pair at the row's place, or NULL; the rows of `among` alone have a place."""
+        rows = rows.withColumn("_among", F.coalesce(among, F.lit(False)))
+        at = Window.partitionBy("page_id", *[F.when(F.col("_among"), F.col(c)) for c in by])
+        reader, row = F.when(F.col("_among"), F.col("reader")), F.struct("ord", "key")
+        rows = rows.withColumns({"_reader": reader, "_low": F.min(reader).over(at), "_high": F.max(reader).over(at), "_n": F.count_if("_among").over(at)})
+        one, other = (F.when(F.col("_reader") == F.col(end), row) for end in ("_low", "_high"))
+        rows = rows.withColumns({"_a": F.count(one).over(at), "_b": F.count(other).over(at), "_kept": F.min(one).over(at), "_merged": F.min(other).over(at)})
+        two = F.col("_among") & (F.col("_low") != F.col("_high")) & (F.col("_a") + F.col("_b") == F.col("_n")) & ok
+        return rows.withColumn(way, F.when(two, F.struct(F.col("_kept.key").alias("kept"), F.col("_merged.key").alias("merged")))).drop("_among", "_reader", "_low", "_high", "_n", "_a", "_b", "_kept", "_merged")
+
+    alone = F.col("readers") == 1
+    rows = met(rows, "_row", alone & F.col("row_index").isNotNull(), ["row_index"], F.least("_a", "_b") == 1)
+    used = F.coalesce(F.col("key").isin(F.col("_row.kept"), F.col("_row.merged")), F.lit(False))
+    rows = met(rows, "_value", alone & ~used & (F.col("value_key") != ""), ["value_key", "unit_k"], F.greatest("_a", "_b") == 1)
+    is_ = lambda way: F.col("key") == F.col(f"{way}.merged")
+    kept = F.when(is_("_row"), F.col("_row.kept")).when(is_("_value"), F.col("_value.kept"))
+    return rows.withColumns({"kept": kept, "by": F.when(is_("_row"), "row").when(is_("_value"), "value")}).drop("_row", "_value")
 
 
 def review(rows: DataFrame) -> DataFrame:
