@@ -7,16 +7,17 @@ printed text). pages: page_id, row_index, cells. Reads and rows without a page_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import compatible, material_prefix
+from ..functions.names import compatible, material_prefix, norm_key
+from ..functions.numbers import bound
 from ..functions.text import strip_marks
-from ..sources.shared import kept
+from ..sources.shared import dealt, told_once
 from .matching import resolve
 from .quality import interval_count
 from .reading import reconcile
-from .rows import material_word, printed_materials, printed_on_row, repaired
+from .rows import bare, material_word, printed_on_row, with_materials
 
 #: Units that stand in a cell of their own, in small letters; powers of ten per litre are told by their form.
 UNITS = [
@@ -43,44 +44,46 @@ def _at(text: Column, start: int) -> Column:
     return F.substr(text, F.lit(start))
 
 
-def _is_number(text: Column) -> Column:
-    """Digits with at most one decimal sign between them; a minus may stand before."""
-    bare = F.when(F.startswith(text, F.lit("-")), _at(text, 2)).otherwise(text)
-    inside = lambda c: F.left(c, F.lit(1)).isin(list(_DIGITS)) & F.right(c, F.lit(1)).isin(list(_DIGITS))
-    return F.translate(bare, _DIGITS, "").isin("", ",", ".") & inside(bare)
+def _is_number(bare: Column) -> Column:
+    """Digits with at most one decimal sign between them, of a text without the minus that may stand before."""
+    return F.left(bare, F.lit(1)).isin(list(_DIGITS)) & F.translate(bare, _DIGITS, "").isin("", ",", ".") & F.right(bare, F.lit(1)).isin(list(_DIGITS))
 
 
-def _is_date(text: Column) -> Column:
-    parts = F.split(F.regexp_replace(text, r"\. ?", "."), r"\.", -1)
+def _is_date(parts: Column) -> Column:
     size = lambda k: F.length(F.get(parts, F.lit(k)))
     return (F.size(parts) == 3) & _only(F.array_join(parts, ""), _DIGITS) & size(0).between(1, 2) & size(1).between(1, 2) & size(2).between(2, 4)
 
 
-def _is_unit(text: Column) -> Column:
-    low = F.lower(F.translate(text, " ", ""))
+def _is_unit(low: Column) -> Column:
+    """Of a text in small letters without blanks."""
     power = F.lit(False)
     for p in _POWERS:
-        power = power | (F.startswith(low, F.lit(p)) & F.endswith(low, F.lit("/l")) & (F.length(low) > len(p) + 2) & _only(F.substr(low, F.lit(len(p) + 1), F.length(low) - len(p) - 2), _DIGITS))
-    return low.isin(UNITS + [u + s for u in ("ml/min", "ml/s") for s in SURFACES]) | power
-
-
-def _kind(cell: Column) -> Column:
-    """What a cell is by itself."""
-    signed = F.left(cell, F.lit(1)).isin("<", ">")
-    body = F.trim(F.when(signed, _at(cell, 2)).otherwise(cell))
-    number, letters = _is_number(body), F.length(F.regexp_replace(cell, r"\P{L}", ""))
-    date = _is_date(cell)
-    low = F.lower(cell)
-    return F.struct(
-        cell.alias("text"), number.alias("number"), (signed & number & ~F.startswith(body, F.lit("-"))).alias("bound"), (_only(cell, _DIGITS) & F.length(cell).between(3, 6)).alias("code"),
-        ((F.length(cell) == 1) & _only(low, _SMALL)).alias("flag"), (_only(cell, "() *\t") | (cell == ".")).alias("marker"), _is_unit(cell).alias("unit"),
-        ((letters > 0) & (F.length(cell) >= 2) & ~number & ~date).alias("named"), low.rlike("|".join(WORDED)).alias("worded"),
-    )
+        power = power | (F.startswith(low, F.lit(p)) & (F.length(low) > len(p) + 2) & _only(F.substr(low, F.lit(len(p) + 1), F.length(low) - len(p) - 2), _DIGITS))
+    return low.isin(UNITS + [u + s for u in ("ml/min", "ml/s") for s in SURFACES]) | (F.endswith(low, F.lit("/l")) & power)
+
+
+def _kinds(texts: Column) -> Column:
+    """What each text is by itself. Functions of arrays work out a part anew wherever it is named, so what is named often is a step of its own."""
+    signed = lambda t: F.left(t, F.lit(1)).isin("<", ">")
+    steps = F.transform(texts, lambda t: F.struct(t.alias("text"), signed(t).alias("signed"), F.trim(F.when(signed(t), _at(t, 2)).otherwise(t)).alias("body"), F.lower(t).alias("low"), F.lower(F.translate(t, " ", "")).alias("tight"), t.rlike(r"\p{L}").alias("letters")))
+    minus = lambda c: F.startswith(c["body"], F.lit("-"))
+    dotted = lambda t: F.when(F.contains(t, F.lit(".")), F.split(F.regexp_replace(t, r"\. ?", "."), r"\.", -1))
+    steps = F.transform(steps, lambda c: F.struct(c.alias("c"), minus(c).alias("minus"), _is_number(F.when(minus(c), _at(c["body"], 2)).otherwise(c["body"])).alias("number"), dotted(c["text"]).alias("parts")))
+
+    def kind(s: Column) -> Column:
+        c, t, number = s["c"], s["c"]["text"], s["number"]
+        date = F.coalesce(_is_date(s["parts"]), F.lit(False))
+        return F.struct(
+            t.alias("text"), number.alias("number"), (c["signed"] & number & ~s["minus"]).alias("bound"), (F.length(t).between(3, 6) & _only(t, _DIGITS)).alias("code"), ((F.length(t) == 1) & _only(c["low"], _SMALL)).alias("flag"),
+            (_only(t, "() *\t") | (t == ".")).alias("marker"), _is_unit(c["tight"]).alias("unit"), (c["letters"] & (F.length(t) >= 2) & ~number & ~date).alias("named"), (c["letters"] & c["low"].rlike("|".join(WORDED))).alias("worded"),
+        )
+
+    return F.transform(steps, kind)
 
 
 def kinds(cells: Column) -> Column:
     """A row's cells that aren't blank, each with what it is."""
-    return F.transform(F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: F.coalesce(c != "", F.lit(False))), _kind)
+    return _kinds(F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: F.coalesce(c != "", F.lit(False))))
 
 
 def _first(items: Column, test) -> Column:
@@ -95,18 +98,19 @@ def _value(text: Column) -> Column:
 def printed_name(k: Column, end: Column) -> Column:
     """The name in front of a row's cell `end` (from 1) of kinds k: what is left without an accreditation letter and a laboratory's code at
     the start, titles of sections, an abbreviation whose name follows, marks, worded results, and a unit or H and L at its end."""
-    head = F.slice(k, F.lit(1), end - 1)
+    def named(head: Column) -> Column:
+        def stays(c: Column, i: Column) -> Column:
+            t, last = c["text"], (i == F.size(head) - 1) & (i > 0)
+            later = F.slice(head, i + 2, F.size(head))
+            capitals = (F.upper(t) == t) & (F.lower(t) != t)
+            section = capitals & (F.length(t) >= 4) & (F.regexp_replace(t, r"\p{L}", "") == "") & F.exists(later, lambda x: F.length(F.regexp_replace(x["text"], r"\P{L}", "")) >= 2)
+            short = (F.upper(t) == t) & F.length(t).between(2, 6) & (F.regexp_replace(t, r"[\p{L}0-9]", "") == "") & F.coalesce(F.get(later, F.lit(0))["text"].rlike(r"^\p{Ll}"), F.lit(False))
+            start = ((i == 0) & c["flag"]) | ((i <= 1) & c["code"]) | (t == "#")
+            return ~(start | (c["unit"] & last) | section | short | c["worded"] | _only(t, "|*!") | c["marker"] | (t.isin("H", "L") & last))
 
-    def stays(c: Column, i: Column) -> Column:
-        t, last = c["text"], (i == F.size(head) - 1) & (i > 0)
-        later = F.slice(head, i + 2, F.size(head))
-        capitals = (F.upper(t) == t) & (F.lower(t) != t)
-        section = capitals & (F.length(t) >= 4) & (F.regexp_replace(t, r"\p{L}", "") == "") & F.exists(later, lambda x: F.length(F.regexp_replace(x["text"], r"\P{L}", "")) >= 2)
-        short = (F.upper(t) == t) & F.length(t).between(2, 6) & (F.regexp_replace(t, r"[\p{L}0-9]", "") == "") & F.coalesce(F.get(later, F.lit(0))["text"].rlike(r"^\p{Ll}"), F.lit(False))
-        start = ((i == 0) & c["flag"]) | ((i <= 1) & c["code"]) | (t == "#")
-        return ~(start | (c["unit"] & last) | section | short | c["worded"] | _only(t, "|*!") | c["marker"] | (t.isin("H", "L") & last))
+        return F.array_join(F.transform(F.filter(head, stays), lambda c: c["text"]), " ")
 
-    return F.array_join(F.transform(F.filter(head, stays), lambda c: c["text"]), " ")
+    return bound(F.slice(k, F.lit(1), end - 1), named)
 
 
 def _end_of_name(k: Column) -> Column:
@@ -116,7 +120,7 @@ def _end_of_name(k: Column) -> Column:
 
 def name_by_value(k: Column, value: Column) -> Column:
     """The name in front of the cell that is the value, else in front of the first number."""
-    at = F.when(_value(value) != "", _first(k, lambda c, i: _value(c["text"]) == _value(value)))
+    at = F.when(_value(value) != "", F.array_position(F.transform(k, lambda c: _value(c["text"])), _value(value)).cast("int"))
     return printed_name(k, F.when(at > 0, at).otherwise(_end_of_name(k)))
 
 
@@ -131,8 +135,17 @@ def _starts_worded(low: Column, whole: bool = True) -> Column:
 def candidates(pages: DataFrame) -> DataFrame:
     """Rows of pages that a reader should have returned: page_id, row_index, kind, name, result. numeric: behind a name a number, and a
     unit, an interval or a bound; qualitative: behind a name, and without a number, a result in words that may go over several
-    cells. Each step is a projection of the one before it; nothing is shuffled."""
-    rows = pages.where("page_id is not null").withColumn("_k", kinds(F.col("cells")))
+    cells."""
+    told = with_candidates(pages.where("page_id is not null"), F.col("cells"), "_told")
+    # a filter would be pushed down and have every step computed again; it isn't through a generator
+    return told.select("page_id", "row_index", F.inline_outer(F.array("_told"))).where("kind is not null")
+
+
+def with_candidates(rows: DataFrame, cells: Column, into: str) -> DataFrame:
+    """rows with the column `into`: kind (NULL for a row that is no candidate), name and result of candidates(). Each step is a projection of the one
+    before it; nothing is shuffled."""
+    kept = rows.columns
+    rows = rows.withColumn("_k", kinds(cells))
     start = _first(F.slice("_k", 1, 3), lambda c, i: c["named"])
     rows = rows.withColumn("_start", start)
     behind = F.filter(F.slice("_k", F.col("_start") + 1, F.size("_k")), lambda c: ~c["marker"] & ~c["flag"])
@@ -143,17 +156,19 @@ def candidates(pages: DataFrame) -> DataFrame:
     measured = F.exists("_k", lambda c: c["unit"]) | F.exists("_after", lambda c: c["bound"]) | power | (interval_count(line) > 0)
     bare = F.transform("_texts", lambda t: F.when(t.rlike(r"^[<>0-9-]"), F.regexp_replace(t, r"^[<>]?\s*-?\d+(?:[,.]\d+)?\s+", "")).otherwise(t))  # a criterion's bound may stand before the word
     rows = rows.withColumns({"_begun": begun, "_number": F.exists("_after", lambda c: c["number"]), "_measured": measured, "_bare": bare})
-    begins = lambda t, i: (i >= F.col("_start")) & _starts_worded(F.lower(F.concat_ws(" ", t, F.array_join(F.slice("_texts", i + 2, F.size("_texts")), " "))))
-    rows = rows.withColumn("_word", F.when(F.col("_begun") & ~F.col("_number") & F.exists("_bare", lambda t: _starts_worded(F.lower(t), whole=False)), _first(F.col("_bare"), begins)))
+    begins = lambda t, i: (i >= F.col("_start")) & bound(F.lower(F.concat_ws(" ", t, F.array_join(F.slice("_texts", i + 2, F.size("_texts")), " "))), lambda low: _starts_worded(low))
+    rows = rows.withColumn("_word", F.when(F.col("_begun") & ~F.col("_number") & F.exists("_bare", lambda t: bound(F.lower(t), lambda low: _starts_worded(low, whole=False))), _first(F.col("_bare"), begins)))
     rest = F.slice("_k", F.col("_word") + 1, F.size("_k"))
     stop = F.when(F.col("_word") > 0, _first(rest, lambda c, i: c["text"].rlike(r"\d") | c["unit"] | material_word(c["text"]).isNotNull()))
     kind = F.when(F.col("_begun") & F.col("_number") & F.col("_measured"), "numeric").when(F.col("_word") > 0, "qualitative")
-    rows = rows.withColumns({"kind": kind, "_stop": stop, "_until": F.when(F.col("_word") > 0, F.col("_word")).otherwise(_end_of_name(F.col("_k")))})
-    name, own, worded = printed_name(F.col("_k"), F.col("_until")), F.get("_texts", F.col("_start") - 1), F.col("kind") == "qualitative"
+    rows = rows.withColumns({"_kind": kind, "_stop": stop})
+    until = F.when(F.col("_word") > 0, F.col("_word")).otherwise(_end_of_name(F.col("_k")))
+    rows = rows.withColumn("_until", F.when(F.col("_kind").isNotNull(), until))
+    name, own, worded = printed_name(F.col("_k"), F.col("_until")), F.get("_texts", F.col("_start") - 1), F.col("_kind") == "qualitative"
     words = F.array_join(F.slice("_texts", F.col("_word"), F.when(F.col("_stop") > 0, F.col("_stop")).otherwise(F.size("_k"))), " ")
-    told = F.struct("kind", F.when(F.col("kind").isNotNull(), F.when((name == "") & worded, own).otherwise(name)).alias("name"), F.when(worded, words).otherwise("").alias("result"))
-    # a filter would be pushed down and have every step computed again; it isn't through a generator
-    return rows.select("page_id", "row_index", F.inline_outer(F.array(told))).where("kind is not null")
+    rows = rows.withColumn("_name", F.when(F.col("_kind").isNotNull(), name))
+    told = F.struct(F.col("_kind").alias("kind"), F.when((F.col("_name") == "") & worded, own).otherwise(F.col("_name")).alias("name"), F.when(worded, words).otherwise("").alias("result"))
+    return rows.select(*kept, told.alias(into))
 
 
 def page_facts(reads: DataFrame) -> DataFrame:
@@ -194,49 +209,79 @@ def interpret(reads: DataFrame, pages: DataFrame, index: DataFrame, aliases: Dat
     via         how the entry was found (resolve); refused where the printed material contradicts the entry's and the name has no code
     doubt       not printed, else reconciled; confidence is low for what isn't printed and what no reader returned
 
-    Tables grow with the readings; they meet printed rows by page and row, names once for each distinct (lab, name, unit). What several
-    steps read is written to the shared folder once."""
-    reads, pages = kept(reads, "reads"), kept(pages.where("page_id is not null"), "pages")
-    facts = kept(page_facts(reads), "facts")
-    merged = reconcile(reads.where("page_id is not null"), expected, pair=True, also=("ord", "row_index")).join(facts.select("page_id", "lab", "scan"), "page_id")
-    merged = kept(merged.withColumns({"_stated": F.col("row_index"), "_claim": F.coalesce("value_raw", F.lit(""))}), "merged")
-    text = merged.where(~F.col("scan"))
-    fixed = repaired(text.where("row_index is not null").select("page_id", F.col("key").alias("ord"), F.coalesce("raw_name", F.lit("")).alias("raw_name"), F.regexp_replace(F.translate("_claim", "!*", ""), r"\s+", "").alias("value_raw"), "row_index"), pages)
-    fixed = fixed.select("page_id", F.col("ord").alias("key"), F.when(~F.col("broken"), F.col("row_index")).alias("_row"), F.when(F.col("broken"), "broken").when(F.col("repaired"), "moved").otherwise("kept").alias("_placed"))
-    rows = merged.drop("row_index", "ord").join(fixed, ["page_id", "key"], "left")
-    said = candidates(pages).withColumnsRenamed({"name": "_name", "result": "_result"})
-    printed = pages.where("page_id is not null").join(printed_materials(pages).select("page_id", "row_index", "material"), ["page_id", "row_index"], "left")
-    own = printed.select("page_id", F.col("row_index").alias("_row"), "cells", "material")
-    rows = rows.join(own, ["page_id", "_row"], "left").withColumn("_k", kinds(F.col("cells")))
-    on_row = (_letters(F.col("raw_name")) != "") & F.contains(_letters(F.array_join("cells", " ")), _letters(F.col("raw_name")))
-    rows = rows.withColumn("_from", F.when(F.col("cells").isNotNull() & ~on_row, name_by_value(F.col("_k"), F.col("value_raw"))))
-    renamed = F.coalesce(F.col("_from") != "", F.lit(False))
-    blank = F.regexp_replace("_claim", r"\s+", "") == ""
-    here = F.coalesce(printed_on_row(F.col("_claim"), F.col("cells")) & F.contains(_glued(F.col("cells")), F.regexp_replace("_claim", r"\s+", "")), F.lit(False))
-    rows = kept(rows.withColumns({"_renamed": renamed, "_here": here, "_blank": blank}).drop("_k"), "placed")
-    found = printed_somewhere(rows.where("not scan and not _here and not _blank").select("page_id", F.col("_claim").alias("value")), pages).select("page_id", F.col("value").alias("_claim"), F.lit(True).alias("_there"))
-    rows = rows.join(found, ["page_id", "_claim"], "left")
-    rows = rows.withColumn("printed", F.when(F.col("scan"), "scan").when(F.col("_blank"), "empty").when(F.col("_here"), "row").when(F.col("_there"), "page").otherwise("absent"))
-    absent = F.col("printed") == "absent"
-    read = rows.select(
-        "page_id", "key", F.lit("reading").alias("source"), "lab", F.when(F.col("_renamed"), F.col("_from")).otherwise(F.col("raw_name")).alias("raw_name"), "value_raw", "unit_raw", "ref_range_raw",
-        F.when(F.col("scan"), F.col("_stated")).otherwise(F.col("_row")).alias("row_index"), F.array_join("cells", "  ").alias("snippet"), "material", F.col("disagreement").alias("reconciled"), "escalated",
-        F.when(F.col("scan"), "scan").otherwise(F.coalesce("_placed", F.lit("none"))).alias("placed"), F.when(F.col("_renamed"), "from row").otherwise("as read").alias("named"), "printed",
-        F.when(absent, "not printed").otherwise(F.col("disagreement")).alias("doubt"), F.when(absent, "low").otherwise("high").alias("confidence"),
+    Readings and printed rows are dealt by page once and come together as rows of one page, in windows; what looks for values elsewhere on the page
+    reads them from a table in buckets by page. Each distinct (lab, name, unit) is resolved once."""
+    at = F.when(F.col("lab").isNotNull(), F.struct("reader", "ord"))
+    merged = reconcile(reads.where("page_id is not null"), expected, pair=True, also=("row_index",), of_page={"lab": F.min_by("lab", at), "scan": F.max("scan")})
+    merged = merged.withColumnsRenamed({"row_index": "_stated", "disagreement": "reconciled"}).drop("readers").withColumns({"_claim": F.coalesce("value_raw", F.lit("")), "scan": F.coalesce("scan", F.lit(False))})
+    lines = with_materials(pages.where("page_id is not null").select("page_id", "row_index", "cells")).drop("source")
+    rows = merged.withColumn("_line", F.lit(False)).unionByName(lines.withColumn("_line", F.lit(True)), allowMissingColumns=True)
+    rows = _placed(rows)
+    facts, claimed = Window.partitionBy("page_id"), Window.partitionBy("page_id", "row_index")
+    rows = rows.withColumns(
+        {
+            "_claimed": F.count_if(~F.col("_line")).over(claimed) > 0, "lab": F.max("lab").over(facts), "scan": F.coalesce(F.max("scan").over(facts), F.lit(False)),
+            "_asking": F.coalesce(F.bool_or(F.col("_printed").isNull() & ~F.col("_line")).over(facts), F.lit(False)),
+        }
+    )
+    left = F.col("_line") & F.col("row_index").isNotNull() & ~F.col("_claimed") & ~F.col("scan")
+    # a filter on kind would be pushed down and have every step computed again; it isn't through a generator
+    rows = with_candidates(rows, F.when(left, F.col("cells")), "_told").select("*", F.inline_outer(F.array("_told"))).drop("_told")
+    worded, told = F.col("kind") == "qualitative", F.col("kind").isNotNull()
+    source = F.when(~F.col("_line"), "reading").when(worded, "printed").when(told, "unread")
+    line = lambda c, then: F.when(F.col("_line"), then).otherwise(F.col(c)).alias(c)
+    rows = rows.select(
+        "page_id", line("key", F.concat(F.lit("row "), F.col("row_index").cast("string"))), source.alias("source"), "lab", line("raw_name", F.col("name")), line("value_raw", F.when(worded, F.col("result"))),
+        line("unit_raw", F.when(worded, "")), line("ref_range_raw", F.when(worded, "")), F.when(~F.col("_line") & F.col("scan"), F.col("_stated")).otherwise(F.col("row_index")).alias("row_index"), "cells", "material", "reconciled",
+        line("escalated", F.lit(False)), line("placed", F.lit("kept")), line("named", F.lit("as printed")), line("_printed", F.lit("row")), "_claim", "_line", "_asking", told.alias("_told"),
     )
-    claimed = read.where("source = 'reading' and row_index is not null").select("page_id", "row_index")
-    scans = facts.where("scan").select("page_id")
-    left = said.join(claimed, ["page_id", "row_index"], "left_anti").join(scans, "page_id", "left_anti").join(printed, ["page_id", "row_index"]).join(facts.select("page_id", "lab"), "page_id", "left")
-    worded, no = F.col("kind") == "qualitative", F.lit(None).cast("string")
-    left = left.select(
-        "page_id", F.concat(F.lit("row "), F.col("row_index").cast("string")).alias("key"), F.when(worded, "printed").otherwise("unread").alias("source"), "lab", F.col("_name").alias("raw_name"), F.when(worded, F.col("_result")).alias("value_raw"), F.when(worded, "").alias("unit_raw"),
-        F.when(worded, "").alias("ref_range_raw"), "row_index", F.array_join("cells", "  ").alias("snippet"), "material", no.alias("reconciled"), F.lit(False).alias("escalated"), F.lit("kept").alias("placed"), F.lit("as printed").alias("named"), F.lit("row").alias("printed"), no.alias("doubt"),
-        F.lit("low").alias("confidence"),
+    rows = dealt(rows.where(~F.col("_line") | F.col("_asking") | F.col("_told")), "rows", "page_id")
+    asked = rows.where(~F.col("_line") & F.col("_printed").isNull()).select("page_id", F.col("_claim").alias("value"))
+    found = printed_somewhere(asked, rows.where("_line").select("page_id", "cells")).select("page_id", F.col("value").alias("_claim"), F.lit(True).alias("_there"))
+
+    def entry(names: DataFrame) -> DataFrame:
+        known = resolve(names, index, aliases).join(materials.select("canonical_id", F.col("material").alias("_entry")), "canonical_id", "left")
+        return known.withColumn("_code", material_prefix(F.col("raw_name")))
+
+    rows = told_once(rows.where("source is not null"), ["lab", "raw_name", "unit_raw"], entry).join(found, ["page_id", "_claim"], "left")
+    rows = rows.withColumn("printed", F.coalesce("_printed", F.when(F.col("_there"), "page").otherwise("absent")))
+    absent, reading = F.col("printed") == "absent", F.col("source") == "reading"
+    refused = F.coalesce((F.col("via") == "catalogue") & ~compatible(F.coalesce("_code", "material"), F.col("_entry")), F.lit(False))
+    return rows.select(
+        "page_id", "key", "source", "lab", "raw_name", "value_raw", "unit_raw", "ref_range_raw", "row_index", F.array_join("cells", "  ").alias("snippet"), "material", "reconciled", "escalated", "placed", "named", "printed",
+        F.when(absent, "not printed").otherwise(F.col("reconciled")).alias("doubt"), F.when(absent | ~reading, "low").otherwise("high").alias("confidence"),
+        F.when(~refused, F.col("canonical_id")).alias("canonical_id"), F.when(refused, "refused").otherwise(F.col("via")).alias("via"),
     )
-    matched = resolve(kept(read.unionByName(left), "report"), index, aliases).join(materials.select("canonical_id", F.col("material").alias("_entry")), "canonical_id", "left")
-    against = (F.col("via") == "catalogue") & ~compatible(F.coalesce(material_prefix(F.col("raw_name")), F.col("material")), F.col("_entry"))
-    refused = F.coalesce(against, F.lit(False))
-    return matched.withColumns({"canonical_id": F.when(~refused, F.col("canonical_id")), "via": F.when(refused, "refused").otherwise(F.col("via"))}).drop("_entry")
+
+
+def _placed(rows: DataFrame, reach: int = 3) -> DataFrame:
+    """Readings (_line is false) and printed rows of pages: readings with the row that carries the value, as rows.repaired() finds it, its cells and its
+    material; with the name that it prints; and with what _printed can tell from that row alone (NULL: the value may stand elsewhere)."""
+    text, place = ~F.col("_line") & ~F.col("scan"), F.coalesce("_stated", "row_index")
+    page = Window.partitionBy("page_id").orderBy("_at")
+    near = F.collect_list(F.when(F.col("_line") & F.col("row_index").isNotNull(), F.struct("row_index", "cells", "material")))
+    rows = rows.withColumn("_at", place).withColumn("_near", near.over(page.rangeBetween(-reach, reach)))
+    plain = F.regexp_replace(F.translate("_claim", "!*", ""), r"\s+", "")
+    rows = rows.withColumns({"_near": F.when(text & F.col("_stated").isNotNull(), F.col("_near")), "_want": bare(F.lower(plain)), "_key": norm_key(F.coalesce("raw_name", F.lit("")))})
+    joined = lambda r: F.array_join(r["cells"], " ")
+    carries = lambda r: F.contains(bare(F.lower(joined(r))), F.col("_want"))
+    rows = rows.withColumn("_own", F.get(F.filter("_near", lambda r: (r["row_index"] == F.col("_stated")) & carries(r)), F.lit(0)))
+    away = lambda r: r["row_index"] - F.col("_stated")
+    others = F.filter("_near", lambda r: (r["row_index"] != F.col("_stated")) & carries(r) & F.contains(norm_key(joined(r)), F.col("_key")))
+    nearest = F.array_min(F.transform(others, lambda r: F.struct(F.abs(away(r)).alias("d"), (-away(r)).alias("before"), r.alias("r"))))["r"]
+    rows = rows.withColumn("_own", F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(nearest))
+    own = lambda c: F.when(F.col("_line"), F.col(c)).otherwise(F.col(f"_own.{c}"))
+    placed = F.when(F.col("scan"), "scan").when(F.col("_stated").isNull(), "none").when(F.col("_own").isNull(), "broken").when(F.col("_own.row_index") != F.col("_stated"), "moved").otherwise("kept")
+    rows = rows.withColumns({"row_index": own("row_index"), "cells": own("cells"), "material": own("material"), "placed": placed}).drop("_near", "_want", "_key", "_own", "_at")
+    name = _letters(F.col("raw_name"))
+    off = ~F.col("_line") & F.col("cells").isNotNull() & ~((name != "") & F.contains(_letters(F.array_join("cells", " ")), name))
+    rows = rows.withColumn("_k", F.when(off, kinds(F.col("cells"))))
+    rows = rows.withColumn("_from", F.when(F.col("_k").isNotNull(), name_by_value(F.col("_k"), F.col("value_raw"))))
+    renamed = F.coalesce(F.col("_from") != "", F.lit(False))
+    blank = F.regexp_replace("_claim", r"\s+", "") == ""
+    here = F.coalesce(F.contains(_glued(F.col("cells")), F.regexp_replace("_claim", r"\s+", "")) & printed_on_row(F.col("_claim"), F.col("cells")), F.lit(False))
+    told = F.when(F.col("scan"), "scan").when(blank, "empty").when(~F.col("_line") & here, "row")
+    return rows.withColumns({"_printed": told, "named": F.when(renamed, "from row").otherwise("as read"), "raw_name": F.when(renamed, F.col("_from")).otherwise(F.col("raw_name"))}).drop("_k", "_from")
 
 
 def page_counts(rows: DataFrame, facts: DataFrame) -> DataFrame:

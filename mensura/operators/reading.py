@@ -21,9 +21,9 @@ def compared(reads: DataFrame, of_page: dict[str, Column] | None = None) -> Data
     rows = told_once(reads, ["raw_name", "unit_raw", "ref_range_raw"], spelt).repartition("page_id")
     own, page = Window.partitionBy("page_id", "name", "reader"), Window.partitionBy("page_id")
     # the first window's order serves all of them
-    rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("ord")) - 1, "copies": F.count(F.lit(1)).over(own)})
-    twice = F.max("copies").over(Window.partitionBy("page_id", "name")) > 1
-    rows = rows.withColumns({"_twice": twice, "total": F.size(F.collect_set("reader").over(page)), **{c: x.over(page) for c, x in (of_page or {}).items()}})
+    rows = rows.withColumn("nth", F.row_number().over(own.orderBy("ord")) - 1)
+    rows = rows.withColumn("_twice", F.max("nth").over(Window.partitionBy("page_id", "name")) > 0)
+    rows = rows.withColumns({"total": F.size(F.collect_set("reader").over(page)), **{c: x.over(page) for c, x in (of_page or {}).items()}})
     return rows.withColumns(
         {
             "key": F.when(F.col("_twice"), F.concat_ws("#", "name", F.coalesce("row_index", "nth").cast("string"))).otherwise(F.col("name")),
@@ -42,8 +42,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     key = Window.partitionBy("page_id", "key")
     order = key.orderBy("reader", "ord")
     new = F.when(F.lag("reader").over(order).eqNullSafe(F.col("reader")), None).otherwise(F.col("reader"))
-    rows = rows.withColumns({"_nth": F.row_number().over(order), "_new": new, **{name: f(k).over(key) for f, k, name in _ENDS}})
-    return rows.withColumn("readers", F.count("_new").over(key)).where("_nth = 1").drop("_nth", "_new")
+    rows = rows.withColumns({"_nth": F.row_number().over(order), "_new": new})
+    return rows.withColumns({"readers": F.count("_new").over(key), **{name: f(k).over(key) for f, k, name in _ENDS}}).where("_nth = 1").drop("_nth", "_new")
 
 
 def reconcile(reads: DataFrame, expected: int = 1, pair: bool = False, also: tuple[str, ...] = (), of_page: dict[str, Column] | None = None) -> DataFrame:

@@ -28,6 +28,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, by: str) -> DataFrame:
+    """kept(), in buckets by a column, as many as a shuffle has partitions: what groups or joins its rows by that column, or by it and others, shuffles nothing.
+    The table's name goes when it is written, its files stay."""
+    spark = df.sparkSession
+    path, n = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"mensura_{name}_{path[-32:]}"
+    df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(table, format="parquet")
+    found = spark.read.table(table)
+    found.schema  # the plan is made while the table has a name
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def told_once(rows: DataFrame, texts: list[str], tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows with the columns that tell() adds to their distinct texts (in place of columns of the same names): what many rows print alike is worked out once. The distinct texts are a
     table in the shared folder, so Spark knows its size and broadcasts it below its own threshold, and shuffles beyond. NULL is a text too."""
